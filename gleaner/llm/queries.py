@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_quality, op3_rules
+from . import op1_quality, op3_rules, op9_secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality.query,
         "op3_rules": op3_rules.query,
+        "op9_secrets": op9_secrets.query,
     }
 
 
