@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_quality, op3_rules, op9_secrets
+from . import op1_quality, op3_rules, op4_language, op9_secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": op1_quality.query,
         "op3_rules": op3_rules.query,
         "op9_secrets": op9_secrets.query,
+        "op4_language": op4_language.query,
     }
 
 
