@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_quality, op3_rules, op4_language, op9_secrets
+from . import op1_quality, op2_warc, op3_rules, op4_language, op9_secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,10 +15,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_rules": op3_rules.query,
         "op9_secrets": op9_secrets.query,
         "op4_language": op4_language.query,
+        "op2_warc": op2_warc.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_rules": op3_rules.ORACLE_SQL,
+        "op2_warc": op2_warc.ORACLE_SQL,
     }
