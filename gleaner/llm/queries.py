@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_quality, op2_warc, op3_rules, op4_language, op9_secrets
+from . import op1_quality, op2_warc, op3_rules, op4_language, op9_secrets, op10_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_secrets": op9_secrets.query,
         "op4_language": op4_language.query,
         "op2_warc": op2_warc.query,
+        "op10_simhash": op10_simhash.query,
     }
 
 
