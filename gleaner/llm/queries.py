@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_quality, op2_warc, op3_rules, op4_language, op9_secrets, op10_simhash
+from . import op1_quality, op2_warc, op3_rules, op4_language, op6_decontaminate, op9_secrets, op10_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language": op4_language.query,
         "op2_warc": op2_warc.query,
         "op10_simhash": op10_simhash.query,
+        "op6_decontaminate": op6_decontaminate.query,
     }
 
 
@@ -24,4 +25,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_rules": op3_rules.ORACLE_SQL,
         "op2_warc": op2_warc.ORACLE_SQL,
+        "op6_decontaminate": op6_decontaminate.ORACLE_SQL,
     }
