@@ -47,8 +47,10 @@ def buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def spans(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs of true bytes within each text, and of each text its first run's number."""
+def spans(inside: np.ndarray, offs: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of true bytes within each text, and of each text its first run's number.
+
+    cuts: places of bytes within runs at which a new run starts nevertheless."""
     n = len(inside)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
@@ -57,12 +59,16 @@ def spans(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     before[1:] = inside[:-1]
     begin = offs[:-1][offs[:-1] < n]
     before[begin] = False
+    if cuts is not None:
+        before[cuts] = False
     starts = np.flatnonzero(inside & ~before)
     after = np.empty(n, bool)
     after[-1] = False
     after[:-1] = inside[1:]
     last = offs[1:]
     after[last[last > 0] - 1] = False
+    if cuts is not None:
+        after[cuts - 1] = False
     ends = np.flatnonzero(inside & ~after) + 1
     return starts, ends, np.searchsorted(starts, offs)
 
