@@ -10,8 +10,9 @@ Only facts about pieces are shuffled and stored, no texts and no ids. Dealing an
 task that runs again gives the same sequences.
 
 White space never becomes an id and no id spans it, nor an ASCII letter and the punctuation after it, and case does not
-matter. So ids are taken for each different run between such places once, kept for the following texts of a worker within a fixed bound, and put together with numpy. Runs are told apart by two 64-bit
-hashes; should they ever disagree, the texts at hand are tokenised whole.
+matter. So ids are taken for each different run between such places once, kept for the following texts of a worker
+within a fixed bound, and put together with numpy. Runs are told apart by two 64-bit hashes; should they ever disagree,
+the texts at hand are tokenised whole.
 
 A null text is empty: its only id is END. A null doc_id is a piece like any other. Repeated rows are packed each. Other
 columns are ignored. An empty table gives no sequences.
@@ -131,6 +132,13 @@ class Encoder:
         return np.insert(flat, stop[1:], END), stop + np.arange(len(stop))
 
 
+def encoder_for(path: str) -> Encoder:
+    """The encoder of this worker process, with what it has learned from earlier tasks."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def pieces(doc_ids: list, flat: np.ndarray, offs: np.ndarray, length: int = LENGTH) -> dict[str, list]:
     """The pieces of all texts: full windows and the rest of each."""
     out: dict[str, list] = {"doc_id": [], "start": [], "length": [], "ids_crc32": [], "doc_tokens": []}
@@ -147,8 +155,7 @@ def tokenised(documents: DataFrame, vocabulary: str, length: int = LENGTH) -> Da
     """Facts about all pieces of the documents, in one pass without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.setdefault(vocabulary, None) or Encoder(vocabulary)
-        _encoders[vocabulary] = encoder
+        encoder = encoder_for(vocabulary)
         for batch in batches:
             for a, b in text_slices(batch, "text"):
                 part = batch.slice(a, b - a)
