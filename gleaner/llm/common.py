@@ -64,3 +64,22 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) ->
         total += n
     if start < len(sizes):
         yield start, len(sizes)
+
+
+def in_units(placed: DataFrame, group: str, member: str, limit: int) -> DataFrame:
+    """Rows of `placed` with a long `unit`: rows with one value of the long column `group` share a unit.
+
+    A group of more than `limit` rows is cut into parts by a hash of `member`, and each two parts, or one part with
+    itself, share a unit, so that any two members still meet and no unit has more than about twice the limit. Only
+    the sizes of large groups are gathered, in a table.
+    """
+    from pyspark.sql import functions as F
+
+    large = materialize(placed.groupBy(group).count().where(F.col("count") > limit), "large-groups")
+    if large.isEmpty():
+        return placed.withColumnRenamed(group, "unit")
+    rows = placed.join(large, group, "left").withColumn("__parts", F.ceil(F.coalesce("count", F.lit(1)) / limit).cast("int"))
+    rows = rows.withColumn("__own", F.pmod(F.xxhash64(member), F.col("__parts")).cast("int"))
+    rows = rows.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
+    unit = F.xxhash64(F.col(group), F.least("__own", "__other"), F.greatest("__own", "__other")).alias("unit")
+    return rows.select(unit, *[F.col(c) for c in placed.columns if c != group])

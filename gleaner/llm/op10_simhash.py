@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytesvec as bv
-from .common import materialize, release, tasks, text_slices
+from .common import in_units, materialize, release, tasks, text_slices
 from .components import Forest, components
 
 SHINGLE = 3
@@ -180,18 +180,9 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(nodes: DataFrame, shard_nodes: int = SHARD_NODES) -> DataFrame:
     """Links (u, v) that join all nodes (distinct fp) within the radius of each other."""
-    spark = nodes.sparkSession
     placed = nodes.select("fp").mapInArrow(_to_shards, "shard long, fp long")
-    large = materialize(placed.groupBy("shard").count().where(F.col("count") > shard_nodes), "simhash-large")
-    unit = lambda *parts: F.xxhash64("shard", *parts)
-    if large.isEmpty():
-        units = placed.select(F.col("shard").alias("unit"), "fp")
-    else:
-        met = placed.join(large, "shard", "left").withColumn("parts", F.ceil(F.coalesce("count", F.lit(1)) / shard_nodes).cast("int"))
-        met = met.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-        met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        units = met.select(unit(F.least("own", "other"), F.greatest("own", "other")).alias("unit"), "fp")
-    return units.repartition(tasks(spark), "unit").mapInArrow(_search, "u long, v long")
+    units = in_units(placed, "shard", "fp", shard_nodes)
+    return units.repartition(tasks(nodes.sparkSession), "unit").mapInArrow(_search, "u long, v long")
 
 
 def grouped(documents: DataFrame) -> DataFrame:
