@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_quality, op2_warc, op3_rules, op4_language, op5_lines, op6_decontaminate, op7_packing, op9_secrets, op10_simhash
+from . import op1_quality, op2_warc, op3_rules, op4_language, op5_lines, op6_decontaminate, op7_packing, op8_repeats, op9_secrets, op10_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_decontaminate": op6_decontaminate.query,
         "op7_packing": op7_packing.query,
         "op5_lines": op5_lines.query,
+        "op8_repeats": op8_repeats.query,
     }
 
 
