@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,9 +33,7 @@ def compiles(spark: SparkSession, pattern: str) -> bool:
     """Whether Java accepts the pattern."""
     try:
         spark._jvm.java.util.regex.Pattern.compile(pattern)
-    except Exception as e:
-        if "PatternSyntaxException" not in str(e):
-            raise
+    except (IllegalArgumentException, Py4JJavaError):  # PatternSyntaxException is an illegal argument
         return False
     return True
 

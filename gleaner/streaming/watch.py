@@ -13,6 +13,9 @@ from ..sources import readers
 from ..sources.formats.base import Options
 from ..spec import SearchSpec
 
+#: What Spark's binary file source gives.
+BINARY = "path string, modificationTime timestamp, length long, content binary"
+
 
 def live(displayed: DataFrame) -> Iterator[Row]:
     """Results as their partitions are done, without holding them all."""
@@ -48,7 +51,7 @@ def watch(spark: SparkSession, spec: SearchSpec, sink: Callable[[DataFrame, int]
     The checkpoint remembers which files were read, so that a next run takes new ones only. Files whose names
     begin with a dot or an underscore are not seen by Spark's file stream.
     """
-    files = readers.opened(spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(spec.root()))
+    files = readers.opened(spark.readStream.format("binaryFile").schema(BINARY).option("recursiveFileLookup", "true").load(spec.root()))
     for x in spec.skipped_folders():
         files = files.where(~F.startswith(F.lower("file_path"), F.lit(x.lower())))
     if spec.excluded():
