@@ -66,8 +66,8 @@ def row_match(spark: SparkSession, entries: DataFrame, spec: SearchSpec, keys: l
     if not spec.match_all:
         return entries.where(some(own))
     names = [f"__k{i}" for i in range(len(own))]
-    marked = entries.withColumns({n: m for n, m in zip(names, own, strict=True)} | {"__cell": cell})
-    row = Window.partitionBy(*keys, "__cell")
+    marked = entries.withColumns({n: m for n, m in zip(names, own, strict=True)} | {"__cell": cell, "__alone": F.when(cell, -1).otherwise(F.col("entry_ord"))})
+    row = Window.partitionBy(*keys, "__cell", "__alone")  # what is no cell stands alone, and is dealt evenly
     if not spec.regex and not any("\n" in k for k in spec.active()):
         marked = marked.where(some([F.col(n) for n in names]))  # cells that hold none cannot make a row match
         whole = every([F.bool_or(n).over(row) for n in names])
