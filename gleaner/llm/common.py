@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; a longer single text is a step of its own.
 SLICE_BYTES = 2_000_000
@@ -33,29 +36,59 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one run of an operator, in a folder of their own that goes when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Write df as a table and read it again; lets go of the shuffles that made it."""
+        self.n += 1
+        path = f"{self.folder}/{self.n}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Delete all tables. What was made of them must be written by now."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        release(self.spark)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of steps whose results are materialised."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-def tasks(spark: SparkSession) -> int:
-    """Partitions for a shuffle that the optimizer cannot size itself."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def trim() -> None:
+    """Give memory that is free back to the system: a worker process lives on and its peaks would add up."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
 
 
-def plain(arr: pa.Array) -> pa.Array:
-    """The array in one chunk of a plain type, nulls kept."""
-    if isinstance(arr, pa.ChunkedArray):
-        arr = arr.combine_chunks()
-    return arr
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that trims its worker's memory when a task is done."""
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
 
-def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges (from, to) of the batch with about `limit` bytes of `column` each; one row at least."""
-    import pyarrow.compute as pc
+    return task
 
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+
+def tasks(spark: SparkSession) -> int:
+    """Partitions for a shuffle that the optimizer cannot size itself."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges (from, to) with about `limit` bytes of texts each; one text at least."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     start = total = 0
     for i, n in enumerate(sizes.tolist()):
         if total and total + n > limit:
@@ -66,20 +99,29 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) ->
         yield start, len(sizes)
 
 
-def in_units(placed: DataFrame, group: str, member: str, limit: int) -> DataFrame:
+def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    return slices(batch.column(column), limit)
+
+
+#: One in so many members is counted to estimate the sizes of groups.
+COUNTED = 16
+
+
+def in_units(scratch: Scratch, placed: DataFrame, group: str, member: str, limit: int) -> DataFrame:
     """Rows of `placed` with a long `unit`: rows with one value of the long column `group` share a unit.
 
-    A group of more than `limit` rows is cut into parts by a hash of `member`, and each two parts, or one part with
-    itself, share a unit, so that any two members still meet and no unit has more than about twice the limit. Only
-    the sizes of large groups are gathered, in a table.
+    A group that is estimated at more than `limit` rows is cut into parts by a hash of `member`, and each two parts, or
+    one part with itself, share a unit, so that any two members still meet and units stay near twice the limit. The
+    estimate only decides on cutting, so its error changes no result. Only the sizes of large groups are gathered, in a
+    table.
     """
-    from pyspark.sql import functions as F
-
-    large = materialize(placed.groupBy(group).count().where(F.col("count") > limit), "large-groups")
+    spread = F.xxhash64(F.lit("part"), F.col(member))
+    counted = placed.where(F.pmod(F.xxhash64(member), F.lit(COUNTED)) == 0).groupBy(group).count()
+    large = scratch.keep(counted.where(F.col("count") * COUNTED > limit), "large-groups")
     if large.isEmpty():
         return placed.withColumnRenamed(group, "unit")
-    rows = placed.join(large, group, "left").withColumn("__parts", F.ceil(F.coalesce("count", F.lit(1)) / limit).cast("int"))
-    rows = rows.withColumn("__own", F.pmod(F.xxhash64(member), F.col("__parts")).cast("int"))
+    rows = placed.join(large, group, "left").withColumn("__parts", F.ceil(F.coalesce(F.col("count") * COUNTED, F.lit(1)) / limit).cast("int"))
+    rows = rows.withColumn("__own", F.pmod(spread, F.col("__parts")).cast("int"))
     rows = rows.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
     unit = F.xxhash64(F.col(group), F.least("__own", "__other"), F.greatest("__own", "__other")).alias("unit")
     return rows.select(unit, *[F.col(c) for c in placed.columns if c != group])

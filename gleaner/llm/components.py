@@ -1,7 +1,7 @@
 """Distributed union-find: connected components of a graph given as a table of links.
 
 First every task joins the links at hand into trees (a forest is never larger than its links). The forests then meet by
-alternating two steps on tables in the shared folder, until nothing changes: in the first each node passes
+alternating two steps on tables in the shared folder, until all trees are stars: in the first each node passes
 its smallest neighbour to its larger neighbours, in the second to its smaller ones. Each step is one grouped minimum,
 combined before the shuffle, and one join of two plain shuffles, so that a node with very many links is split by adaptive
 execution. The number of rounds grows with the logarithm of the longest chain. Nothing is collected.
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import Scratch, materialize, trimmed
 
 
 class Forest:
@@ -62,20 +62,25 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     links: (u, v) of one integer type, in any direction; repeated links and links to itself are allowed, nulls dropped.
     """
     spark = links.sparkSession
-    links = links.where("u <> v").mapInArrow(forests, links.select("u", "v").schema).distinct()
-    links = materialize(links, name)
-    seen = None
-    while True:
+    links = links.where("u <> v").mapInArrow(trimmed(forests), links.select("u", "v").schema).distinct()
+    scratch = Scratch(spark, name)
+    links = scratch.keep(links, "links")
+    while not is_stars(links):
+        last, scratch = scratch, Scratch(spark, name)
         both = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialize(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), name)
+        least = scratch.keep(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialize(large.where("u <> v").distinct(), name)
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = materialize(down.groupBy("u").agg(F.min("v").alias("m")), name)
+        down = scratch.keep(large.where("u <> v").distinct(), "large")
+        least = scratch.keep(down.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = down.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        links = materialize(small.where("u <> v").distinct(), name)
-        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        release(spark)
-        if now == seen:
-            return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = now
+        links = scratch.keep(small.where("u <> v").distinct(), "links")
+        last.clear()
+    found = materialize(links.select(F.col("u").alias("node"), F.col("v").alias("root")), name)
+    scratch.clear()
+    return found
+
+
+def is_stars(links: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour, which has none itself."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(links.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up > 0 AND down > 0").isEmpty()

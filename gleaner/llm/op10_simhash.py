@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytesvec as bv
-from .common import in_units, materialize, release, tasks, text_slices
+from .common import Scratch, in_units, materialize, tasks, text_slices, trimmed
 from .components import Forest, components
 
 SHINGLE = 3
@@ -178,27 +178,28 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(root.view(np.int64))], ["u", "v"])
 
 
-def links(nodes: DataFrame, shard_nodes: int = SHARD_NODES) -> DataFrame:
+def links(scratch: Scratch, nodes: DataFrame, shard_nodes: int = SHARD_NODES) -> DataFrame:
     """Links (u, v) that join all nodes (distinct fp) within the radius of each other."""
-    placed = nodes.select("fp").mapInArrow(_to_shards, "shard long, fp long")
-    units = in_units(placed, "shard", "fp", shard_nodes)
-    return units.repartition(tasks(nodes.sparkSession), "unit").mapInArrow(_search, "u long, v long")
+    placed = nodes.select("fp").mapInArrow(trimmed(_to_shards), "shard long, fp long")
+    units = in_units(scratch, placed, "shard", "fp", shard_nodes)
+    return units.repartition(tasks(nodes.sparkSession), "unit").mapInArrow(trimmed(_search), "u long, v long")
 
 
 def grouped(documents: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) of every document."""
+    scratch = Scratch(documents.sparkSession, "simhash")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = materialize(rows.mapInArrow(_fingerprints, "doc_id long, fp long"), "simhash-fp")
-    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    found = components(links(nodes), "simhash-links")
-    release(documents.sparkSession)
+    rows = materialize(rows.mapInArrow(trimmed(_fingerprints), "doc_id long, fp long"), "simhash-fp")
+    nodes = scratch.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    found = components(links(scratch, nodes), "simhash-links")
     # of signed numbers the root is any node of its component, the smallest doc_id is found here
-    rooted = nodes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", "root")
-    rooted = materialize(rooted, "simhash-rooted")
-    members = rooted.where("root IS NOT NULL").select("root", "least").unionAll(nodes.select(F.col("fp").alias("root"), "least").join(found.select("root").distinct(), "root", "left_semi"))
-    ids = materialize(members.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-ids")
-    named = rooted.withColumn("key", F.coalesce("root", "fp")).join(ids.withColumnRenamed("root", "key"), "key", "left")
-    named = materialize(named.select("fp", F.coalesce("component_id", "least").alias("component_id")), "simhash-named")
+    rooted = nodes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    roots = found.select(F.col("root").alias("fp")).distinct().withColumn("is_root", F.lit(True))
+    rooted = scratch.keep(rooted.join(roots, "fp", "left").select("fp", "least", F.when(F.col("is_root"), F.col("fp")).otherwise(F.col("root")).alias("root")), "rooted")
+    ids = scratch.keep(rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("component_id")), "ids")
+    named = rooted.join(ids, "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    named = materialize(named, "simhash-named")
+    scratch.clear()
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytesvec as bv
-from .common import in_units, materialize, release, tasks, text_slices
+from .common import Scratch, in_units, materialize, release, tasks, text_slices, trimmed
 from .components import components
 
 SHINGLE = 7
@@ -155,28 +155,78 @@ def unit_links(lines: list[str], threshold: float = THRESHOLD) -> list[tuple[int
     return links
 
 
+def first_similarity(lines: pa.Array, unit: np.ndarray) -> np.ndarray:
+    """Similarity of each line to the first one of its unit, from 64-bit hashes of shingles. unit: numbers that ascend from 0 by one."""
+    data, offs = bv.buffers(lines)
+    data = bv.LOWER[data]
+    begin = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+    lo, hi = np.searchsorted(begin, offs[:-1]), np.searchsorted(begin, offs[1:])
+    n = np.maximum(hi - lo - SHINGLE + 1, 1)
+    line = np.repeat(np.arange(len(n)), n)
+    char = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n) + lo[line]
+    h = bv.Prefix(data).of(begin[char], begin[np.minimum(char + SHINGLE, hi[line])])
+    # a key for each line and shingle, of which equal ones are one; then a key for each unit and shingle
+    own = h ^ bv.mix(line.astype(np.uint64) + np.uint64(1))
+    order = np.argsort(own)
+    own = own[order]
+    order = order[np.append(True, own[1:] != own[:-1])]
+    line, h = line[order], h[order]
+    size = np.bincount(line, minlength=len(n))
+    leads = np.append(True, unit[1:] != unit[:-1])
+    h ^= bv.mix(unit[line].astype(np.uint64) + np.uint64(7))
+    lead = np.sort(h[leads[line]])
+    at = np.minimum(np.searchsorted(lead, h), len(lead) - 1)
+    both = np.bincount(line, lead[at] == h, len(n))
+    first = np.maximum.accumulate(np.where(leads, np.arange(len(n)), 0))
+    return both / (size + size[first] - both)
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of all units of a task. Lines are compared with the first of their unit at once; units with a line that is
+    not like it, and lines near the threshold, are looked at one by one."""
     got = list(batches)
     if not got:
         return
     rows = pa.Table.from_batches(got).sort_by([("unit", "ascending"), ("key", "ascending")])
+    del got
     unit = rows.column("unit").to_numpy()
-    edges = np.append(np.flatnonzero(np.append(True, unit[1:] != unit[:-1])), len(unit)).tolist()
-    u, v = [], []
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        part = rows.slice(a, b - a)
-        keys = part.column("key").to_pylist()
-        for i, j in unit_links(part.column("line").to_pylist()):
-            u.append(keys[j])
-            v.append(keys[i])
-    yield pa.RecordBatch.from_arrays([pa.array(u, pa.string()), pa.array(v, pa.string())], ["u", "v"])
+    number = np.cumsum(np.append(True, unit[1:] != unit[:-1])) - 1
+    edges = np.append(np.searchsorted(number, np.arange(number[-1] + 1)), len(number)).tolist()
+    lines = rows.column("line")
+    lo = 0
+    while lo < len(edges) - 1:
+        hi = lo
+        while hi < len(edges) - 1 and (hi == lo or edges[hi + 1] - edges[lo] <= 4000):
+            hi += 1
+        a, b = edges[lo], edges[hi]
+        part = lines.slice(a, b - a)
+        like = first_similarity(part, number[a:b] - number[a])
+        keys = rows.column("key").slice(a, b - a).to_pylist()
+        u, v = [], []
+        for k in range(lo, hi):
+            c, d = edges[k] - a, edges[k + 1] - a
+            rest = like[c + 1 : d]
+            if (rest > THRESHOLD + 1e-3).all():
+                found = [(0, j) for j in range(1, d - c)]
+            elif d - c == 2 and rest[0] < THRESHOLD - 1e-3:
+                continue
+            else:
+                found = unit_links(part.slice(c, d - c).to_pylist())
+            u += [keys[c + j] for _, j in found]
+            v += [keys[c + i] for i, _ in found]
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.string()), pa.array(v, pa.string())], ["u", "v"])
+        lo = hi
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The asked lines of each text."""
+    """The asked lines of each text; those of repeated rows once."""
+    seen: set[str] = set()
     for batch in batches:
         keys, lines = [], []
         for text, asked in zip(batch.column("text").to_pylist(), batch.column("asked").to_pylist(), strict=True):
+            if asked[0]["key"] in seen:
+                continue
+            seen.add(asked[0]["key"])
             all_lines = text.split("\n")
             for x in asked:
                 keys.append(x["key"])
@@ -187,31 +237,30 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def removals(documents: DataFrame, group_lines: int = GROUP_LINES) -> DataFrame:
     """(doc_id, row_key, removed): the places of the lines that go, of every text that loses one. documents: doc_id, row_key, text."""
     spark = documents.sparkSession
+    scratch = Scratch(spark, "lines")
     key = F.concat(F.hex("k1"), F.lit("."), F.hex("k2")).alias("key")
-    lines = materialize(documents.where("text IS NOT NULL").mapInArrow(_lines, _LINES), "lines")
+    lines = scratch.keep(documents.where("text IS NOT NULL").mapInArrow(trimmed(_lines), _LINES), "lines")
     placed = lines.where("size(bands) > 0").select(F.explode("bands").alias("band"), "k1", "k2")
-    units = in_units(placed, "band", "k1", group_lines).repartition(tasks(spark), "unit").mapInArrow(_candidates, "unit long, k1 long, k2 long")
-    units = materialize(units.distinct().select("unit", key), "line-units")
+    units = in_units(scratch, placed, "band", "k1", group_lines).repartition(tasks(spark), "unit").mapInArrow(trimmed(_candidates), "unit long, k1 long, k2 long")
+    units = scratch.keep(units.distinct().select("unit", key), "units")
     release(spark)
     place = F.struct("doc_id", "row_key", "line_no")
-    first = materialize(lines.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).select(key, "first", "n"), "line-firsts")
+    first = scratch.keep(lines.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).select(key, "first", "n"), "firsts")
     release(spark)
     asked = first.join(units.select("key").distinct(), "key").select("first.*", "key")
-    asked = materialize(asked.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("line_no", "key")).alias("asked")), "line-asked")
+    asked = scratch.keep(asked.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("line_no", "key")).alias("asked")), "asked")
     texts = documents.join(asked.withColumnRenamed("doc_id", "__d"), "row_key").where(F.col("doc_id").eqNullSafe(F.col("__d")))
-    texts = texts.dropDuplicates(["doc_id", "row_key"]).select("text", "asked").mapInArrow(_texts, "key string, line string")
-    texts = materialize(texts, "line-texts")
+    texts = scratch.keep(texts.select("text", "asked").mapInArrow(trimmed(_texts), "key string, line string"), "texts")
     release(spark)
-    links = units.join(texts, "key").repartition(tasks(spark), "unit").mapInArrow(_verify, "u string, v string")
+    links = units.join(texts, "key").repartition(tasks(spark), "unit").mapInArrow(trimmed(_verify), "u string, v string")
     found = components(links, "line-links")
     tree = first.join(found.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    tree = tree.where((F.col("n") > 1) | F.col("root").isNotNull())
-    tree = materialize(tree, "line-trees")
-    best = materialize(tree.groupBy("root").agg(F.min("first").alias("best"), F.sum("n").alias("all")).where("all > 1"), "line-best")
-    stays = materialize(tree.join(best, "root").select("key", "best"), "line-stays")
+    tree = scratch.keep(tree, "trees")
+    best = scratch.keep(tree.groupBy("root").agg(F.min("first").alias("best"), F.sum("n").alias("all")).where("all > 1"), "best")
+    stays = scratch.keep(tree.join(best, "root").select("key", "best"), "stays")
     gone = lines.select("doc_id", "row_key", "line_no", key).join(stays, "key").where(~place.eqNullSafe(F.col("best")))
     gone = materialize(gone.groupBy("doc_id", "row_key").agg(F.sort_array(F.collect_set("line_no")).alias("removed")), "line-removals")
-    release(spark)
+    scratch.clear()
     return gone
 
 
