@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, trimmed
 
 MIN_REVISIT = 100
 FRAME_BYTES = 256_000
@@ -127,17 +127,13 @@ class BundleReader:
         return self.frame(frame)[offset : offset + length]
 
 
-def _bundle_id(index: list[tuple[int | None, int, int, int]], archive: bytes) -> str:
-    return hashlib.sha256(archive).hexdigest()[:32]
-
-
 def _bundles(bundle_bytes: int, frame_bytes: int):
     kind = pa.list_(pa.struct([("page_id", pa.int64()), ("frame", pa.int32()), ("offset", pa.int64()), ("length", pa.int64())]))
 
     def row(w: BundleWriter) -> pa.RecordBatch:
         archive = w.finish()
         index = [dict(zip(("page_id", "frame", "offset", "length"), x, strict=True)) for x in w.index]
-        return pa.RecordBatch.from_arrays([pa.array([_bundle_id(w.index, archive)]), pa.array([archive], pa.binary()), pa.array([index], kind)], ["bundle_id", "archive", "records"])
+        return pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(archive).hexdigest()[:32]]), pa.array([archive], pa.binary()), pa.array([index], kind)], ["bundle_id", "archive", "records"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = BundleWriter(frame_bytes)
@@ -171,7 +167,7 @@ def write_archives(pages: DataFrame, bundle_bytes: int = BUNDLE_BYTES, frame_byt
     repeated = materialize(repeated, "warc-repeated")
     rows = pages.select("page_id", "url", "html", F.sha2(payload, 256).alias("digest")).join(repeated, "digest", "left")
     rows = rows.select("page_id", "url", "html", "digest", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("refers_to"))
-    return materialize(rows.mapInArrow(_bundles(bundle_bytes, frame_bytes), BUNDLE), "warc-bundles")
+    return materialize(rows.mapInArrow(trimmed(_bundles(bundle_bytes, frame_bytes)), BUNDLE), "warc-bundles")
 
 
 def index(bundles: DataFrame) -> DataFrame:
@@ -202,7 +198,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_archives(bundles: DataFrame) -> DataFrame:
     """Every record of every bundle, read back through its index entry and held against its digest."""
-    return bundles.select("archive", "records").mapInArrow(_read, READ)
+    return bundles.select("archive", "records").mapInArrow(trimmed(_read), READ)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,8 @@ A filter of width w is a sum of look-ups: the vectors of a pair of bytes times t
 tabled for all 65,536 pairs, as 16-bit integers, so scoring needs no matrix product over the text and its memory is
 bounded by the slice of text at hand. The model has a fixed size.
 
-Training takes at most `max_docs` documents of each language (smallest hash of the id first), the documented bound of
-the sample, and some windows of each, from all over the text. A null text, or one without a letter, is `und` with score
+Training takes at most `max_docs` documents of each language (smallest hash of the id first) of at most MAX_TEXT bytes,
+the documented bound of the sample, and some windows of each, from all over the text. A null text, or one without a letter, is `und` with score
 0. A null lang is not learned from. With no rows to learn from every text is `und`. Repeated rows are predicted each.
 """
 
@@ -21,11 +21,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytesvec as bv
-from .common import text_slices
+from .common import slices, trimmed
 from .op1_quality import bucket
 
 WIDTHS = (2, 3, 4)
@@ -33,6 +34,7 @@ FILTERS = 8
 VECTOR = 8
 WINDOW = 256
 MAX_DOCS = 400
+MAX_TEXT = 50_000
 MAX_LANGS = 64
 WINDOWS_PER_DOC = 6
 STEPS = 500
@@ -40,7 +42,6 @@ BATCH = 64
 #: Byte that no UTF-8 text holds.
 PAD = 255
 UNDETERMINED = "und"
-SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -212,7 +213,7 @@ def predict(arr: pa.Array, net: Network | None) -> tuple[list[str], np.ndarray]:
 def fit(documents: DataFrame, max_docs: int = MAX_DOCS) -> Network | None:
     """Learn from documents with a lang whose checksum modulo 3 is not 1, max_docs of each of at most MAX_LANGS languages.
 
-    Ids are chosen before texts are read. The rank is taken over a sample of ids by hash, all of it when it is small.
+    Ids are chosen before texts are read; one text for each id.
     """
     known = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).where(bucket("doc_id", 3) != 1).select("doc_id", "lang")
     langs = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
@@ -222,33 +223,30 @@ def fit(documents: DataFrame, max_docs: int = MAX_DOCS) -> Network | None:
         chosen = part if chosen is None else chosen.unionAll(part)
     if chosen is None:
         return None
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen.distinct()), "doc_id").select("doc_id", "text", "lang").toArrow().to_pylist()
+    texts = documents.where(F.octet_length("text") <= MAX_TEXT).select("doc_id", "text").join(F.broadcast(chosen.distinct()), "doc_id")
+    rows = texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).toArrow().to_pylist()
     rows = sorted((r for r in rows if r["text"]), key=lambda r: (r["doc_id"], r["lang"], r["text"]))
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
-def run_model(documents: DataFrame, net: Network | None, keep: list[str] | None = None) -> DataFrame:
-    """Columns `keep` of the documents with lang_pred and score, in one pass without a shuffle."""
-    shared = documents.sparkSession.sparkContext.broadcast(net)
-    keep = keep or []
+def run_model(rows: DataFrame, net: Network | None) -> DataFrame:
+    """Rows with lang_pred and score, in one pass without a shuffle. rows: a struct d with a field text."""
+    shared = rows.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in text_slices(batch, "__text", 400_000):
-                part = batch.slice(a, b - a)
-                langs, score = predict(part.column("__text"), shared.value)
-                cols = [part.column(k) for k in range(part.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(langs, pa.string()), pa.array(score)], [*part.schema.names[:-1], "lang_pred", "score"])
+            texts = pc.struct_field(batch.column("d"), "text")
+            for a, b in slices(texts, 400_000):
+                langs, score = predict(texts.slice(a, b - a), shared.value)
+                yield pa.RecordBatch.from_arrays([batch.column("d").slice(a, b - a), pa.array(langs, pa.string()), pa.array(score)], ["d", "lang_pred", "score"])
 
-    rows = documents.select(*keep, F.col("text").alias("__text"))
-    schema = rows.drop("__text").schema.add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(run, schema)
+    return rows.select("d").mapInArrow(trimmed(run), rows.select("d").schema.add("lang_pred", "string").add("score", "double"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = documents.select(F.col("doc_id").cast("long"), (bucket("doc_id", 3) == 1).alias("held_out"), "text")
-    return run_model(rows, fit(documents), ["doc_id", "held_out"])
+    rows = documents.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), (bucket("doc_id", 3) == 1).alias("held_out"), "text").alias("d"))
+    return run_model(rows, fit(documents)).select("d.doc_id", "d.held_out", "lang_pred", "score")
 
 
 #: Documents whose language has at least this probability pass the filter.
@@ -257,6 +255,6 @@ LEAST_SCORE = 0.3
 
 def identified(documents: DataFrame, net: Network | None, least: float = LEAST_SCORE) -> DataFrame:
     """The documents, all columns as they were, whose language could be told."""
-    marked = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("d"), "text")
-    rows = run_model(marked, net, ["d"]).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
+    marked = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("d"))
+    rows = run_model(marked, net).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
     return rows.select("d.*")

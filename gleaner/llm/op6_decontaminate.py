@@ -23,11 +23,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import bytesvec as bv
-from .common import text_slices
+from .common import slices, trimmed
 
 WINDOW = 10
 BLOCK_BYTES = 16_000_000
@@ -181,16 +183,16 @@ def item_digest(ids: set[int]) -> str:
     return hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest()
 
 
-def _search(shared):
-    """Ranges of hit words, and items, of every document."""
+def _search(shared, path: list[str]):
+    """Ranges of hit words, and items, of every row; path: where the text is within the struct d."""
     ranges = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns = Patterns(shared.value)
         for batch in batches:
-            for a, b in text_slices(batch, "__text"):
-                part = batch.slice(a, b - a)
-                w = Words.of(part.column("__text"))
+            texts = pc.struct_field(batch.column("d"), path)
+            for a, b in slices(texts):
+                w = Words.of(texts.slice(a, b - a))
                 begin, end, items = patterns.occurrences(w)
                 hit = hit_words(len(w.hashes), begin, end)
                 doc = np.searchsorted(w.first, begin, side="right") - 1
@@ -201,8 +203,7 @@ def _search(shared):
                 starts, ends, first = bv.spans(hit, w.first)
                 for k in names:
                     runs[k] = [{"a": x, "b": y} for x, y in zip((starts[first[k] : first[k + 1]] - w.first[k]).tolist(), (ends[first[k] : first[k + 1]] - w.first[k]).tolist(), strict=True)]
-                cols = [part.column(k) for k in range(part.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.diff(w.first)), pa.array(runs, ranges), pa.array(ids, pa.list_(pa.int64()))], [*part.schema.names[:-1], "n_words", "ranges", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column("d").slice(a, b - a), pa.array(np.diff(w.first)), pa.array(runs, ranges), pa.array(ids, pa.list_(pa.int64()))], ["d", "n_words", "ranges", "items"])
 
     return run
 
@@ -219,11 +220,10 @@ def searched(documents: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("d"))
     found = None
     for block in blocks_of(benchmark, block_bytes):
-        carried = rows.select("d", F.col("d.text").alias("__text")) if found is None else found.select(F.struct("d", "ranges", "items").alias("d"), F.col("d.text").alias("__text"))
-        schema = carried.drop("__text").schema
-        for f in _schema(_FOUND):
-            schema = schema.add(f)
-        now = carried.mapInArrow(_search(spark.sparkContext.broadcast(block)), schema)
+        carried = rows if found is None else found.select(F.struct("d", "ranges", "items").alias("d"))
+        schema = StructType([*carried.schema.fields, *StructType.fromDDL(_FOUND).fields])
+        path = ["text"] if found is None else ["d", "text"]
+        now = carried.mapInArrow(trimmed(_search(spark.sparkContext.broadcast(block), path)), schema)
         if found is None:
             found = now
         else:
@@ -231,12 +231,6 @@ def searched(documents: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     return found
 
 
-def _schema(ddl: str):
-    from pyspark.sql.types import StructType
-
-    return StructType.fromDDL(ddl)
-
-
 def covered(ranges: F.Column) -> F.Column:
     """Words in the union of the ranges."""
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("upto"))

@@ -29,13 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytesvec as bv
-from .common import materialize, tasks, text_slices
+from .common import materialize, tasks, text_slices, trimmed
 
 LENGTH = 4096
 END = 2
 GROUP_PIECES = 2000
 #: Different runs whose ids a worker process keeps, about 60 bytes each.
-CACHE_RUNS = 1_500_000
+CACHE_RUNS = 500_000
 #: Fixed value: the token that stands between runs in what is tokenised at once, and its id.
 BETWEEN, BETWEEN_ID = "<|endoftext|>", 49407
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -162,7 +162,7 @@ def tokenised(documents: DataFrame, vocabulary: str, length: int = LENGTH) -> Da
                 got = pieces(part.column("doc_id").to_pylist(), *encoder.encode(part.column("text")), length)
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in got.values()], list(got))
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), PIECES)
 
 
 class Room:
@@ -239,7 +239,7 @@ def packed(facts: DataFrame, length: int = LENGTH, group_pieces: int = GROUP_PIE
     """Sequence and offset of every piece. `facts` is read twice: to count it, and to deal it."""
     groups = max(1, -(-facts.count() // group_pieces))
     dealt = facts.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
-    return dealt.repartition(tasks(facts.sparkSession), "grp").mapInArrow(_pack(length), PACKED)
+    return dealt.repartition(tasks(facts.sparkSession), "grp").mapInArrow(trimmed(_pack(length)), PACKED)
 
 
 def pack(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:

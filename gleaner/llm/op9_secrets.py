@@ -12,15 +12,15 @@ A null text counts as the empty one, which has no findings. Repeated rows each g
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, tasks
+from .common import shared_dir, tasks, trimmed
 
 #: The kinds in their order, with their patterns and the least length of the measured group.
 BASE_RULES = (
@@ -93,11 +93,11 @@ def scan(versions: DataFrame, ledger_path: str, version: str = RULE_VERSION) ->
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger_path)
     there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
     texts = versions.select(address(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.mapInArrow(_unique, "blob binary, text string").repartition(tasks(spark), "blob")
+    texts = texts.mapInArrow(trimmed(_unique), "blob binary, text string").repartition(tasks(spark), "blob")
     if there:
         done = spark.read.schema(_LEDGER).parquet(ledger_path).where(F.col("rule_version") == version).select("blob")
         texts = texts.join(done, "blob", "left_anti")
-    texts.mapInArrow(_scan(version), _LEDGER).write.mode("append").parquet(ledger_path)
+    texts.mapInArrow(trimmed(_scan(version)), _LEDGER).write.mode("append").parquet(ledger_path)
     return spark.read.schema(_LEDGER).parquet(ledger_path).where(F.col("rule_version") == version)
 
 
@@ -114,8 +114,6 @@ def findings(documents: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     ledger = scan(documents, f"{shared_dir(spark)}/secrets-{uuid.uuid4().hex}")
     rows = findings(documents, ledger)
