@@ -6,7 +6,7 @@ count divided by the square root of the sum of squares, so that length does not
 table of float weights of fixed size, so that its broadcast does not grow with the data.
 
 Training takes at most `max_docs` labelled documents (those with the smallest hash of their id, so the choice is
-spread evenly and repeats), the documented bound of the sample. Scoring is one pass without a shuffle.
+spread evenly and repeats) of at most MAX_TEXT bytes each, the documented bound of the sample. Scoring is one pass without a shuffle.
 
 Null and empty texts have no features and get the score of the bias alone. Rows with a repeated doc_id are scored
 each; a null doc_id counts as held out or not by the checksum of the empty string. With no labelled rows, or labels of
@@ -23,10 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytesvec as bv
-from .common import text_slices
+from .common import text_slices, trimmed
 
 BITS = 18
 MAX_DOCS = 6000
+MAX_TEXT = 50_000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.4, 1.0, 0.02, 0.1
 PREDICT_AT = 0.3
@@ -128,14 +129,17 @@ def bucket(column: str, modulus: int):
 
 
 def labelled(documents: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """At most max_docs training rows (doc_id, text, quality): not held out, the smallest hashes of the id first.
+    """At most max_docs training rows (doc_id, quality, text): not held out, the smallest hashes of the id first.
+
+    One text for each id, and none of more than MAX_TEXT bytes, so that the sample has a fixed bound in bytes too.
 
     The rows are chosen by id and label before any text is read; only then are the chosen texts looked up.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).where(bucket("doc_id", 5) != 0)
     known = known.groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = documents.where(F.octet_length("text") <= MAX_TEXT).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
 
 def fit(documents: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> tuple[np.ndarray, float]:
@@ -156,7 +160,7 @@ def score_documents(documents: DataFrame, model: tuple[np.ndarray, float]) -> Da
                 s = scores(part.column("text"), weights, bias)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(s), pa.array((s >= PREDICT_AT).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return documents.select(F.col("doc_id").cast("long"), (bucket("doc_id", 5) == 0).alias("held_out"), "text").mapInArrow(run, SCHEMA)
+    return documents.select(F.col("doc_id").cast("long"), (bucket("doc_id", 5) == 0).alias("held_out"), "text").mapInArrow(trimmed(run), SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
