@@ -34,13 +34,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytesvec as bv
-from .common import materialize, release, tasks, text_slices
+from .common import Scratch, materialize, release, tasks, text_slices, trimmed
 
 LENGTH = 100
 GRAM = 50
 LEFT = LENGTH - GRAM
-GROUP_CONTEXTS = 2000
-FLUSH_ANCHORS = 1_500_000
+GROUP_CONTEXTS = 1000
+FLUSH_ANCHORS = 300_000
 _FOUND = "doc_id long, twin int, spans binary, asks binary"
 _PLACE = np.dtype([("doc", "<i8"), ("twin", "<i4"), ("pos", "<i4"), ("right", "u1")])
 _SPAN = np.dtype([("doc", "<i8"), ("twin", "<i4"), ("start", "<i4"), ("end", "<i4")])
@@ -202,10 +202,11 @@ def _meet(group_contexts: int):
             return
         gram, context, place, spans = (np.concatenate(x) for x in zip(*got, strict=True))
         del got
-        order = np.argsort(gram, kind="stable")
-        same = gram[order][1:] == gram[order][:-1]
-        again = order[np.append(False, same) | np.append(same, False)]  # all other anchors do not repeat
-        gram, context, place = sorted_anchors(gram[again], context[again], place[again])
+        if len(gram):
+            order = np.argsort(gram, kind="stable")
+            same = gram[order][1:] == gram[order][:-1]
+            again = order[np.append(False, same) | np.append(same, False)]  # all other anchors do not repeat
+            gram, context, place = sorted_anchors(gram[again], context[again], place[again])
         if len(gram) == 0:
             yield from _by_document(spans, np.zeros(0, _ASK), np.zeros(0, _PLACE))
             return
@@ -305,9 +306,13 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     rows = pa.Table.from_batches(got).sort_by([(k, "ascending") for k in ("unit", "doc_id", "twin", "pos")])
     del got
-    unit = rows.column("unit").to_numpy()
+    numbers = [rows.column(k).to_numpy() for k in ("unit", "doc_id", "twin", "pos")]
+    new = np.append(True, np.any([x[1:] != x[:-1] for x in numbers], axis=0))  # repeated rows count once
+    if not new.all():
+        rows, numbers = rows.filter(pa.array(new)), [x[new] for x in numbers]
+    unit = numbers[0]
     place = np.empty(len(unit), _SPAN)
-    place["doc"], place["twin"] = rows.column("doc_id").to_numpy(), rows.column("twin").to_numpy()
+    place["doc"], place["twin"] = numbers[1], numbers[2]
     pos, cut = rows.column("pos").to_pylist(), rows.column("left").to_pylist()
     edges = np.append(np.flatnonzero(np.append(True, unit[1:] != unit[:-1])), len(unit)).tolist()
     who, start, end = [], [], []
@@ -322,10 +327,14 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = [x for x in found if x[0] + x[1] >= LENGTH]
         else:
             found = maximal_repeats(lefts, rights)
+        # A repeat inside of one found before adds nothing: intervals come children first, so for one member the bytes to
+        # the right only get fewer, and just those to the left need be compared.
+        reach: dict[int, int] = {}
         for left, right, members in found:
             first = min(members)  # members are numbered in the order of documents and places
             for m in members:
-                if m != first:
+                if m != first and left > reach.get(m, -1):
+                    reach[m] = left
                     who.append(a + m)
                     start.append(pos[a + m] - left)
                     end.append(pos[a + m] + right)
@@ -335,18 +344,20 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def covered(documents: DataFrame, group_contexts: int = GROUP_CONTEXTS) -> DataFrame:
-    """(doc_id, twin, spans): covered ranges of documents as packed pairs of ints, in any number of rows. documents: doc_id, twin, text."""
+    """(doc_id, twin, spans): covered ranges of a document, as an array of packed pairs of ints. documents: doc_id, twin, text."""
     spark = documents.sparkSession
-    n = tasks(spark)
-    sent = documents.mapInArrow(_send(n), "bucket int, blob binary").repartitionById(n, F.col("bucket"))
-    met = materialize(sent.mapInArrow(_meet(group_contexts), _FOUND), "repeat-anchors")
+    scratch, n = Scratch(spark, "repeats"), tasks(spark)
+    sent = documents.mapInArrow(trimmed(_send(n)), "bucket int, blob binary").repartitionById(n, F.col("bucket"))
+    met = scratch.keep(sent.mapInArrow(trimmed(_meet(group_contexts)), _FOUND), "anchors")
     release(spark)
     asked = met.where("octet_length(asks) > 0").groupBy("doc_id", "twin").agg(F.collect_list("asks").alias("asks"))
-    texts = documents.join(asked, ["doc_id", "twin"]).dropDuplicates(["doc_id", "twin"])
-    contexts = texts.mapInArrow(_contexts, "unit long, doc_id long, twin int, pos int, left int, context binary")
-    more = materialize(contexts.repartition(n, "unit").mapInArrow(_repeats, _FOUND), "repeat-contexts")
+    contexts = documents.join(asked, ["doc_id", "twin"]).mapInArrow(trimmed(_contexts), "unit long, doc_id long, twin int, pos int, left int, context binary")
+    more = scratch.keep(contexts.repartition(n, "unit").mapInArrow(trimmed(_repeats), _FOUND), "contexts")
     release(spark)
-    return met.where("octet_length(spans) > 0").select("doc_id", "twin", "spans").unionAll(more.select("doc_id", "twin", "spans"))
+    spans = met.where("octet_length(spans) > 0").select("doc_id", "twin", "spans").unionAll(more.select("doc_id", "twin", "spans"))
+    spans = materialize(spans.groupBy("doc_id", "twin").agg(F.collect_list("spans").alias("spans")), "repeat-spans")
+    scratch.clear()
+    return spans
 
 
 def ranges(blobs: list[bytes], n: int) -> tuple[list[int], list[int]]:
@@ -379,9 +390,8 @@ NO_ID = -(1 << 63)
 def without_repeats(documents: DataFrame, group_contexts: int = GROUP_CONTEXTS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): of every document the bytes that stay."""
     rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.hash("text").alias("twin"), F.coalesce("text", F.lit("")).alias("text"))
-    spans = covered(rows, group_contexts).groupBy("doc_id", "twin").agg(F.collect_list("spans").alias("spans"))
-    cut = rows.join(materialize(spans, "repeat-spans"), ["doc_id", "twin"], "left").select("doc_id", "text", "spans")
-    cut = cut.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    cut = rows.join(covered(rows, group_contexts), ["doc_id", "twin"], "left").select("doc_id", "text", "spans")
+    cut = cut.mapInArrow(trimmed(_cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return cut.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
