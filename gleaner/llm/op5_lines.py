@@ -33,6 +33,8 @@ SHINGLE = 7
 THRESHOLD = 0.8
 BANDS, ROWS = 10, 4
 GROUP_LINES = 500
+#: Lines that are compared in bulk at a time.
+CHUNK = 4000
 _LINES = "doc_id long, row_key long, line_no int, k1 long, k2 long, bands array<long>"
 
 
@@ -112,8 +114,15 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not got:
         return
     unit, k1, k2 = (np.concatenate(x) for x in zip(*got, strict=True))
-    order = np.lexsort((k2, k1, unit))
+    if len(unit) == 0:
+        return
+    order = np.argsort(unit)
+    same = unit[order][1:] == unit[order][:-1]
+    order = order[np.append(False, same) | np.append(same, False)]  # all others are alone
+    order = order[np.lexsort((k2[order], k1[order], unit[order]))]
     unit, k1, k2 = unit[order], k1[order], k2[order]
+    if len(unit) == 0:
+        return
     new = np.append(True, (unit[1:] != unit[:-1]) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]))
     unit, k1, k2 = unit[new], k1[new], k2[new]
     head = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
@@ -156,7 +165,10 @@ def unit_links(lines: list[str], threshold: float = THRESHOLD) -> list[tuple[int
 
 
 def first_similarity(lines: pa.Array, unit: np.ndarray) -> np.ndarray:
-    """Similarity of each line to the first one of its unit, from 64-bit hashes of shingles. unit: numbers that ascend from 0 by one."""
+    """Similarity of each line to the first one of its unit, from 52-bit hashes of shingles.
+
+    unit: numbers that ascend from 0 by one; at most CHUNK lines.
+    """
     data, offs = bv.buffers(lines)
     data = bv.LOWER[data]
     begin = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
@@ -165,18 +177,18 @@ def first_similarity(lines: pa.Array, unit: np.ndarray) -> np.ndarray:
     line = np.repeat(np.arange(len(n)), n)
     char = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n) + lo[line]
     h = bv.Prefix(data).of(begin[char], begin[np.minimum(char + SHINGLE, hi[line])])
-    # a key for each line and shingle, of which equal ones are one; then a key for each unit and shingle
-    own = h ^ bv.mix(line.astype(np.uint64) + np.uint64(1))
-    order = np.argsort(own)
-    own = own[order]
-    order = order[np.append(True, own[1:] != own[:-1])]
-    line, h = line[order], h[order]
+    # a key for each line and shingle; sorted, equal ones are one
+    low = np.uint64(52)
+    own = np.sort((line.astype(np.uint64) << low) | (h >> np.uint64(12)))
+    own = own[np.append(True, own[1:] != own[:-1])]
+    line = (own >> low).astype(np.int64)
     size = np.bincount(line, minlength=len(n))
+    # the same for each unit and shingle; those of the first lines are in order already
     leads = np.append(True, unit[1:] != unit[:-1])
-    h ^= bv.mix(unit[line].astype(np.uint64) + np.uint64(7))
-    lead = np.sort(h[leads[line]])
-    at = np.minimum(np.searchsorted(lead, h), len(lead) - 1)
-    both = np.bincount(line, lead[at] == h, len(n))
+    own = (own & np.uint64((1 << 52) - 1)) | (unit[line].astype(np.uint64) << low)
+    lead = own[leads[line]]
+    at = np.minimum(np.searchsorted(lead, own), len(lead) - 1)
+    both = np.bincount(line, lead[at] == own, len(n))
     first = np.maximum.accumulate(np.where(leads, np.arange(len(n)), 0))
     return both / (size + size[first] - both)
 
@@ -196,11 +208,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     lo = 0
     while lo < len(edges) - 1:
         hi = lo
-        while hi < len(edges) - 1 and (hi == lo or edges[hi + 1] - edges[lo] <= 4000):
+        while hi < len(edges) - 1 and (hi == lo or edges[hi + 1] - edges[lo] <= CHUNK):
             hi += 1
         a, b = edges[lo], edges[hi]
         part = lines.slice(a, b - a)
-        like = first_similarity(part, number[a:b] - number[a])
+        like = first_similarity(part, number[a:b] - number[a]) if b - a <= CHUNK else np.full(b - a, THRESHOLD)
         keys = rows.column("key").slice(a, b - a).to_pylist()
         u, v = [], []
         for k in range(lo, hi):
@@ -291,7 +303,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_lines, n_removed, removed, kept_sha256): lines, removed ones and their places joined by commas, and the text left."""
     rows = marked(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     text = F.coalesce("text", F.lit(""))
-    n_lines = F.size(F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, " \t\n\x0b\f\r", "")) > 0)).cast("long")
+    n_lines = F.size(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^ \t\n\x0B\f\r]"))).cast("long")
     return rows.select(
         "doc_id", n_lines.alias("n_lines"), F.size("__removed").cast("long").alias("n_removed"),
         F.array_join(F.col("__removed").cast("array<string>"), ",").alias("removed"),
