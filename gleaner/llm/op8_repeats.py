@@ -8,6 +8,7 @@ A suffix array of the whole corpus would sort every byte's suffix. Here only the
 occurrences of a repeat are found, and anything that repeats comes with its anchor and at most LEFT bytes before and
 LENGTH bytes after it: the context.
 
+0. Whole texts that an earlier document has too go as they are, by their SHA-256; only the first of each is looked into.
 1. One pass finds the anchors (about 4 in 100 bytes) and sends the hashes of anchor and context by the anchor's hash.
    Copies of one context within a task are settled there: all but the first are covered, and only the first is sent.
 2. Where anchors meet: of equal contexts all but the first are covered. Anchors with one context only are done. Of
@@ -343,10 +344,25 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _by_document(spans, np.zeros(0, _ASK), np.zeros(0, _PLACE))
 
 
+def copies(scratch: Scratch, documents: DataFrame) -> DataFrame:
+    """(doc_id, twin) of the documents of LENGTH bytes and more whose whole text an earlier one has.
+
+    Only digests are shuffled; those that occur twice are a table, so that copies of one text are a hot key of a join of
+    two plain shuffles.
+    """
+    facts = documents.where(F.octet_length("text") >= LENGTH).select("doc_id", "twin", F.unhex(F.sha2("text", 256)).alias("digest"))
+    facts = scratch.keep(facts, "digests")
+    first = facts.groupBy("digest").agg(F.min(F.struct("doc_id", "twin")).alias("first"), F.count(F.lit(1)).alias("n"))
+    first = scratch.keep(first.where("n > 1").select("digest", "first"), "first")
+    return scratch.keep(facts.join(first, "digest").where(F.struct("doc_id", "twin") != F.col("first")).select("doc_id", "twin").distinct(), "copies")
+
+
 def covered(documents: DataFrame, group_contexts: int = GROUP_CONTEXTS) -> DataFrame:
-    """(doc_id, twin, spans): covered ranges of a document, as an array of packed pairs of ints. documents: doc_id, twin, text."""
+    """(doc_id, twin, spans, whole): covered ranges of a document, as an array of packed pairs of ints, or all of it. documents: doc_id, twin, text."""
     spark = documents.sparkSession
     scratch, n = Scratch(spark, "repeats"), tasks(spark)
+    gone = copies(scratch, documents)
+    documents = documents.join(gone, ["doc_id", "twin"], "left_anti")
     sent = documents.mapInArrow(trimmed(_send(n)), "bucket int, blob binary").repartitionById(n, F.col("bucket"))
     met = scratch.keep(sent.mapInArrow(trimmed(_meet(group_contexts)), _FOUND), "anchors")
     release(spark)
@@ -355,14 +371,15 @@ def covered(documents: DataFrame, group_contexts: int = GROUP_CONTEXTS) -> DataF
     more = scratch.keep(contexts.repartition(n, "unit").mapInArrow(trimmed(_repeats), _FOUND), "contexts")
     release(spark)
     spans = met.where("octet_length(spans) > 0").select("doc_id", "twin", "spans").unionAll(more.select("doc_id", "twin", "spans"))
-    spans = materialize(spans.groupBy("doc_id", "twin").agg(F.collect_list("spans").alias("spans")), "repeat-spans")
+    spans = spans.groupBy("doc_id", "twin").agg(F.collect_list("spans").alias("spans")).withColumn("whole", F.lit(False))
+    spans = materialize(spans.unionAll(gone.select("doc_id", "twin", F.array().cast("array<binary>"), F.lit(True))), "repeat-spans")
     scratch.clear()
     return spans
 
 
 def ranges(blobs: list[bytes], n: int) -> tuple[list[int], list[int]]:
     """Starts and ends of the united ranges within n bytes."""
-    pairs = np.concatenate([np.frombuffer(b, "<i4").reshape(-1, 2) for b in blobs]) if blobs else np.zeros((0, 2), np.int32)
+    pairs = np.concatenate([np.frombuffer(b, "<i4").reshape(-1, 2) for b in blobs])
     edges = np.zeros(n + 2, np.int32)
     np.add.at(edges, np.minimum(pairs[:, 0], n), 1)
     np.add.at(edges, np.minimum(pairs[:, 1], n), -1)
@@ -374,9 +391,9 @@ def ranges(blobs: list[bytes], n: int) -> tuple[list[int], list[int]]:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
-        for text, blobs in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+        for text, blobs, whole in zip(*(batch.column(k).to_pylist() for k in ("text", "spans", "whole")), strict=True):
             raw = text.encode()
-            starts, ends = ranges(blobs or [], len(raw)) if blobs else ([], [])
+            starts, ends = ([0], [len(raw)]) if whole else ranges(blobs, len(raw)) if blobs else ([], [])
             kept = b"".join(raw[a:b] for a, b in zip([0, *ends], [*starts, len(raw)], strict=True))
             for k, v in zip(out, (len(raw), len(raw) - len(kept), len(starts), kept), strict=True):
                 out[k].append(v)
@@ -390,7 +407,7 @@ NO_ID = -(1 << 63)
 def without_repeats(documents: DataFrame, group_contexts: int = GROUP_CONTEXTS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): of every document the bytes that stay."""
     rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.hash("text").alias("twin"), F.coalesce("text", F.lit("")).alias("text"))
-    cut = rows.join(covered(rows, group_contexts), ["doc_id", "twin"], "left").select("doc_id", "text", "spans")
+    cut = rows.join(covered(rows, group_contexts), ["doc_id", "twin"], "left").select("doc_id", "text", "spans", "whole")
     cut = cut.mapInArrow(trimmed(_cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return cut.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
