@@ -106,8 +106,12 @@ def covered_by_context(place: np.ndarray) -> np.ndarray:
 
 
 def sorted_anchors(gram: np.ndarray, context: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """In the order of gram, context and place; equal ones, which repeated rows send, count once."""
     order = np.lexsort((place["pos"], place["twin"], place["doc"], context, gram))
-    return gram[order], context[order], place[order]
+    gram, context, place = gram[order], context[order], place[order]
+    new = np.ones(len(gram), bool)
+    new[1:] = np.any([x[1:] != x[:-1] for x in (gram, context, place["doc"], place["twin"], place["pos"])], axis=0)
+    return (gram, context, place) if new.all() else (gram[new], context[new], place[new])
 
 
 def _pack(gram: np.ndarray, context: np.ndarray, place: np.ndarray, spans: np.ndarray) -> bytes:

@@ -203,6 +203,19 @@ def test_repeats_odd_rows(spark, odd, tables):
     assert q8.query(spark, tables(documents=odd.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_repeated_rows_count_as_one_document(spark, parts):
+    rng = random.Random(11)
+    para = lambda n: " ".join("".join(rng.choice("abcde") for _ in range(rng.randint(1, 8))) for _ in range(n))
+    shared = para(40)
+    docs = [(d, para(60)) for d in range(6)] + [(10, para(30) + shared), (11, para(30) + shared), (12, "ab" * 300)]
+    rows = [docs[k] for k in (0, 3, 6, 7, 7, 8)] + docs
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    got = [tuple(r) for r in q8.without_repeats(df).selectExpr("doc_id", "n_bytes", "n_removed", "n_spans", "sha2(kept, 256)").collect()]
+    want = plain_repeats(docs)
+    assert sorted(got) == sorted((d, *want[d]) for d, _ in rows) and want[0][1] == 0 and want[11][1] > 0
+
+
 # simhash
 
 
