@@ -73,7 +73,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for a, b in text_slices(batch, "text", 1_000_000):
             part = batch.slice(a, b - a)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fingerprints(part.column("text")).view(np.int64))], ["doc_id", "fp"])
+            rest = [k for k in part.schema.names if k != "text"]
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in rest), pa.array(fingerprints(part.column("text")).view(np.int64))], [*rest, "fp"])
 
 
 def shards(fps: np.ndarray) -> np.ndarray:
@@ -185,19 +186,24 @@ def links(scratch: Scratch, nodes: DataFrame, shard_nodes: int = SHARD_NODES) ->
     return units.repartition(tasks(nodes.sparkSession), "unit").mapInArrow(trimmed(_search), "u long, v long")
 
 
+def rooted(scratch: Scratch, rows: DataFrame, least: F.Column) -> DataFrame:
+    """(fp, least, root) of every fingerprint: the minimum of `least` over its rows; root is null where nothing is linked."""
+    nodes = scratch.keep(rows.groupBy("fp").agg(F.min(least).alias("least")), "nodes")
+    found = components(links(scratch, nodes), "simhash-links")
+    # of signed numbers the root is any node of its component, the smallest doc_id is found by the caller
+    linked = nodes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    roots = found.select(F.col("root").alias("fp")).distinct().withColumn("is_root", F.lit(True))
+    return scratch.keep(linked.join(roots, "fp", "left").select("fp", "least", F.when(F.col("is_root"), F.col("fp")).otherwise(F.col("root")).alias("root")), "rooted")
+
+
 def grouped(documents: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) of every document."""
     scratch = Scratch(documents.sparkSession, "simhash")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = materialize(rows.mapInArrow(trimmed(_fingerprints), "doc_id long, fp long"), "simhash-fp")
-    nodes = scratch.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    found = components(links(scratch, nodes), "simhash-links")
-    # of signed numbers the root is any node of its component, the smallest doc_id is found here
-    rooted = nodes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left")
-    roots = found.select(F.col("root").alias("fp")).distinct().withColumn("is_root", F.lit(True))
-    rooted = scratch.keep(rooted.join(roots, "fp", "left").select("fp", "least", F.when(F.col("is_root"), F.col("fp")).otherwise(F.col("root")).alias("root")), "rooted")
-    ids = scratch.keep(rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("component_id")), "ids")
-    named = rooted.join(ids, "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    tree = rooted(scratch, rows, F.col("doc_id"))
+    ids = scratch.keep(tree.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("component_id")), "ids")
+    named = tree.join(ids, "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     named = materialize(named, "simhash-named")
     scratch.clear()
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
@@ -209,12 +215,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
-    """The documents, all columns as they were, without those of a group that is not the one with its smallest doc_id.
+    """The documents, all columns as they were: of each component one row, that with the smallest doc_id.
 
-    Of rows that share a doc_id one stays. Rows without a doc_id stay, one for each different text.
+    Rows are told apart by doc_id and text, so different texts with one doc_id stay if their components differ. Of one
+    doc_id in a component the smallest digest of doc_id and text stays; a row without a doc_id stays only if no row of its
+    component has one.
     """
-    drop = grouped(documents).where("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct()
-    drop = materialize(drop, "simhash-drop")
-    rows = documents.withColumn("__id", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5("text"))))
-    kept = rows.join(drop.select(F.col("__drop").cast("string").alias("__id")), "__id", "left_anti")
-    return kept.dropDuplicates(["__id"]).drop("__id")
+    scratch = Scratch(documents.sparkSession, "simhash")
+    number = F.col("doc_id").cast("long")
+    row = F.unhex(F.md5(F.concat(F.coalesce(number.cast("string"), F.lit("")), F.when(F.col("text").isNull(), ".").otherwise(":"), F.coalesce("text", F.lit("")))))
+    rows = documents.select(number.alias("doc_id"), row.alias("row"), "text").mapInArrow(trimmed(_fingerprints), "doc_id long, row binary, fp long")
+    tree = rooted(scratch, scratch.keep(rows, "fp"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    stays = tree.groupBy(F.coalesce("root", "fp")).agg(F.min("least").alias("least")).select(F.col("least.row").alias("__row"))
+    stays = materialize(stays, "simhash-stays")
+    scratch.clear()
+    return documents.withColumn("__row", row).join(stays, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")

@@ -283,3 +283,16 @@ def test_simhash(spark, odd, tables):
     kept = q10.deduplicated(odd)
     assert kept.columns == odd.columns
     assert sorted(r.doc_id or 0 for r in kept.collect()).count(1) == 1 and 6 not in [r.doc_id for r in kept.collect()]
+
+
+def test_simhash_one_row_of_each_component(spark):
+    rng = random.Random(12)
+    a, b, c = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(400)) for _ in range(3))
+    near = lambda t, k: (t + f" x{k}").replace("w", "W", k)
+    docs = [(5, a), (5, b), (5, b), (3, near(b, 1)), (None, c), (None, near(c, 1)), (None, near(c, 2)), (None, near(a, 1)), (7, None), (None, "")]
+    fps = np.array([plain_fingerprint(t) for _, t in docs], np.uint64)
+    label = plain_groups(fps).tolist()
+    assert len(set(label)) == 4 and label[1] == label[3] and label[4] == label[5] == label[6] and label[0] == label[7]
+    df = spark.createDataFrame([(*r, k) for r, k in zip(docs, label)], "doc_id long, text string, label int").repartition(3)
+    got = sorted(((r.label, r.doc_id) for r in q10.deduplicated(df).collect()), key=str)
+    assert got == sorted([(label[0], 5), (label[3], 3), (label[4], None), (label[8], 7)], key=str)
