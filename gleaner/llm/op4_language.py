@@ -8,8 +8,8 @@ A filter of width w is a sum of look-ups: the vectors of a pair of bytes times t
 tabled for all 65,536 pairs, as 16-bit integers, so scoring needs no matrix product over the text and its memory is
 bounded by the slice of text at hand. The model has a fixed size.
 
-Training takes at most `max_docs` documents of each language (smallest hash of the id first) of at most MAX_TEXT bytes,
-the documented bound of the sample, and some windows of each, from all over the text. A null text, or one without a letter, is `und` with score
+Training takes at most `max_docs` documents of each language (smallest hash of the id first of those with 1 to MAX_TEXT bytes),
+the documented bound of the sample; languages are not bounded. It takes some windows of each, from all over the text. A null text, or one without a letter, is `und` with score
 0. A null lang is not learned from. With no rows to learn from every text is `und`. Repeated rows are predicted each.
 """
 
@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bytesvec as bv
@@ -35,7 +35,6 @@ VECTOR = 8
 WINDOW = 256
 MAX_DOCS = 400
 MAX_TEXT = 50_000
-MAX_LANGS = 64
 WINDOWS_PER_DOC = 6
 STEPS = 500
 BATCH = 64
@@ -144,9 +143,12 @@ def train(texts: list[str], langs: list[str], steps: int = STEPS, seed: int = 7)
         if nth[row[i]] < WINDOWS_PER_DOC and ends[i] > starts[i]:
             nth[row[i]] += 1
             keep.append(i)
-    label = np.array([names.index(x) for x in langs], np.int64)
-    by_lang = [np.array([i for i in keep if label[row[i]] == k]) for k in range(len(names))]
-    by_lang = [(k, x) for k, x in enumerate(by_lang) if len(x)]
+    number = {x: k for k, x in enumerate(names)}
+    label = np.array([number[x] for x in langs], np.int64)
+    keep = np.array(keep, np.int64)
+    of = label[row[keep]]
+    keep, of = keep[np.argsort(of, kind="stable")], np.sort(of)
+    by_lang = [(k, x) for k, x in enumerate(np.split(keep, np.searchsorted(of, np.arange(1, len(names))))) if len(x)]
     params = {"E": rng.normal(0, 0.3, (257, VECTOR))}  # row 256: outside the window
     for w in WIDTHS:
         params[f"F{w}"] = rng.normal(0, 1 / np.sqrt(w * VECTOR), (w, VECTOR, FILTERS))
@@ -211,21 +213,17 @@ def predict(arr: pa.Array, net: Network | None) -> tuple[list[str], np.ndarray]:
 
 
 def fit(documents: DataFrame, max_docs: int = MAX_DOCS) -> Network | None:
-    """Learn from documents with a lang whose checksum modulo 3 is not 1, max_docs of each of at most MAX_LANGS languages.
+    """Learn from documents with a lang whose checksum modulo 3 is not 1, max_docs of each language, whatever their number.
 
-    Ids are chosen before texts are read; one text for each id.
+    Ids are chosen, by the lengths of their texts, before any text is moved; one text for each id.
     """
-    known = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).where(bucket("doc_id", 3) != 1).select("doc_id", "lang")
-    langs = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
-    chosen = None
-    for lang in langs:
-        part = known.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-        chosen = part if chosen is None else chosen.unionAll(part)
-    if chosen is None:
-        return None
-    texts = documents.where(F.octet_length("text") <= MAX_TEXT).select("doc_id", "text").join(F.broadcast(chosen.distinct()), "doc_id")
+    usable = F.octet_length("text").between(1, MAX_TEXT)
+    known = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & usable).where(bucket("doc_id", 3) != 1).select("doc_id", "lang").distinct()
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = known.withColumn("__nth", nth).where(F.col("__nth") <= max_docs).drop("__nth")
+    texts = documents.where(usable).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     rows = texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).toArrow().to_pylist()
-    rows = sorted((r for r in rows if r["text"]), key=lambda r: (r["doc_id"], r["lang"], r["text"]))
+    rows = sorted(rows, key=lambda r: (r["doc_id"], r["lang"], r["text"]))
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
 

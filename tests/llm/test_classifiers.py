@@ -94,3 +94,10 @@ def test_language_odd_rows(spark, odd, tables):
     assert q4.query(spark, tables(documents=odd.limit(0))).count() == 0
     kept = q4.identified(odd, q4.fit(odd))
     assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 1, 5, 6, 7, 9]
+
+
+def test_language_learns_every_language(spark):
+    rows = [(k, f"word{k % 70} text{k % 70}", f"l{k % 70:02}") for k in range(700)]
+    rows += [(1000 + k, "lang text " * 6000, "long") for k in range(40)] + [(2000 + k, "short one", "long") for k in range(5)]
+    net = q4.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 2)
+    assert net.langs == sorted({lang for *_, lang in rows})
