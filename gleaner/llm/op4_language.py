@@ -247,12 +247,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_model(rows, fit(documents)).select("d.doc_id", "d.held_out", "lang_pred", "score")
 
 
-#: Documents whose language has at least this probability pass the filter.
-LEAST_SCORE = 0.3
+#: How far a score must rise above chance, 1 / k of k languages, as a share of the way to 1: with four languages 0.3.
+LEAST_GAIN = 1 / 15
 
 
-def identified(documents: DataFrame, net: Network | None, least: float = LEAST_SCORE) -> DataFrame:
-    """The documents, all columns as they were, whose language could be told."""
+def least_score(net: Network | None) -> float:
+    """The score that a document must have to pass the filter; a single language needs none."""
+    k = len(net.langs) if net else 1
+    return 1 / k + LEAST_GAIN * (1 - 1 / k) if k > 1 else 0.0
+
+
+def identified(documents: DataFrame, net: Network | None, least: float | None = None) -> DataFrame:
+    """The documents, all columns as they were, whose language could be told: with at least the score `least`, by default least_score."""
+    least = least_score(net) if least is None else least
     marked = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("d"))
     rows = run_model(marked, net).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
     return rows.select("d.*")

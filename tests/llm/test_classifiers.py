@@ -101,3 +101,16 @@ def test_language_learns_every_language(spark):
     rows += [(1000 + k, "lang text " * 6000, "long") for k in range(40)] + [(2000 + k, "short one", "long") for k in range(5)]
     net = q4.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 2)
     assert net.langs == sorted({lang for *_, lang in rows})
+
+
+def test_least_score_follows_the_number_of_languages(spark):
+    df = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
+
+    def kept(*p):
+        params = {"E": np.zeros((257, q4.VECTOR)), "O": np.zeros((q4.FILTERS * len(q4.WIDTHS), len(p))), "o": np.log(np.array(p))}
+        for w in q4.WIDTHS:
+            params[f"F{w}"], params[f"b{w}"] = np.zeros((w, q4.VECTOR, q4.FILTERS)), np.zeros(q4.FILTERS)
+        return q4.identified(df, q4.network([f"l{k}" for k in range(len(p))], params)).count()
+
+    assert kept(0.51, 0.49) == 0 and kept(0.6, 0.4) == 1 and kept(1.0) == 1
+    assert kept(0.29, 0.24, 0.24, 0.23) == 0 and kept(0.31, 0.23, 0.23, 0.23) == 1 and kept(0.28, *[0.06] * 12) == 1
