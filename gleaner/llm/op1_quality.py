@@ -133,12 +133,13 @@ def labelled(documents: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS)
 
     One text for each id, and none of more than MAX_TEXT bytes, so that the sample has a fixed bound in bytes too.
 
-    The rows are chosen by id and label before any text is read; only then are the chosen texts looked up.
+    The rows are chosen by id, label and length of the text before any text is moved; only then are the chosen texts looked up.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).where(bucket("doc_id", 5) != 0)
     known = known.groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("quality"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    texts = documents.where(F.octet_length("text") <= MAX_TEXT).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    usable = documents.where(F.octet_length("text") <= MAX_TEXT)
+    chosen = known.join(usable.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
+    texts = usable.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     return texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
 

@@ -114,3 +114,9 @@ def test_least_score_follows_the_number_of_languages(spark):
 
     assert kept(0.51, 0.49) == 0 and kept(0.6, 0.4) == 1 and kept(1.0) == 1
     assert kept(0.29, 0.24, 0.24, 0.23) == 0 and kept(0.31, 0.23, 0.23, 0.23) == 1 and kept(0.28, *[0.06] * 12) == 1
+
+
+def test_quality_sample_is_of_usable_rows(spark):
+    docs = spark.createDataFrame([(k, None if k % 2 else "x" * 60_000) for k in range(200)] + [(1000 + k, "good text") for k in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1) for k in [*range(200), *range(500, 700), *range(1000, 1020)]], "doc_id long, quality int")
+    assert q1.labelled(docs, labels, 5).count() == 5
