@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -103,6 +104,28 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) ->
     return slices(batch.column(column), limit)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], column: str, rows: int) -> Iterator[pa.Table]:
+    """Tables of about `rows` rows, or of one group if it has more. Rows come sorted by `column`, whose values name the groups; none is cut."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            part = batch.slice(lo, rows)
+            name = part.column(column).to_numpy(zero_copy_only=False)
+            border = int(np.searchsorted(name, name[-1])) if name[0] != name[-1] else 0
+            if held and (border or held[-1].column(column)[-1].as_py() != name[0]):
+                held += [part.slice(0, border)] if border else []
+                n += border
+                part = part.slice(border)
+                if n >= rows:
+                    yield pa.Table.from_batches(held)
+                    held, n = [], 0
+            held.append(part)
+            n += part.num_rows
+    if n:
+        yield pa.Table.from_batches(held)
+
+
 #: One in so many members is counted to estimate the sizes of groups.
 COUNTED = 16
 

@@ -13,7 +13,7 @@ def odd(spark):
     long = "word " * 3000
     rows = [(1, "The one text of some words that is here, and nothing else at all. " * 3), (1, "The one text of some words that is here, and nothing else at all. " * 3), (2, None), (3, ""), (None, "no id here at all"), (None, None), (4, " \n\t\n "), (5, long), (6, long), (7, "Ünïcödé 日本 ñ"), (8, "12 ... 34"), (9, "a\nb\na\n\nb")]
     df = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    for c in ("unit", "score", "failed", "count", "spans", "removed", "ranges", "fp", "root", "d", "key", "band"):
+    for c in ("unit", "score", "failed", "count", "spans", "removed", "ranges", "fp", "root", "d", "key", "band", "__row", "__removed", "__id", "row_key", "place", "id", "bucket", "Removed", "a.b"):
         df = df.withColumn(c, F.lit("x"))
     return df
 

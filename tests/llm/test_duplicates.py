@@ -55,10 +55,15 @@ def test_forest():
 # lines
 
 
+def plain_shingles(line):
+    line = re.sub("[A-Z]", lambda m: m[0].lower(), line)
+    return frozenset(line[i : i + 7] for i in range(max(1, len(line) - 6)))
+
+
 def plain_lines(docs):
-    """Places of the lines that go, by document."""
+    """Lines that go, by document: (place, doc_id and place of the first line of the component)."""
     lines = [(d, i, x) for d, t in sorted(docs) for i, x in enumerate((t or "").split("\n")) if x.strip(" \t\x0b\f\r")]
-    sets = [q5.shingles(x) for *_, x in lines]
+    sets = [plain_shingles(x) for *_, x in lines]
     union, seen = Union(), {}
     for n, s in enumerate(sets):
         union.root(n)
@@ -67,13 +72,13 @@ def plain_lines(docs):
             continue
         seen.setdefault(s, n)
         for m in range(n):
-            if min(len(s), len(sets[m])) >= 0.8 * max(len(s), len(sets[m])) and len(s & sets[m]) >= 0.8 * len(s | sets[m]):
+            if 5 * len(s & sets[m]) >= 4 * len(s | sets[m]):
                 union.link(m, n)
     gone = defaultdict(list)
     for n, (d, i, _) in enumerate(lines):
         if union.root(n) != n:
-            gone[d].append(i)
-    return {d: ",".join(map(str, gone[d])) for d, _ in docs}
+            gone[d].append((i, *lines[union.root(n)][:2]))
+    return {d: gone[d] for d, _ in docs}
 
 
 def noisy(rng, line):
@@ -95,15 +100,15 @@ def test_lines_equal_brute_force(spark, tables, limit):
             ls.append(noisy(rng, x) if len(x) > 60 and rng.random() < 0.5 else x.upper() if rng.random() < 0.2 else x)
         docs.append((d, "\n".join(ls)))
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    rows = {r.doc_id: r for r in q5.marked(df, limit).collect()}
     want = plain_lines(docs)
-    assert {d: ",".join(map(str, r["__removed"])) for d, r in rows.items()} == want
+    assert {r.d.doc_id: [tuple(x) for x in r.removed] for r in q5.marked(df, limit).collect()} == want
     if limit == 500:
         got = {r.doc_id: r for r in q5.query(spark, tables(documents=df)).collect()}
         for d, t in docs:
-            gone = [int(x) for x in want[d].split(",") if x]
+            gone = [i for i, *_ in want[d]]
             kept = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
-            assert got[d].removed == want[d] and got[d].n_removed == len(gone) and got[d].kept_sha256 == hashlib.sha256(kept.encode()).hexdigest()
+            assert got[d].first_lines == ",".join(f"{a}:{b}" for _, a, b in want[d])
+            assert got[d].removed == ",".join(map(str, gone)) and got[d].n_removed == len(gone) and got[d].kept_sha256 == hashlib.sha256(kept.encode()).hexdigest()
 
 
 def test_lines_odd_rows(spark, odd, tables):
