@@ -10,18 +10,19 @@ Only facts about pieces are shuffled and stored, no texts and no ids. Dealing an
 task that runs again gives the same sequences.
 
 White space never becomes an id and no id spans it, nor an ASCII letter and the punctuation after it, and case does not
-matter. So ids are taken for each different run between such places once, kept for the following texts of a worker
-within a fixed bound, and put together with numpy. Runs are told apart by two 64-bit hashes; should they ever disagree,
-the texts at hand are tokenised whole.
+matter. So texts are cut into runs at such places; the ids of each different run are taken once, kept by its bytes
+for the following texts of a worker within a fixed bound, and put together with numpy.
 
-A null text is empty: its only id is END. A null doc_id is a piece like any other. Repeated rows are packed each. Other
-columns are ignored. An empty table gives no sequences.
+A null text is empty: its only id is END. A null doc_id is a piece like any other. Repeated rows are packed each, and dealt
+by their number within the task that read them too, so that many equal rows fill no group. Other columns are ignored. An empty table gives no sequences.
 """
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,17 +30,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytesvec as bv
-from .common import materialize, tasks, text_slices, trimmed
+from .common import materialize, tasks, text_slices, trimmed, whole_groups
 
 LENGTH = 4096
 END = 2
 GROUP_PIECES = 2000
-#: Different runs whose ids a worker process keeps, about 60 bytes each.
-CACHE_RUNS = 500_000
-#: Fixed value: the token that stands between runs in what is tokenised at once, and its id.
-BETWEEN, BETWEEN_ID = "<|endoftext|>", 49407
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-PACKED = f"{PIECES}, sequence_id long, offset long"
+#: Different runs whose ids a worker process keeps, and their bytes at most.
+CACHE_RUNS, CACHE_BYTES = 500_000, 30_000_000
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, nth long"
+PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _LETTER = bv.byte_class((0x61, 0x7A))
 #: ASCII other than letters, digits, white space and the apostrophe, which some contractions begin with.
 _PUNCTUATION = bv.byte_class((0x21, 0x26), (0x28, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
@@ -55,6 +54,7 @@ def default_vocabulary() -> str:
 
 def _tokenizer(path: str):
     if path not in _loaded:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         _loaded[path] = Tokenizer.from_file(path)
@@ -64,68 +64,59 @@ def _tokenizer(path: str):
 class Encoder:
     """Ids of many texts; keeps the ids of the runs seen last."""
 
-    def __init__(self, path: str, cache_runs: int = CACHE_RUNS):
-        self.tokenizer, self.cache_runs = _tokenizer(path), cache_runs
+    def __init__(self, path: str, cache_runs: int = CACHE_RUNS, cache_bytes: int = CACHE_BYTES):
+        self.tokenizer, self.cache_runs, self.cache_bytes = _tokenizer(path), cache_runs, cache_bytes
         self._forget()
 
     def _forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)
-        self.check = np.zeros(0, np.uint64)
+        self.number: dict[bytes, int] = {}
+        self.bytes = 0
         self.begin = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def _runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all runs one after the other, and how many each has."""
-        ids, counts = [], []
-        for lo in range(0, len(runs), 4000):
-            part = runs[lo : lo + 4000]
-            if any(BETWEEN in r for r in part):
-                got = [self.tokenizer.encode(r, add_special_tokens=False).ids for r in part]
-                ids.append(np.array([x for g in got for x in g], np.uint32))
-                counts.append(np.array([len(g) for g in got], np.int64))
-                continue
-            flat = np.array(self.tokenizer.encode(f" {BETWEEN} ".join([*part, ""]), add_special_tokens=False).ids, np.uint32)
-            stop = np.flatnonzero(flat == BETWEEN_ID)
-            counts.append(np.diff(np.append(-1, stop)) - 1)
-            ids.append(np.delete(flat, stop))
-        return np.concatenate(ids), np.concatenate(counts)
-
-    def _learn(self, new: np.ndarray, check: np.ndarray, runs: list[str]) -> None:
-        ids, counts = self._runs(runs)
-        begin = np.cumsum(counts) - counts + len(self.ids)
-        known = np.concatenate([self.known, new])
-        order = np.argsort(known)
-        self.known, self.check = known[order], np.concatenate([self.check, check])[order]
-        self.begin, self.count = np.concatenate([self.begin, begin])[order], np.concatenate([self.count, counts])[order]
+    def _learn(self, runs: list[bytes]) -> None:
+        """Take the ids of runs that are not known."""
+        got = [x.ids for x in self.tokenizer.encode_batch_fast([r.decode() for r in runs], add_special_tokens=False)]
+        counts = np.fromiter(map(len, got), np.int64, len(got))
+        ids = np.fromiter(chain.from_iterable(got), np.uint32, int(counts.sum()))
+        self.number.update(zip(runs, range(len(self.count), len(self.count) + len(runs)), strict=True))
+        self.bytes += sum(map(len, runs))
+        self.begin = np.concatenate([self.begin, np.cumsum(counts) - counts + len(self.ids)])
+        self.count = np.concatenate([self.count, counts])
         self.ids = np.concatenate([self.ids, ids])
 
+    def _numbers(self, runs: list[bytes]) -> np.ndarray:
+        """The number of each run; those not known yet are learned."""
+        out = np.fromiter(map(self.number.get, runs, repeat(-1)), np.int64, len(runs))
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            fresh = list(dict.fromkeys([runs[i] for i in new.tolist()]))
+            if self.number and (len(self.number) + len(fresh) > self.cache_runs or self.bytes > self.cache_bytes):
+                self._forget()
+                return self._numbers(runs)
+            self._learn(fresh)
+            out[new] = np.fromiter(map(self.number.__getitem__, (runs[i] for i in new.tolist())), np.int64, len(new))
+        return out
+
     def encode(self, arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, END after each, and each text's range of them."""
         data, offs = bv.buffers(arr)
-        cuts = None
+        cut = np.zeros(len(data) + 1, bool)
+        cut[offs] = True
         if b"<|" not in data.tobytes():  # what begins a token that is matched as it stands
             data = bv.LOWER[data]
-            cuts = np.flatnonzero(_LETTER[data[:-1]] & _PUNCTUATION[data[1:]]) + 1
-            cuts = cuts[~np.isin(cuts, offs)] if len(cuts) else None
-        starts, ends, first = bv.spans(bv.NOT_SPACE[data], offs, cuts)
-        if len(starts) == 0:
+            cut[1:-1] |= _LETTER[data[:-1]] & _PUNCTUATION[data[1:]]
+        cuts = np.flatnonzero(cut)
+        spaced = np.insert(data, cuts, 32)
+        runs = spaced.tobytes().split()
+        if not runs:
             return np.full(len(offs) - 1, END, np.uint32), np.arange(len(offs))
-        key, check = bv.Prefix(data).of(starts, ends), bv.Prefix(data, 1).of(starts, ends)
-        unique, at, inverse = np.unique(key, return_index=True, return_inverse=True)
-        if len(self.known) + len(unique) > self.cache_runs:
-            self._forget()
-        place = np.minimum(np.searchsorted(self.known, unique), max(0, len(self.known) - 1))
-        new = self.known[place] != unique if len(self.known) else np.ones(len(unique), bool)
-        if new.any():
-            raw = data.tobytes()
-            where = at[new]
-            self._learn(unique[new], check[where], [raw[a:b].decode() for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
-            place = np.searchsorted(self.known, unique)
-        if (self.check[place][inverse] != check).any():
-            got = [self.tokenizer.encode(t or "", add_special_tokens=False).ids + [END] for t in arr.to_pylist()]
-            return np.array([x for g in got for x in g], np.uint32), np.cumsum([0] + [len(g) for g in got])
-        begin, count = self.begin[place][inverse], self.count[place][inverse]
+        inside = bv.NOT_SPACE[spaced]
+        starts = np.flatnonzero(inside & ~np.append(False, inside[:-1]))
+        first = np.searchsorted(starts, offs + np.searchsorted(cuts, offs))
+        number = self._numbers(runs)
+        begin, count = self.begin[number], self.count[number]
         total = np.cumsum(count)
         flat = self.ids[np.repeat(begin - (total - count), count) + np.arange(int(total[-1]))]
         stop = np.append(0, total)[first]
@@ -155,11 +146,13 @@ def tokenised(documents: DataFrame, vocabulary: str, length: int = LENGTH) -> Da
     """Facts about all pieces of the documents, in one pass without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_for(vocabulary)
+        encoder, n = encoder_for(vocabulary), 0
         for batch in batches:
             for a, b in text_slices(batch, "text"):
                 part = batch.slice(a, b - a)
                 got = pieces(part.column("doc_id").to_pylist(), *encoder.encode(part.column("text")), length)
+                got["nth"] = list(range(n, n + len(got["start"])))
+                n += len(got["start"])
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in got.values()], list(got))
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), PIECES)
@@ -220,17 +213,14 @@ def best_fit(lengths: list[int], length: int = LENGTH) -> tuple[list[int], list[
 
 def _pack(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = list(batches)
-        if not got:
-            return
-        rows = pa.Table.from_batches(got).sort_by([("grp", "ascending"), ("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")])
-        group = rows.column("grp").to_numpy()
-        edges = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group)).tolist()
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            part = rows.slice(a, b - a).drop_columns("grp").combine_chunks()
-            sequences, offsets = best_fit(part.column("length").to_pylist(), length)
-            part = part.append_column("sequence_id", pa.array(np.array(sequences, np.int64) + (int(group[a]) << 31)))
-            yield from part.append_column("offset", pa.array(offsets, pa.int64())).to_batches()
+        for rows in whole_groups(batches, "grp", GROUP_PIECES):
+            group = rows.column("grp").to_numpy()
+            edges = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group)).tolist()
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                part = rows.slice(a, b - a).drop_columns(["grp", "nth"]).combine_chunks()
+                sequences, offsets = best_fit(part.column("length").to_pylist(), length)
+                part = part.append_column("sequence_id", pa.array(np.array(sequences, np.int64) + (int(group[a]) << 31)))
+                yield from part.append_column("offset", pa.array(offsets, pa.int64())).to_batches()
 
     return run
 
@@ -238,8 +228,8 @@ def _pack(length: int):
 def packed(facts: DataFrame, length: int = LENGTH, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Sequence and offset of every piece. `facts` is read twice: to count it, and to deal it."""
     groups = max(1, -(-facts.count() // group_pieces))
-    dealt = facts.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
-    return dealt.repartition(tasks(facts.sparkSession), "grp").mapInArrow(trimmed(_pack(length)), PACKED)
+    dealt = facts.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "nth"), F.lit(groups))).repartition(tasks(facts.sparkSession), "grp")
+    return dealt.sortWithinPartitions("grp", F.desc("length"), "doc_id", "start", "nth").mapInArrow(trimmed(_pack(length)), PACKED)
 
 
 def pack(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ import zlib
 import duckdb
 import pyarrow as pa
 import zstandard
+from pyspark.sql import functions as F
 
 from gleaner.llm import op2_warc as q2
 from gleaner.llm import op3_rules as q3
@@ -153,6 +154,31 @@ def test_encoder_equals_tokenizer():
         assert [flat[a:b].tolist() for a, b in zip(offs[:-1], offs[1:])] == [tokens(t) for t in part]
 
 
+def test_runs_that_polynomials_confuse():
+    """A Thue-Morse text and its complement have one hash by any polynomial modulo 2**64 with an odd multiplier."""
+    encoder = q7.Encoder(q7.default_vocabulary())
+    for n in (1024, 2048, 4096):
+        bits = [bin(k).count("1") % 2 for k in range(n)]
+        texts = ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)]
+        flat, offs = encoder.encode(pa.array(texts))
+        assert [flat[a:b].tolist() for a, b in zip(offs[:-1], offs[1:])] == [tokens(t) for t in texts]
+
+
+def test_encoder_forgets_within_its_bounds():
+    encoder = q7.Encoder(q7.default_vocabulary(), 50, 400)
+    for k in range(30):
+        texts = [f"w{j}x{k} é{j}" for j in range(k, k + 20)]
+        flat, offs = encoder.encode(pa.array(texts))
+        assert [flat[a:b].tolist() for a, b in zip(offs[:-1], offs[1:])] == [tokens(t) for t in texts]
+        assert len(encoder.number) <= 50
+
+
+def test_equal_rows_fill_no_group(spark):
+    rows = spark.createDataFrame([(None, None)] * 6000 + [(k % 3, "one two") for k in range(3000)], "doc_id long, text string").repartition(3)
+    got = q7.packed(q7.tokenised(rows, q7.default_vocabulary()), group_pieces=1000).groupBy((F.col("sequence_id") / 2**31).cast("int").alias("g")).count().collect()
+    assert len(got) == 9 and max(r["count"] for r in got) < 1300
+
+
 def check_packing(rows, docs):
     by_doc, by_sequence = {}, {}
     for r in rows:
