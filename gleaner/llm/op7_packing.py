@@ -22,7 +22,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +35,15 @@ from .common import materialize, tasks, text_slices, trimmed, whole_groups
 LENGTH = 4096
 END = 2
 GROUP_PIECES = 2000
-#: Different runs whose ids a worker process keeps, and their bytes at most.
+#: Different runs whose ids a worker process keeps, and their bytes; beyond either it begins anew with the next slice of texts.
 CACHE_RUNS, CACHE_BYTES = 500_000, 30_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, nth long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _LETTER = bv.byte_class((0x61, 0x7A))
 #: ASCII other than letters, digits, white space and the apostrophe, which some contractions begin with.
 _PUNCTUATION = bv.byte_class((0x21, 0x26), (0x28, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
+#: The lowest n bytes of a word, by n.
+_LOW_BYTES = np.array([(1 << (8 * n)) - 1 for n in range(8)], np.uint64)
 _loaded: dict[str, object] = {}
 _encoders: dict[str, Encoder] = {}
 
@@ -69,54 +71,57 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.long: dict[bytes, int] = {}
         self.bytes = 0
+        self.known = np.zeros(0, np.uint64)
         self.begin = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def _learn(self, runs: list[bytes]) -> None:
-        """Take the ids of runs that are not known."""
+    def _learn(self, new: np.ndarray, runs: list[bytes]) -> None:
+        """Take the ids of runs that are not known; new: their keys."""
         got = [x.ids for x in self.tokenizer.encode_batch_fast([r.decode() for r in runs], add_special_tokens=False)]
         counts = np.fromiter(map(len, got), np.int64, len(got))
         ids = np.fromiter(chain.from_iterable(got), np.uint32, int(counts.sum()))
-        self.number.update(zip(runs, range(len(self.count), len(self.count) + len(runs)), strict=True))
-        self.bytes += sum(map(len, runs))
-        self.begin = np.concatenate([self.begin, np.cumsum(counts) - counts + len(self.ids)])
-        self.count = np.concatenate([self.count, counts])
-        self.ids = np.concatenate([self.ids, ids])
-
-    def _numbers(self, runs: list[bytes]) -> np.ndarray:
-        """The number of each run; those not known yet are learned."""
-        out = np.fromiter(map(self.number.get, runs, repeat(-1)), np.int64, len(runs))
-        new = np.flatnonzero(out < 0)
-        if len(new):
-            fresh = list(dict.fromkeys([runs[i] for i in new.tolist()]))
-            if self.number and (len(self.number) + len(fresh) > self.cache_runs or self.bytes > self.cache_bytes):
-                self._forget()
-                return self._numbers(runs)
-            self._learn(fresh)
-            out[new] = np.fromiter(map(self.number.__getitem__, (runs[i] for i in new.tolist())), np.int64, len(new))
-        return out
+        known = np.concatenate([self.known, new])
+        order = np.argsort(known)
+        self.begin = np.concatenate([self.begin, np.cumsum(counts) - counts + len(self.ids)])[order]
+        self.known, self.count, self.ids = known[order], np.concatenate([self.count, counts])[order], np.concatenate([self.ids, ids])
+
+    def _keys(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """A number for each run that no other run has: its bytes and length if it has less than 8, else one given to its bytes."""
+        padded = np.append(data, np.zeros(8, np.uint8))
+        words = np.ndarray(len(data), "<u8", padded, strides=(1,))
+        key = (words[starts] & _LOW_BYTES[np.minimum(sizes, 7)]) | (sizes.astype(np.uint64) << np.uint64(56))
+        long = np.flatnonzero(sizes > 7)
+        raw, number = data.tobytes(), self.long
+        numbers = [number.setdefault(raw[a:b], len(number)) for a, b in zip(starts[long].tolist(), (starts + sizes)[long].tolist(), strict=True)]
+        key[long] = np.array(numbers, np.uint64) | np.uint64(1 << 63)
+        return key
 
     def encode(self, arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, END after each, and each text's range of them."""
         data, offs = bv.buffers(arr)
-        cut = np.zeros(len(data) + 1, bool)
-        cut[offs] = True
+        cuts = None
         if b"<|" not in data.tobytes():  # what begins a token that is matched as it stands
             data = bv.LOWER[data]
-            cut[1:-1] |= _LETTER[data[:-1]] & _PUNCTUATION[data[1:]]
-        cuts = np.flatnonzero(cut)
-        spaced = np.insert(data, cuts, 32)
-        runs = spaced.tobytes().split()
-        if not runs:
+            cuts = np.flatnonzero(_LETTER[data[:-1]] & _PUNCTUATION[data[1:]]) + 1
+            cuts = cuts[~np.isin(cuts, offs)] if len(cuts) else None
+        starts, ends, first = bv.spans(bv.NOT_SPACE[data], offs, cuts)
+        if len(starts) == 0:
             return np.full(len(offs) - 1, END, np.uint32), np.arange(len(offs))
-        inside = bv.NOT_SPACE[spaced]
-        starts = np.flatnonzero(inside & ~np.append(False, inside[:-1]))
-        first = np.searchsorted(starts, offs + np.searchsorted(cuts, offs))
-        number = self._numbers(runs)
-        begin, count = self.begin[number], self.count[number]
+        if len(self.known) > self.cache_runs or self.bytes > self.cache_bytes:
+            self._forget()
+        unique, at, inverse = np.unique(self._keys(data, starts, ends - starts), return_index=True, return_inverse=True)
+        place = np.minimum(np.searchsorted(self.known, unique), max(0, len(self.known) - 1))
+        new = self.known[place] != unique if len(self.known) else np.ones(len(unique), bool)
+        if new.any():
+            raw, where = data.tobytes(), at[new]
+            runs = [raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
+            self.bytes += sum(map(len, runs))
+            self._learn(unique[new], runs)
+            place = np.searchsorted(self.known, unique)
+        begin, count = self.begin[place][inverse], self.count[place][inverse]
         total = np.cumsum(count)
         flat = self.ids[np.repeat(begin - (total - count), count) + np.arange(int(total[-1]))]
         stop = np.append(0, total)[first]

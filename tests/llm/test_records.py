@@ -170,7 +170,7 @@ def test_encoder_forgets_within_its_bounds():
         texts = [f"w{j}x{k} é{j}" for j in range(k, k + 20)]
         flat, offs = encoder.encode(pa.array(texts))
         assert [flat[a:b].tolist() for a, b in zip(offs[:-1], offs[1:])] == [tokens(t) for t in texts]
-        assert len(encoder.number) <= 50
+        assert len(encoder.known) <= 90
 
 
 def test_equal_rows_fill_no_group(spark):
