@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +30,42 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders that materialize() made, for each block of leftovers() that is open.
+_made: list[list[str]] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: cuts the lineage and outlives executors."""
+    """Write df as Parquet to the shared folder and read it again: cuts the lineage and outlives executors.
+
+    The table stays until remove() is called; leftovers() tells which were made.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in _made:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def leftovers() -> Iterator[list[str]]:
+    """The folders that materialize() makes within the block. Once what was made of them is written, remove() may take them."""
+    made: list[str] = []
+    _made.append(made)
+    try:
+        yield made
+    finally:
+        _made[:] = [m for m in _made if m is not made]
+
+
+def remove(spark: SparkSession, folders: list[str]) -> None:
+    """Delete folders, and take them off the list."""
+    for folder in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    folders.clear()
+
+
 class Scratch:
     """Tables of one run of an operator, in a folder of their own that goes when nothing reads them any more."""
 
@@ -52,8 +81,7 @@ class Scratch:
 
     def clear(self) -> None:
         """Delete all tables. What was made of them must be written by now."""
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, [self.folder])
         release(self.spark)
 
 

@@ -3,23 +3,26 @@
 The alphabet is words: runs of digits, a-z (A-Z lower-cased) and bytes above 127. A pattern is a window of WINDOW
 consecutive words of a benchmark item, or a whole shorter item; patterns of one length form a class with tables of its
 own. Over the words of a document a cursor stands at the last word of a possible occurrence. The hash of the block of
-the last two words leads to the shift table, which says how many words can be skipped; where the shift is zero the same
-hash leads to the bucket of patterns that end in this block, their hashes are compared, and then their
-bytes. Cursors of many stretches of text move at once, in numpy. Hashes choose only what is compared; bytes decide.
+the last two words leads to the shift table, which says how many words can be skipped. Where the shift is zero the block
+names a bucket: the patterns that end in it, sorted by the hash of their other words, their prefix. Those with the
+prefix of the text are compared with it byte by byte. Cursors of many stretches of text move at once, in numpy. Hashes
+choose only what is compared; bytes decide.
 
-The patterns are sent to every task in blocks of at most `block_bytes` of item text, so what is broadcast at once has a
-fixed bound; with more blocks the rows pass through one search after the other.
+The patterns are arrays over one buffer of item text, about ten times its size, built once in each worker process. Items are sent
+in blocks of at most `block_bytes` of text (a longer item is a block alone), so what is broadcast and held at once has a fixed bound.
+With more blocks there is one pass over the rows for each; what a pass found is written and carried to the next.
 
 A word is hit if it lies in any occurrence. A null text or item has no words; items without words never occur. Repeated
-item ids count once. Repeated documents each get a row. Other columns are ignored.
+item ids count once. Repeated documents each get a row. Other columns are ignored, and kept by decontaminated().
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import bytesvec as bv
-from .common import slices, trimmed
+from .common import materialize, slices, trimmed
 
 WINDOW = 10
 BLOCK_BYTES = 16_000_000
@@ -55,6 +58,16 @@ class Words:
         starts, ends, first = bv.spans(bv.WORDLY[data], offs)
         return cls(data, starts, ends, first, bv.Prefix(data).of(starts, ends) if len(starts) else np.zeros(0, np.uint64))
 
+    def squeezed(self) -> Words:
+        """The same words with one blank after each and nothing else, so that a window is a range of bytes."""
+        sizes = self.ends - self.starts
+        ends = np.cumsum(sizes + 1) - 1
+        out = np.full(int(ends[-1]) + 1 if len(ends) else 0, 32, np.uint8)
+        inside = np.ones(len(out), bool)
+        inside[ends] = False
+        out[inside] = self.data[bv.WORDLY[self.data]]
+        return Words(out, ends - sizes, ends, self.first, self.hashes)
+
     def sequence(self, at: int, n: int) -> bytes:
         """The n words from number `at`, joined by blanks."""
         raw = self.data
@@ -77,35 +90,38 @@ def _run_hash(hashes: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     return bv.mix(out)
 
 
-@dataclass
 class Tables:
-    """The tables of one class: patterns of n words."""
-
-    n: int
-    patterns: dict[bytes, list[int]] = field(default_factory=dict)
-    shift: np.ndarray | None = None
-    buckets: np.ndarray | None = None
-    bits: int = 12
-
-    @property
-    def wide(self) -> int:
-        return min(2, self.n)
-
-    def build(self, words: list[tuple[bytes, ...]]) -> None:
-        """words: the distinct patterns as tuples of words."""
-        texts = [b" ".join(p) for p in words]
-        w = Words.of(pa.array(texts, pa.binary()))
-        self.bits = max(12, int(np.ceil(np.log2(8 * self.n * len(texts) + 1))))
-        longest = self.n - self.wide + 1
+    """The tables of one class: patterns of n words.
+
+    words: of all items, squeezed; last: the last word's number of each window; items: the item of each window.
+    """
+
+    def __init__(self, words: Words, last: np.ndarray, items: np.ndarray, n: int):
+        self.n, self.wide, self.words = n, min(2, n), words
+        block = _blocks(words.hashes, self.wide)
+        longest = n - self.wide + 1
+        # one word can end the blocks of n windows, so there are no more different blocks than words
+        self.bits = max(12, int(np.ceil(np.log2(8 * len(words.hashes) + 1))))
         self.shift = np.full(1 << self.bits, longest, np.int8 if longest < 128 else np.int32)
-        block = _blocks(w.hashes, self.wide) >> np.uint64(64 - self.bits)
-        first = w.first[:-1]
-        for place in range(self.wide - 1, self.n):  # the nearer to the end, the smaller the shift
-            self.shift[block[first + place]] = self.n - 1 - place
-        self.buckets = np.sort(_run_hash(w.hashes, first + self.n - 1, self.n))
+        top = (block >> np.uint64(64 - self.bits)).astype(np.int64)
+        for back in range(longest - 1, -1, -1):  # the nearer to the end, the smaller the shift
+            self.shift[top[last - back]] = back
+        prefix = _run_hash(words.hashes, last - self.wide, n - self.wide)
+        order = np.lexsort((prefix, block[last]))
+        last, block, prefix, items = last[order], block[last][order], prefix[order], items[order]
+        begin, end = words.starts[last - n + 1], words.ends[last]
+        alike = (block[1:] == block[:-1]) & (prefix[1:] == prefix[:-1]) & (end[1:] - begin[1:] == end[:-1] - begin[:-1])
+        at = np.flatnonzero(alike)
+        alike[at] = same_bytes(words.data, begin[at], words.data, begin[at + 1], (end - begin)[at])
+        head = np.flatnonzero(np.append(True, ~alike))
+        #: Each different pattern: its block and prefix, its bytes, and its range of `items`.
+        self.block, self.prefix, self.begin, self.end = block[head], prefix[head], begin[head], end[head]
+        self.edges, self.items = np.append(head, len(last)), items
+        self.names, self.bucket = np.unique(self.block, return_index=True)
+        self.bucket = np.append(self.bucket, len(self.block))
 
     def search(self, w: Words) -> np.ndarray:
-        """Word numbers at which occurrences of patterns end, by hash alone."""
+        """Word numbers at which cursors stop: ends of patterns by the hash of the block."""
         lo, hi = w.first[:-1], w.first[1:]
         n_cursors = np.where(hi - lo >= self.n, -(-(hi - lo - self.n + 1) // STRETCH), 0)
         text = np.repeat(np.arange(len(lo)), n_cursors)
@@ -116,45 +132,88 @@ class Tables:
         found = []
         while len(at):
             skip = self.shift[block[at]].astype(np.int64)
-            stay = at[skip == 0]
-            if len(stay):
-                h = _run_hash(w.hashes, stay, self.n)
-                k = np.minimum(np.searchsorted(self.buckets, h), len(self.buckets) - 1)
-                found.append(stay[self.buckets[k] == h])
+            found.append(at[skip == 0])
             at = at + np.maximum(skip, 1)
             on = at < stop
             at, stop = at[on], stop[on]
         return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
+    def occurrences(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(last word, pattern) of every occurrence."""
+        at = self.search(w)
+        block = _blocks(w.hashes, self.wide)[at]
+        k = np.minimum(np.searchsorted(self.names, block), len(self.names) - 1)
+        some = self.names[k] == block
+        at, k = at[some], k[some]
+        prefix = _run_hash(w.hashes, at - self.wide, self.n - self.wide)
+        # within each bucket the first pattern whose prefix is not smaller, by halving
+        low, high = self.bucket[k], self.bucket[k + 1]
+        while (open_ := low < high).any():
+            middle = (low + high) // 2
+            less = open_ & (self.prefix[np.minimum(middle, len(self.prefix) - 1)] < prefix)
+            low, high = np.where(less, middle + 1, low), np.where(open_ & ~less, middle, high)
+        ends, patterns = [], []
+        stop = self.bucket[k + 1]
+        while len(at):  # one round, but for different patterns of equal hashes
+            on = low < stop
+            on[on] = self.prefix[low[on]] == prefix[on]
+            at, low, stop, prefix = at[on], low[on], stop[on], prefix[on]
+            for a, p in zip(at.tolist(), low.tolist(), strict=True):
+                if w.sequence(a - self.n + 1, self.n) == self.words.data[self.begin[p] : self.end[p]].tobytes():
+                    ends.append(a)
+                    patterns.append(p)
+            low = low + 1
+        return np.array(ends, np.int64), np.array(patterns, np.int64)
+
+
+def same_bytes(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether x[a[i]:a[i]+sizes[i]] equals y[b[i]:b[i]+sizes[i]]; no size is 0."""
+    out = np.zeros(len(a), bool)
+    for lo in range(0, len(a), 50_000):
+        n = sizes[lo : lo + 50_000]
+        begin = np.cumsum(n) - n
+        within = np.arange(int(n.sum())) - np.repeat(begin, n)
+        out[lo : lo + 50_000] = np.logical_and.reduceat(x[np.repeat(a[lo : lo + 50_000], n) + within] == y[np.repeat(b[lo : lo + 50_000], n) + within], begin)
+    return out
+
 
 class Patterns:
     """All patterns of a block of items, by length."""
 
     def __init__(self, items: list[tuple[int, str | None]], window: int = WINDOW):
-        by_length: dict[int, dict[tuple[bytes, ...], set[int]]] = defaultdict(lambda: defaultdict(set))
-        w = Words.of(pa.array([t for _, t in items], pa.string()))
-        for k, (item, _) in enumerate(items):
-            words = [w.data[a:b].tobytes() for a, b in zip(w.starts[w.first[k] : w.first[k + 1]].tolist(), w.ends[w.first[k] : w.first[k + 1]].tolist(), strict=True)]
-            n = min(window, len(words))
-            for i in range(len(words) - n + 1 if n else 0):
-                by_length[n][tuple(words[i : i + n])].add(item)
+        w = Words.of(pa.array([t for _, t in items], pa.string())).squeezed()
+        ids = np.array([i for i, _ in items], np.int64)
+        count = np.diff(w.first)
+        length = np.minimum(count, window)
         self.classes = []
-        for n, patterns in sorted(by_length.items()):
-            t = Tables(n, {b" ".join(p): sorted(ids) for p, ids in patterns.items()})
-            t.build(list(patterns))
-            self.classes.append(t)
+        for n in np.unique(length[length > 0]).tolist():
+            of = np.flatnonzero(length == n)
+            windows = count[of] - n + 1
+            item = np.repeat(of, windows)
+            last = w.first[item] + n - 1 + np.arange(len(item)) - np.repeat(np.cumsum(windows) - windows, windows)
+            self.classes.append(Tables(w, last, ids[item], n))
 
     def occurrences(self, w: Words) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
-        """First word, word after the last, and the items of each occurrence, confirmed by comparing bytes."""
+        """First word, word after the last, and the items of each occurrence."""
         begin, end, items = [], [], []
         for t in self.classes:
-            for at in t.search(w).tolist():
-                ids = t.patterns.get(w.sequence(at - t.n + 1, t.n))
-                if ids is not None:
-                    begin.append(at - t.n + 1)
-                    end.append(at + 1)
-                    items.append(ids)
-        return np.array(begin, np.int64), np.array(end, np.int64), items
+            at, pattern = t.occurrences(w)
+            begin.append(at - t.n + 1)
+            end.append(at + 1)
+            items += [sorted(set(t.items[t.edges[p] : t.edges[p + 1]].tolist())) for p in pattern.tolist()]
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *begin]), np.concatenate([none, *end]), items
+
+
+_built: dict[str, Patterns] = {}
+
+
+def patterns_of(name: str, items: list[tuple[int, str | None]]) -> Patterns:
+    """The patterns of a block, kept by its name for the next task of this worker process; others are let go."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = Patterns(items)
+    return _built[name]
 
 
 def hit_words(n: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -183,12 +242,12 @@ def item_digest(ids: set[int]) -> str:
     return hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest()
 
 
-def _search(shared, path: list[str]):
+def _search(shared, name: str, path: list[str]):
     """Ranges of hit words, and items, of every row; path: where the text is within the struct d."""
     ranges = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns = Patterns(shared.value)
+        patterns = patterns_of(name, shared.value)
         for batch in batches:
             texts = pc.struct_field(batch.column("d"), path)
             for a, b in slices(texts):
@@ -214,17 +273,18 @@ _FOUND = "n_words long, ranges array<struct<a:int,b:int>>, items array<long>"
 def searched(documents: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Every row of the documents with its columns as a struct d, n_words, the ranges of hit words and the items that occur.
 
-    Blocks of items are searched one after the other in one pass over the rows, which carry along what was found so far.
+    Each block of items is a pass over the rows, which carry along what was found so far; what a pass found is written before the next.
     """
     spark = documents.sparkSession
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("d"))
     found = None
     for block in blocks_of(benchmark, block_bytes):
-        carried = rows if found is None else found.select(F.struct("d", "ranges", "items").alias("d"))
+        last = materialize(found, "searched") if found is not None else None
+        carried = rows if last is None else last.select(F.struct("d", "ranges", "items").alias("d"))
         schema = StructType([*carried.schema.fields, *StructType.fromDDL(_FOUND).fields])
-        path = ["text"] if found is None else ["d", "text"]
-        now = carried.mapInArrow(trimmed(_search(spark.sparkContext.broadcast(block), path)), schema)
-        if found is None:
+        path = ["text"] if last is None else ["d", "text"]
+        now = carried.mapInArrow(trimmed(_search(spark.sparkContext.broadcast(block), uuid.uuid4().hex, path)), schema)
+        if last is None:
             found = now
         else:
             found = now.select("d.d", "n_words", F.concat("d.ranges", "ranges").alias("ranges"), F.array_distinct(F.concat("d.items", "items")).alias("items"))

@@ -1,6 +1,8 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
 from collections import defaultdict
 
 import numpy as np
@@ -153,6 +155,25 @@ def test_decontamination_matches_sql(spark, odd, tables):
     assert not any(r.contaminated for r in q6.query(spark, tables(documents=docs, benchmark=bench.limit(0))).collect())
 
 
+def test_patterns_of_large_benchmarks_fit_a_worker():
+    """Tables of 20 MB of items, and their search, in less than 1 GB."""
+    code = """
+import random, resource
+import pyarrow as pa
+from gleaner.llm import op6_decontaminate as q6
+rng = random.Random(1)
+words = [''.join(rng.choice('abcdefghij') for _ in range(rng.randint(2, 9))) for _ in range(30000)]
+items = [(k, ' '.join(rng.choices(words, k=300))) for k in range(10500)]
+assert sum(len(t) for _, t in items) > 20_000_000
+p = q6.Patterns(items)
+w = q6.Words.of(pa.array(['x ' + items[77][1][5:400].upper() + ' y', 'nothing at all']))
+begin, end, found = p.occurrences(w)
+assert len(begin) and found[0] == [77] and q6.hit_words(w.first[1], begin, end).sum() >= len(begin) + 9
+assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 1_000_000, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=300)
+
+
 # repeats
 
 
