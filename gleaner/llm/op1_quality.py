@@ -5,12 +5,14 @@ word before). Features are the n-grams of both, hashed into a table of weights.
 count divided by the square root of the sum of squares, so that length does not count. The model is a
 table of float weights of fixed size, so that its broadcast does not grow with the data.
 
-Training takes at most `max_docs` labelled documents (those with the smallest hash of their id, so the choice is
-spread evenly and repeats) of at most MAX_TEXT bytes each, the documented bound of the sample. Scoring is one pass without a shuffle.
+Training takes at most `max_docs` labelled documents, whatever the length of their texts: those with the smallest hashes of
+their ids, so the choice is spread evenly and repeats. That number is the documented bound of the sample. Features are
+counted where the texts are, so only they reach the driver. Scoring is one pass without a shuffle.
 
 Null and empty texts have no features and get the score of the bias alone. Rows with a repeated doc_id are scored
-each; a null doc_id counts as held out or not by the checksum of the empty string. With no labelled rows, or labels of
-one class only, the model is a constant. Extra columns are ignored.
+each; a null doc_id counts as held out or not by the checksum of the empty string. Of several labels of an id the greatest
+counts, of several texts the smallest. With no labelled rows, or labels of one class only, the model is a constant. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,6 @@ from .common import text_slices, trimmed
 
 BITS = 18
 MAX_DOCS = 6000
-MAX_TEXT = 50_000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.4, 1.0, 0.02, 0.1
 PREDICT_AT = 0.3
@@ -77,21 +78,17 @@ def features(arr: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
 def normed(feats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct features of one text and their values."""
     idx, counts = np.unique(feats, return_counts=True)
-    return idx, counts / np.sqrt((counts.astype(np.float64) ** 2).sum())
+    return idx, counts / np.sqrt(max(1.0, (counts.astype(np.float64) ** 2).sum()))
 
 
-def train(texts: list[str], labels: np.ndarray, bits: int = BITS, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
-    """Weights and bias. Examples are taken in the order given; the classes are weighed alike."""
+def train(examples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int = BITS, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
+    """Weights and bias from the features and values of each text. Examples are taken in the order given; the classes are weighed alike."""
     size = 1 << bits
     z, g2 = np.zeros(size + 1), np.zeros(size + 1)
     weights = np.zeros(size + 1)
     positive = float(labels.sum())
     if len(labels) == 0 or positive in (0.0, float(len(labels))):
         return weights[:size].astype(np.float32), 3.0 if len(labels) == 0 or positive else -3.0
-    examples = []
-    for lo in range(0, len(texts), 200):
-        feats, offs = features(pa.array(texts[lo : lo + 200], pa.string()), bits)
-        examples += [normed(feats[a:b]) for a, b in zip(offs[:-1], offs[1:], strict=True)]
     weight_of = (len(labels) / (2 * (len(labels) - positive)), len(labels) / (2 * positive))
     for _ in range(epochs):
         for (idx, val), y in zip(examples, labels.tolist(), strict=True):
@@ -129,24 +126,44 @@ def bucket(column: str, modulus: int):
 
 
 def labelled(documents: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """At most max_docs training rows (doc_id, quality, text): not held out, the smallest hashes of the id first.
+    """At most max_docs training rows (doc_id, quality, text): not held out, with a text, the smallest hashes of the id first.
 
-    One text for each id, and none of more than MAX_TEXT bytes, so that the sample has a fixed bound in bytes too.
-
-    The rows are chosen by id, label and length of the text before any text is moved; only then are the chosen texts looked up.
+    One text for each id. The rows are chosen by id and label before any text is moved; only then are the chosen texts looked up.
     """
+    number = F.col("doc_id").cast("long").alias("doc_id")
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).where(bucket("doc_id", 5) != 0)
-    known = known.groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("quality"))
-    usable = documents.where(F.octet_length("text") <= MAX_TEXT)
-    chosen = known.join(usable.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    texts = usable.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    known = known.groupBy(number).agg(F.max(F.col("quality").cast("int")).alias("quality"))
+    usable = documents.where("text IS NOT NULL")
+    chosen = known.join(usable.select(number), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
+    texts = usable.select(number, "text").join(F.broadcast(chosen), "doc_id")
     return texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
 
+def examples(rows: DataFrame) -> DataFrame:
+    """(doc_id, quality, idx, val): the features of each text and their values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in text_slices(batch, "text"):
+                part = batch.slice(a, b - a)
+                feats, offs = features(part.column("text"))
+                got = [normed(feats[i:j]) for i, j in zip(offs[:-1], offs[1:], strict=True)]
+                idx = pa.array([x.astype(np.int32) for x, _ in got], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), idx, pa.array([v for _, v in got], pa.list_(pa.float64()))], ["doc_id", "quality", "idx", "val"])
+
+    return rows.mapInArrow(trimmed(run), "doc_id long, quality int, idx array<int>, val array<double>")
+
+
 def fit(documents: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> tuple[np.ndarray, float]:
-    rows = labelled(documents, labels, max_docs).toArrow().to_pylist()
-    rows.sort(key=lambda r: (hash((r["doc_id"], 17)), r["doc_id"], r["text"] or ""))
-    return train([r["text"] or "" for r in rows], np.array([r["quality"] for r in rows], np.int64))
+    rows = examples(labelled(documents, labels, max_docs)).toArrow().combine_chunks()
+    ids = rows.column("doc_id").to_pylist()
+    order = sorted(range(len(ids)), key=lambda k: (hash((ids[k], 17)), ids[k]))
+    lists = [rows.column(c).chunk(0) if ids else None for c in ("idx", "val")]
+    offs = [x.offsets.to_numpy() for x in lists] if ids else []
+    values = [x.values.to_numpy() for x in lists] if ids else []
+    got = [(values[0][offs[0][k] : offs[0][k + 1]].astype(np.int64), values[1][offs[1][k] : offs[1][k + 1]]) for k in order]
+    quality = rows.column("quality").to_numpy() if ids else np.zeros(0, np.int64)
+    return train(got, quality[order])
 
 
 def score_documents(documents: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:

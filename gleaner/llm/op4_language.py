@@ -8,9 +8,13 @@ A filter of width w is a sum of look-ups: the vectors of a pair of bytes times t
 tabled for all 65,536 pairs, as 16-bit integers, so scoring needs no matrix product over the text and its memory is
 bounded by the slice of text at hand. The model has a fixed size.
 
-Training takes at most `max_docs` documents of each language (smallest hash of the id first of those with 1 to MAX_TEXT bytes),
-the documented bound of the sample; languages are not bounded. It takes some windows of each, from all over the text. A null text, or one without a letter, is `und` with score
-0. A null lang is not learned from. With no rows to learn from every text is `und`. Repeated rows are predicted each.
+Training takes at most `max_docs` documents of each language (those with the smallest hashes of their ids, of texts that are
+not empty) and of each at most `windows_per_doc` windows, drawn from all over the text whatever its length. These two numbers are
+the documented bound of the sample; languages are not bounded. Windows are drawn where the texts are, so only they reach the driver.
+
+A null text, or one without a letter (a character of a Unicode category L), is `und` with score 0. A null lang is not learned
+from. With no rows to learn from every text is `und`. Of equal probabilities the language first by name counts. Repeated
+rows are predicted each.
 """
 
 from __future__ import annotations
@@ -34,14 +38,13 @@ FILTERS = 8
 VECTOR = 8
 WINDOW = 256
 MAX_DOCS = 400
-MAX_TEXT = 50_000
 WINDOWS_PER_DOC = 6
 STEPS = 500
 BATCH = 64
 #: Byte that no UTF-8 text holds.
 PAD = 255
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile("[A-Za-z]")
 
 
 @dataclass
@@ -128,26 +131,29 @@ def windows(offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, starts, np.minimum(starts + WINDOW, offs[1:][row])
 
 
-def train(texts: list[str], langs: list[str], steps: int = STEPS, seed: int = 7) -> Network | None:
-    """Fit by Adam on mini-batches of windows, the languages in equal parts."""
+def has_letter(text: str | None) -> bool:
+    return text is not None and (_ASCII_LETTER.search(text) is not None or any(map(str.isalpha, text)))
+
+
+def drawn(text: str, doc_id: int, n: int = WINDOWS_PER_DOC) -> list[bytes]:
+    """At most n windows of a text, the same for the same id and text."""
+    raw = text.encode()
+    _, starts, ends = windows(np.array([0, len(raw)]))
+    rng = np.random.default_rng([7, doc_id & 0xFFFFFFFF])
+    return [raw[starts[i] : ends[i]] for i in np.sort(rng.permutation(len(starts))[:n]).tolist()]
+
+
+def train(samples: list[bytes], langs: list[str], steps: int = STEPS, seed: int = 7) -> Network | None:
+    """Fit by Adam on mini-batches of windows, the languages in equal parts. langs: the language of each window."""
     names = sorted(set(langs))
     if not names:
         return None
     rng = np.random.default_rng(seed)
-    data, offs = bv.buffers(pa.array(texts, pa.string()))
-    row, starts, ends = windows(offs)
-    order = rng.permutation(len(row))
-    nth = np.zeros(len(texts), np.int64)
-    keep = []
-    for i in order.tolist():
-        if nth[row[i]] < WINDOWS_PER_DOC and ends[i] > starts[i]:
-            nth[row[i]] += 1
-            keep.append(i)
+    data, offs = bv.buffers(pa.array(samples, pa.binary()))
+    starts, ends = offs[:-1], offs[1:]
     number = {x: k for k, x in enumerate(names)}
-    label = np.array([number[x] for x in langs], np.int64)
-    keep = np.array(keep, np.int64)
-    of = label[row[keep]]
-    keep, of = keep[np.argsort(of, kind="stable")], np.sort(of)
+    of = np.array([number[x] for x in langs], np.int64)
+    keep, of = np.argsort(of, kind="stable"), np.sort(of)
     by_lang = [(k, x) for k, x in enumerate(np.split(keep, np.searchsorted(of, np.arange(1, len(names))))) if len(x)]
     params = {"E": rng.normal(0, 0.3, (257, VECTOR))}  # row 256: outside the window
     for w in WIDTHS:
@@ -199,7 +205,7 @@ def train(texts: list[str], langs: list[str], steps: int = STEPS, seed: int = 7)
 def predict(arr: pa.Array, net: Network | None) -> tuple[list[str], np.ndarray]:
     """Language and its probability for each text."""
     texts = arr.to_pylist()
-    lettered = np.array([t is not None and _LETTER.search(t) is not None for t in texts], bool)
+    lettered = np.array([has_letter(t) for t in texts], bool)
     if net is None or not lettered.any():
         return [UNDETERMINED] * len(texts), np.zeros(len(texts))
     data, offs = bv.buffers(arr)
@@ -212,19 +218,30 @@ def predict(arr: pa.Array, net: Network | None) -> tuple[list[str], np.ndarray]:
     return [net.langs[k] if ok else UNDETERMINED for k, ok in zip(best.tolist(), lettered.tolist(), strict=True)], np.clip(score, 0, 1)
 
 
-def fit(documents: DataFrame, max_docs: int = MAX_DOCS) -> Network | None:
-    """Learn from documents with a lang whose checksum modulo 3 is not 1, max_docs of each language, whatever their number.
+def sample(documents: DataFrame, max_docs: int = MAX_DOCS, windows_per_doc: int = WINDOWS_PER_DOC) -> DataFrame:
+    """(doc_id, lang, windows) to learn from: documents with a lang whose checksum modulo 3 is not 1.
 
-    Ids are chosen, by the lengths of their texts, before any text is moved; one text for each id.
+    Ids are chosen before any text is moved; one text for each id.
     """
-    usable = F.octet_length("text").between(1, MAX_TEXT)
-    known = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & usable).where(bucket("doc_id", 3) != 1).select("doc_id", "lang").distinct()
+    usable = documents.where("octet_length(text) > 0")
+    known = usable.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).where(bucket("doc_id", 3) != 1).select(F.col("doc_id").cast("long").alias("doc_id"), "lang").distinct()
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = known.withColumn("__nth", nth).where(F.col("__nth") <= max_docs).drop("__nth")
-    texts = documents.where(usable).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).toArrow().to_pylist()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["lang"], r["text"]))
-    return train([r["text"] for r in rows], [r["lang"] for r in rows])
+    texts = usable.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [drawn(t, d, windows_per_doc) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(found, pa.list_(pa.binary()))], ["doc_id", "lang", "windows"])
+
+    return texts.mapInArrow(trimmed(run), "doc_id long, lang string, windows array<binary>")
+
+
+def fit(documents: DataFrame, max_docs: int = MAX_DOCS, windows_per_doc: int = WINDOWS_PER_DOC) -> Network | None:
+    """Learn from a sample of all languages that documents have."""
+    rows = sorted(sample(documents, max_docs, windows_per_doc).toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["lang"], r["windows"]))
+    return train([w for r in rows for w in r["windows"]], [r["lang"] for r in rows for _ in r["windows"]])
 
 
 def run_model(rows: DataFrame, net: Network | None) -> DataFrame:

@@ -118,5 +118,98 @@ def test_least_score_follows_the_number_of_languages(spark):
 
 def test_quality_sample_is_of_usable_rows(spark):
     docs = spark.createDataFrame([(k, None if k % 2 else "x" * 60_000) for k in range(200)] + [(1000 + k, "good text") for k in range(20)], "doc_id long, text string")
-    labels = spark.createDataFrame([(k, 1) for k in [*range(200), *range(500, 700), *range(1000, 1020)]], "doc_id long, quality int")
+    labels = spark.createDataFrame([(k, 1) for k in [*range(1, 200, 2), *range(500, 700), *range(1000, 1020)]], "doc_id long, quality int")
     assert q1.labelled(docs, labels, 5).count() == 5
+    long = q1.labelled(docs, labels.withColumn("doc_id", F.col("doc_id") * 2), 500).where("length(text) = 60000").count()
+    assert long == sum(crc(k) % 5 != 0 for k in range(2, 200, 4))  # long texts are in the sample like others
+
+
+def plain_features(text, bits=q1.BITS):
+    """Features of a text, each word and pair by itself."""
+    idx, offs = q1.features(pa.array([text]), bits)
+    return idx[offs[0] : offs[1]]
+
+
+def test_quality_equals_plain_ftrl(spark):
+    """Training by a plain loop over all weights, scoring by dense dot products."""
+    import random
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["good", "fine", "BAD!!", "$$$", "text", "é"]) for _ in range(rng.randint(1, 30))) for _ in range(60)]
+    quality = [int("BAD!!" not in t) for t in texts]
+    quality[0], quality[1] = 1, 0
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame(list(enumerate(quality)), "doc_id long, quality int")
+    weights, bias = q1.fit(df, labels)
+    ids = sorted((k for k in range(60) if crc(k) % 5), key=lambda k: (hash((k, 17)), k))
+    n1 = sum(quality[k] for k in ids)
+    size = 1 << q1.BITS
+    z, g2, w = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
+
+    def vector(text):
+        x = np.zeros(size + 1)
+        for f in plain_features(text):
+            x[f] += 1
+        x /= np.sqrt((x**2).sum()) or 1
+        x[size] = 1
+        return x
+
+    def solve():
+        return np.where(np.abs(z) <= q1.L1, 0, (np.sign(z) * q1.L1 - z) / ((q1.BETA + np.sqrt(g2)) / q1.ALPHA + q1.L2))
+
+    for _ in range(q1.EPOCHS):
+        for k in ids:
+            x, w = vector(texts[k]), solve()
+            p = 1 / (1 + np.exp(-(w @ x)))
+            g = (p - quality[k]) * len(ids) / (2 * (n1 if quality[k] else len(ids) - n1)) * x
+            some = x > 0
+            z[some] += (g - (np.sqrt(g2 + g * g) - np.sqrt(g2)) / q1.ALPHA * w)[some]
+            g2[some] += (g * g)[some]
+    w = solve()
+    assert np.allclose(w[:size], weights, atol=1e-5) and abs(w[size] - bias) < 1e-5
+    got = {r.doc_id: r.score for r in q1.score_documents(df, (weights, bias)).collect()}
+    for k, t in enumerate(texts):
+        assert abs(got[k] - 1 / (1 + np.exp(-(w @ vector(t))))) < 1e-4
+
+
+def test_language_equals_plain_network(spark):
+    """Predictions by plain convolutions over all windows of whole texts, with the parameters of the trained tables."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    net = q4.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    rows = {r.d.doc_id: r for r in q4.run_model(docs.select(F.struct("doc_id", "text").alias("d")), net).collect()}
+    for r in docs.collect():
+        raw = (r.text or "").encode()
+        total = np.zeros(len(net.langs))
+        step = q4.WINDOW - max(q4.WIDTHS) + 1
+        at = 0
+        while raw:
+            part = raw[at : at + q4.WINDOW]
+            x = np.array([list(part) + [q4.PAD] * (q4.WINDOW - len(part))], np.uint8)
+            best = []
+            for k, w in enumerate(q4.WIDTHS):
+                sums = []
+                for i in range(q4.WINDOW - w + 1):
+                    lanes = []
+                    for lane in range(q4.FILTERS // 4):
+                        v = sum(net.tables[k][s][lane][[int(x[0, i + 2 * s]) * 256 + int(x[0, i + 2 * s + 1]) if 2 * s + 1 < w else int(x[0, i + 2 * s])]].view(np.int16).astype(int) for s in range(len(net.tables[k])))
+                        lanes.append(v)
+                    sums.append(np.concatenate(lanes))
+                best.append(np.maximum(np.max(sums, axis=0) * net.unit[k] + net.bias[k], 0))
+            z = np.concatenate(best) @ net.out + net.out_bias
+            p = np.exp(z - z.max())
+            total += p / p.sum() * len(part)
+            if at + q4.WINDOW >= len(raw):
+                break
+            at += step
+            if at > 4000:  # the test's own bound: longer texts are not compared
+                raw = b""
+        if raw and any(c.isalpha() for c in r.text):
+            total /= total.sum()
+            assert rows[r.doc_id].lang_pred == net.langs[int(total.argmax())] and abs(rows[r.doc_id].score - total.max()) < 1e-3
+
+
+def test_letters_are_letters(spark):
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(["½ ²", "Ⅷ", "①", "1_2", "ªº", "ʰ", "字", "a", "١٢", None, "… é"])], "doc_id long, text string")
+    net = q4.train([b"some text here"] * 3, ["en"] * 3, steps=2)
+    got = {r.d.doc_id: r.lang_pred for r in q4.run_model(df.select(F.struct("doc_id", "text").alias("d")), net).collect()}
+    assert [k for k in sorted(got) if got[k] == "und"] == [0, 1, 2, 3, 8, 9]
