@@ -28,13 +28,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytesvec as bv
-from .common import Scratch, in_units, materialize, tasks, text_slices, trimmed
+from .common import Scratch, in_units, materialize, tasks, text_slices, trimmed, whole_groups
 from .components import Forest, components
 
 SHINGLE = 3
 RADIUS = 3
 SEED = 42
 SHARD_NODES = 4000
+#: Nodes of a task whose trees are held at once.
+BATCH_NODES = 200_000
 #: (node, node) pairs that a search holds at once.
 FRONTIER = 1_000_000
 
@@ -170,12 +172,9 @@ def joined(group: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    group, fps = [], []
-    for batch in batches:
-        group.append(batch.column("unit").to_numpy(zero_copy_only=False))
-        fps.append(batch.column("fp").to_numpy(zero_copy_only=False))
-    if group:
-        child, root = joined(np.concatenate(group), np.concatenate(fps).view(np.uint64))
+    """Links of all units of a task, some at a time. Rows come sorted by unit."""
+    for rows in whole_groups(batches, "unit", BATCH_NODES):
+        child, root = joined(rows.column("unit").to_numpy(), rows.column("fp").to_numpy().view(np.uint64))
         yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(root.view(np.int64))], ["u", "v"])
 
 
@@ -183,7 +182,7 @@ def links(scratch: Scratch, nodes: DataFrame, shard_nodes: int = SHARD_NODES) ->
     """Links (u, v) that join all nodes (distinct fp) within the radius of each other."""
     placed = nodes.select("fp").mapInArrow(trimmed(_to_shards), "shard long, fp long")
     units = in_units(scratch, placed, "shard", "fp", shard_nodes)
-    return units.repartition(tasks(nodes.sparkSession), "unit").mapInArrow(trimmed(_search), "u long, v long")
+    return units.repartition(tasks(nodes.sparkSession), "unit").sortWithinPartitions("unit").mapInArrow(trimmed(_search), "u long, v long")
 
 
 def rooted(scratch: Scratch, rows: DataFrame, least: F.Column) -> DataFrame:
@@ -219,14 +218,15 @@ def deduplicated(documents: DataFrame) -> DataFrame:
 
     Rows are told apart by doc_id and text, so different texts with one doc_id stay if their components differ. Of one
     doc_id in a component the smallest digest of doc_id and text stays; a row without a doc_id stays only if no row of its
-    component has one.
+    component has one. Of rows equal in both the smallest by the other columns stays.
     """
     scratch = Scratch(documents.sparkSession, "simhash")
     number = F.col("doc_id").cast("long")
     row = F.unhex(F.md5(F.concat(F.coalesce(number.cast("string"), F.lit("")), F.when(F.col("text").isNull(), ".").otherwise(":"), F.coalesce("text", F.lit("")))))
     rows = documents.select(number.alias("doc_id"), row.alias("row"), "text").mapInArrow(trimmed(_fingerprints), "doc_id long, row binary, fp long")
     tree = rooted(scratch, scratch.keep(rows, "fp"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    stays = tree.groupBy(F.coalesce("root", "fp")).agg(F.min("least").alias("least")).select(F.col("least.row").alias("__row"))
+    stays = tree.groupBy(F.coalesce("root", "fp")).agg(F.min("least").alias("least")).select(F.col("least.row").alias("row"))
     stays = materialize(stays, "simhash-stays")
     scratch.clear()
-    return documents.withColumn("__row", row).join(stays, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
+    kept = documents.select(row.alias("row"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("d")).join(stays, "row", "left_semi")
+    return kept.groupBy("row").agg(F.min("d").alias("d")).select("d.*")

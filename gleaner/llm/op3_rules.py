@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 SPACE = " \t\n\x0b\f\r"
 WINDOW = 5
 #: Fixed order of the bits; new rules are appended, and a bit is never given to another rule.
@@ -50,8 +52,8 @@ def bind(value: Column, body) -> Column:
 def repeated_words(words: Column) -> Column:
     """Words that lie in a window of WINDOW words which the text has twice or more, the first one included.
 
-    Windows are compared by a 64-bit hash of their words. Where all hashes differ (the usual case) nothing else is done;
-    else (hash, position) pairs are sorted, equal neighbours give the positions of repeated windows, and the
+    A 64-bit hash of the words comes first. Where all hashes of a text differ (the usual case) nothing else is done;
+    else (hash, words, position) are sorted, neighbours of equal words give the positions of repeated windows, and the
     words they cover are counted from the gaps between successive positions.
     """
     hashes = F.when(
@@ -60,10 +62,10 @@ def repeated_words(words: Column) -> Column:
     ).otherwise(F.array().cast("array<bigint>"))
 
     def covered(h: Column) -> Column:
-        ordered = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
+        ordered = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), F.slice(words, i + 1, WINDOW).alias("w"), i.alias("p"))))
 
         def positions(s: Column) -> Column:
-            twice = F.filter(s, lambda x, j: (F.get(s, j - 1)["h"].eqNullSafe(x["h"])) | (F.get(s, j + 1)["h"].eqNullSafe(x["h"])))
+            twice = F.filter(s, lambda x, j: (F.get(s, j - 1)["w"].eqNullSafe(x["w"])) | (F.get(s, j + 1)["w"].eqNullSafe(x["w"])))
             return F.sort_array(F.transform(twice, lambda x: x["p"]))
 
         def count(p: Column) -> Column:
@@ -151,12 +153,21 @@ def ablations(rows: DataFrame, policy: Policy) -> DataFrame:
     )
 
 
+def sole_rule(failed: Column, policy: Policy) -> Column:
+    """The rule that alone drops a document under the policy: the name of the one bit beyond what is tolerated, else null."""
+    bits = failed.bitwiseAND(F.lit(policy.mask).cast("long"))
+    names = [F.when(bits == (1 << RULES.index(r)), F.lit(r)) for r in policy.rules]
+    return F.when(F.bit_count(bits) == policy.tolerated + 1, F.coalesce(*names)) if policy.tolerated == 0 else F.lit(None).cast("string")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ledger(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """The ledger is written once; all policies, and the rule that alone decides, are read off its bits."""
+    rows = materialize(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")), "rules-ledger")
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return rows.select(
         F.col("doc_id").cast("long"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base.alias("base_failed"), (~base & verdict(F.col("failed"), POLICIES[CURRENT])).alias("kept"), F.col("failed").alias("failed_rules"),
+        *[verdict(F.col("failed"), p).alias(f"kept_{v}") for v, p in POLICIES.items()], sole_rule(F.col("failed"), POLICIES[CURRENT]).alias("sole_rule"),
     )
 
 
@@ -177,5 +188,7 @@ f AS (SELECT *, (n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_word
   + 8 * (100 * n_dup_lines > 30 * n_lines)::BIGINT + 16 * (word_chars < 2 * n_words)::BIGINT + 32 * (word_chars > 25 * n_words)::BIGINT
   + 64 * (100 * n_ex > 10 * n_words)::BIGINT + 128 * (100 * n_bars > 20 * n_words)::BIGINT + 256 * (100 * n_up > 40 * word_chars)::BIGINT AS failed_rules FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
-  (failed_rules & 495) = 0 AS kept, failed_rules FROM f
+  (failed_rules & 495) = 0 AS kept, failed_rules, (failed_rules & 15) = 0 AS kept_v1, (failed_rules & 495) = 0 AS kept_v2,
+  CASE failed_rules & 495 WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_words' WHEN 4 THEN 'symbols' WHEN 8 THEN 'duplicate_lines' WHEN 32 THEN 'long_words'
+    WHEN 64 THEN 'shouting' WHEN 128 THEN 'tables' WHEN 256 THEN 'upper_case' END AS sole_rule FROM f
 """

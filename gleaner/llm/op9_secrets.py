@@ -105,10 +105,11 @@ def findings(documents: DataFrame, ledger: DataFrame) -> DataFrame:
     """(doc_id, findings) of every row: an empty list where its blob has none.
 
     Only blobs with findings are joined. Rows are joined by blob; copies of one text make a hot key on the side of the
-    documents, whose rows hold no text here and which the skew join of adaptive execution splits.
+    documents, whose rows hold no text here and which the skew join of adaptive execution splits. Two scans at once may
+    both append a pair; it counts once.
     """
     paths = documents.select(F.col("doc_id").cast("long").alias("doc_id"), address(F.col("text")).alias("blob"))
-    hits = ledger.where(F.size("findings") > 0).select("blob", "findings")
+    hits = ledger.where(F.size("findings") > 0).select("blob", "findings").dropDuplicates(["blob"])
     empty = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     return paths.join(hits, "blob", "left").select("doc_id", F.coalesce("findings", empty).alias("findings"))
 
