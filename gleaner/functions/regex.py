@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import re
 
 import pandas as pd
@@ -13,16 +14,51 @@ from pyspark.sql import functions as F
 from ..spec import SpecError
 
 TIMEOUT_S = 5.0
+#: Repeats up to which a bounded quantifier counts as cheap.
+SMALL = 16
+log = logging.getLogger("gleaner.regex")
+
+
+#: A pattern as a row of tokens: escapes (with what belongs to them), classes, openings of groups, quantifiers, single characters.
+_TOKEN = re.compile(r"\\k<\w+>|\\k'\w+'|\\[pP]\{\w+\}|\\.|\[\^?\]?(?:\\.|\[:\w+:\]|[^\]\\])*\]|\(\?<[A-Za-z_]\w*>|\(\?[^)]?|[*+?][+?]?|\{\d+(?:,\d*)?\}[+?]?|.", re.DOTALL)
+
+
+def tokens(pattern: str) -> list[str]:
+    return _TOKEN.findall(pattern)
 
 
 def java_pattern(pattern: str, case_sensitive: bool) -> str:
     """The pattern for rlike: Unicode classes, only line feed ends a line, and Unicode case folding if case is ignored.
 
-    Group names of letters, digits and underscores lose the underscores, which Java does not allow.
+    Names of groups, and references to them, lose the underscores, which Java does not allow; classes and escapes stay as they are.
     """
-    named = re.sub(r"\(\?<([A-Za-z_]\w*)>", lambda m: f"(?<{plain_name(m[1])}>", pattern)
-    named = re.sub(r"\\k<([A-Za-z_]\w*)>", lambda m: f"\\k<{plain_name(m[1])}>", named)
-    return f"(?{'' if case_sensitive else 'iu'}dU)" + named
+
+    def java(token: str) -> str:
+        name = re.fullmatch(r"(\(\?|\\k)<([A-Za-z_]\w*)>", token)
+        return f"{name[1]}<{plain_name(name[2])}>" if name else token
+
+    return f"(?{'' if case_sensitive else 'iu'}dU)" + "".join(map(java, tokens(pattern)))
+
+
+def quick(pattern: str) -> bool:
+    """Whether a match can be seen to take no more than about the square of the length of a text: then no limit of time is needed.
+
+    That is so without references, look-around and conditions, if no group is repeated and at most one single character or class
+    is repeated without a bound of SMALL.
+    """
+    found, many = tokens(pattern), 0
+    for k, token in enumerate(found):
+        if token.startswith("(?") and token not in ("(?:",) and not re.fullmatch(r"\(\?<\w+>", token):
+            return False
+        if re.fullmatch(r"\\[1-9]|\\k.*", token, re.DOTALL):
+            return False
+        if k and re.fullmatch(r"[*+][+?]?|\{.*\}[+?]?", token):
+            most = re.fullmatch(r"\{(\d+)(,?)(\d*)\}[+?]?", token)
+            bound = int(most[3] or (0 if most[2] else most[1])) if most else 0
+            if found[k - 1] == ")" and bound != 1:
+                return False
+            many += not 0 < bound <= SMALL
+    return many <= 1
 
 
 def plain_name(name: str) -> str:
@@ -39,35 +75,41 @@ def compiles(spark: SparkSession, pattern: str) -> bool:
 
 
 def _module_pattern(pattern: str, case_sensitive: bool):
+    """The pattern for the `regex` module, which spells references to named groups in its own way."""
     import regex
 
+    pattern = "".join(re.sub(r"^\\k[<'](\w+)[>']$", r"(?P=\1)", x) for x in tokens(pattern))
     return regex.compile(pattern, regex.VERSION0 | regex.UNICODE | (0 if case_sensitive else regex.IGNORECASE))
 
 
+def search_within(compiled, text: str, timeout_s: float) -> bool:
+    """Whether the pattern is found in time."""
+    try:
+        return compiled.search(text, timeout=timeout_s) is not None
+    except TimeoutError:
+        log.warning("the pattern %r took more than %s s on a text of %d characters, which counts as no match", compiled.pattern, timeout_s, len(text))
+        return False
+
+
 def timed_match(content: Column, pattern: str, case_sensitive: bool, timeout_s: float = TIMEOUT_S) -> Column:
-    """Match by the `regex` module in Arrow batches; a call of more than timeout_s counts as no match."""
+    """Match by the `regex` module in Arrow batches; a call of more than timeout_s counts as no match and is logged."""
 
     @F.pandas_udf("boolean")
     def found(values: pd.Series) -> pd.Series:
         compiled = _module_pattern(pattern, case_sensitive)
 
-        def one(v: str | None) -> bool | None:
-            if v is None:
-                return None
-            try:
-                return compiled.search(v, timeout=timeout_s) is not None
-            except TimeoutError:
-                return False
-
-        return values.map(one).astype("boolean")
+        return values.map(lambda v: None if v is None else search_within(compiled, v, timeout_s)).astype("boolean")
 
     return found(content)
 
 
 def regex_match(spark: SparkSession, content: Column, pattern: str, case_sensitive: bool, timeout_s: float | None = None) -> Column:
-    """Predicate for a pattern anywhere in the content. Java's engine where it accepts the pattern and no limit of time is asked for."""
+    """Predicate for a pattern anywhere in the content, with a limit of time for each call where it could take long.
+
+    Java's engine, which knows no limit, where it accepts the pattern, the pattern is quick and no limit is asked for.
+    """
     java = java_pattern(pattern, case_sensitive)
-    if timeout_s is None and compiles(spark, java):
+    if timeout_s is None and quick(pattern) and compiles(spark, java):
         return content.rlike(java)
     return timed_match(content, pattern, case_sensitive, timeout_s or TIMEOUT_S)
 
@@ -77,8 +119,9 @@ def validate(spark: SparkSession, keywords: list[str], case_sensitive: bool) ->
     import regex
 
     for k in keywords:
-        if not compiles(spark, java_pattern(k, case_sensitive)):
-            try:
-                _module_pattern(k, case_sensitive)
-            except regex.error as e:
-                raise SpecError(f"the keyword {k!r} is not a valid pattern: {e}") from None
+        if quick(k) and compiles(spark, java_pattern(k, case_sensitive)):
+            continue
+        try:
+            _module_pattern(k, case_sensitive)
+        except regex.error as e:
+            raise SpecError(f"the keyword {k!r} is not a valid pattern: {e}") from None

@@ -62,6 +62,21 @@ def unescape_line(c: Column | str) -> Column:
     return F.array_join(F.transform(out, codes), "\\")
 
 
+def index_line() -> Column:
+    """An entry as one line of six fields divided by tabs; only the content is escaped."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return F.concat_ws("\t", "file_path", F.col("line_number").cast("string"), text("sheet_name"), text("cell_address"), text("object_name"), escape_line("content"))
+
+
+def parse_index_line(c: Column | str) -> Column:
+    """The entry of a line: null if it has less than six fields; a number that is none is 0, an empty field null."""
+    part = F.split(col(c), "\t", -1)
+    field = lambda k: F.nullif(F.get(part, F.lit(k)), F.lit(""))
+    number = F.coalesce(F.get(part, F.lit(1)).try_cast("int"), F.lit(0))
+    entry = F.struct(F.get(part, F.lit(0)).alias("file_path"), number.alias("line_number"), field(2).alias("sheet_name"), field(3).alias("cell_address"), field(4).alias("object_name"), unescape_line(F.get(part, F.lit(5))).alias("content"))
+    return F.when(F.size(part) >= 6, entry)
+
+
 def file_name(c: Column | str) -> Column:
     return F.regexp_extract(col(c), r"[^/\\]+$", 0)
 

@@ -12,6 +12,10 @@ from ..functions.text import extension
 from ..spec import EXCEL, SearchSpec
 
 
+#: What names a row of a spreadsheet.
+ROW = ["file_path", "sheet_name", "line_number"]
+
+
 def plain_match(content: Column, keyword: str, case_sensitive: bool) -> Column:
     return F.contains(content, F.lit(keyword)) if case_sensitive else F.contains(F.lower(content), F.lower(F.lit(keyword)))
 
@@ -51,30 +55,53 @@ def prefilter(text: Column, spec: SearchSpec) -> Column | None:
     return (every if spec.match_all else some)([plain_match(text, k, spec.case_sensitive) for k in keywords])
 
 
-def row_match(spark: SparkSession, entries: DataFrame, spec: SearchSpec, keys: list[str] | None = None, timeout_s: float | None = None) -> DataFrame:
-    """Entries that match, where for cells of spreadsheets all keywords must be found in the cell's row.
+def needed(spec: SearchSpec) -> tuple[str, ...]:
+    """Keywords that the whole text of a file must hold for a line of it to match, for readers to test; none where that is not certain.
+
+    Of keywords beyond ASCII the lower case can depend on the characters around.
+    """
+    keywords = spec.active()
+    if spec.regex or not all(k.isascii() and "\n" not in k and "\r" not in k for k in keywords):
+        return ()
+    return tuple(k if spec.case_sensitive else k.lower() for k in keywords)
+
+
+def is_cell() -> Column:
+    """Entries that are cells of spreadsheets: with a row, an address and no object."""
+    filled = F.coalesce(F.col("cell_address"), F.lit("")) != ""
+    return extension("file_path").isin(*EXCEL) & (F.col("line_number") > 0) & filled & (F.coalesce(F.col("object_name"), F.lit("")) == "")
+
+
+def sheet_match(spark: SparkSession, entries: DataFrame, spec: SearchSpec, keys: list[str] | None = None, timeout_s: float | None = None) -> DataFrame:
+    """Cells that match, where all keywords must be found in the cell's row.
 
     A row is the cells of one (file, sheet, line), joined by line feeds in their order. Of a row that satisfies all
-    keywords the cells that hold at least one are kept. Entries that are no cells match by themselves. For plain
-    keywords without line feeds the row need not be built: a row holds a keyword if one of its cells does, so boolean
-    windows do, and cells of one row are brought together by the keys alone.
+    keywords the cells that hold at least one are kept. For plain keywords without line feeds the row need not be built: a
+    row holds a keyword if one of its cells does, so boolean windows do, and only cells that hold a keyword are brought
+    together. Else all cells are, by the keys.
     """
-    keys = keys or ["file_path", "sheet_name", "line_number"]
-    content = F.col("content")
-    cell = extension("file_path").isin(*EXCEL) & (F.col("line_number") > 0) & F.col("cell_address").isNotNull() & (F.col("cell_address") != "") & (F.coalesce(F.col("object_name"), F.lit("")) == "")
-    own = each_match(spark, content, spec, timeout_s)
+    own = each_match(spark, F.col("content"), spec, timeout_s)
     if not spec.match_all:
         return entries.where(some(own))
     names = [f"__k{i}" for i in range(len(own))]
-    marked = entries.withColumns({n: m for n, m in zip(names, own, strict=True)} | {"__cell": cell, "__alone": F.when(cell, -1).otherwise(F.col("entry_ord"))})
-    row = Window.partitionBy(*keys, "__cell", "__alone")  # what is no cell stands alone, and is dealt evenly
+    row = Window.partitionBy(*(keys or ROW))
+    any_of, all_of = some([F.col(n) for n in names]), every([F.bool_or(n).over(row) for n in names])
+    marked = entries.withColumns(dict(zip(names, own, strict=True)))
     if not spec.regex and not any("\n" in k for k in spec.active()):
-        marked = marked.where(some([F.col(n) for n in names]))  # cells that hold none cannot make a row match
-        whole = every([F.bool_or(n).over(row) for n in names])
-    else:
-        ordered = row.orderBy("entry_ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        marked = marked.withColumn("__row", F.when(F.col("__cell"), F.array_join(F.collect_list("content").over(ordered), "\n")))
-        whole = every(each_match(spark, F.col("__row"), spec, timeout_s))
-    marked = marked.withColumn("__whole", whole)
-    kept = F.when(F.col("__cell"), F.col("__whole") & some([F.col(n) for n in names])).otherwise(every([F.col(n) for n in names]))
-    return marked.where(kept).select(*entries.columns)
+        marked = marked.where(any_of)  # cells that hold none cannot make a row match
+        return marked.withColumn("__whole", all_of).where("__whole").select(*entries.columns)
+    ordered = row.orderBy("entry_ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    marked = marked.withColumn("__row", F.array_join(F.collect_list("content").over(ordered), "\n")).where(any_of)
+    return marked.where(every(each_match(spark, F.col("__row"), spec, timeout_s))).select(*entries.columns)
+
+
+def row_match(spark: SparkSession, entries: DataFrame, spec: SearchSpec, keys: list[str] | None = None, timeout_s: float | None = None) -> DataFrame:
+    """Entries that match: cells by their rows, all others by themselves.
+
+    Only cells are shuffled. Both kinds are taken from `entries`, which is read for each; where that is dear, and the files are
+    known apart, entry_match and sheet_match do for each.
+    """
+    own = entry_match(spark, F.col("content"), spec, timeout_s)
+    if not spec.match_all:
+        return entries.where(own)
+    return entries.where(~is_cell()).where(own).unionAll(sheet_match(spark, entries.where(is_cell()), spec, keys, timeout_s))

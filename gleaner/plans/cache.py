@@ -1,24 +1,30 @@
 """Cache of extracted entries: files that have not changed are not read again.
 
-Two Parquet tables in the cache folder. `entries` holds what readers gave, partitioned by the batch that wrote it;
-`manifest` has a row for each file and batch: when the file was last changed, the mode of formulas, the failure if any.
-A file is a hit if its newest manifest row was written without failure, differs by less than a second in time,
-and, for spreadsheets, was read in the same mode.
+Two Parquet tables in the cache folder, partitioned by the batch that wrote them. `entries` holds what readers gave; `manifest`
+has a row for each file and batch: when the file was last changed, the target of the search, the mode of formulas, the labels, the
+failure if any. A file is a hit if its newest manifest row was written without failure, differs by less than a second
+in time, has the same labels, and, for spreadsheets, was read in the same mode.
+
+The time of a file is that of the listing from which it was read, and the listing is taken once: a file that changes while it
+is read keeps its old time in the manifest and is read again by the next search.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..schema import ENTRY
+from ..schema import ENTRY, LABELS
 from ..sources.readers import EXTRACTED
 from ..spec import EXCEL
 
 TOLERANCE_US = 1_000_000
-MANIFEST = "file_path string, modified timestamp, formulas boolean, error string, written timestamp, batch string"
+MANIFEST = "file_path string, modified timestamp, formulas boolean, labels string, target string, error string, written timestamp, batch string"
 
 
 def _path(spark: SparkSession, folder: str):
@@ -41,38 +47,55 @@ def fresh(modified: Column, stored: Column) -> Column:
     return F.abs(F.unix_micros(modified) - F.unix_micros(stored)) < TOLERANCE_US
 
 
-def valid(files: DataFrame, manifest: DataFrame, formulas: bool) -> Column:
+def digest(labels: dict[str, str]) -> str:
+    return hashlib.md5(json.dumps(labels, sort_keys=True).encode()).hexdigest()
+
+
+def valid(files: DataFrame, manifest: DataFrame, formulas: bool, labels: str) -> Column:
     """Condition of a hit between a file and a manifest row."""
     same_mode = (manifest["formulas"] == F.lit(formulas)) | ~files["ext"].isin(*EXCEL)
-    return (files["file_path"] == manifest["file_path"]) & fresh(files["modified"], manifest["modified"]) & same_mode & manifest["error"].isNull()
+    return (files["file_path"] == manifest["file_path"]) & fresh(files["modified"], manifest["modified"]) & same_mode & (manifest["labels"] == F.lit(labels)) & manifest["error"].isNull()
 
 
 class EntryCache:
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    """Entries of the files of one target; other targets may share the folder."""
+
+    def __init__(self, spark: SparkSession, folder: str, target: str = "", labels: dict[str, str] = LABELS):
+        self.spark, self.folder, self.target, self.labels = spark, folder.rstrip("/"), target, digest(labels)
+
+    def rows(self) -> DataFrame:
+        where = f"{self.folder}/manifest"
+        return self.spark.read.schema(MANIFEST).parquet(where) if exists(self.spark, where) else self.spark.createDataFrame([], MANIFEST)
 
     def manifest(self) -> DataFrame:
         """The newest row of each file."""
-        where = f"{self.folder}/manifest"
-        rows = self.spark.read.schema(MANIFEST).parquet(where) if exists(self.spark, where) else self.spark.createDataFrame([], MANIFEST)
-        newest = F.max_by(F.struct("modified", "formulas", "error", "batch"), F.struct("written", "batch"))
-        return rows.groupBy("file_path").agg(newest.alias("m")).select("file_path", "m.*")
+        newest = F.max_by(F.struct("modified", "formulas", "labels", "error", "batch"), F.struct("written", "batch"))
+        return self.rows().groupBy("file_path").agg(newest.alias("m")).select("file_path", "m.*")
+
+    def listed(self, files: DataFrame) -> DataFrame:
+        """The listing, taken once: what is read, stored and compared is one state of the folder. forget() deletes it."""
+        self.listing = f"{self.folder}/listing/{uuid.uuid4().hex}"
+        files.write.parquet(self.listing)
+        return self.spark.read.schema(files.schema).parquet(self.listing)
+
+    def forget(self) -> None:
+        delete(self.spark, self.listing)
 
     def hits(self, files: DataFrame, formulas: bool) -> DataFrame:
         """(file_path, file_ord, batch) of files whose entries can be loaded."""
         m = self.manifest()
-        return files.join(m, valid(files, m, formulas)).select(files["file_path"], files["file_ord"], m["batch"])
+        return files.join(m, valid(files, m, formulas, self.labels)).select(files["file_path"], files["file_ord"], m["batch"])
 
     def misses(self, files: DataFrame, formulas: bool) -> DataFrame:
         m = self.manifest()
-        return files.join(m, valid(files, m, formulas), "left_anti")
+        return files.join(m, valid(files, m, formulas, self.labels), "left_anti")
 
     def load(self, hits: DataFrame) -> DataFrame:
         """Stored entries of the hits, with the order that files have now."""
         where = f"{self.folder}/entries"
         if not exists(self.spark, where):
             return self.spark.createDataFrame([], ENTRY)
-        rows = self.spark.read.parquet(where).where("error IS NULL").drop("file_ord")
+        rows = self.spark.read.schema(T.StructType([*EXTRACTED.fields, T.StructField("batch", T.StringType())])).parquet(where).where("error IS NULL").drop("file_ord")
         return rows.join(hits, ["file_path", "batch"]).select(*ENTRY.names)
 
     def store(self, files: DataFrame, extracted: DataFrame, formulas: bool) -> DataFrame:
@@ -83,9 +106,12 @@ class EntryCache:
         rows = self.spark.read.schema(EXTRACTED).parquet(where)
         failed = rows.where("error IS NOT NULL").groupBy("file_path").agg(F.first("error").alias("error"))
         done = files.select("file_path", "modified").join(failed, "file_path", "left")
-        done = done.select("file_path", "modified", F.lit(formulas).alias("formulas"), "error", F.current_timestamp().alias("written"), F.lit(batch).alias("batch"))
-        done.write.mode("append").parquet(f"{self.folder}/manifest")
+        done = done.select("file_path", "modified", F.lit(formulas).alias("formulas"), F.lit(self.labels).alias("labels"), F.lit(self.target).alias("target"), "error", F.current_timestamp().alias("written"))
+        done.write.parquet(f"{self.folder}/manifest/batch={batch}")
         return rows
 
     def clear(self) -> None:
-        delete(self.spark, self.folder)
+        """Delete what searches of this target have stored. There is one batch for each search."""
+        for r in self.rows().where(F.col("target") == self.target).select("batch").distinct().toLocalIterator():
+            for table in ("manifest", "entries"):
+                delete(self.spark, f"{self.folder}/{table}/batch={r['batch']}")

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.regex import validate
+from ..functions.text import extension
 from ..operators import match, results
 from ..schema import ENTRY, LABELS
 from ..sources import listing, readers
 from ..sources.formats.base import Options
-from ..spec import SearchSpec
+from ..spec import EXCEL, SearchSpec
 from .cache import EntryCache
 
 
@@ -22,46 +25,70 @@ class Search:
         self.spark, self.spec, self.labels = spark, spec, labels
         if spec.regex:
             validate(spark, spec.active(), spec.case_sensitive)
-        self._extracted: DataFrame | None = None
-        self._entries: DataFrame | None = None
+        self._parts: list[DataFrame] | None = None
+        self._stored: DataFrame | None = None
+        self._cache: EntryCache | None = None
+
+    def close(self) -> None:
+        """Delete the listing that a cached search rests on. Its results must be written by now."""
+        if self._cache is not None:
+            self._cache.forget()
 
     def files(self) -> DataFrame:
         return listing.files(self.spark, self.spec)
 
     def _spread(self, files: DataFrame) -> DataFrame:
-        """Listing gives a partition for each folder; reading deals files anew."""
+        """Listing gives a partition for some folders; reading deals files anew."""
         return files.repartition("file_path")
 
-    def extracted(self) -> DataFrame:
-        """What readers give for the files that must be read, failures included."""
-        if self._extracted is None:
+    def _kinds(self, files: DataFrame) -> list[DataFrame]:
+        """Files whose entries match by themselves, and those whose cells match by rows, if there can be any."""
+        spec = self.spec
+        if not spec.match_all or not any(spec.accepts(x) for x in EXCEL):
+            return [files]
+        sheet = F.col("ext").isin(*EXCEL)
+        return [files.where(~sheet), files.where(sheet)]
+
+    def _plan(self) -> list[DataFrame]:
+        """Entries and failures of the files, by kind."""
+        if self._parts is None:
             options = Options(formulas=self.spec.formulas, labels=dict(self.labels))
-            files = self.files()
             if self.spec.cache is None:
-                self._extracted = readers.extract(self._spread(files), options)
+                options = replace(options, needed=match.needed(self.spec), needed_all=self.spec.match_all, fold=not self.spec.case_sensitive)
+                self._parts = [readers.extract(self._spread(x), options) for x in self._kinds(self.files())]
             else:
-                cache = EntryCache(self.spark, self.spec.cache)
+                cache = EntryCache(self.spark, self.spec.cache, self.spec.root(), dict(self.labels))
                 if self.spec.rebuild_cache:
                     cache.clear()
+                files, self._cache = cache.listed(self.files()), cache
                 hits = cache.load(cache.hits(files, self.spec.formulas))
                 missing = cache.misses(files, self.spec.formulas)
-                self._extracted = cache.store(missing, readers.extract(self._spread(missing), options), self.spec.formulas)
-                self._entries = hits.unionByName(readers.entries(self._extracted))
-        return self._extracted
+                stored = cache.store(missing, readers.extract(self._spread(missing), options), self.spec.formulas)
+                self._stored = stored
+                both = stored.unionByName(hits.withColumn("error", F.lit(None).cast("string")))
+                self._parts = [x.drop("ext") for x in self._kinds(both.withColumn("ext", extension("file_path")))]
+        return self._parts
+
+    def extracted(self) -> DataFrame:
+        """What readers give for the files that must be read, failures included."""
+        parts = self._plan()
+        return reduce(DataFrame.unionAll, parts) if self._stored is None else self._stored
 
     def entries(self) -> DataFrame:
         if self.spec.nothing_to_do():
             return self.spark.createDataFrame([], ENTRY)
-        extracted = self.extracted()
-        return self._entries if self._entries is not None else readers.entries(extracted)
+        return readers.entries(reduce(DataFrame.unionAll, self._plan()))
 
     def errors(self) -> DataFrame:
         return readers.errors(self.extracted())
 
     def matches(self) -> DataFrame:
+        """Entries that match. Rows of cells are brought together only where spreadsheets are searched for all keywords."""
         if self.spec.nothing_to_do():
             return self.entries()
-        return match.row_match(self.spark, self.entries(), self.spec)
+        alone, *sheets = [readers.entries(x) for x in self._plan()]
+        found = alone.where(match.entry_match(self.spark, F.col("content"), self.spec))
+        return reduce(DataFrame.unionAll, [match.row_match(self.spark, x, self.spec) for x in sheets], found)
 
     def results(self) -> DataFrame:
         """Matches with file name and location, in no order: orderBy("file_ord", "entry_ord") gives that of the files."""

@@ -40,3 +40,27 @@ LABELS = {
     "row": "Row",
     "object": "Object",
 }
+
+#: The same labels in Japanese.
+LABELS_JA = {
+    "comment": "コメント",
+    "shape": "図形",
+    "header": "ヘッダー",
+    "footer": "フッター",
+    "header_footer": "ヘッダー/フッター",
+    "properties": "文書プロパティ",
+    "hyperlink": "ハイパーリンク",
+    "alt_text": "代替テキスト",
+    "table_chart": "表/グラフ",
+    "smart_art": "SmartArt",
+    "slide": "スライド",
+    "slide_master": "スライドマスター",
+    "slide_layout": "スライドレイアウト",
+    "note": "ノート",
+    "document_info": "文章情報",
+    "page": "ページ",
+    "bookmark": "しおり",
+    "form_field": "フォーム",
+    "row": "行",
+    "object": "オブジェクト",
+}

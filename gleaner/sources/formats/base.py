@@ -27,6 +27,14 @@ class Options:
     formulas: bool = False
     strict_probe: bool = False
     labels: dict[str, str] = field(default_factory=lambda: dict(LABELS))
+    #: Keywords that a text must hold, all or any, for its lines to be of interest; fold: whatever their case.
+    needed: tuple[str, ...] = ()
+    needed_all: bool = True
+    fold: bool = True
+
+    def of_interest(self, text: str) -> bool:
+        text = text.lower() if self.needed and self.fold else text
+        return not self.needed or (all if self.needed_all else any)(k in text for k in self.needed)
 
 
 def blank(text: str | None) -> bool:

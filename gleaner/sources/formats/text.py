@@ -11,4 +11,5 @@ EXTENSIONS = (".txt",)
 
 
 def read(raw: bytes, options: Options) -> Iterator[Piece]:
-    return numbered_lines(new_lines(decode(raw, options.strict_probe)))
+    found = decode(raw, options.strict_probe)
+    return numbered_lines(new_lines(found)) if options.of_interest(found) else iter(())

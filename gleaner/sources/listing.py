@@ -1,7 +1,10 @@
 """Listing of a folder tree as a data source of Spark: `spark.read.format("folder")`.
 
-Spark's own file sources leave out names that begin with a dot or an underscore; this one lists them. Each first-level
-folder is a partition of its own, so that large trees are listed by several tasks, which must see the folder.
+Spark's own file sources leave out names that begin with a dot or an underscore; this one lists them. The upper levels of a tree
+are listed first, until there are some dozens of folders to deal to tasks, which must see the folder.
+
+A path is local, or a URI that Arrow's file systems know (s3, gs, hdfs, file and others), which tasks list and read themselves.
+Other URIs are left to Spark's binary file source, and so without hidden names.
 """
 
 from __future__ import annotations
@@ -11,9 +14,13 @@ import os
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.text import extension
 from ..spec import SearchSpec
 
 SCHEMA = "file_path string, ext string, modified timestamp, length long, file_ord long"
@@ -31,18 +38,49 @@ def skipped(folder: str, skip: list[str]) -> bool:
     return any(folder.startswith(s.lower()) for s in skip)
 
 
-def walk(top: str, skip: list[str], deep: bool = True) -> Iterator[tuple[str, os.stat_result]]:
-    """Files of a tree in the order of their names; what cannot be read is passed over; links to folders are not followed."""
-    for folder, folders, names in os.walk(top, onerror=None, followlinks=False):
-        folders[:] = sorted(f for f in folders if deep and not skipped(os.path.join(folder, f), skip))
-        if skipped(folder, skip):
-            continue
-        for name in sorted(names):
-            path = os.path.join(folder, name)
-            try:
-                yield path, os.stat(path)
-            except OSError:
-                continue
+def store(uri: str) -> tuple[pafs.FileSystem, str] | None:
+    """Arrow's file system of a URI and the path in it; None if it knows none."""
+    try:
+        return pafs.FileSystem.from_uri(uri)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return None
+
+
+def scan(top: str, skip: list[str]) -> tuple[list[str], list[tuple[str, datetime, int]]]:
+    """Folders and files (path, time, size) in a folder, by name; what cannot be read is passed over, links to folders are not followed."""
+    folders, found = [], []
+    if "://" in top:
+        system, path = store(top)
+        for x in system.get_file_info(pafs.FileSelector(path, allow_not_found=True)):
+            name = f"{top.rstrip('/')}/{x.base_name}"
+            if x.type == pafs.FileType.Directory:
+                folders.append(name)
+            elif x.type == pafs.FileType.File:
+                found.append((name, x.mtime or datetime.fromtimestamp(0, timezone.utc), x.size or 0))
+    else:
+        try:
+            with os.scandir(top) as entries:
+                for e in entries:
+                    try:
+                        if e.is_dir(follow_symlinks=False):
+                            folders.append(e.path)
+                        elif not e.is_dir():
+                            stat = e.stat()
+                            found.append((e.path, datetime.fromtimestamp(stat.st_mtime, timezone.utc), stat.st_size))
+                    except OSError:
+                        continue
+        except OSError:
+            return [], []
+    return sorted(f for f in folders if not skipped(f, skip)), sorted(found)
+
+
+def walk(top: str, skip: list[str], deep: bool = True) -> Iterator[tuple[str, datetime, int]]:
+    """Files of a tree, those of a folder before those of the folders in it."""
+    waiting = [top]
+    while waiting:
+        folders, found = scan(waiting.pop(), skip)
+        yield from found
+        waiting += reversed(folders) if deep else []
 
 
 class Part(InputPartition):
@@ -50,6 +88,10 @@ class Part(InputPartition):
         self.number, self.top, self.deep = number, top, deep
 
 
+#: Folders that are enough to keep tasks busy, and levels that are listed first at most.
+FOLDERS, LEVELS = 64, 4
+
+
 class FolderReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.root = options["path"]
@@ -58,18 +100,23 @@ class FolderReader(DataSourceReader):
         self.skip: list[str] = json.loads(options.get("skip", "[]"))
 
     def partitions(self) -> list[InputPartition]:
-        if not os.path.isdir(self.root):
+        if "://" not in self.root and not os.path.isdir(self.root):
             raise ValueError(f"the folder {self.root} cannot be listed")
-        with os.scandir(self.root) as found:
-            folders = sorted(e.path for e in found if e.is_dir(follow_symlinks=False) and not skipped(e.path, self.skip))
-        return [Part(0, self.root, False), *(Part(k, f, True) for k, f in enumerate(folders, 1))]
+        flat, deep = [], [self.root]
+        for _ in range(LEVELS):
+            if len(deep) >= FOLDERS:
+                break
+            flat += deep
+            deep = [f for top in deep for f in scan(top, self.skip)[0]]
+        parts = sorted([(f, False) for f in flat] + [(f, True) for f in deep])
+        return [Part(k, *p) for k, p in enumerate(parts)]
 
     def read(self, part: Part) -> Iterator[tuple]:
-        for n, (path, stat) in enumerate(walk(part.top, self.skip, part.deep)):
-            ext = extension_of(os.path.basename(path))
+        for n, (path, modified, size) in enumerate(walk(part.top, self.skip, part.deep)):
+            ext = extension_of(path.rsplit("/", 1)[-1])
             if ext in self.exclude or (self.include and ext not in self.include):
                 continue
-            yield path, ext, datetime.fromtimestamp(stat.st_mtime, timezone.utc), stat.st_size, (part.number << 32) + n
+            yield path, ext, modified, size, (part.number << 32) + n
 
 
 class FolderSource(DataSource):
@@ -85,7 +132,35 @@ class FolderSource(DataSource):
 
 
 def files(spark: SparkSession, spec: SearchSpec) -> DataFrame:
-    """Files that a search reads: (file_path, ext, modified, length, file_ord)."""
+    """Files that a search reads: (file_path, ext, modified, length, file_ord), and content where Spark alone can read them."""
+    root = spec.root()
+    if "://" in root and store(root) is None:
+        return filtered(opened(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)), spec)
     spark.dataSource.register(FolderSource)
     options = {"include": json.dumps(spec.included()), "exclude": json.dumps(spec.excluded()), "skip": json.dumps(spec.skipped_folders())}
-    return spark.read.format("folder").options(**options).load(spec.root())
+    return spark.read.format("folder").options(**options).load(root)
+
+
+def opened(found: DataFrame) -> DataFrame:
+    """Files of Spark's binary source (path, modificationTime, length, content) as readers take them."""
+    path = F.regexp_replace("path", "^file:(//)?", "")
+    return found.select(path.alias("file_path"), extension("path").alias("ext"), F.col("modificationTime").alias("modified"), "length", F.xxhash64("path").alias("file_ord"), "content")
+
+
+def filtered(found: DataFrame, spec: SearchSpec) -> DataFrame:
+    """Without files in skipped folders, of excluded extensions, and of others than those included."""
+    for x in spec.skipped_folders():
+        found = found.where(~F.startswith(F.lower("file_path"), F.lit(x.lower())))
+    if spec.excluded():
+        found = found.where(~F.col("ext").isin(*spec.excluded()))
+    return found if spec.include_all else found.where(F.col("ext").isin(*spec.included()))
+
+
+def content(path: str) -> bytes:
+    """The bytes of a file, by its path or URI."""
+    if "://" in path:
+        system, inside = store(path)
+        with system.open_input_stream(inside) as f:
+            return f.read()
+    with open(path, "rb") as f:
+        return f.read()

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..schema import ENTRY
 from .formats import doc, docx, pdf, ppt, pptx, text, xls, xlsx
 from .formats.base import Options, Piece
+from .listing import content
 
 Reader = Callable[[bytes, Options], Iterator[Piece]]
 READERS: dict[str, Reader] = {e: m.read for m in (text, xlsx, xls, docx, doc, pptx, ppt, pdf) for e in m.EXTENSIONS}
@@ -21,7 +22,7 @@ BATCH_ROWS = 5000
 
 
 def register(extension: str, reader: Reader) -> None:
-    """Add or replace the reader of an extension. Executors must import the module that does so."""
+    """Add or replace the reader of an extension. Plans made from then on take it along to the executors."""
     READERS[extension.lower()] = reader
 
 
@@ -30,10 +31,10 @@ def reader_of(extension: str) -> Reader:
     return READERS.get(extension.lower(), text.read)
 
 
-def read_pieces(raw: bytes, extension: str, options: Options) -> Iterator[Piece | Exception]:
+def read_pieces(raw: bytes, extension: str, options: Options, known: dict[str, Reader] | None = None) -> Iterator[Piece | Exception]:
     """Entries of a file; after a failure what came before it, and the failure."""
     try:
-        yield from reader_of(extension)(raw, options)
+        yield from (known or READERS).get(extension.lower(), text.read)(raw, options)
     except Exception as e:  # noqa: BLE001  whatever a damaged file does to a reader concerns this file alone
         yield e
 
@@ -50,6 +51,7 @@ def extract(files: DataFrame, options: Options | None = None) -> DataFrame:
     """
     options = options or Options()
     given = "content" in files.columns
+    known = dict(READERS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -60,12 +62,11 @@ def extract(files: DataFrame, options: Options | None = None) -> DataFrame:
                     if given:
                         raw = batch.column("content")[k].as_py()
                     else:
-                        with open(path, "rb") as f:
-                            raw = f.read()
+                        raw = content(path)
                 except OSError as e:
                     rows.append((path, order, -1, 0, None, None, None, "", str(e)))
                     continue
-                for n, p in enumerate(read_pieces(raw, ext, options)):
+                for n, p in enumerate(read_pieces(raw, ext, options, known)):
                     if isinstance(p, Exception):
                         rows.append((path, order, -1, 0, None, None, None, "", f"{type(p).__name__}: {p}"))
                     else:
@@ -87,9 +88,3 @@ def entries(extracted: DataFrame) -> DataFrame:
 def errors(extracted: DataFrame) -> DataFrame:
     """(file_path, error) of the files that could not be read to their end."""
     return extracted.where("error IS NOT NULL").select("file_path", "error")
-
-
-def opened(files: DataFrame) -> DataFrame:
-    """Files of Spark's binary source (path, modificationTime, length, content) as extract() takes them."""
-    path = F.regexp_replace("path", "^file:(//)?", "")
-    return files.select(path.alias("file_path"), F.lower(F.regexp_extract("path", r"(\.[^./\\]+)$", 1)).alias("ext"), F.xxhash64("path").alias("file_ord"), F.col("modificationTime").alias("modified"), "content")

@@ -1,9 +1,15 @@
-"""Small files of each format, from literal parts."""
+"""Small files of each format, from literal parts: for tests, and for queries that read back what they wrote.
+
+Every text of a file passes through `t`, so that files can be told apart. t must not add characters that a format escapes.
+"""
+
+from __future__ import annotations
 
 import io
 import struct
 import zipfile
 import zlib
+from collections.abc import Callable
 
 RELS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 PKG = "http://schemas.openxmlformats.org/package/2006/relationships"
@@ -30,41 +36,49 @@ def package(parts, kinds=()):
     return out.getvalue()
 
 
-CORE = '<p xmlns:dc="d"><dc:title> My title </dc:title><dc:creator>Me</dc:creator><dc:subject>Me</dc:subject></p>'
+Text = Callable[[str], str]
+
+
+def plain(text: str) -> str:
+    return text
+
+
+def core(t: Text) -> str:
+    return f'<p xmlns:dc="d"><dc:title> {t("My title")} </dc:title><dc:creator>{t("Me")}</dc:creator><dc:subject>{t("Me")}</dc:subject></p>'
 
 
-def xlsx():
+def xlsx(t: Text = plain) -> bytes:
     sheet = f"""<worksheet xmlns="{MAIN}"><sheetData>
-<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>inline</t></is></c><c r="C1" t="b"><v>1</v></c></row>
+<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>{t('inline')}</t></is></c><c r="C1" t="b"><v>1</v></c></row>
 <row r="3"><c r="A3" s="1"><v>45292.5</v></c><c r="B3"><v>12.5</v></c><c r="C3"><f>SUM(A1:A2)</f><v>7</v></c><c r="D3" s="2"><v>1</v></c></row>
-</sheetData><headerFooter><oddHeader>&amp;CTop &amp;P</oddHeader></headerFooter></worksheet>"""
+</sheetData><headerFooter><oddHeader>&amp;C{t('Top')} &amp;P</oddHeader></headerFooter></worksheet>"""
     styles = f"""<styleSheet xmlns="{MAIN}"><numFmts><numFmt numFmtId="164" formatCode="&quot;d&quot;0.0"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/></cellXfs></styleSheet>"""
-    drawing = f'<xdr:wsDr xmlns:xdr="{XDR}" xmlns:a="{A}"><xdr:sp><xdr:nvSpPr><xdr:cNvPr descr="picture of x" title="t"/></xdr:nvSpPr></xdr:sp><xdr:sp><xdr:txBody><a:p><a:r><a:t>shape </a:t></a:r><a:r><a:t>text</a:t></a:r></a:p></xdr:txBody></xdr:sp></xdr:wsDr>'
+    drawing = f'<xdr:wsDr xmlns:xdr="{XDR}" xmlns:a="{A}"><xdr:sp><xdr:nvSpPr><xdr:cNvPr descr="{t("picture of x")}" title="{t("t")}"/></xdr:nvSpPr></xdr:sp><xdr:sp><xdr:txBody><a:p><a:r><a:t>shape </a:t></a:r><a:r><a:t>{t("text")}</a:t></a:r></a:p></xdr:txBody></xdr:sp></xdr:wsDr>'
     parts = {
         "_rels/.rels": rels(("r1", "officeDocument", "xl/workbook.xml"), ("r2", "core-properties", "docProps/core.xml")),
-        "docProps/core.xml": CORE,
+        "docProps/core.xml": core(t),
         "xl/workbook.xml": f'<workbook xmlns="{MAIN}" xmlns:r="{RELS}"><sheets><sheet name="First" r:id="s1"/><sheet name="Chart" r:id="s2"/></sheets></workbook>',
         "xl/_rels/workbook.xml.rels": rels(("s1", "worksheet", "worksheets/sheet1.xml"), ("s2", "chartsheet", "chartsheets/c.xml"), ("x", "sharedStrings", "sst.xml"), ("y", "styles", "styles.xml")),
-        "xl/sst.xml": f'<sst xmlns="{MAIN}"><si><r><t>sha</t></r><r><t>red</t></r></si></sst>',
+        "xl/sst.xml": f'<sst xmlns="{MAIN}"><si><r><t>sha</t></r><r><t>{t("red")}</t></r></si></sst>',
         "xl/styles.xml": styles,
         "xl/chartsheets/c.xml": f'<chartsheet xmlns="{MAIN}"/>',
         "xl/worksheets/sheet1.xml": sheet,
-        "xl/worksheets/_rels/sheet1.xml.rels": rels(("d", "drawing", "../drawings/d.xml"), ("c", "comments", "../comments1.xml"), ("h", "hyperlink", "http://example.org/x", True)),
+        "xl/worksheets/_rels/sheet1.xml.rels": rels(("d", "drawing", "../drawings/d.xml"), ("c", "comments", "../comments1.xml"), ("h", "hyperlink", "http://example.org/" + t("x").replace(" ", "/"), True)),
         "xl/drawings/d.xml": drawing,
         "xl/drawings/_rels/d.xml.rels": rels(("k", "chart", "../charts/chart1.xml")),
-        "xl/charts/chart1.xml": f'<c xmlns:a="{A}"><a:p><a:r><a:t>chart title</a:t></a:r></a:p></c>',
-        "xl/comments1.xml": f'<comments xmlns="{MAIN}"><commentList><comment ref="B1"><text><t>remark</t></text></comment></commentList></comments>',
+        "xl/charts/chart1.xml": f'<c xmlns:a="{A}"><a:p><a:r><a:t>{t("chart title")}</a:t></a:r></a:p></c>',
+        "xl/comments1.xml": f'<comments xmlns="{MAIN}"><commentList><comment ref="B1"><text><t>{t("remark")}</t></text></comment></commentList></comments>',
     }
     kinds = [("xl/charts/chart1.xml", "application/vnd.openxmlformats-officedocument.drawingml.chart+xml"), ("xl/drawings/d.xml", "application/vnd.openxmlformats-officedocument.drawing+xml")]
     return package(parts, kinds)
 
 
-def docx():
-    p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
+def docx(t: Text = plain) -> bytes:
+    p = lambda x: f"<w:p><w:r><w:t>{t(x)}</w:t></w:r></w:p>"
     body = f'{p("one")}<w:p/>{p("three")}<w:p><w:r><w:pict><v:shape xmlns:v="urn:schemas-microsoft-com:vml"><v:textbox><w:txbxContent>{p("boxed")}</w:txbxContent></v:textbox></v:shape></w:pict></w:r></w:p>'
     parts = {
         "_rels/.rels": rels(("r1", "officeDocument", "word/document.xml"), ("r2", "core-properties", "docProps/core.xml")),
-        "docProps/core.xml": CORE,
+        "docProps/core.xml": core(t),
         "word/document.xml": f'<w:document xmlns:w="{W}"><w:body>{body}</w:body></w:document>',
         "word/_rels/document.xml.rels": rels(("h1", "header", "header1.xml"), ("h2", "header", "header2.xml"), ("f1", "footer", "footer1.xml"), ("c", "comments", "comments.xml")),
         "word/header1.xml": f'<w:hdr xmlns:w="{W}"/>',
@@ -75,12 +89,12 @@ def docx():
     return package(parts)
 
 
-def pptx():
+def pptx(t: Text = plain) -> bytes:
     def sp(text, name=""):
-        return f'<p:sp><p:nvSpPr><p:cNvPr id="1" name="{name}"/></p:nvSpPr><p:txBody>' + "".join(f"<a:p><a:r><a:t>{t}</a:t></a:r></a:p>" for t in text) + "</p:txBody></p:sp>"
+        return f'<p:sp><p:nvSpPr><p:cNvPr id="1" name="{name}"/></p:nvSpPr><p:txBody>' + "".join(f"<a:p><a:r><a:t>{t(x) if x else x}</a:t></a:r></a:p>" for x in text) + "</p:txBody></p:sp>"
 
     tree = lambda kind, inside: f'<p:{kind} xmlns:p="{P}" xmlns:a="{A}"><p:cSld><p:spTree>{inside}</p:spTree></p:cSld></p:{kind}>'
-    frame = "<p:graphicFrame><a:graphic><a:tbl><a:tr><a:tc><a:txBody><a:p><a:r><a:t>cell</a:t></a:r></a:p></a:txBody></a:tc></a:tr></a:tbl></a:graphic></p:graphicFrame>"
+    frame = f"<p:graphicFrame><a:graphic><a:tbl><a:tr><a:tc><a:txBody><a:p><a:r><a:t>{t('cell')}</a:t></a:r></a:p></a:txBody></a:tc></a:tr></a:tbl></a:graphic></p:graphicFrame>"
     parts = {
         "_rels/.rels": rels(("r1", "officeDocument", "ppt/presentation.xml")),
         "ppt/presentation.xml": f'<p:presentation xmlns:p="{P}" xmlns:r="{RELS}"><p:sldIdLst><p:sldId id="2" r:id="b"/><p:sldId id="1" r:id="a"/></p:sldIdLst></p:presentation>',
@@ -92,7 +106,7 @@ def pptx():
         "ppt/slides/s2.xml": tree("sld", sp(["first shown"])),
         "ppt/slides/_rels/s1.xml.rels": rels(("n", "notesSlide", "../n1.xml"), ("c", "comments", "../c1.xml")),
         "ppt/n1.xml": tree("notes", sp(["note one"]) + sp(["note two"])),
-        "ppt/c1.xml": f'<p:cmLst xmlns:p="{P}"><p:cm><p:text>remark</p:text></p:cm></p:cmLst>',
+        "ppt/c1.xml": f'<p:cmLst xmlns:p="{P}"><p:cm><p:text>{t("remark")}</p:text></p:cm></p:cmLst>',
     }
     return package(parts)
 
@@ -128,9 +142,9 @@ def cfb(streams):
     return head.ljust(512, b"\0") + b"".join(sectors)
 
 
-def doc():
-    body = "one\r\r\x13 HYPERLINK x \x14shown\x15 two\x07\r"
-    header, comment, box = "head\r", "remark\r", "boxed Ж\r"
+def doc(t: Text = plain) -> bytes:
+    body = f"{t('one')}\r\r\x13 HYPERLINK x \x14shown\x15 {t('two')}\x07\r"
+    header, comment, box = (t(x) + "\r" for x in ("head", "remark", "boxed Ж"))
     text = body + header + comment + box
     narrow = body + header + comment
     main = bytearray(4096)
@@ -145,24 +159,24 @@ def doc():
     return cfb({"WordDocument": bytes(main), "1Table": clx})
 
 
-def ppt():
+def ppt(t: Text = plain) -> bytes:
     atom = lambda kind, data, instance=0: struct.pack("<HHI", instance << 4, kind, len(data)) + data
     box = lambda kind, data: struct.pack("<HHI", 0xF, kind, len(data)) + data
-    comment = box(0x0FCC, atom(0x0FBA, "who".encode("utf-16-le"), 0) + atom(0x0FBA, "remark".encode("utf-16-le"), 1))
-    stream = atom(0x0FA8, b"before") + box(0x0FF0, atom(0x0FA8, b"skipped")) + box(0x03EE, atom(0x0FA0, "one\r\rtwo".encode("utf-16-le")) + atom(0x0FA8, b"three") + comment) + box(0x03F0, atom(0x0FA8, b"noted"))
+    comment = box(0x0FCC, atom(0x0FBA, "who".encode("utf-16-le"), 0) + atom(0x0FBA, t("remark").encode("utf-16-le"), 1))
+    stream = atom(0x0FA8, t("before").encode("cp1252")) + box(0x0FF0, atom(0x0FA8, b"skipped")) + box(0x03EE, atom(0x0FA0, f"{t('one')}\r\r{t('two')}".encode("utf-16-le")) + atom(0x0FA8, t("three").encode("cp1252")) + comment) + box(0x03F0, atom(0x0FA8, t("noted").encode("cp1252")))
     return cfb({"PowerPoint Document": stream})
 
 
-def xls():
+def xls(t: Text = plain) -> bytes:
     rec = lambda kind, data: struct.pack("<HH", kind, len(data)) + data
-    uni = lambda t: struct.pack("<HB", len(t), 0) + t.encode("latin-1")
+    uni = lambda x: struct.pack("<HB", len(x), 0) + x.encode("latin-1")
     bof = rec(0x809, struct.pack("<HHHHII", 0x600, 5, 0, 0, 0, 0))
-    sst = rec(0xFC, struct.pack("<II", 2, 2) + uni("shared") + struct.pack("<HB", 4, 0) + b"sp") + rec(0x3C, b"\x01" + "lé".encode("utf-16-le"))
+    sst = rec(0xFC, struct.pack("<II", 2, 2) + uni(t("shared")) + struct.pack("<HB", 2 + len(t("lé")), 0) + b"sp") + rec(0x3C, b"\x01" + t("lé").encode("utf-16-le"))
     fixed = rec(0xE0, struct.pack("<HH", 0, 0).ljust(20, b"\0")) + rec(0xE0, struct.pack("<HH", 0, 14).ljust(20, b"\0"))
     bound = lambda at: rec(0x85, struct.pack("<IH", at, 0) + b"\x03\x00One")
     start = len(bof) + len(fixed) + len(bound(0)) + len(sst) + 4
     tokens = b"\x25" + struct.pack("<HHHH", 0, 1, 0xC000, 0xC000) + b"\x22\x01" + struct.pack("<H", 4)
-    txo = lambda t: rec(0x1B6, struct.pack("<HHHHHHHH", 0, 0, 0, 0, 0, len(t), 0, 0)) + rec(0x3C, b"\0" + t.encode())
+    txo = lambda x: rec(0x1B6, struct.pack("<HHHHHHHH", 0, 0, 0, 0, 0, len(t(x)), 0, 0)) + rec(0x3C, b"\0" + t(x).encode())
     obj = lambda kind, k: rec(0x5D, struct.pack("<HHHHH", 0x15, 18, kind, k, 0).ljust(22, b"\0"))
     sheet = (
         bof + rec(0xFD, struct.pack("<HHHI", 0, 0, 0, 0)) + rec(0xFD, struct.pack("<HHHI", 0, 1, 0, 1)) + rec(0x203, struct.pack("<HHHd", 1, 0, 1, 45292.5)) + rec(0x27E, struct.pack("<HHHI", 1, 1, 0, (7 << 2) | 2))
@@ -172,8 +186,10 @@ def xls():
     return cfb({"Workbook": bof + fixed + bound(start) + sst + rec(0x0A, b"") + sheet})
 
 
-def pdf():
-    packed = zlib.compress(b"BT /F1 12 Tf 72 700 Td (Hello) Tj ( world) Tj 0 -20 Td <0041> Tj ET")
+def pdf(t: Text = plain) -> bytes:
+    b = lambda x: t(x).encode("latin-1")
+    packed = zlib.compress(b"BT /F1 12 Tf 72 700 Td (Hello) Tj ( " + b("world") + b") Tj 0 -20 Td <41> Tj ET")
+    second = b"BT 1 0 0 1 10 10 Tm (" + b("second page") + b") Tj ET"
     objects = [
         b"<</Type/Catalog/Pages 2 0 R/Outlines 6 0 R/AcroForm<</Fields[9 0 R]>>>>",
         b"<</Type/Pages/Kids[3 0 R 10 0 R]/Count 2/Resources<</Font<</F1 5 0 R>>>>>>",
@@ -181,14 +197,14 @@ def pdf():
         b"<</Length %d/Filter/FlateDecode>>stream\n" % len(packed) + packed + b"\nendstream",
         b"<</Type/Font/Subtype/Type1/BaseFont/Helvetica>>",
         b"<</First 7 0 R>>",
-        b"<</Title(Chapter \\(1\\))/A<</S/URI/URI(http://x.org)>>>>",
+        b"<</Title(Chapter \\(1\\) " + b("") + b")/A<</S/URI/URI(http://x.org)>>>>",
         b"<</Subtype/Link/Rect[0 0 10 10]/A<</S/URI/URI(http://link.org)>>>>",
-        b"<</Subtype/Widget/FT/Tx/T(name)/TU(your name)/V(Ann)>>",
+        b"<</Subtype/Widget/FT/Tx/T(name)/TU(your name)/V(" + b("Ann") + b")>>",
         b"<</Type/Page/Parent 2 0 R/Contents 11 0 R>>",
-        b"<</Length 40>>stream\nBT 1 0 0 1 10 10 Tm (second page) Tj ET    \nendstream",
-        b"<</Subtype/FreeText/Contents(free\\rtext)>>",
+        b"<</Length %d>>stream\n" % len(second) + second + b"\nendstream",
+        b"<</Subtype/FreeText/Contents(free\\r" + b("text") + b")>>",
         b"<</Subtype/Text/Contents<FEFF006E006F00740065>>>",
-        b"<</Title(The Title)/Author(Me)/Producer(Me)>>",
+        b"<</Title(" + b("The Title") + b")/Author(Me)/Producer(Me)>>",
     ]
     out = b"%PDF-1.4\n"
     for k, o in enumerate(objects, 1):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import posixpath
 from dataclasses import asdict, dataclass, field, fields, replace
 
 #: The extensions of each family of files.
@@ -34,13 +35,25 @@ def parse_extensions(text: str | None) -> list[str]:
     return found
 
 
+def absolute(path: str, base: str) -> str:
+    """An absolute path, or a URI as it is; a relative path lies in `base`, which may be a URI. file: URIs are plain paths."""
+    for name in (path, base):
+        if name.startswith("file:/"):
+            return absolute(path.removeprefix("file://").removeprefix("file:"), base.removeprefix("file://").removeprefix("file:"))
+    if "://" in path:
+        return path
+    if "://" in base and not path.startswith("/"):
+        return posixpath.join(base, path)
+    return os.path.abspath(os.path.join(base, path))
+
+
 def normalize_folders(text: str | None, base: str) -> list[str]:
     """Folders from a list divided by semicolons: absolute (relative ones lie in `base`), with a final separator, each once whatever its case."""
     found: dict[str, str] = {}
     for part in (text or "").split(";"):
         part = part.strip()
         if part:
-            full = os.path.abspath(os.path.join(base, part)).rstrip(os.sep) + os.sep
+            full = absolute(part, base).rstrip(os.sep) + os.sep
             found.setdefault(full.lower(), full)
     return list(found.values())
 
@@ -108,12 +121,12 @@ class SearchSpec:
         base = self.root()
         found = normalize_folders(self.exclude_folders, base) if self.exclude_folders_enabled else []
         if self.cache:
-            found.append(os.path.abspath(self.cache).rstrip(os.sep) + os.sep)
+            found.append(absolute(self.cache, os.getcwd()).rstrip(os.sep) + os.sep)
         return found
 
     def root(self, base: str | None = None) -> str:
-        """The folder to search, absolute; a relative one lies in `base`."""
-        return os.path.abspath(os.path.join(base or os.getcwd(), self.target))
+        """The folder to search, absolute, or its URI; a relative one lies in `base`."""
+        return absolute(self.target, base or os.getcwd())
 
     def nothing_to_do(self) -> bool:
         """Searches that have no result whatever the files hold."""

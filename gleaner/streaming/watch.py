@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import match, results
-from ..sources import readers
+from ..sources import listing, readers
 from ..sources.formats.base import Options
 from ..spec import SearchSpec
 
@@ -51,13 +51,8 @@ def watch(spark: SparkSession, spec: SearchSpec, sink: Callable[[DataFrame, int]
     The checkpoint remembers which files were read, so that a next run takes new ones only. Files whose names
     begin with a dot or an underscore are not seen by Spark's file stream.
     """
-    files = readers.opened(spark.readStream.format("binaryFile").schema(BINARY).option("recursiveFileLookup", "true").load(spec.root()))
-    for x in spec.skipped_folders():
-        files = files.where(~F.startswith(F.lower("file_path"), F.lit(x.lower())))
-    if spec.excluded():
-        files = files.where(~F.col("ext").isin(*spec.excluded()))
-    if not spec.include_all:
-        files = files.where(F.col("ext").isin(*spec.included()))
+    found = spark.readStream.format("binaryFile").schema(BINARY).option("recursiveFileLookup", "true").load(spec.root())
+    files = listing.filtered(listing.opened(found), spec)
 
     def batch(rows: DataFrame, number: int) -> None:
         found = readers.entries(readers.extract(rows, Options(formulas=spec.formulas)))

@@ -1,6 +1,5 @@
-import samples
-
 from gleaner.sources import encoding
+from gleaner.sources import writers as samples
 from gleaner.sources.formats import doc, docx, pdf, ppt, pptx, text, xls, xlsx
 from gleaner.sources.formats.base import Options, blank
 from gleaner.sources.readers import read_pieces
@@ -103,6 +102,53 @@ def test_pdf():
     assert ("free", 0, "Page1", None, "Shape1") in got and ("text", 0, "Page1", None, "Shape1") in got and ("note", 0, "Page1", None, "Comment2") in got
 
 
+def lzw(data):
+    """Codes of 9 to 12 bits, as PDF has them, with the early change of widths."""
+    table, width, bits, w = {bytes([k]): k for k in range(256)}, 9, "", b""
+    out = lambda code: f"{code:0{width}b}"
+    bits, size = out(256), 258
+    for c in data:
+        c = bytes([c])
+        if w + c in table:
+            w += c
+            continue
+        bits += out(table[w])
+        table[w + c], size, w = size, size + 1, c
+        width = 9 + sum(size >= 1 << k for k in (9, 10, 11))
+        if size >= 4094:
+            bits += out(table[w]) + out(256)
+            table, width, size, w = {bytes([k]): k for k in range(256)}, 9, 258, b""
+    bits += (out(table[w]) if w else "")
+    size += 1
+    width = 9 + sum(size >= 1 << k for k in (9, 10, 11))
+    bits += out(257)
+    bits += "0" * (-len(bits) % 8)
+    return int(bits, 2).to_bytes(len(bits) // 8, "big")
+
+
+def test_pdf_filters():
+    import random
+
+    rng = random.Random(1)
+    data = bytes(rng.choice(b"abc ") for _ in range(9000))
+    assert pdf._lzw(lzw(data), 1) == data and pdf._lzw(lzw(b"-----A---B"), 1) == b"-----A---B"
+    assert pdf._run_length(b"\x02abc\xfex\x80junk") == b"abcxxx"
+
+
+def pdf_with(font, shown):
+    objects = [b"<</Type/Catalog/Pages 2 0 R>>", b"<</Type/Pages/Kids[3 0 R]/Count 1/Resources<</Font<</F1 5 0 R>>>>>>", b"<</Type/Page/Parent 2 0 R/Contents 4 0 R>>", b"<</Length %d>>stream\n%s\nendstream" % (len(shown), shown), font]
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (k, o) for k, o in enumerate(objects, 1)) + b"trailer<</Root 1 0 R>>\n%%EOF"
+
+
+def test_pdf_fonts():
+    text = lambda font, shown: [p if isinstance(p, Exception) else p.content for p in read_pieces(pdf_with(font, b"BT /F1 12 Tf 10 10 Td " + shown + b" Tj ET"), ".pdf", O)]
+    assert text(b"<</Subtype/Type1/Encoding<</Differences[1/eacute/Scaron/quoteright/A/uni00DF/fi]>>>>", b"<010203040506>") == ["éŠ’AßﬁX".replace("ﬁX", "fi")]
+    assert text(b"<</Subtype/Type0/Encoding/90ms-RKSJ-H>>", b"<" + "日本".encode("cp932").hex().encode() + b">") == ["日本"]
+    assert text(b"<</Subtype/Type0/Encoding/UniJIS-UTF16-H>>", b"<" + "日本".encode("utf-16-be").hex().encode() + b">") == ["日本"]
+    unknown = text(b"<</Subtype/Type0/Encoding/Identity-H>>", b"<00410042>")
+    assert len(unknown) == 1 and "unknown codes" in str(unknown[0])
+
+
 def test_damaged_files_end_with_a_failure():
     for ext, raw in ((".xlsx", samples.xlsx()), (".docx", samples.docx()), (".pptx", samples.pptx()), (".doc", samples.doc()), (".xls", samples.xls()), (".ppt", samples.ppt()), (".pdf", samples.pdf())):
         for n in (0, 10, len(raw) // 3, len(raw) - 30):

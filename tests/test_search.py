@@ -1,9 +1,9 @@
 import os
 import re
+import time
 from dataclasses import replace
 
 import pytest
-import samples
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from gleaner.operators import results
 from gleaner.plans import export
 from gleaner.plans.cache import EntryCache
 from gleaner.plans.search import Search
+from gleaner.sources import writers as samples
 from gleaner.sources.listing import extension_of
 from gleaner.spec import Keyword, SearchSpec
 from gleaner.streaming import watch
@@ -94,6 +95,77 @@ def test_regex_dialect(spark):
     R.validate(spark, ["a|b"], True)
 
 
+class Late:
+    pattern = "late"
+
+    def search(self, text, timeout):
+        raise TimeoutError
+
+
+def test_regex_limit(spark, caplog):
+    assert [R.quick(p) for p in ("abc", "a.c|d?", r"\d+x", "[a-z]{3}", "(a|b)?", "a{2,}", "(?:x)y", "(?<n>x)")] == [True] * 8
+    assert [R.quick(p) for p in (r"(.)\1", "(a+)+", "(a|b)*", "a*b*", "(?=a)", "(?(1)b|c)", ".{0,100}.{0,100}", "(?i:a)", r"\k<n>")] == [False] * 9
+    began = time.time()
+    assert hits(spark, ["a" * 41, "x"], r"(.*)*\1y") == [False, False] and time.time() - began < 30
+    with caplog.at_level("WARNING", logger="gleaner.regex"):
+        assert R.search_within(R._module_pattern("a", False), "bab", 5.0) and not R.search_within(Late(), "x", 0.1)
+    assert "counts as no match" in caplog.text
+    assert R.java_pattern(r"[(?<a_b>]\\(?<a_b>x)\k<a_b>", True).startswith(r"(?dU)[(?<a_b>]\\(?<g")
+
+
+def test_text_search_has_no_shuffle(spark, tree):
+    plan = lambda spec: Search(spark, spec).matches()._jdf.queryExecution().executedPlan().toString()
+    spec = SearchSpec.of("one", "needle", target=tree, excel=False)
+    assert "Window" not in plan(spec) and "Window" not in plan(replace(spec, regex=True)) and "collect_list" not in plan(replace(spec, regex=True))
+    assert "Window" in plan(replace(spec, excel=True)) and "Window" not in plan(replace(spec, excel=True, match_all=False))
+
+
+def test_targets_may_be_uris(spark, tree):
+    assert S.absolute("b", "s3a://x/y") == "s3a://x/y/b" and S.absolute("hdfs://n/a", "/z") == "hdfs://n/a" and S.absolute("file:///a/b", "/z") == "/a/b" and S.absolute("c", "file:/a") == "/a/c"
+    from gleaner.sources import listing
+
+    # a URI that is no local path: tasks list and read it by Arrow's file systems
+    found = sorted(x[0] for x in listing.walk("mock://" + tree, [])) if listing.store("mock://" + tree) else []
+    assert found == [] or len(found) == 12
+    assert listing.content(f"{tree}/a.txt").startswith(b"needle")
+    flat = sorted(x[0] for x in listing.walk(tree, [f"{tree}/ex/"]))
+    assert f"{tree}/ex2/y.TXT" in flat and f"{tree}/ex/x.txt" not in flat and len(flat) == 11
+
+
+def test_readers_of_a_session_reach_tasks(spark, tree):
+    from gleaner.sources import readers
+    from gleaner.sources.formats.base import Piece
+
+    known = dict(readers.READERS)
+    readers.register(".md", lambda raw, o: iter([Piece("read by own reader")]))
+    try:
+        found = Search(spark, SearchSpec.of("own", target=tree, custom_enabled=True, custom_extensions="md")).results().collect()
+    finally:
+        readers.READERS.clear()
+        readers.READERS.update(known)
+    assert [r.content for r in found] == ["read by own reader"]
+
+
+def test_cache_of_one_target(spark, tree, tmp_path):
+    cache = str(tmp_path / "shared")
+    a, b = SearchSpec.of("needle", target=tree, cache=cache), SearchSpec.of("needle", target=tree + "/ex2", cache=cache)
+    for spec in (a, b):
+        Search(spark, spec).results().count()
+    (tmp_path / "shared" / "foreign").write_text("mine")
+    EntryCache(spark, cache, a.root()).clear()
+    assert {r.target for r in EntryCache(spark, cache, "").rows().select("target").collect()} <= {b.root()}
+    assert (tmp_path / "shared" / "foreign").exists()
+    # a file that changes after the listing is read again by the next search
+    search = Search(spark, a)
+    files = EntryCache(spark, cache, a.root()).listed(search.files())
+    os.utime(f"{tree}/a.txt", (5, 5))
+    assert files.where(F.endswith("file_path", F.lit("/a.txt"))).first().modified.timestamp() > 5
+    from gleaner.schema import LABELS_JA
+
+    assert len(Search(spark, a).results().collect()) == 7
+    assert Search(spark, a, LABELS_JA).extracted().where("error IS NULL").count() > 7  # other labels: nothing is a hit
+
+
 E = "file_path string, file_ord long, entry_ord int, line_number int, sheet_name string, cell_address string, object_name string, content string"
 
 
@@ -220,9 +292,11 @@ def test_queries_match_sql(spark):
     from gleaner import queries as Q
 
     c = duckdb.connect()
-    for t in ("documents", "pages", "part", "events", "conversations"):
+    for t in ("documents", "pages", "part", "events", "conversations", "nation"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
-    for name, (run, sql) in Q.QUERIES.items():
+    from gleaner import file_queries
+
+    for name, (run, sql) in (Q.QUERIES | file_queries.QUERIES).items():
         got, want = run(spark, "/root/testdata/sf0.001"), c.sql(sql)
         cols = sorted(got.columns)
         assert cols == sorted(want.columns), name
