@@ -43,7 +43,7 @@ BANDS, ROWS = 10, 4
 GROUP_LINES = 500
 #: Lines that a task packs at a time, and lines that it compares at a time (one unit at least).
 FLUSH_LINES = 60_000
-CHUNK = 2000
+CHUNK = 800
 #: Characters whose hashes fit the processor's cache.
 CACHE_CHARS = 50_000
 NO_ID = -(1 << 63)
@@ -357,9 +357,9 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The asked lines of each text."""
-    for batch in batches:
+    for part in (batch.slice(a, b - a) for batch in batches for a, b in text_slices(batch, "text")):
         rows, lines = [], []
-        for text, asked in zip(batch.column("text").to_pylist(), batch.column("asked").to_pylist(), strict=True):
+        for text, asked in zip(part.column("text").to_pylist(), part.column("asked").to_pylist(), strict=True):
             all_lines = text.split("\n")
             rows += asked
             lines += [all_lines[x["line_no"]] for x in asked]

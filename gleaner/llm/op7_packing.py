@@ -21,8 +21,9 @@ from __future__ import annotations
 
 import os
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,10 @@ from .common import materialize, tasks, text_slices, trimmed, whole_groups
 LENGTH = 4096
 END = 2
 GROUP_PIECES = 2000
-#: Different runs whose ids a worker process keeps, and their bytes; beyond either it begins anew with the next slice of texts.
-CACHE_RUNS, CACHE_BYTES = 500_000, 30_000_000
+#: Different runs whose ids a worker process keeps, and their bytes; beyond either those seen once are forgotten before the next slice of texts.
+CACHE_RUNS, CACHE_BYTES = 200_000, 15_000_000
+#: Runs that are tokenised at a time.
+LEARN_RUNS = 20_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, nth long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _LETTER = bv.byte_class((0x61, 0x7A))
@@ -68,25 +71,42 @@ class Encoder:
 
     def __init__(self, path: str, cache_runs: int = CACHE_RUNS, cache_bytes: int = CACHE_BYTES):
         self.tokenizer, self.cache_runs, self.cache_bytes = _tokenizer(path), cache_runs, cache_bytes
-        self._forget()
-
-    def _forget(self) -> None:
-        self.long: dict[bytes, int] = {}
-        self.bytes = 0
+        #: Numbers of runs of 8 bytes and more; a number is never given twice.
+        self.long: defaultdict[bytes, int] = defaultdict(count().__next__)
         self.known = np.zeros(0, np.uint64)
         self.begin = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
+        self.used = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
 
+    def _forget(self) -> None:
+        """Keep the runs that several slices of texts had, if they leave room."""
+        keep = self.used > 1
+        if keep.sum() > self.cache_runs // 2:
+            keep[:] = False
+        begin, n = self.begin[keep], self.count[keep]
+        self.known, self.count, self.used, self.begin = self.known[keep], n, np.ones(len(n), np.int32), np.cumsum(n) - n
+        self.ids = self.ids[np.repeat(begin - self.begin, n) + np.arange(int(n.sum()))]
+        kept = set((self.known[self.known >> np.uint64(63) > 0] & np.uint64((1 << 63) - 1)).tolist())
+        self.long = defaultdict(self.long.default_factory, {k: v for k, v in self.long.items() if v in kept})
+        if sum(map(len, self.long)) > self.cache_bytes // 2:
+            self.cache_runs, runs = 0, self.cache_runs
+            self._forget()
+            self.cache_runs = runs
+
     def _learn(self, new: np.ndarray, runs: list[bytes]) -> None:
         """Take the ids of runs that are not known; new: their keys."""
-        got = [x.ids for x in self.tokenizer.encode_batch_fast([r.decode() for r in runs], add_special_tokens=False)]
-        counts = np.fromiter(map(len, got), np.int64, len(got))
-        ids = np.fromiter(chain.from_iterable(got), np.uint32, int(counts.sum()))
+        ids, counts = [], []
+        for lo in range(0, len(runs), LEARN_RUNS):
+            got = [x.ids for x in self.tokenizer.encode_batch_fast([r.decode() for r in runs[lo : lo + LEARN_RUNS]], add_special_tokens=False)]
+            counts.append(np.fromiter(map(len, got), np.int64, len(got)))
+            ids.append(np.fromiter(chain.from_iterable(got), np.uint32, int(counts[-1].sum())))
+        ids, counts = np.concatenate(ids), np.concatenate(counts)
         known = np.concatenate([self.known, new])
         order = np.argsort(known)
         self.begin = np.concatenate([self.begin, np.cumsum(counts) - counts + len(self.ids)])[order]
         self.known, self.count, self.ids = known[order], np.concatenate([self.count, counts])[order], np.concatenate([self.ids, ids])
+        self.used = np.append(self.used, np.zeros(len(new), np.int32))[order]
 
     def _keys(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """A number for each run that no other run has: its bytes and length if it has less than 8, else one given to its bytes."""
@@ -95,7 +115,7 @@ class Encoder:
         key = (words[starts] & _LOW_BYTES[np.minimum(sizes, 7)]) | (sizes.astype(np.uint64) << np.uint64(56))
         long = np.flatnonzero(sizes > 7)
         raw, number = data.tobytes(), self.long
-        numbers = [number.setdefault(raw[a:b], len(number)) for a, b in zip(starts[long].tolist(), (starts + sizes)[long].tolist(), strict=True)]
+        numbers = [number[raw[a:b]] for a, b in zip(starts[long].tolist(), (starts + sizes)[long].tolist(), strict=True)]
         key[long] = np.array(numbers, np.uint64) | np.uint64(1 << 63)
         return key
 
@@ -110,7 +130,7 @@ class Encoder:
         starts, ends, first = bv.spans(bv.NOT_SPACE[data], offs, cuts)
         if len(starts) == 0:
             return np.full(len(offs) - 1, END, np.uint32), np.arange(len(offs))
-        if len(self.known) > self.cache_runs or self.bytes > self.cache_bytes:
+        if len(self.known) > self.cache_runs or sum(map(len, self.long)) > self.cache_bytes:
             self._forget()
         unique, at, inverse = np.unique(self._keys(data, starts, ends - starts), return_index=True, return_inverse=True)
         place = np.minimum(np.searchsorted(self.known, unique), max(0, len(self.known) - 1))
@@ -118,12 +138,12 @@ class Encoder:
         if new.any():
             raw, where = data.tobytes(), at[new]
             runs = [raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
-            self.bytes += sum(map(len, runs))
             self._learn(unique[new], runs)
             place = np.searchsorted(self.known, unique)
-        begin, count = self.begin[place][inverse], self.count[place][inverse]
-        total = np.cumsum(count)
-        flat = self.ids[np.repeat(begin - (total - count), count) + np.arange(int(total[-1]))]
+        self.used[place] += 1
+        begin, n = self.begin[place][inverse], self.count[place][inverse]
+        total = np.cumsum(n)
+        flat = self.ids[np.repeat(begin - (total - n), n) + np.arange(int(total[-1]))]
         stop = np.append(0, total)[first]
         return np.insert(flat, stop[1:], END), stop + np.arange(len(stop))
 
