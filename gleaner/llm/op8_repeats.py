@@ -19,7 +19,8 @@ LENGTH bytes after it: the context.
    it has LENGTH bytes, all but its first occurrence are covered.
 4. The covered ranges of each document are united, and its bytes cut.
 
-Hashes have 64 bits each for anchor and context. A null text is empty. A null doc_id is smaller than any other. Rows
+The hash of an anchor only brings contexts together. Two contexts of one anchor are taken as equal if their XXH3 hashes of 64 bits
+and their places within are; whole texts if their SHA-256 is. A null text is empty. A null doc_id is smaller than any other. Rows
 that agree in doc_id and text count as one document and get equal results; different texts with one doc_id are different
 documents, in the order of a hash of the text. Other columns are ignored.
 """
@@ -30,18 +31,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytesvec as bv
-from .common import Scratch, materialize, release, tasks, text_slices, trimmed
+from .common import Scratch, materialize, release, slices, tasks, text_slices, trimmed, whole_groups
 
 LENGTH = 100
 GRAM = 50
 LEFT = LENGTH - GRAM
 GROUP_CONTEXTS = 1000
 FLUSH_ANCHORS = 300_000
+#: Contexts whose suffixes are sorted at a time, one unit at least.
+BATCH_CONTEXTS = 20_000
 _FOUND = "doc_id long, twin int, spans binary, asks binary"
 _PLACE = np.dtype([("doc", "<i8"), ("twin", "<i4"), ("pos", "<i4"), ("right", "u1")])
 _SPAN = np.dtype([("doc", "<i8"), ("twin", "<i4"), ("start", "<i4"), ("end", "<i4")])
@@ -78,7 +82,8 @@ def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     at = np.flatnonzero(chosen)
     text = np.searchsorted(offs, at, side="right") - 1
     lo, hi = np.maximum(at - LEFT, offs[text]), np.minimum(at + LENGTH, offs[text + 1])
-    context = bv.mix(prefix.of(lo, hi) + ((at - lo) * 256 + (hi - at)).astype(np.uint64))
+    raw, digest = data.tobytes(), xxhash.xxh3_64_intdigest
+    context = np.fromiter((digest(raw[a:b], left) for a, b, left in zip(lo.tolist(), hi.tolist(), (at - lo).tolist(), strict=True)), np.uint64, len(at))
     return text, at - offs[text], hi - at, gram[at], context
 
 
@@ -239,7 +244,7 @@ def _meet(group_contexts: int):
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (x.slice(a, b - a) for x in batches for a, b in slices(x.column("text"))):
         unit, doc, twin, pos, left, context = [], [], [], [], [], []
         for d, t, text, blobs in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "twin", "text", "asks")), strict=True):
             raw = text.encode()
@@ -306,11 +311,12 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], length: int = LENGT
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    got = list(batches)
-    if not got:
-        return
-    rows = pa.Table.from_batches(got).sort_by([(k, "ascending") for k in ("unit", "doc_id", "twin", "pos")])
-    del got
+    """Ranges that are covered, of all units of a task, some at a time. Rows come sorted by unit and place."""
+    for rows in whole_groups(batches, "unit", BATCH_CONTEXTS):
+        yield from _repeats_of(rows)
+
+
+def _repeats_of(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     numbers = [rows.column(k).to_numpy() for k in ("unit", "doc_id", "twin", "pos")]
     new = np.append(True, np.any([x[1:] != x[:-1] for x in numbers], axis=0))  # repeated rows count once
     if not new.all():
@@ -372,7 +378,7 @@ def covered(documents: DataFrame, group_contexts: int = GROUP_CONTEXTS) -> DataF
     release(spark)
     asked = met.where("octet_length(asks) > 0").groupBy("doc_id", "twin").agg(F.collect_list("asks").alias("asks"))
     contexts = documents.join(asked, ["doc_id", "twin"]).mapInArrow(trimmed(_contexts), "unit long, doc_id long, twin int, pos int, left int, context binary")
-    more = scratch.keep(contexts.repartition(n, "unit").mapInArrow(trimmed(_repeats), _FOUND), "contexts")
+    more = scratch.keep(contexts.repartition(n, "unit").sortWithinPartitions("unit", "doc_id", "twin", "pos").mapInArrow(trimmed(_repeats), _FOUND), "contexts")
     release(spark)
     spans = met.where("octet_length(spans) > 0").select("doc_id", "twin", "spans").unionAll(more.select("doc_id", "twin", "spans"))
     spans = spans.groupBy("doc_id", "twin").agg(F.collect_list("spans").alias("spans")).withColumn("whole", F.lit(False))
@@ -393,7 +399,7 @@ def ranges(blobs: list[bytes], n: int) -> tuple[list[int], list[int]]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (x.slice(a, b - a) for x in batches for a, b in slices(x.column("text"))):
         out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
         for text, blobs, whole in zip(*(batch.column(k).to_pylist() for k in ("text", "spans", "whole")), strict=True):
             raw = text.encode()
