@@ -15,7 +15,7 @@ from .functions import text as X
 from .functions.regex import regex_match
 from .operators import entries as E
 from .operators import match as M
-from .plans.cache import fresh
+from .plans.cache import valid
 from .spec import FAMILIES, SearchSpec, parse_extensions
 
 BOTH = SearchSpec.of("the", "and")
@@ -136,7 +136,10 @@ def _cached(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def _cache_join(kind: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         e, m = _cached(spark, sf_dir)
-        return e.join(m, (e["event_id"] == m["event_id"]) & fresh(e["modified"], m["modified"]) & m["formulas"], kind).select(e["event_id"])
+        path = F.col("event_id").cast("string").alias("file_path")
+        files = e.select("event_id", path, F.lit(".xlsx").alias("ext"), "modified")
+        manifest = m.select(path, "modified", "formulas", F.lit("en").alias("labels"), F.lit(None).cast("string").alias("error"))
+        return files.join(manifest, valid(files, manifest, True, "en"), kind).select("event_id")
 
     return run
 

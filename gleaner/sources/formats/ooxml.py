@@ -48,6 +48,7 @@ class Package:
             elif local(e) == "Default":
                 self.defaults[e.get("Extension", "").lower()] = e.get("ContentType", "")
         self._rels: dict[str, list[tuple[str, str, str, bool]]] = {}
+        self._parts: list[str] | None = None
 
     def has(self, part: str) -> bool:
         return part.lower() in self.names
@@ -88,15 +89,18 @@ class Package:
 
     def parts(self) -> list[str]:
         """All parts that relationships reach, each once, depth first."""
-        seen: dict[str, None] = {}
+        if self._parts is not None:
+            return self._parts
+        seen: dict[str, str] = {}
         todo = [t for _, _, t, ext in reversed(self.rels("")) if not ext]
         while todo:
             part = todo.pop()
-            if part.lower() in (s.lower() for s in seen) or not self.has(part):
+            if part.lower() in seen or not self.has(part):
                 continue
-            seen[part] = None
+            seen[part.lower()] = part
             todo += [t for _, _, t, ext in reversed(self.rels(part)) if not ext]
-        return list(seen)
+        self._parts = list(seen.values())
+        return self._parts
 
     def content(self, part: str) -> ET.Element | None:
         """Root of a part whose content type is XML."""
