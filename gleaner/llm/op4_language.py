@@ -39,6 +39,7 @@ VECTOR = 8
 WINDOW = 256
 MAX_DOCS = 400
 WINDOWS_PER_DOC = 6
+SHARES = 32
 STEPS = 500
 BATCH = 64
 #: Byte that no UTF-8 text holds.
@@ -221,12 +222,17 @@ def predict(arr: pa.Array, net: Network | None) -> tuple[list[str], np.ndarray]:
 def sample(documents: DataFrame, max_docs: int = MAX_DOCS, windows_per_doc: int = WINDOWS_PER_DOC) -> DataFrame:
     """(doc_id, lang, windows) to learn from: documents with a lang whose checksum modulo 3 is not 1.
 
-    Ids are chosen before any text is moved; one text for each id.
+    Ids are chosen before any text is moved; one text for each id. They are chosen within SHARES shares of each language first,
+    then of those, so that no task gets all ids of a language.
     """
     usable = documents.where("octet_length(text) > 0")
     known = usable.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).where(bucket("doc_id", 3) != 1).select(F.col("doc_id").cast("long").alias("doc_id"), "lang").distinct()
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.withColumn("__nth", nth).where(F.col("__nth") <= max_docs).drop("__nth")
+    share = F.pmod(F.xxhash64(F.lit("share"), "doc_id"), F.lit(SHARES)).cast("int")
+    chosen = known.select("doc_id", "lang", share.alias("share"))
+    for keys in (("lang", "share"), ("lang",)):
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id"))
+        chosen = chosen.withColumn("nth", nth).where(F.col("nth") <= max_docs).drop("nth")
+    chosen = chosen.drop("share")
     texts = usable.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     texts = texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
