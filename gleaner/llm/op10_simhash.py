@@ -9,9 +9,11 @@ both nodes of every link meet in one of them. Each shard has its own BK-tree: ch
 the distance to their parent, and a search at distance d follows only the edges d-3 to d+3. The trees of all shards of
 a task form one forest, built and searched level by level in numpy.
 
-A shard of more than SHARD_NODES nodes is cut into parts; each part meets each other part (a tree is sent to all parts
-of its shard), so that no task holds an unbounded shard and no link is lost. Trees are sent to the nodes of their
-shard alone: a broadcast of all trees to all tasks would grow with the corpus.
+A shard of more than SHARD_NODES nodes is split by the same rule: of four blocks of the bits that its name does not hold
+one at least is equal in both nodes of a link, so a node goes to four narrower shards, and so on until shards are small. A name that
+leaves OPEN_BITS = 11 bits open cannot have more than 2048 nodes and is not split, which is so after five splits: a node has at most 16 * 4**5 rows whatever
+the corpus holds, no task gets an unbounded shard, and no link is lost. Trees are sent to the nodes of their shard alone: a
+broadcast of all trees to all tasks would grow with the corpus.
 
 A null or empty text has no words and the fingerprint zero, which links like any other. Repeated rows each get a row. A
 null doc_id takes part, but never names a component unless all of its component are null. Other columns are ignored.
@@ -20,6 +22,7 @@ null doc_id takes part, but never names a component unless all of its component
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +31,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytesvec as bv
-from .common import Scratch, in_units, materialize, tasks, text_slices, trimmed, whole_groups
+from .common import COUNTED, Scratch, materialize, tasks, text_slices, trimmed, whole_groups
 from .components import Forest, components
 
 SHINGLE = 3
 RADIUS = 3
 SEED = 42
 SHARD_NODES = 4000
+#: A shard whose name leaves no more bits open is never split.
+OPEN_BITS = 11
 #: Nodes of a task whose trees are held at once.
 BATCH_NODES = 200_000
 #: (node, node) pairs that a search holds at once.
@@ -102,6 +107,52 @@ def _to_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(names.reshape(-1)), pa.array(np.repeat(part, 16))], ["shard", "fp"])
 
 
+@lru_cache(maxsize=65536)
+def blocks(free: int) -> tuple[int, ...]:
+    """The bits of `free` in RADIUS + 1 blocks of about one size."""
+    bits = [b for b in range(64) if free >> b & 1]
+    return tuple(sum(1 << int(b) for b in part) for part in np.array_split(bits, RADIUS + 1))
+
+
+def _free(kind: int) -> int:
+    """The bits that the name of a shard of this kind (0 to 15) leaves open."""
+    base = int(shards(np.zeros(1, np.uint64))[0, kind])
+    return sum(1 << b for b in range(64) if int(shards(np.array([1 << b], np.uint64))[0, kind]) == base)
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, fp, free) of large shards as rows of RADIUS + 1 narrower ones."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 20_000):
+            shard, fp, free = (x.to_numpy(zero_copy_only=False).view(np.uint64) for x in batch.slice(lo, 20_000).columns)
+            masks, at = np.unique(free, return_inverse=True)
+            block = np.array([blocks(m) for m in masks.tolist()], np.uint64)[at]
+            name = bv.mix(bv.mix(fp[:, None] & block) ^ bv.mix(block + shard[:, None]))
+            rest = free[:, None] & ~block
+            yield pa.RecordBatch.from_arrays([pa.array(x.reshape(-1).view(np.int64)) for x in (name, np.repeat(fp, RADIUS + 1), rest)], ["shard", "fp", "free"])
+
+
+def in_shards(scratch: Scratch, nodes: DataFrame, limit: int) -> DataFrame:
+    """(unit, fp): each node in its shards, those of more than about `limit` nodes split into narrower ones.
+
+    Sizes are estimated from one in COUNTED nodes; the estimate only decides on splitting, so its error changes no result.
+    """
+    rows = nodes.select("fp").mapInArrow(trimmed(_to_shards), "shard long, fp long")
+    masks = [_free(kind) for kind in range(16)]
+    kind = F.shiftright("shard", 28).cast("int")
+    rows = rows.withColumn("free", F.element_at(F.array(*[F.lit(m - (m >> 63 << 64)).cast("long") for m in masks]), kind + 1))
+    done, free = [], masks[0].bit_count()
+    while free > OPEN_BITS:
+        counted = rows.where(F.pmod(F.xxhash64("fp"), F.lit(COUNTED)) == 0).groupBy("shard").count()
+        large = scratch.keep(counted.where(F.col("count") * COUNTED > max(limit, COUNTED)).select("shard"), "large-shards")
+        if large.isEmpty():
+            break
+        done.append(rows.join(large, "shard", "left_anti"))
+        rows = scratch.keep(rows.join(large, "shard", "left_semi").mapInArrow(trimmed(_split), rows.schema), "split")
+        free -= free // (RADIUS + 1)
+    return reduce(DataFrame.unionAll, [*done, rows]).select(F.col("shard").alias("unit"), "fp")
+
+
 class Trees:
     """BK-trees of many groups of distinct fingerprints, as arrays."""
 
@@ -180,8 +231,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(scratch: Scratch, nodes: DataFrame, shard_nodes: int = SHARD_NODES) -> DataFrame:
     """Links (u, v) that join all nodes (distinct fp) within the radius of each other."""
-    placed = nodes.select("fp").mapInArrow(trimmed(_to_shards), "shard long, fp long")
-    units = in_units(scratch, placed, "shard", "fp", shard_nodes)
+    units = in_shards(scratch, nodes, shard_nodes)
     return units.repartition(tasks(nodes.sparkSession), "unit").sortWithinPartitions("unit").mapInArrow(trimmed(_search), "u long, v long")
 
 

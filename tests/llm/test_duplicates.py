@@ -287,6 +287,23 @@ def test_links_equal_brute_force(spark, limit):
     assert groups(root) == groups(label.tolist()) and len(set(root)) < len(fps)
 
 
+def test_large_shards_are_split(spark):
+    """Fingerprints that differ in few places: all of some shards, yet units stay small and no link is lost."""
+    rng = np.random.default_rng(3)
+    places = rng.permutation(36)[:20]
+    fps = np.unique(np.array([0x5A5A << 40 ^ sum(1 << int(p) for p in places[rng.random(20) < 0.5]) for _ in range(1500)], np.uint64))
+    nodes = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long").repartition(4)
+    scratch = Scratch(spark, "t")
+    rows = q10.in_shards(scratch, nodes, 100)
+    sizes = [r["count"] for r in rows.groupBy("unit").count().collect()]
+    assert max(sizes) < 400 and sum(sizes) > 16 * len(fps) and rows.select("fp").distinct().count() == len(fps)
+    label = plain_groups(fps)
+    found = {r.node: r.root for r in components(q10.links(scratch, nodes, 100)).collect()}
+    root = np.array([found.get(int(x), int(x)) for x in fps.view(np.int64)])
+    assert len(set(zip(root.tolist(), label.tolist()))) == len(set(root.tolist())) == len(set(label.tolist())) > 1
+    assert all(sum(q10.blocks(m)) == m for m in (1, 7, 0b1011, (1 << 64) - 1)) and {q10._free(k).bit_count() for k in range(16)} == {36}
+
+
 def test_one_tree_finds_all_pairs():
     fps = clustered(200)
     got = {(a, b) for x, y in q10.Trees(np.zeros(len(fps), np.int64), fps).links() for a, b in zip(x.tolist(), y.tolist())}
