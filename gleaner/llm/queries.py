@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_quality, op2_warc, op3_rules, op4_language, op5_lines, op6_decontaminate, op7_packing, op8_repeats, op9_secrets, op10_simhash
+from . import op1_quality, op2_warc, op3_rules, op4_language, op5_lines, op6_decontaminate, op7_packing, op8_repeats, op9_secrets, op10_simhash, op13_divergence
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_packing": op7_packing.query,
         "op5_lines": op5_lines.query,
         "op8_repeats": op8_repeats.query,
+        "op13_divergence": op13_divergence.query,
     }
 
 
@@ -29,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_rules": op3_rules.ORACLE_SQL,
         "op2_warc": op2_warc.ORACLE_SQL,
         "op6_decontaminate": op6_decontaminate.ORACLE_SQL,
+        "op13_divergence": op13_divergence.ORACLE_SQL,
     }
