@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_quality, op2_warc, op3_rules, op4_language, op5_lines, op6_decontaminate, op7_packing, op8_repeats, op9_secrets, op10_simhash, op12_centroids, op13_divergence
+from . import op1_quality, op2_warc, op3_rules, op4_language, op5_lines, op6_decontaminate, op7_packing, op8_repeats, op9_secrets, op10_simhash, op11_embeddings, op12_centroids, op13_divergence
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_packing": op7_packing.query,
         "op5_lines": op5_lines.query,
         "op8_repeats": op8_repeats.query,
+        "op11_embeddings": op11_embeddings.query,
         "op12_centroids": op12_centroids.query,
         "op13_divergence": op13_divergence.query,
     }
