@@ -27,7 +27,7 @@ from functools import lru_cache, reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bytesvec as bv
@@ -263,20 +263,39 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each key that the task meets."""
+    seen: set[tuple[bytes, bytes]] = set()
+    for batch in batches:
+        keep = []
+        for i, key in enumerate(zip(batch.column("row").to_pylist(), batch.column("rest").to_pylist(), strict=True)):
+            if key not in seen:
+                seen.add(key)
+                keep.append(i)
+        yield batch.take(pa.array(keep, pa.int32()))
+
+
 def deduplicated(documents: DataFrame) -> DataFrame:
     """The documents, all columns as they were: of each component one row, that with the smallest doc_id.
 
     Rows are told apart by doc_id and text, so different texts with one doc_id stay if their components differ. Of one
     doc_id in a component the smallest digest of doc_id and text stays; a row without a doc_id stays only if no row of its
-    component has one. Of rows equal in both the smallest by the other columns stays.
+    component has one. Of rows equal in both the smallest digest of the other columns, as JSON, stays. Rows that are equal in all are
+    reduced within each task before they meet; only of them are texts sorted.
     """
     scratch = Scratch(documents.sparkSession, "simhash")
     number = F.col("doc_id").cast("long")
-    row = F.unhex(F.md5(F.concat(F.coalesce(number.cast("string"), F.lit("")), F.when(F.col("text").isNull(), ".").otherwise(":"), F.coalesce("text", F.lit("")))))
-    rows = documents.select(number.alias("doc_id"), row.alias("row"), "text").mapInArrow(trimmed(_fingerprints), "doc_id long, row binary, fp long")
-    tree = rooted(scratch, scratch.keep(rows, "fp"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    stays = tree.groupBy(F.coalesce("root", "fp")).agg(F.min("least").alias("least")).select(F.col("least.row").alias("row"))
-    stays = materialize(stays, "simhash-stays")
+    row = F.unhex(F.md5(F.concat(F.coalesce(number.cast("string"), F.lit("")), F.when(F.col("text").isNull(), ".").otherwise(":"), F.coalesce("text", F.lit(""))))).alias("row")
+    others = [F.col(f"`{c}`") for c in documents.columns if c not in ("doc_id", "text")]
+    rest = (F.unhex(F.md5(F.to_json(F.struct(*others)))) if others else F.lit(b"")).alias("rest")
+    rows = documents.select(number.alias("doc_id"), row, rest, "text").mapInArrow(trimmed(_fingerprints), "doc_id long, row binary, rest binary, fp long")
+    rows = scratch.keep(rows, "fp")
+    tree = rooted(scratch, rows, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "rest"))
+    stays = tree.groupBy(F.coalesce("root", "fp")).agg(F.min("least").alias("least")).select("least.row", "least.rest")
+    times = rows.groupBy("row", "rest").agg(F.count(F.lit(1)).alias("times"))
+    stays = materialize(stays.join(times, ["row", "rest"]), "simhash-stays")
     scratch.clear()
-    kept = documents.select(row.alias("row"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("d")).join(stays, "row", "left_semi")
-    return kept.groupBy("row").agg(F.min("d").alias("d")).select("d.*")
+    kept = documents.select(row, rest, F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("d")).join(stays, ["row", "rest"])
+    copies = kept.where("times > 1").select("row", "rest", "d")
+    copies = copies.mapInArrow(trimmed(_once), copies.schema).withColumn("nth", F.row_number().over(Window.partitionBy("row", "rest").orderBy(F.lit(0))))
+    return kept.where("times = 1").select("d.*").unionAll(copies.where("nth = 1").select("d.*"))

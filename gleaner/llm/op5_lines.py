@@ -208,6 +208,8 @@ def _send(buckets: int):
 
 def units_of(band: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(unit, k1, k2): different lines with one band hash; units of equal members have equal names."""
+    if len(band) == 0:  # a bucket of lines whose hashes all went elsewhere
+        return band["k1"], band["k1"], band["k2"]
     order = np.argsort(band["band"], kind="stable")
     same = band["band"][order][1:] == band["band"][order][:-1]
     order = order[np.append(False, same) | np.append(same, False)]  # all others are alone

@@ -15,7 +15,7 @@ def odd(spark):
     df = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     for c in ("unit", "score", "failed", "count", "spans", "removed", "ranges", "fp", "root", "d", "key", "band", "__row", "__removed", "__id", "row_key", "place", "id", "bucket", "Removed", "a.b"):
         df = df.withColumn(c, F.lit("x"))
-    return df
+    return df.withColumns({"tags": F.create_map(F.lit("k"), F.col("lang")), "list": F.array("lang", "source"), "pair": F.struct("lang", F.array(F.lit(1)).alias("row"))})
 
 
 @pytest.fixture
