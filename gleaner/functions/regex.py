@@ -12,21 +12,12 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..spec import SpecError
+from .patterns import quick, tokens
 
 TIMEOUT_S = 5.0
-#: Repeats up to which a bounded quantifier counts as cheap.
-SMALL = 16
 log = logging.getLogger("gleaner.regex")
 
 
-#: A pattern as a row of tokens: escapes (with what belongs to them), classes, openings of groups, quantifiers, single characters.
-_TOKEN = re.compile(r"\\k<\w+>|\\k'\w+'|\\[pP]\{\w+\}|\\.|\[\^?\]?(?:\\.|\[:\w+:\]|[^\]\\])*\]|\(\?<[A-Za-z_]\w*>|\(\?[^)]?|[*+?][+?]?|\{\d+(?:,\d*)?\}[+?]?|.", re.DOTALL)
-
-
-def tokens(pattern: str) -> list[str]:
-    return _TOKEN.findall(pattern)
-
-
 def java_pattern(pattern: str, case_sensitive: bool) -> str:
     """The pattern for rlike: Unicode classes, only line feed ends a line, and Unicode case folding if case is ignored.
 
@@ -40,27 +31,6 @@ def java_pattern(pattern: str, case_sensitive: bool) -> str:
     return f"(?{'' if case_sensitive else 'iu'}dU)" + "".join(map(java, tokens(pattern)))
 
 
-def quick(pattern: str) -> bool:
-    """Whether a match can be seen to take no more than about the square of the length of a text: then no limit of time is needed.
-
-    That is so without references, look-around and conditions, if no group is repeated and at most one single character or class
-    is repeated without a bound of SMALL.
-    """
-    found, many = tokens(pattern), 0
-    for k, token in enumerate(found):
-        if token.startswith("(?") and token not in ("(?:",) and not re.fullmatch(r"\(\?<\w+>", token):
-            return False
-        if re.fullmatch(r"\\[1-9]|\\k.*", token, re.DOTALL):
-            return False
-        if k and re.fullmatch(r"[*+][+?]?|\{.*\}[+?]?", token):
-            most = re.fullmatch(r"\{(\d+)(,?)(\d*)\}[+?]?", token)
-            bound = int(most[3] or (0 if most[2] else most[1])) if most else 0
-            if found[k - 1] == ")" and bound != 1:
-                return False
-            many += not 0 < bound <= SMALL
-    return many <= 1
-
-
 def plain_name(name: str) -> str:
     return "g" + "".join(c if c.isascii() and c.isalnum() and c != "Z" else f"Z{ord(c):x}Z" for c in name)
 
@@ -109,7 +79,7 @@ def regex_match(spark: SparkSession, content: Column, pattern: str, case_sensiti
     Java's engine, which knows no limit, where it accepts the pattern, the pattern is quick and no limit is asked for.
     """
     java = java_pattern(pattern, case_sensitive)
-    if timeout_s is None and quick(pattern) and compiles(spark, java):
+    if timeout_s is None and quick(pattern, case_sensitive) and compiles(spark, java):
         return content.rlike(java)
     return timed_match(content, pattern, case_sensitive, timeout_s or TIMEOUT_S)
 
@@ -119,7 +89,7 @@ def validate(spark: SparkSession, keywords: list[str], case_sensitive: bool) ->
     import regex
 
     for k in keywords:
-        if quick(k) and compiles(spark, java_pattern(k, case_sensitive)):
+        if quick(k, case_sensitive) and compiles(spark, java_pattern(k, case_sensitive)):
             continue
         try:
             _module_pattern(k, case_sensitive)

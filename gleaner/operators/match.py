@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.patterns import required
 from ..functions.regex import regex_match
 from ..functions.text import extension
+from ..sources.readers import unpacked
 from ..spec import EXCEL, SearchSpec
 
 
@@ -43,27 +45,55 @@ def entry_match(spark: SparkSession, content: Column, spec: SearchSpec, timeout_
     return (every if spec.match_all else some)(each_match(spark, content, spec, timeout_s))
 
 
+def literals(spec: SearchSpec) -> list[list[tuple[str, ...]]]:
+    """Of each keyword the literals that any match of it holds, one of each tuple. A keyword without them is certain of nothing."""
+    if spec.regex:
+        return [required(k, spec.case_sensitive) for k in spec.active()]
+    return [[] if "\n" in k or "\r" in k else [(k,)] for k in spec.active()]
+
+
 def prefilter(text: Column, spec: SearchSpec) -> Column | None:
     """What a whole text must hold for any of its lines or rows to match: None where nothing is certain.
 
-    Catalyst does not push a filter on lines below the split that makes them. A plain keyword without a line break that
-    an entry holds is also held by the text around it, so the same condition can be put on the text first.
+    Catalyst does not push a filter on lines below the split that makes them. A keyword without a line break, or a literal that
+    a pattern cannot do without, which an entry holds, is also held by the text around it, so the same condition can be put on the text first.
     """
-    keywords = spec.active()
-    if spec.regex or any("\n" in k or "\r" in k for k in keywords) or not keywords:
+    found = literals(spec)
+    if spec.match_all:
+        found = [x for x in found if x]
+    if not found or not all(found):
         return None
-    return (every if spec.match_all else some)([plain_match(text, k, spec.case_sensitive) for k in keywords])
+    held = lambda clause: some([plain_match(text, x, spec.case_sensitive) for x in clause])
+    return (every if spec.match_all else some)([every([held(c) for c in x]) for x in found])
 
 
-def needed(spec: SearchSpec) -> tuple[str, ...]:
-    """Keywords that the whole text of a file must hold for a line of it to match, for readers to test; none where that is not certain.
+def needed(spec: SearchSpec) -> tuple[tuple[tuple[str, ...], ...], ...]:
+    """The same for readers to test on the whole text of a file; none where nothing is certain.
 
     Of keywords beyond ASCII the lower case can depend on the characters around.
     """
-    keywords = spec.active()
-    if spec.regex or not all(k.isascii() and "\n" not in k and "\r" not in k for k in keywords):
+    found = [[c for c in x if spec.case_sensitive or "".join(c).isascii()] for x in literals(spec)]
+    if spec.match_all:
+        found = [x for x in found if x]
+    if not all(found):
         return ()
-    return tuple(k if spec.case_sensitive else k.lower() for k in keywords)
+    return tuple(tuple(tuple(k if spec.case_sensitive else k.lower() for k in c) for c in x) for x in found)
+
+
+def packed_match(spark: SparkSession, rows: DataFrame, spec: SearchSpec, timeout_s: float | None = None) -> DataFrame:
+    """Entries that match, of rows as readers give them: the cells of a row of a spreadsheet are together, in `cells`.
+
+    With all keywords wanted, a row of cells that satisfies all is kept, and of it the cells that hold at least one; any other entry must
+    hold all. No row leaves its task: there is no shuffle and no window.
+    """
+    rows = rows.where("error IS NULL")
+    if not spec.match_all:
+        own = F.col("cells").isNotNull() | some(each_match(spark, F.col("content"), spec, timeout_s))
+        return unpacked(rows.where(own)).where(some(each_match(spark, F.col("content"), spec, timeout_s)))
+    text = F.coalesce(F.array_join(F.transform("cells", lambda c: c["content"]), "\n"), F.col("content"))
+    # once as a column: patterns of the engine with a limit are tested in Python
+    rows = rows.withColumn("__text", text).where(every(each_match(spark, F.col("__text"), spec, timeout_s)))
+    return unpacked(rows.drop("__text")).where(some(each_match(spark, F.col("content"), spec, timeout_s)))
 
 
 def is_cell() -> Column:
@@ -98,8 +128,8 @@ def sheet_match(spark: SparkSession, entries: DataFrame, spec: SearchSpec, keys:
 def row_match(spark: SparkSession, entries: DataFrame, spec: SearchSpec, keys: list[str] | None = None, timeout_s: float | None = None) -> DataFrame:
     """Entries that match: cells by their rows, all others by themselves.
 
-    Only cells are shuffled. Both kinds are taken from `entries`, which is read for each; where that is dear, and the files are
-    known apart, entry_match and sheet_match do for each.
+    Only cells are shuffled. Both kinds are taken from `entries`, which is read for each. For what readers give, packed_match does
+    the same in one pass.
     """
     own = entry_match(spark, F.col("content"), spec, timeout_s)
     if not spec.match_all:

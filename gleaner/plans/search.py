@@ -2,93 +2,92 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions.regex import validate
-from ..functions.text import extension
 from ..operators import match, results
 from ..schema import ENTRY, LABELS
 from ..sources import listing, readers
 from ..sources.formats.base import Options
-from ..spec import EXCEL, SearchSpec
-from .cache import EntryCache
+from ..sources.monitor import Monitor, shared_dir
+from ..spec import SearchSpec
+from .cache import EntryCache, delete
 
 
 class Search:
-    """Plans of one search. Nothing is read before a result is asked for, but for the cache, which is brought up to date."""
+    """Plans of one search. When the first is made the folder is listed, and a cache is brought up to date; files are read when a result is asked for.
 
-    def __init__(self, spark: SparkSession, spec: SearchSpec, labels: dict[str, str] = LABELS):
-        self.spark, self.spec, self.labels = spark, spec, labels
+    The listing is taken once and kept as a table until close(); a search is one pass over the files, of whatever kinds.
+    """
+
+    def __init__(self, spark: SparkSession, spec: SearchSpec, labels: dict[str, str] = LABELS, monitor: Monitor | None = None, range_bytes: int | None = None):
+        self.spark, self.spec, self.labels, self.monitor = spark, spec, labels, monitor
+        self.options = Options(formulas=spec.formulas, labels=dict(labels))
+        if range_bytes:
+            self.options = replace(self.options, range_bytes=range_bytes)
         if spec.regex:
             validate(spark, spec.active(), spec.case_sensitive)
-        self._parts: list[DataFrame] | None = None
+        self._files: DataFrame | None = None
+        self._listing: str | None = None
+        self._extracted: DataFrame | None = None
         self._stored: DataFrame | None = None
         self._cache: EntryCache | None = None
 
     def close(self) -> None:
-        """Delete the listing that a cached search rests on. Its results must be written by now."""
+        """Let go of the listing. The results must be written by now."""
         if self._cache is not None:
             self._cache.forget()
+        if self._listing is not None:
+            delete(self.spark, self._listing)
+            self._files = self._listing = None
 
     def files(self) -> DataFrame:
-        return listing.files(self.spark, self.spec)
-
-    def _spread(self, files: DataFrame) -> DataFrame:
-        """Listing gives a partition for some folders; reading deals files anew."""
-        return files.repartition("file_path")
-
-    def _kinds(self, files: DataFrame) -> list[DataFrame]:
-        """Files whose entries match by themselves, and those whose cells match by rows, if there can be any."""
-        spec = self.spec
-        if not spec.match_all or not any(spec.accepts(x) for x in EXCEL):
-            return [files]
-        sheet = F.col("ext").isin(*EXCEL)
-        return [files.where(~sheet), files.where(sheet)]
-
-    def _plan(self) -> list[DataFrame]:
-        """Entries and failures of the files, by kind."""
-        if self._parts is None:
-            options = Options(formulas=self.spec.formulas, labels=dict(self.labels))
+        """The listing, a table in the shared folder. What only Spark can read comes with its contents, and is not kept."""
+        if self._files is None:
+            if listing.only_by_spark(self.spec.root()):
+                self._files = listing.files(self.spark, self.spec)
+            else:
+                self._listing = f"{shared_dir(self.spark)}/listing-{uuid.uuid4().hex}"
+                self._files = listing.rounds(self.spark, self.spec, self._listing)
+        return self._files
+
+    def _plan(self) -> DataFrame:
+        """What readers give for all files, or what a cache holds for them."""
+        if self._extracted is None:
             if self.spec.cache is None:
-                options = replace(options, needed=match.needed(self.spec), needed_all=self.spec.match_all, fold=not self.spec.case_sensitive)
-                self._parts = [readers.extract(self._spread(x), options) for x in self._kinds(self.files())]
+                options = replace(self.options, needed=match.needed(self.spec), needed_all=self.spec.match_all, fold=not self.spec.case_sensitive)
+                self._extracted = readers.extract(self.files(), options, self.monitor)
             else:
-                cache = EntryCache(self.spark, self.spec.cache, self.spec.root(), dict(self.labels))
+                self._cache = cache = EntryCache(self.spark, self.spec.cache, self.spec.root(), dict(self.labels))
                 if self.spec.rebuild_cache:
                     cache.clear()
-                files, self._cache = cache.listed(self.files()), cache
-                hits = cache.load(cache.hits(files, self.spec.formulas))
-                missing = cache.misses(files, self.spec.formulas)
-                stored = cache.store(missing, readers.extract(self._spread(missing), options), self.spec.formulas)
-                self._stored = stored
-                both = stored.unionByName(hits.withColumn("error", F.lit(None).cast("string")))
-                self._parts = [x.drop("ext") for x in self._kinds(both.withColumn("ext", extension("file_path")))]
-        return self._parts
+                files = cache.listed(self.files(), self.spec.formulas)
+                missing = cache.misses(files)
+                self._stored = cache.store(missing, readers.extract(missing, self.options, self.monitor), self.spec.formulas)
+                self._extracted = self._stored.unionByName(cache.load(cache.hits(files)))
+        return self._extracted
 
     def extracted(self) -> DataFrame:
         """What readers give for the files that must be read, failures included."""
-        parts = self._plan()
-        return reduce(DataFrame.unionAll, parts) if self._stored is None else self._stored
+        found = self._plan()
+        return found if self._stored is None else self._stored
 
     def entries(self) -> DataFrame:
         if self.spec.nothing_to_do():
             return self.spark.createDataFrame([], ENTRY)
-        return readers.entries(reduce(DataFrame.unionAll, self._plan()))
+        return readers.entries(self._plan())
 
     def errors(self) -> DataFrame:
         return readers.errors(self.extracted())
 
     def matches(self) -> DataFrame:
-        """Entries that match. Rows of cells are brought together only where spreadsheets are searched for all keywords."""
+        """Entries that match."""
         if self.spec.nothing_to_do():
             return self.entries()
-        alone, *sheets = [readers.entries(x) for x in self._plan()]
-        found = alone.where(match.entry_match(self.spark, F.col("content"), self.spec))
-        return reduce(DataFrame.unionAll, [match.row_match(self.spark, x, self.spec) for x in sheets], found)
+        return match.packed_match(self.spark, self._plan(), self.spec)
 
     def results(self) -> DataFrame:
         """Matches with file name and location, in no order: orderBy("file_ord", "entry_ord") gives that of the files."""

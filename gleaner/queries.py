@@ -46,11 +46,7 @@ def search_lines(spec: SearchSpec, prefiltered: bool = True) -> Callable[[SparkS
 
 
 def regex_lines(patterns: tuple[str, ...], match_all: bool) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = [regex_match(spark, F.col("content"), p, False) for p in patterns]
-        return doc_lines(spark, sf_dir).where((M.every if match_all else M.some)(found))
-
-    return run
+    return search_lines(SearchSpec.of(*patterns, regex=True, match_all=match_all))
 
 
 def part_cells(spark: SparkSession, sf_dir: str) -> DataFrame:

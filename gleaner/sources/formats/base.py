@@ -27,14 +27,16 @@ class Options:
     formulas: bool = False
     strict_probe: bool = False
     labels: dict[str, str] = field(default_factory=lambda: dict(LABELS))
-    #: Keywords that a text must hold, all or any, for its lines to be of interest; fold: whatever their case.
-    needed: tuple[str, ...] = ()
+    #: Of each keyword what a text must hold for its lines to be of interest, one of each tuple; of all keywords or any; fold: whatever their case.
+    needed: tuple[tuple[tuple[str, ...], ...], ...] = ()
     needed_all: bool = True
     fold: bool = True
+    #: Bytes of the ranges by which large texts are read.
+    range_bytes: int = 32 << 20
 
     def of_interest(self, text: str) -> bool:
         text = text.lower() if self.needed and self.fold else text
-        return not self.needed or (all if self.needed_all else any)(k in text for k in self.needed)
+        return not self.needed or (all if self.needed_all else any)(all(any(x in text for x in c) for c in k) for k in self.needed)
 
 
 def blank(text: str | None) -> bool:

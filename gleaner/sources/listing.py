@@ -1,7 +1,15 @@
-"""Listing of a folder tree as a data source of Spark: `spark.read.format("folder")`.
+"""Listing of a folder tree, in rounds of tasks for a search, or as a data source: `spark.read.format("folder")`, `spark.readStream.format("folder")`.
 
-Spark's own file sources leave out names that begin with a dot or an underscore; this one lists them. The upper levels of a tree
-are listed first, until there are some dozens of folders to deal to tasks, which must see the folder.
+Spark's own file sources leave out names that begin with a dot or an underscore, and their streams do not see that a file has changed; these do.
+Tasks must see the folder.
+
+Rounds: the folders that are still to be listed are a table. Each task takes its share of it, goes down depth first through a
+bounded number of folders, and gives back those it did not reach, for the next round. So a tree of any shape, one long chain too, is dealt to
+tasks anew again and again, and the driver sees no path but the first.
+
+The source deals a tree once: its upper levels are listed first, until there are some dozens of folders. Its stream lists in tasks as
+well: an offset is the number of a listing, each task keeps what it has seen of its folders in the `state` folder, and gives what is new or has another
+time or size since the listing before. A listing that is there is not made again, so a repeated batch has the same rows.
 
 A path is local, or a URI that Arrow's file systems know (s3, gs, hdfs, file and others), which tasks list and read themselves.
 Other URIs are left to Spark's binary file source, and so without hidden names.
@@ -9,8 +17,11 @@ Other URIs are left to Spark's binary file source, and so without hidden names.
 
 from __future__ import annotations
 
+import gzip
+import hashlib
 import json
 import os
+import uuid
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
@@ -18,7 +29,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..functions.text import extension
 from ..spec import SearchSpec
@@ -94,7 +105,7 @@ FOLDERS, LEVELS = 64, 4
 
 class FolderReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.root = options["path"]
+        self.root = options["path"].rstrip("/") or "/"
         self.include: list[str] = json.loads(options.get("include", "[]"))
         self.exclude: list[str] = json.loads(options.get("exclude", "[]"))
         self.skip: list[str] = json.loads(options.get("skip", "[]"))
@@ -102,21 +113,117 @@ class FolderReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         if "://" not in self.root and not os.path.isdir(self.root):
             raise ValueError(f"the folder {self.root} cannot be listed")
+        return [Part(k, *p) for k, p in enumerate(self.dealt())]
+
+    def dealt(self) -> list[tuple[str, bool]]:
+        """Folders that are a part alone, and those that are one with all below."""
         flat, deep = [], [self.root]
         for _ in range(LEVELS):
             if len(deep) >= FOLDERS:
                 break
             flat += deep
             deep = [f for top in deep for f in scan(top, self.skip)[0]]
-        parts = sorted([(f, False) for f in flat] + [(f, True) for f in deep])
-        return [Part(k, *p) for k, p in enumerate(parts)]
+        return sorted([(f, False) for f in flat] + [(f, True) for f in deep])
+
+    def wanted(self, path: str) -> str | None:
+        """The extension of a file that is searched."""
+        ext = extension_of(path.rsplit("/", 1)[-1])
+        return None if ext in self.exclude or (self.include and ext not in self.include) else ext
 
     def read(self, part: Part) -> Iterator[tuple]:
         for n, (path, modified, size) in enumerate(walk(part.top, self.skip, part.deep)):
-            ext = extension_of(path.rsplit("/", 1)[-1])
-            if ext in self.exclude or (self.include and ext not in self.include):
-                continue
-            yield path, ext, modified, size, (part.number << 32) + n
+            ext = self.wanted(path)
+            if ext is not None:
+                yield path, ext, modified, size, (part.number << 32) + n
+
+
+class StreamPart(InputPartition):
+    def __init__(self, number: int, top: str, deep: bool, start: int, end: int):
+        self.number, self.top, self.deep, self.start, self.end = number, top, deep, start, end
+
+
+class FolderStream(DataSourceStreamReader):
+    """Each batch is a listing. The parts of the tree stay as they are first dealt; new folders beside them become parts of their own."""
+
+    def __init__(self, options: dict[str, str]):
+        self.tree = FolderReader(options)
+        self.state = options["state"].rstrip("/")
+
+    def initialOffset(self) -> dict:
+        return {"listing": 0}
+
+    def latestOffset(self) -> dict:
+        made = [int(n.removeprefix("listing=")) for n in _names(self.state) if n.startswith("listing=")]
+        return {"listing": max(made, default=0) + 1}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        a, b = start["listing"], end["listing"]
+        if a == b:
+            return []
+        parts = _load(f"{self.state}/listing={b}/parts")
+        if parts is None:
+            old = _load(f"{self.state}/listing={a}/parts")
+            parts = self._grown(old) if old else self.tree.dealt()
+            _save(f"{self.state}/listing={b}/parts", parts)
+        return [StreamPart(k, top, deep, a, b) for k, (top, deep) in enumerate(parts)]
+
+    def _grown(self, parts: list) -> list:
+        """The parts of the last listing, and folders that have appeared in those that are listed alone."""
+        known = {top for top, _ in parts}
+        new = [f for top, deep in parts if not deep for f in scan(top, self.tree.skip)[0] if f not in known]
+        return [*parts, *((f, True) for f in sorted(new))]
+
+    def read(self, part: StreamPart) -> Iterator[tuple]:
+        name = hashlib.md5(f"{part.deep} {part.top}".encode()).hexdigest()
+        now = _load(f"{self.state}/listing={part.end}/{name}")
+        if now is None:
+            listed = ((p, m, s) for p, m, s in walk(part.top, self.tree.skip, part.deep) if self.tree.wanted(p) is not None)
+            _save(f"{self.state}/listing={part.end}/{name}", [[p, int(m.timestamp() * 1_000_000), s] for p, m, s in listed])
+            now = _load(f"{self.state}/listing={part.end}/{name}")  # of two tasks at once the first counts
+        seen = {p: (m, s) for p, m, s in _load(f"{self.state}/listing={part.start}/{name}") or ()}
+        for n, (path, micros, size) in enumerate(now):
+            if seen.get(path) != (micros, size):
+                yield path, extension_of(path.rsplit("/", 1)[-1]), datetime.fromtimestamp(micros / 1_000_000, timezone.utc), size, (part.end << 48) + (part.number << 32) + n
+
+    def commit(self, end: dict) -> None:
+        for name in _names(self.state):
+            if name.startswith("listing=") and int(name.removeprefix("listing=")) < end["listing"]:
+                system, path = _where(f"{self.state}/{name}")
+                system.delete_dir(path)
+
+
+def _where(path: str) -> tuple[pafs.FileSystem, str]:
+    found = store(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    if found is None:
+        raise ValueError(f"{path} lies in a store that tasks cannot see")
+    return found
+
+
+def _names(folder: str) -> list[str]:
+    system, path = _where(folder)
+    return [x.base_name for x in system.get_file_info(pafs.FileSelector(path, allow_not_found=True))]
+
+
+def _load(path: str):
+    system, inside = _where(path)
+    try:
+        with system.open_input_stream(inside) as f:
+            return json.loads(gzip.decompress(f.read()))
+    except FileNotFoundError:
+        return None
+
+
+def _save(path: str, value) -> None:
+    """Written whole or not at all; what is there stays."""
+    system, inside = _where(path)
+    system.create_dir(inside.rpartition("/")[0], recursive=True)
+    draft = f"{inside}.{uuid.uuid4().hex}"
+    with system.open_output_stream(draft, compression=None) as f:
+        f.write(gzip.compress(json.dumps(value).encode()))
+    if system.get_file_info(inside).type == pafs.FileType.NotFound:
+        system.move(draft, inside)
+    else:
+        system.delete_file(draft)
 
 
 class FolderSource(DataSource):
@@ -130,15 +237,86 @@ class FolderSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return FolderReader(dict(self.options))
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return FolderStream(dict(self.options))
+
+
+def options_of(spec: SearchSpec) -> dict[str, str]:
+    return {"include": json.dumps(spec.included()), "exclude": json.dumps(spec.excluded()), "skip": json.dumps(spec.skipped_folders())}
+
+
+#: Folders that a task lists in one round.
+ROUND_FOLDERS = 1000
+_LISTED = "file_path string, ext string, modified timestamp, length long, folder string, todo boolean"
+
+
+def _round(options: dict[str, str], limit: int):
+    """Folders (folder) as the files below, and as folders for the next round once the task has listed `limit` of them."""
+    reader = FolderReader(options | {"path": ""})
+
+    def rows(found: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.string(), pa.string(), pa.timestamp("us", "UTC"), pa.int64(), pa.string(), pa.bool_()]
+        columns = list(zip(*found, strict=True)) or [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["file_path", "ext", "modified", "length", "folder", "todo"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, out = limit, []
+        for batch in batches:
+            waiting = batch.column("folder").to_pylist()[::-1]
+            while waiting:
+                folder = waiting.pop()
+                if left <= 0:
+                    out.append((None, None, None, None, folder, True))
+                else:
+                    left -= 1
+                    folders, found = scan(folder, reader.skip)
+                    waiting += reversed(folders)
+                    out += [(p, ext, m, s, folder, False) for p, m, s in found if (ext := reader.wanted(p)) is not None]
+                if len(out) >= 10_000:
+                    yield rows(out)
+                    out = []
+        yield rows(out)
+
+    return run
+
+
+def rounds(spark: SparkSession, spec: SearchSpec, folder: str, limit: int = ROUND_FOLDERS) -> DataFrame:
+    """The files of a tree, listed by tasks in rounds, as a table in `folder`. file_ord: those of a folder by name, before those of the folders in it."""
+    root = spec.root()
+    if "://" not in root and not os.path.isdir(root):
+        raise ValueError(f"the folder {root} cannot be listed")
+    todo, tables = spark.createDataFrame([(root,)], "folder string").coalesce(1), []
+    while True:
+        tables.append(f"{folder}/round={len(tables)}")
+        todo.mapInArrow(_round(options_of(spec), limit), _LISTED).write.parquet(tables[-1])
+        todo = spark.read.schema(_LISTED).parquet(tables[-1]).where("todo").select("folder")
+        if todo.isEmpty():
+            break
+        todo = todo.repartition(spark.sparkContext.defaultParallelism * 2)
+    found = spark.read.schema(_LISTED).parquet(*tables).where("NOT todo")
+    found = found.orderBy(F.split("folder", "/"), "file_path").select("file_path", "ext", "modified", "length", F.monotonically_increasing_id().alias("file_ord"))
+    found.write.parquet(f"{folder}/files")
+    return spark.read.schema(SCHEMA).parquet(f"{folder}/files")
+
+
+def only_by_spark(root: str) -> bool:
+    """Whether tasks cannot list and read the target themselves."""
+    return "://" in root and store(root) is None
+
 
 def files(spark: SparkSession, spec: SearchSpec) -> DataFrame:
     """Files that a search reads: (file_path, ext, modified, length, file_ord), and content where Spark alone can read them."""
     root = spec.root()
-    if "://" in root and store(root) is None:
+    if only_by_spark(root):
         return filtered(opened(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)), spec)
     spark.dataSource.register(FolderSource)
-    options = {"include": json.dumps(spec.included()), "exclude": json.dumps(spec.excluded()), "skip": json.dumps(spec.skipped_folders())}
-    return spark.read.format("folder").options(**options).load(root)
+    return spark.read.format("folder").options(**options_of(spec)).load(root)
+
+
+def arriving(spark: SparkSession, spec: SearchSpec, state: str) -> DataFrame:
+    """A stream of the files of the target, new and changed ones in each batch; `state` is a folder that all tasks see."""
+    spark.dataSource.register(FolderSource)
+    return spark.readStream.format("folder").options(**options_of(spec), state=state.removeprefix("file://")).load(spec.root())
 
 
 def opened(found: DataFrame) -> DataFrame:

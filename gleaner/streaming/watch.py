@@ -4,35 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Observation, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import match, results
 from ..sources import listing, readers
 from ..sources.formats.base import Options
+from ..sources.monitor import Monitor
 from ..spec import SearchSpec
 
-#: What Spark's binary file source gives.
-BINARY = "path string, modificationTime timestamp, length long, content binary"
-
 
 def live(displayed: DataFrame) -> Iterator[Row]:
     """Results as their partitions are done, without holding them all."""
     return displayed.toLocalIterator(prefetchPartitions=True)
 
 
-def observed(extracted: DataFrame, name: str = "progress") -> tuple[DataFrame, Observation]:
-    """Entries that pass, and how many files and failures were among them, known when an action has run."""
-    seen = Observation(name)
-    return extracted.observe(seen, F.count(F.lit(1)).alias("entries"), F.count_if(F.col("entry_ord") == 0).alias("files"), F.count_if(F.col("error").isNotNull()).alias("failures")), seen
-
-
 class Cancellable:
-    """Jobs started within the block can be stopped from another thread."""
+    """Jobs started within the block can be stopped from another thread. With the search's monitor, tasks that run open no further file."""
 
-    def __init__(self, spark: SparkSession, tag: str = "search"):
-        self.spark, self.tag = spark, tag
+    def __init__(self, spark: SparkSession, tag: str = "search", monitor: Monitor | None = None):
+        self.spark, self.tag, self.monitor = spark, tag, monitor
 
     def __enter__(self) -> Cancellable:
         self.spark.addTag(self.tag)
@@ -40,23 +32,32 @@ class Cancellable:
 
     def __exit__(self, *_) -> None:
         self.spark.removeTag(self.tag)
+        if self.monitor is not None:
+            self.monitor.clear()
 
     def cancel(self) -> None:
+        if self.monitor is not None:
+            self.monitor.stop()
         self.spark.interruptTag(self.tag)
 
 
 def watch(spark: SparkSession, spec: SearchSpec, sink: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Search files of the target as they arrive; sink gets the results of each batch and its number.
+    """Search files of the target as they arrive or change; sink gets the results of each batch and its number.
 
-    The checkpoint remembers which files were read, so that a next run takes new ones only. Files whose names
-    begin with a dot or an underscore are not seen by Spark's file stream.
+    The checkpoint remembers what was read, so that a next run takes only what is new. Hidden files are seen. Files are read in one pass.
+    The checkpoint's folder is not searched.
     """
-    found = spark.readStream.format("binaryFile").schema(BINARY).option("recursiveFileLookup", "true").load(spec.root())
-    files = listing.filtered(listing.opened(found), spec)
+    where = checkpoint.removeprefix("file://").rstrip("/") + "/"
+    files = listing.arriving(spark, spec, f"{where}listings").where(~F.startswith("file_path", F.lit(where)))
 
     def batch(rows: DataFrame, number: int) -> None:
-        found = readers.entries(readers.extract(rows, Options(formulas=spec.formulas)))
-        sink(results.displayed(match.row_match(rows.sparkSession, found, spec), spec), number)
+        options = Options(formulas=spec.formulas, needed=match.needed(spec), needed_all=spec.match_all, fold=not spec.case_sensitive)
+        rows = rows.persist()
+        try:
+            found = match.packed_match(rows.sparkSession, readers.extract(rows, options), spec)
+            sink(results.displayed(found, spec), number)
+        finally:
+            rows.unpersist()
 
     writer = files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

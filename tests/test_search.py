@@ -1,5 +1,6 @@
 import os
 import re
+import threading
 import time
 from dataclasses import replace
 
@@ -18,6 +19,7 @@ from gleaner.plans.cache import EntryCache
 from gleaner.plans.search import Search
 from gleaner.sources import writers as samples
 from gleaner.sources.listing import extension_of
+from gleaner.sources.monitor import Monitor
 from gleaner.spec import Keyword, SearchSpec
 from gleaner.streaming import watch
 
@@ -103,8 +105,9 @@ class Late:
 
 
 def test_regex_limit(spark, caplog):
-    assert [R.quick(p) for p in ("abc", "a.c|d?", r"\d+x", "[a-z]{3}", "(a|b)?", "a{2,}", "(?:x)y", "(?<n>x)")] == [True] * 8
-    assert [R.quick(p) for p in (r"(.)\1", "(a+)+", "(a|b)*", "a*b*", "(?=a)", "(?(1)b|c)", ".{0,100}.{0,100}", "(?i:a)", r"\k<n>")] == [False] * 9
+    assert all(R.quick(p) for p in ("abc", "a.c|d?", r"\d+x", "[a-z]{3}", "(a|b)?", "a{2,}", "(?:x)y", "(?<n>x)", "(a|b)*", "(ab)*c", r"\w+@\w+\.com", "a*b*", ".*x", "(x+y)+"))
+    assert not any(R.quick(p) for p in (r"(.)\1", "(a+)+", "(?=a)", "(?(1)b|c)", ".{0,100}.{0,100}", "(?i:a)", r"\k<n>", "a?" * 24 + "a" * 24 + "b", ".{0,16}" * 5 + "#", ".*a.*b", "(a|ab)*c", "(a?)*b", "(a*)*b", "x*x*y"))
+    assert R.quick("a*A") and not R.quick("(a|A)*b", False) and R.quick("(a|A)*b")  # cases are one if they are ignored
     began = time.time()
     assert hits(spark, ["a" * 41, "x"], r"(.*)*\1y") == [False, False] and time.time() - began < 30
     with caplog.at_level("WARNING", logger="gleaner.regex"):
@@ -113,11 +116,109 @@ def test_regex_limit(spark, caplog):
     assert R.java_pattern(r"[(?<a_b>]\\(?<a_b>x)\k<a_b>", True).startswith(r"(?dU)[(?<a_b>]\\(?<g")
 
 
-def test_text_search_has_no_shuffle(spark, tree):
-    plan = lambda spec: Search(spark, spec).matches()._jdf.queryExecution().executedPlan().toString()
-    spec = SearchSpec.of("one", "needle", target=tree, excel=False)
-    assert "Window" not in plan(spec) and "Window" not in plan(replace(spec, regex=True)) and "collect_list" not in plan(replace(spec, regex=True))
-    assert "Window" in plan(replace(spec, excel=True)) and "Window" not in plan(replace(spec, excel=True, match_all=False))
+@pytest.mark.parametrize("pattern, text", [("a?" * 24 + "a" * 24 + "b", "a" * 40), (".{0,16}" * 5 + "#", "x" * 100), (".{0,16}" * 6 + "#", "x" * 60), ("(a|aa)+$", "a" * 60 + "b")])
+def test_dear_patterns_end_in_time(spark, pattern, text):
+    """Whatever the engine makes of it, a call ends within the limit; Java's engine, which has none, is not asked."""
+    began = time.time()
+    assert hits(spark, [text, "none"], pattern, timeout=None) == [False, False]
+    assert time.time() - began < 2 * R.TIMEOUT_S + 10
+
+
+class Steps:
+    """Matches a tree as a backtracking engine does, and counts what it tries."""
+
+    def __init__(self, text):
+        self.text, self.n = text, 0
+
+    def run(self, node, at, then):
+        self.n += 1
+        if self.n > 300_000:
+            raise OverflowError
+        if node.kind == "set":
+            ok = at < len(self.text) and self.text[at] in node.chars.ascii
+            return ok and then(at + 1)
+        if node.kind == "empty":
+            return then(at)
+        if node.kind == "cat":
+            step = then
+            for p in reversed(node.parts):
+                step = (lambda p, step: lambda k: self.run(p, k, step))(p, step)
+            return step(at)
+        if node.kind == "alt":
+            return any(self.run(p, at, then) for p in node.parts)
+
+        def again(done, k):
+            if (node.high is None or done < node.high) and self.run(node.parts[0], k, lambda m: m > k and again(done + 1, m)):
+                return True
+            return done >= node.low and then(k)
+
+        return again(0, at)
+
+    def search(self, node):
+        return any(self.run(node, k, lambda _: True) for k in range(len(self.text) + 1))
+
+
+_patterns = st.recursive(
+    st.sampled_from(["a", "b", "[ab]", "c", "ab"]),
+    lambda x: st.one_of(st.tuples(x, st.sampled_from(["*", "+", "?", "{0,3}", "{2,}", "{1,9}"])).map(lambda p: f"({p[0]}){p[1]}"), st.lists(x, min_size=2, max_size=4).map("".join), st.lists(x, min_size=2, max_size=3).map(lambda p: "(" + "|".join(p) + ")")),
+    max_leaves=9,
+)
+
+
+@settings(max_examples=400, deadline=None)
+@given(_patterns, st.text("ab", min_size=1, max_size=4))
+def test_quick_patterns_try_little(pattern, unit):
+    """What counts as quick takes no more than about the square of the length, on texts that nearly match."""
+    from gleaner.functions import patterns as P
+
+    tree = P.parse(pattern)
+    assert tree is not None
+    if not P.quick(pattern):
+        return
+    counts = []
+    for n in (16, 32):
+        s = Steps((unit * n)[:n] + "#")
+        s.search(tree)
+        counts.append(s.n)
+    assert counts[0] <= 20 * P.WAYS * len(pattern) * 16 and counts[1] <= 9 * counts[0] + 2000
+
+
+@settings(max_examples=300, deadline=None)
+@given(_patterns, st.text("abcABC", max_size=12), st.booleans())
+def test_required_literals_are_held(pattern, text, case):
+    from gleaner.functions import patterns as P
+
+    if re.search(pattern, text, 0 if case else re.IGNORECASE):
+        held = text if case else text.lower()
+        assert all(any(x in held for x in c) for c in P.required(pattern, case))
+
+
+def test_required_literals():
+    from gleaner.functions import patterns as P
+
+    assert P.required(r"foo(bar|bazz)+\d") == [("foo",), ("bar", "bazz")] and P.required("x?yz") == [("yz",)] and P.required("a|b") == [] and P.required(r"(?=foo)foo") == []
+    assert P.required("Desk", False) == [("de",)] and P.required("Desk") == [("Desk",)] and P.required("caf\u00e9 on", False) == [("caf",), (" on",)]
+    assert M.needed(SearchSpec.of("ab+cd", "x.", regex=True)) == ((("cd",),),) and M.needed(SearchSpec.of("ab+cd", "x.", regex=True, match_all=False)) == ()
+
+
+def test_patterns_are_filtered_below_the_split(spark):
+    from gleaner import queries as Q
+
+    d = "/root/testdata/sf0.001"
+    spec = SearchSpec.of("the .*er ", "a(nd|t)", regex=True)
+    plan = Q.search_lines(spec)(spark, d)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Filter.*Contains\(lower\(text|Filter.*contains\(lower\(text", plan)
+    a, b = (sorted(map(tuple, Q.search_lines(spec, p)(spark, d).collect())) for p in (True, False))
+    assert a == b and a
+
+
+def test_search_is_one_pass(spark, tree):
+    plan = lambda spec: Search(spark, spec).results()._jdf.queryExecution().executedPlan().toString()
+    spec = SearchSpec.of("one", "needle", target=tree)
+    for more in ({}, {"regex": True}, {"match_all": False}, {"excel": False}):
+        p = plan(replace(spec, **more))
+        assert "Window" not in p and "collect_list" not in p
+        assert p.count("MapInArrow") == p.count("FileScan") == p.count("Exchange ") == 1  # files are dealt to tasks, and read once
 
 
 def test_targets_may_be_uris(spark, tree):
@@ -157,7 +258,7 @@ def test_cache_of_one_target(spark, tree, tmp_path):
     assert (tmp_path / "shared" / "foreign").exists()
     # a file that changes after the listing is read again by the next search
     search = Search(spark, a)
-    files = EntryCache(spark, cache, a.root()).listed(search.files())
+    files = EntryCache(spark, cache, a.root()).listed(search.files(), False)
     os.utime(f"{tree}/a.txt", (5, 5))
     assert files.where(F.endswith("file_path", F.lit("/a.txt"))).first().modified.timestamp() > 5
     from gleaner.schema import LABELS_JA
@@ -231,7 +332,7 @@ def test_cache(spark, tree, tmp_path):
     assert sorted(map(tuple, again.results().drop("file_ord").collect()), key=str) == want
     assert names(again.errors(), tree) == ["bad.xlsx"] and again.extracted().where("error IS NULL").count() == 0  # only what failed is read again
     store, files = EntryCache(spark, cache), again.files()
-    assert names(store.misses(files, True), tree) == ["bad.xlsx", "w.xlsx"]  # the mode of formulas concerns spreadsheets alone
+    assert names(store.misses(store.listed(files, True)), tree) == ["bad.xlsx", "w.xlsx"]  # the mode of formulas concerns spreadsheets alone
     with open(f"{tree}/a.txt", "w") as f:
         f.write("changed needle")
     os.utime(f"{tree}/a.txt", (1, 1))
@@ -262,18 +363,211 @@ def test_matched_files_ignore_case(spark):
 
 
 def test_watch(spark, tree, tmp_path):
+    """Hidden files are seen, read files not again, changed and new ones are."""
     spec, seen = SearchSpec.of("needle", target=tree), []
-    for _ in range(2):
-        watch.watch(spark, spec, lambda df, n: seen.extend(r.content for r in df.collect()), str(tmp_path / "cp")).awaitTermination()
-    assert sorted(seen) == ["NEEDLE two", "needle ex", "needle ex2", "needle one"]  # hidden files are not seen, read files not again
-    found = Search(spark, spec)
-    assert len(list(watch.live(found.results()))) == 7
-    df, o = watch.observed(found.extracted())
-    df.count()
-    assert o.get["failures"] == 1 and o.get["files"] > 5
-    with watch.Cancellable(spark) as c:
-        assert spark.range(3).count() == 3
-        c.cancel()
+    run = lambda: watch.watch(spark, spec, lambda df, n: seen.extend(r.content for r in df.collect()), str(tmp_path / "cp")).awaitTermination()
+    run()
+    assert sorted(seen) == ["NEEDLE two", "needle ex", "needle ex2", "needle git", "needle hidden", "needle one", "needle under"]
+    seen.clear()
+    run()
+    assert seen == []
+    with open(f"{tree}/a.txt", "w") as f:
+        f.write("needle changed")
+    os.makedirs(f"{tree}/new/deep")
+    with open(f"{tree}/new/deep/.n.txt", "w") as f:
+        f.write("needle new")
+    run()
+    assert sorted(seen) == ["needle changed", "needle new"]
+    assert len(list(watch.live(Search(spark, spec).results()))) == 7
+
+
+def slow_tree(tmp_path, n):
+    for k in range(n):
+        (tmp_path / "slow" / f"{k % 3}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "slow" / f"{k % 3}" / f"{k}.slow").write_text(f"needle {k}")
+    return str(tmp_path / "slow")
+
+
+def slow_search(spark, target, log, monitor, wait):
+    """A search whose reader takes its time and writes down what it opened."""
+    from gleaner.sources import readers
+    from gleaner.sources.formats.base import Piece
+
+    def slow(raw, options):
+        with open(f"{log}/{raw.decode()}", "w"):
+            time.sleep(wait)
+        yield Piece(raw.decode(), 1)
+
+    known = dict(readers.READERS)
+    readers.register(".slow", slow)
+    try:
+        return Search(spark, SearchSpec.of("needle", target=target, custom_enabled=True, custom_extensions="slow"), monitor=monitor).results()
+    finally:
+        readers.READERS.clear()
+        readers.READERS.update(known)
+
+
+def test_progress_rises_while_a_search_runs(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    monitor, seen = Monitor(spark), []
+    found = slow_search(spark, slow_tree(tmp_path, 24), tmp_path / "log", monitor, 0.1)
+    action = threading.Thread(target=lambda: seen.append(found.count()))
+    action.start()
+    rising = []
+    while action.is_alive():
+        rising.append(monitor.files)
+        time.sleep(0.02)
+    action.join()
+    assert seen == [24] and monitor.files == 24
+    assert rising == sorted(rising) and any(0 < n < 24 for n in rising)
+
+
+def test_no_file_is_opened_after_a_cancellation(spark, tmp_path):
+    log = tmp_path / "log"
+    log.mkdir()
+    monitor = Monitor(spark)
+    found = slow_search(spark, slow_tree(tmp_path, 40), log, monitor, 0.3)
+    failed = []
+    cancel = watch.Cancellable(spark, "slow", monitor)
+
+    def action():
+        with cancel:
+            try:
+                found.count()
+            except Exception as e:  # noqa: BLE001
+                failed.append(e)
+            time.sleep(1.5)  # the marker stays while tasks may still look for it
+
+    t = threading.Thread(target=action)
+    t.start()
+    while len(os.listdir(log)) < 3:
+        time.sleep(0.02)
+    cancel.cancel()
+    time.sleep(0.4)
+    opened = len(os.listdir(log))
+    t.join()
+    assert opened < 40 and len(os.listdir(log)) == opened and failed
+    assert not monitor.stopped()  # cleared at the end
+
+
+def text_rows(df):
+    return sorted((r.file_path, r.line_number, r.content) for r in df.collect())
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "utf-8-sig", "cp932", "utf-16", "utf-16-be", "utf-32"])
+def test_large_texts_are_read_by_ranges(spark, tmp_path, encoding):
+    """Ranges of a few bytes cut lines, characters and line ends at every place; rows are those of the reader of whole files."""
+    import codecs
+    import random
+
+    from gleaner.sources import readers
+    from gleaner.sources.formats.base import Options
+
+    rng = random.Random(encoding)
+    ends = ["\n", "\r\n", "\r", "\n\n", "\r\r\n", "\n\r"]
+    rows = []
+    for k in range(6):
+        # the first bytes tell the encoding for certain; ਊ and ഍ hold the bytes of line ends in UTF-16
+        head = "日Å" if encoding == "utf-8" else "日本語ありがとう"
+        text = head + "".join("".join(rng.choice("aé日ਊ഍ \t" if encoding != "cp932" else "aｱ日表\t") for _ in range(rng.choice([0, 1, 3, 40]))) + rng.choice(ends) for _ in range(60))
+        raw = (codecs.BOM_UTF16_BE if encoding == "utf-16-be" else b"") + (text + ("end" if k % 2 else "")).encode(encoding) + (b"\xff" if k == 3 else b"")
+        (tmp_path / f"{k}.txt").write_bytes(raw)
+        rows.append((f"{tmp_path}/{k}.txt", ".txt", k, len(raw)))
+    files = spark.createDataFrame(rows, "file_path string, ext string, file_ord long, length long")
+    want = text_rows(readers.entries(readers.extract(files.drop("length"))))
+    assert len(want) > 100
+    for size in (4, 64, 500):
+        extracted = readers.extract(files, Options(range_bytes=size))
+        assert text_rows(readers.entries(extracted)) == want and extracted.where("error IS NOT NULL").isEmpty()
+    orders = sorted((r.file_ord, r.entry_ord, r.line_number) for r in extracted.collect())
+    assert [o[::2] for o in orders] == sorted(o[::2] for o in orders)
+
+
+def test_large_text_takes_many_tasks_and_little_memory(spark, tmp_path):
+    """A file of 200 MB in ranges of 4 MB: rows as in the file, and a worker that never held it."""
+    from gleaner.sources import readers
+    from gleaner.sources.formats.base import Options
+
+    line = "line {:09d} " + "x" * 180 + "\n"
+    with open(tmp_path / "big.log", "w") as f:
+        for k in range(0, 1_000_000, 10_000):
+            f.write("".join(line.format(j) for j in range(k, k + 10_000)))
+    size = os.path.getsize(tmp_path / "big.log")
+    files = spark.createDataFrame([(f"{tmp_path}/big.log", ".log", 0, size)], "file_path string, ext string, file_ord long, length long")
+    rows = readers.entries(readers.extract(files, Options(range_bytes=4 << 20)))
+    rows = rows.select(F.spark_partition_id().alias("task"), (F.substring("content", 6, 9).cast("int") + 1 == F.col("line_number")).alias("right"))
+    found = rows.agg(F.count("*").alias("n"), F.count_if("right").alias("right"), F.count_distinct("task").alias("tasks")).first()
+    assert (found.n, found.right) == (1_000_000, 1_000_000) and found.tasks > 2
+    os.unlink(tmp_path / "big.log")
+
+
+def test_ranges_of_a_search(spark, tree):
+    spec = SearchSpec.of("needle", target=tree)
+    want = text_rows(Search(spark, spec).results())
+    assert text_rows(Search(spark, spec, range_bytes=4).results()) == want
+    assert text_rows(Search(spark, replace(spec, cache=tree + "/.c"), range_bytes=4).results()) == want
+    gone = Search(spark, spec, range_bytes=4)
+    os.unlink(f"{tree}/a.txt") if gone.files() else None
+    assert names(gone.errors(), tree) == ["a.txt", "bad.xlsx"]
+
+
+def test_listing_in_rounds(spark, tmp_path):
+    """One chain of folders, dealt to more than one task; the order is that of the walk."""
+    from gleaner.sources import listing
+
+    top = tmp_path / "chain"
+    at = top
+    for k in range(60):
+        at = at / f"d{k:02}"
+        at.mkdir(parents=True)
+        for n in range(20):
+            (at / f"{n:02}.txt").touch()
+        (at / "side").mkdir()
+        (at / "side" / ".hidden.txt").touch()
+    spec = SearchSpec.of("x", target=str(top), exclude_folders_enabled=True, exclude_folders="d00/d01/side")
+    found = listing.rounds(spark, spec, str(tmp_path / "rounds"), limit=7)
+    got = [r.file_path for r in found.orderBy("file_ord").collect()]
+    assert got == [p for p, *_ in listing.walk(str(top), spec.skipped_folders())] and len(got) == 60 * 21 - 1
+    assert len([n for n in os.listdir(tmp_path / "rounds") if n.startswith("round=")]) > 5
+    assert text_rows_of(found) == text_rows_of(listing.files(spark, spec))
+
+
+def text_rows_of(df):
+    return sorted((r.file_path, r.ext, r.modified, r.length) for r in df.collect())
+
+
+def test_cache_holds_one_state(spark, tree, tmp_path):
+    """After many searches with changes each file has one manifest row, and what is dead is gone."""
+    cache = str(tmp_path / "cache")
+    spec = SearchSpec.of("needle", target=tree, cache=cache)
+    for k in range(11):
+        with open(f"{tree}/a.txt", "w") as f:
+            f.write(f"needle {k}")
+        os.utime(f"{tree}/a.txt", (1000 + 10 * k, 1000 + 10 * k))
+        search = Search(spark, spec)
+        found = [r.content for r in search.results().where(F.endswith("file_path", F.lit("/a.txt"))).collect()]
+        assert found == [f"needle {k}"]
+        search.close()
+    store = EntryCache(spark, cache, spec.root())
+    rows = store.rows().collect()
+    files = [r.file_path for r in rows]
+    assert len(files) == len(set(files)) > 5
+    store.compact()
+    store.vacuum()
+    state = store.state()
+    assert len(os.listdir(f"{cache}/entries")) == len(state.batches) <= 8 and len(os.listdir(f"{cache}/manifest")) == 1 and os.listdir(f"{cache}/listing") == []
+    assert sum(state.batches.values()) < 2 * len(files) + 8
+    plan = store.rows().join(store.rows().select("file_path").hint("merge"), "file_path")._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and "hashpartitioning" not in plan.split("ReadSchema")[0]
+    from gleaner.plans.cache import Conflict
+
+    other = EntryCache(spark, cache, spec.root())
+    other.base = state
+    store.commit(state, store.rows(), state.batches)
+    with pytest.raises(Conflict):
+        other.commit(state, other.rows(), state.batches)
+    again = Search(spark, spec)
+    assert sorted(r.content for r in again.results().collect()) == sorted(r.content for r in Search(spark, replace(spec, cache=None)).results().collect())
 
 
 @pytest.mark.parametrize("both", [True, False])
