@@ -1,19 +1,21 @@
 """Readers, searches, caches and exports as queries: files are made of table rows, read back, and held against SQL.
 
 Each row of `part` makes one file of a format, whose texts carry the row's name, so the entries of all files follow from the
-table alone. Files of the readers' queries are bytes in a column; those of folder queries are written to a new folder,
-from `nation`, a table of fixed size.
+table alone. Files of the readers' queries are bytes in a column; those of folder queries are written by tasks to a new folder below the shared
+one, some for each row of `supplier`, or all texts of `documents`. What a query finds is written there too, and its files are deleted.
 """
 
 from __future__ import annotations
 
+import codecs
 import os
-import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import replace
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as X
@@ -21,10 +23,12 @@ from .functions.regex import regex_match
 from .operators import match as M
 from .operators import results
 from .plans import export
+from .plans.cache import EntryCache, delete
 from .plans.search import Search
 from .schema import LABELS_JA
-from .sources import readers, writers
+from .sources import listing, readers, writers
 from .sources.formats.base import Options
+from .sources.monitor import Monitor, shared_dir
 from .spec import SearchSpec
 from .streaming import watch
 
@@ -34,6 +38,7 @@ PROPERTIES = [("My title@", 0, None, None, "Document Properties1"), ("Me@", 0, N
 EXPECTED: dict[str, list[tuple]] = {
     "xlsx": [
         *PROPERTIES, ("picture of x@", 0, None, None, "Alt Text1"), ("t@", 0, None, None, "Alt Text2"), ("chart title@", 1, None, None, "Table/Chart"),
+        ("art@", 1, None, None, "SmartArt"), ("said first@", 0, None, None, "Comment1"), ("said then@", 0, None, None, "Comment2"),
         ("Top@", 0, "First", None, "Header/Footer1"), ("shared@", 1, "First", "A1", None), ("inline@", 1, "First", "B1", None), ("TRUE", 1, "First", "C1", None),
         ("2024/01/01 12:00:00", 3, "First", "A3", None), ("12.5", 3, "First", "B3", None), ("7", 3, "First", "C3", None), ("1", 3, "First", "D3", None),
         ("shape text@", 0, "First", None, "Shape1"), ("remark@", 0, "First", "B1", "Comment"),
@@ -150,22 +155,62 @@ def timed_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(regex_match(spark, F.col("content"), "(an)+[a-z]* (t[a-z]+ )+", False))
 
 
+def written(rows: DataFrame, make: Callable[[int], dict[str, bytes]], old: bool = False) -> int:
+    """Files of every row (key), written by tasks; `old`: with a time long past, where the folder is local. Returns their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for batch in batches:
+            for key in batch.column("key").to_pylist():
+                for path, raw in make(key).items():
+                    system, inside = listing.store(path) if "://" in path else (pafs.LocalFileSystem(), path)
+                    system.create_dir(os.path.dirname(inside), recursive=True)
+                    with system.open_output_stream(inside, compression=None) as f:
+                        f.write(raw)
+                    if old and isinstance(system, pafs.LocalFileSystem):
+                        os.utime(inside, (1, 1))
+                    n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return rows.select(F.col("key").cast("long")).mapInArrow(run, "n long").agg(F.sum("n")).first()[0]
+
+
+def new_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).removeprefix('file://')}/files-{uuid.uuid4().hex}"
+
+
+def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("key"))
+
+
+def top_of(root: str, k: int) -> str:
+    return f"{root}/{k % 4}" + ("/deep/er" if k % 3 == 0 else "")
+
+
 def folder(spark: SparkSession, sf_dir: str) -> str:
-    """A new folder with files of every nation: a text, hidden ones, one of another kind, a workbook, and one that is damaged."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or ""
-    root = tempfile.mkdtemp(prefix="files-", dir=shared.removeprefix("file://") if shared.startswith("file:///") and os.path.isdir(shared.removeprefix("file://")) else None)
-    for r in spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name").toLocalIterator():
-        top = f"{root}/{r.n_nationkey % 4}" + ("/deep/er" if r.n_nationkey % 3 == 0 else "")
-        os.makedirs(top, exist_ok=True)
-        texts = {f"{r.n_name}.TXT": f"nation {r.n_name}\n\nNumber {r.n_nationkey} of all", f".{r.n_name}.txt": f"hidden {r.n_name} nation", f"{r.n_name}.md": f"nation {r.n_name} noted"}
-        for name, text in texts.items():
-            with open(f"{top}/{name}", "w") as f:
-                f.write(text)
-        with open(f"{top}/{r.n_name}.xlsx", "wb") as f:
-            f.write(writers.xlsx(lambda x, n=r.n_nationkey: f"{x} {n}") if r.n_nationkey % 5 else b"damaged")
+    """A new folder with files of every supplier: a text, a hidden one, one of another kind, a workbook, and some that are damaged."""
+    root = new_folder(spark)
+
+    def make(k: int) -> dict[str, bytes]:
+        top, n = top_of(root, k), f"NATION_{k}"
+        texts = {f"{n}.TXT": f"nation {n}\n\nNumber {k} of all", f".{n}.txt": f"hidden {n} nation", f"{n}.md": f"nation {n} noted"}
+        book = writers.xlsx(lambda x: f"{x} {k}") if k % 5 else b"damaged"
+        return {f"{top}/{name}": text.encode() for name, text in texts.items()} | {f"{top}/{n}.xlsx": book}
+
+    written(suppliers(spark, sf_dir), make)
     return root
 
 
+def done(found: DataFrame, *roots: str) -> DataFrame:
+    """What was found, written and read again; the files it was found in are deleted."""
+    spark = found.sparkSession
+    where = f"{shared_dir(spark)}/found-{uuid.uuid4().hex}"
+    found.write.parquet(where)
+    for root in roots:
+        delete(spark, root)
+    return spark.read.schema(found.schema).parquet(where)
+
+
 def shown(rows: DataFrame) -> DataFrame:
     return rows.select("file_name", "location", "content")
 
@@ -179,27 +224,123 @@ def folder_search(more: dict, kept: bool = False) -> Run:
         search = Search(spark, replace(spec, target=root, cache=f"{root}/.cache" if kept else None))
         if kept:
             search.results().count()
+            search.close()
             search = Search(spark, search.spec)
-        return shown(search.results())
+        found = done(shown(search.results()), root)
+        search.close()
+        return found
 
     return run
 
 
 def folder_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a second search reads again: files that failed, and one that changed."""
+    """What a second search reads again: files that failed, and those that changed."""
     root = folder(spark, sf_dir)
     spec = SearchSpec.of("nation", target=root, cache=f"{root}/.cache")
-    Search(spark, spec).results().count()
-    changed = next(f"{d}/{n}" for d, _, names in sorted(os.walk(root)) for n in sorted(names) if n == "NATION_6.TXT")
-    os.utime(changed, (1, 1))
-    again = Search(spark, spec).extracted()
+    first = Search(spark, spec)
+    first.results().count()
+    first.close()
+    written(suppliers(spark, sf_dir).where("key % 7 = 6"), lambda k: {f"{top_of(root, k)}/NATION_{k}.TXT": b"changed"}, old=True)
+    search = Search(spark, spec)
     name = X.file_name("file_path").alias("file_name")
-    return again.select(name, F.col("error").isNotNull().alias("failed")).distinct()
+    again = done(search.extracted().select(name, F.col("error").isNotNull().alias("failed")).distinct(), root)
+    search.close()
+    return again
+
+
+def cache_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store after ten searches, before each of which some files changed: a manifest row for each file, and its entries once."""
+    root = folder(spark, sf_dir)
+    spec = SearchSpec.of("nation", target=root, cache=f"{root}/.cache", excel=False)
+    for turn in range(10):
+        changed = suppliers(spark, sf_dir).where((F.col("key") + turn) % 3 == 0)
+        written(changed, lambda k, turn=turn: {f"{top_of(root, k)}/NATION_{k}.TXT": f"nation {k}\nin turn {turn}".encode()}, old=turn % 2 == 0)
+        search = Search(spark, spec)
+        search.results().count()
+        search.close()
+    store = EntryCache(spark, spec.cache, root)
+    state = store.compact()
+    store.vacuum()
+    rows = store.rows()
+    stored = store.stored(state).join(rows.select("file_path", "batch"), ["file_path", "batch"]).groupBy("file_path").agg(F.count(F.lit(1)).alias("entries"), F.max("content").alias("last"))
+    files = rows.groupBy("file_path").agg(F.count(F.lit(1)).alias("manifest_rows"))
+    return done(files.join(stored, "file_path").select(X.file_name("file_path").alias("file_name"), "manifest_rows", "entries", "last"), root)
 
 
 def folder_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    errors = Search(spark, SearchSpec.of("nation", target=folder(spark, sf_dir))).errors()
-    return errors.select(X.file_name("file_path").alias("file_name"), F.col("error").isNotNull().alias("failed"))
+    root = folder(spark, sf_dir)
+    search = Search(spark, SearchSpec.of("nation", target=root))
+    found = done(search.errors().select(X.file_name("file_path").alias("file_name"), F.col("error").isNotNull().alias("failed")), root)
+    search.close()
+    return found
+
+
+def folder_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results, files with results, and the files that tasks told of while the search ran."""
+    root = folder(spark, sf_dir)
+    monitor = Monitor(spark)
+    search = Search(spark, SearchSpec.of("nation", target=root), monitor=monitor)
+    counted = done(results.counts(search.results()), root)
+    search.close()
+    return counted.withColumn("files_read", F.lit(monitor.files).cast("long"))
+
+
+def folder_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of forty folders, one in another, listed in rounds in which a task takes five folders: the order of each chain's files."""
+    root = new_folder(spark)
+
+    def make(k: int) -> dict[str, bytes]:
+        top = f"{root}/{k // 40:06}" + "".join(f"/{n:02}" for n in range(k % 40))
+        return {f"{top}/.{k}.txt": b"x" * k}
+
+    written(suppliers(spark, sf_dir), make)
+    found = listing.rounds(spark, SearchSpec.of("x", target=root), f"{root}-rounds", limit=5)
+    key = F.regexp_extract("file_path", r"\.(\d+)\.txt$", 1).cast("long")
+    place = F.row_number().over(Window.partitionBy(F.floor(key / 40)).orderBy("file_ord")).alias("place")
+    return done(found.select(key.alias("key"), "ext", "length", place), root, f"{root}-rounds")
+
+
+def text_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of all documents as files of two hundred each, read by ranges of 32 KB: the lines of each file with their numbers."""
+    root = new_folder(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL")
+    docs = docs.select((F.col("doc_id") / 200).cast("long").alias("file"), "doc_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted: a file is written text by text."""
+        system, top = listing.store(root) if "://" in root else (pafs.LocalFileSystem(), root)
+        system.create_dir(top, recursive=True)
+        at, out = None, None
+        for batch in batches:
+            for file, text in zip(batch.column("file").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if file != at:
+                    if out is not None:
+                        out.close()
+                    at, out = file, system.open_output_stream(f"{top}/{file}.txt", compression=None)
+                    out.write(codecs.BOM_UTF8)
+                out.write(text.encode() + b"\n")
+        if out is not None:
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32())], ["n"])
+
+    docs.repartition("file").sortWithinPartitions("file", "doc_id").mapInArrow(run, "n int").agg(F.sum("n")).collect()
+    search = Search(spark, SearchSpec.of("x", target=root), range_bytes=32 << 10)
+    found = done(search.entries().select(X.file_name("file_path").alias("file_name"), "line_number", "content"), root)
+    search.close()
+    return found
+
+
+def text_ambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that are valid in both encodings go to the one with more Japanese characters, even if these are letters with accents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("key").to_pylist()
+            files = [("日日 " if k % 2 else "éé ").encode() + n.encode() for k, n in zip(keys, batch.column("name").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([f"/made/{k}.txt" for k in keys]), pa.array([".txt"] * len(keys)), pa.array(keys, pa.int64()), pa.array(files, pa.binary())], ["file_path", "ext", "file_ord", "content"])
+
+    files = part(spark, sf_dir).mapInArrow(run, "file_path string, ext string, file_ord long, content binary")
+    return found(readers.entries(readers.extract(files))).select("key", "line_number", "content")
 
 
 def exported(files: bool) -> Run:
@@ -208,20 +349,25 @@ def exported(files: bool) -> Run:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         root = folder(spark, sf_dir)
         spec = SearchSpec.of("nation", target=root, export_conditions=True)
-        (export.export_files if files else export.export_results)(Search(spark, spec).results(), f"{root}/out", spec)
+        search = Search(spark, spec)
+        (export.export_files if files else export.export_results)(search.results(), f"{root}/out", spec)
+        search.close()
         lines = spark.read.text(f"{root}/out").where(~F.startswith("value", F.lit("Target Folder")))
-        return lines.select(F.regexp_replace("value", r"^/.*/([^/\t]+)(\t|$)", "$1$2").alias("line"))
+        return done(lines.select(F.regexp_replace("value", r"^/.*/([^/\t]+)(\t|$)", "$1$2").alias("line")), root)
 
     return run
 
 
 def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files as they arrive, searched in batches; the second run of the stream finds no new ones."""
+    """Files as they arrive, searched in batches; the third run of the stream sees those that have changed after the second, hidden ones too."""
     root = folder(spark, sf_dir)
     spec = SearchSpec.of("nation", target=root)
-    for _ in range(2):
-        watch.watch(spark, spec, lambda rows, n: shown(rows).write.mode("append").parquet(f"{root}/.found"), f"{root}/.checkpoint").awaitTermination()
-    return spark.read.parquet(f"{root}/.found")
+    for turn in range(3):
+        if turn == 2:
+            written(suppliers(spark, sf_dir).where("key % 2 = 1"), lambda k: {f"{top_of(root, k)}/.NATION_{k}.txt": b"nation changed"}, old=True)
+            written(suppliers(spark, sf_dir).where("key % 5 = 2"), lambda k: {f"{root}/later/{k}/NEW_{k}.txt": f"nation new {k}".encode()})
+        watch.watch(spark, spec, lambda rows, n: shown(rows).write.mode("append").parquet(f"{root}-found"), f"{root}-checkpoint").awaitTermination()
+    return done(spark.read.parquet(f"{root}-found"), root, f"{root}-found", f"{root}-checkpoint")
 
 
 def _text(value: str | None) -> str:
@@ -234,7 +380,7 @@ def _entries_sql(rows: list[tuple], more: str = "") -> str:
     return f"{first} FROM part, (VALUES {values}) AS v(c, n, s, a, o){more}"
 
 
-_NATIONS = "(SELECT n_nationkey AS k, n_name AS n FROM nation)"
+_NATIONS = "(SELECT s_suppkey AS k, 'NATION_' || s_suppkey AS n FROM supplier)"
 _LINKS = " UNION ALL SELECT p_partkey, 'http://example.org/' || replace('x ' || p_name, ' ', '/'), 0, NULL, NULL, 'Hyperlink1' FROM part"
 _TEXTS = f"""SELECT n || '.TXT' AS file_name, '1 Row' AS location, 'nation ' || n AS content FROM {_NATIONS} UNION ALL SELECT n || '.TXT', '3 Row', 'Number ' || k || ' of all' FROM {_NATIONS}
  UNION ALL SELECT '.' || n || '.txt', '1 Row', 'hidden ' || n || ' nation' FROM {_NATIONS}"""
@@ -276,8 +422,29 @@ QUERIES: dict[str, tuple[Run, str]] = {
         f"SELECT n || '.md' AS file_name, '1 Row' AS location, 'nation ' || n || ' noted' AS content FROM {_NATIONS} WHERE k % 4 <> 1 AND NOT (k % 4 = 2 AND k % 3 = 0)",
     ),
     "folder_errors": (folder_errors, f"SELECT n || '.xlsx' AS file_name, true AS failed FROM {_NATIONS} WHERE k % 5 = 0"),
-    "folder_cache": (folder_cache, f"SELECT n || '.xlsx' AS file_name, true AS failed FROM {_NATIONS} WHERE k % 5 = 0 UNION ALL SELECT 'NATION_6.TXT', false"),
+    "folder_cache": (folder_cache, f"SELECT n || '.xlsx' AS file_name, true AS failed FROM {_NATIONS} WHERE k % 5 = 0 UNION ALL SELECT n || '.TXT', false FROM {_NATIONS} WHERE k % 7 = 6"),
+    "cache_store": (
+        cache_store,
+        f"""SELECT n || '.TXT' AS file_name, 1::BIGINT AS manifest_rows, 2::BIGINT AS entries, 'nation ' || k AS last FROM {_NATIONS}
+ UNION ALL SELECT '.' || n || '.txt', 1, 1, 'hidden ' || n || ' nation' FROM {_NATIONS}""",
+    ),
+    "folder_counts": (
+        folder_counts,
+        f"""SELECT (SELECT count(*) FROM ({_WITH_NATION}))::BIGINT AS results, (SELECT count(DISTINCT file_name) FROM ({_WITH_NATION}))::BIGINT AS files, (SELECT 3 * count(*) FROM {_NATIONS})::BIGINT AS files_read""",
+    ),
+    "folder_chain": (folder_chain, f"SELECT k AS key, '.txt' AS ext, k AS length, (k % 40 + 1)::INTEGER AS place FROM {_NATIONS}"),
+    "text_ranges": (
+        text_ranges,
+        """SELECT file_name, i::INTEGER AS line_number, parts[i] AS content FROM (SELECT file_name, parts, unnest(range(1, len(parts) + 1)) AS i FROM
+ (SELECT doc_id // 200 || '.txt' AS file_name, regexp_split_to_array(string_agg(text, chr(10) ORDER BY doc_id) || chr(10), '\\r\\n|\\r|\\n') AS parts FROM documents WHERE text IS NOT NULL GROUP BY doc_id // 200))
+ WHERE length(trim(parts[i], ' ' || chr(9) || chr(11) || chr(12))) > 0""",
+    ),
+    "text_ambiguous": (text_ambiguous, "SELECT p_partkey AS key, 1::INTEGER AS line_number, CASE WHEN p_partkey % 2 = 1 THEN '譌･譌･ ' ELSE 'ﾃｩﾃｩ ' END || p_name AS content FROM part"),
     "export_results": (exported(False), f"{_CONDITIONS} UNION ALL SELECT 'File Path' || chr(9) || 'File Name' || chr(9) || 'Location' || chr(9) || 'Content' UNION ALL SELECT file_name || chr(9) || file_name || chr(9) || location || chr(9) || content FROM ({_WITH_NATION})"),
     "export_files": (exported(True), f"{_CONDITIONS} UNION ALL SELECT DISTINCT file_name FROM ({_WITH_NATION})"),
-    "streamed_files": (streamed, f"SELECT * FROM ({_WITH_NATION}) WHERE NOT starts_with(file_name, '.')"),
+    "streamed_files": (
+        streamed,
+        f"""{_WITH_NATION} UNION ALL SELECT '.' || n || '.txt', '1 Row', 'nation changed' FROM {_NATIONS} WHERE k % 2 = 1
+ UNION ALL SELECT 'NEW_' || k || '.txt', '1 Row', 'nation new ' || k FROM {_NATIONS} WHERE k % 5 = 2""",
+    ),
 }

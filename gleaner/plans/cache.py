@@ -200,6 +200,10 @@ class EntryCache:
             return self.spark.createDataFrame([], STORED)
         return self.spark.read.schema(STORED).option("basePath", f"{self.folder}/entries").parquet(*found)
 
+    def stored(self, state: State) -> DataFrame:
+        """All entries of a state, and the batch of each; the live ones are those whose file and batch are in the manifest."""
+        return self._entries(list(state.batches))
+
     def load(self, hits: DataFrame) -> DataFrame:
         """Stored entries of the hits, with the order that files have now."""
         rows = self._entries(list(self.base.batches)).where("error IS NULL").drop("file_ord")

@@ -12,18 +12,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .functions.regex import regex_match
 from .operators import entries as E
 from .operators import match as M
+from .operators import results
 from .plans.cache import valid
-from .spec import FAMILIES, SearchSpec, parse_extensions
+from .sources import listing
+from .spec import FAMILIES, SearchSpec
 
 BOTH = SearchSpec.of("the", "and")
 ACCENTS = SearchSpec.of("ción", "über", match_all=False)
 ROW = SearchSpec.of("ring", "Brand#1")
 REGEX = r"(^|[^a-z])th[ae]n?[^a-z]"
 REGEX_MANY = (r"[0-9]{3}", r"[.:]$")
-INCLUDE, EXCLUDE = parse_extensions(".com, html;HTM .php"), parse_extensions(".php")
+INCLUDE, EXCLUDE = ".com, html;HTM .php", ".php"
 LINK = r'href="([^"]*)"'
 
 
@@ -82,8 +83,10 @@ def index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matched_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with matches, the first line and the number of matches of each."""
     found = search_lines(BOTH)(spark, sf_dir)
-    return found.groupBy("doc_id").agg(F.min("line_number").alias("first_line"), F.count(F.lit(1)).alias("hits"))
+    entries = found.select(F.col("doc_id").cast("string").alias("file_path"), F.col("line_number").cast("long").alias("file_ord"), F.lit(0).alias("entry_ord"))
+    return results.matched_files(entries).select(F.col("file_path").cast("long").alias("doc_id"), F.col("file_ord").cast("int").alias("first_line"), "hits")
 
 
 def location_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,15 +102,18 @@ def url_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ext_include_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "pages").select("page_id", "url", X.extension(F.concat("url", F.element_at(F.array(*[F.lit(x) for x in (".html", ".php", ".txt")]), (F.col("page_id") % 3 + 1).cast("int")))).alias("ext"))
-    return found.where(~F.col("ext").isin(*EXCLUDE) & F.col("ext").isin(*INCLUDE))
+    name = F.concat("url", F.element_at(F.array(*[F.lit(x) for x in (".html", ".php", ".txt")]), (F.col("page_id") % 3 + 1).cast("int")))
+    found = table(spark, sf_dir, "pages").select("page_id", "url", name.alias("file_path"), X.extension(name).alias("ext"))
+    spec = SearchSpec(excel=False, word=False, powerpoint=False, pdf=False, text=False, custom_enabled=True, custom_extensions=INCLUDE, exclude_enabled=True, exclude_extensions=EXCLUDE)
+    return listing.filtered(found, spec).select("page_id", "url", "ext")
 
 
 def exclude_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths not below a folder, whatever their case; a folder whose name only begins alike stays."""
     folder = F.element_at(F.array(*[F.lit(x) for x in ("/data/ex/", "/data/EX/sub/", "/data/ex2/", "/data/")]), (F.col("page_id") % 4 + 1).cast("int"))
-    paths = table(spark, sf_dir, "pages").select("page_id", F.concat(folder, F.col("page_id").cast("string"), F.lit(".txt")).alias("path"))
-    return paths.where(~F.startswith(F.lower("path"), F.lit("/data/ex/")))
+    paths = table(spark, sf_dir, "pages").select("page_id", F.concat(folder, F.col("page_id").cast("string"), F.lit(".txt")).alias("file_path"), F.lit(".txt").alias("ext"))
+    spec = SearchSpec(target="/data", exclude_folders_enabled=True, exclude_folders="EX;/none")
+    return listing.filtered(paths, spec).select("page_id", F.col("file_path").alias("path"))
 
 
 def formula_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,6 +214,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "case_sensitive": (search_lines(SearchSpec.of("The", case_sensitive=True)), _lines_sql("contains(content, 'The')")),
     "keyword_slots": (keyword_slots, _lines_sql("contains(lower(content), 'the') AND contains(lower(content), 'th ')")),
     "regex_ci": (regex_lines((REGEX,), True), _lines_sql(f"regexp_matches(content, '{REGEX}', 'i')")),
+    "regex_literals": (search_lines(SearchSpec.of("th[ae]n? [a-z]*(ing|ed) ", "(and|und|et) ", regex=True)), _lines_sql("regexp_matches(content, 'th[ae]n? [a-z]*(ing|ed) ', 'i') AND regexp_matches(content, '(and|und|et) ', 'i')")),
     "regex_multi": (regex_lines(REGEX_MANY, True), _lines_sql(" AND ".join(f"regexp_matches(content, '{p}', 'i')" for p in REGEX_MANY))),
     "or_regex": (regex_lines(REGEX_MANY, False), _lines_sql(" OR ".join(f"regexp_matches(content, '{p}', 'i')" for p in REGEX_MANY))),
     "cells": (part_cells, f"WITH {_CELLS} SELECT * FROM cells"),

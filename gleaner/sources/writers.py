@@ -63,13 +63,16 @@ def xlsx(t: Text = plain) -> bytes:
         "xl/styles.xml": styles,
         "xl/chartsheets/c.xml": f'<chartsheet xmlns="{MAIN}"/>',
         "xl/worksheets/sheet1.xml": sheet,
-        "xl/worksheets/_rels/sheet1.xml.rels": rels(("d", "drawing", "../drawings/d.xml"), ("c", "comments", "../comments1.xml"), ("h", "hyperlink", "http://example.org/" + t("x").replace(" ", "/"), True)),
+        "xl/worksheets/_rels/sheet1.xml.rels": rels(("d", "drawing", "../drawings/d.xml"), ("c", "comments", "../comments1.xml"), ("tc", "threadedComment", "../threadedComments/t1.xml"), ("h", "hyperlink", "http://example.org/" + t("x").replace(" ", "/"), True)),
         "xl/drawings/d.xml": drawing,
-        "xl/drawings/_rels/d.xml.rels": rels(("k", "chart", "../charts/chart1.xml")),
+        "xl/drawings/_rels/d.xml.rels": rels(("k", "chart", "../charts/chart1.xml"), ("a", "diagramData", "../diagrams/data1.xml")),
+        "xl/diagrams/data1.xml": f'<dgm:dataModel xmlns:dgm="urn:dgm" xmlns:a="{A}"><dgm:t><a:p><a:r><a:t>{t("art")}</a:t></a:r></a:p><a:p/></dgm:t></dgm:dataModel>',
+        "xl/threadedComments/t1.xml": f'<ThreadedComments><threadedComment ref="A1"><text>{t("said first")}</text></threadedComment><threadedComment ref="A1"><text>{t("said then")}</text></threadedComment></ThreadedComments>',
         "xl/charts/chart1.xml": f'<c xmlns:a="{A}"><a:p><a:r><a:t>{t("chart title")}</a:t></a:r></a:p></c>',
         "xl/comments1.xml": f'<comments xmlns="{MAIN}"><commentList><comment ref="B1"><text><t>{t("remark")}</t></text></comment></commentList></comments>',
     }
     kinds = [("xl/charts/chart1.xml", "application/vnd.openxmlformats-officedocument.drawingml.chart+xml"), ("xl/drawings/d.xml", "application/vnd.openxmlformats-officedocument.drawing+xml")]
+    kinds += [("xl/diagrams/data1.xml", "application/vnd.openxmlformats-officedocument.drawingml.diagramData+xml"), ("xl/threadedComments/t1.xml", "application/vnd.ms-excel.threadedcomments+xml")]
     return package(parts, kinds)
 
 
