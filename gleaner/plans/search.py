@@ -78,7 +78,8 @@ class Search:
     def entries(self) -> DataFrame:
         if self.spec.nothing_to_do():
             return self.spark.createDataFrame([], ENTRY)
-        return readers.entries(self._plan())
+        # all of them: the plan of a search leaves out texts that cannot match
+        return readers.entries(readers.extract(self.files(), self.options, self.monitor) if self.spec.cache is None else self._plan())
 
     def errors(self) -> DataFrame:
         return readers.errors(self.extracted())
