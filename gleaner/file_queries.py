@@ -75,14 +75,14 @@ def part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"))
 
 
-def made(rows: DataFrame, ext: str) -> DataFrame:
-    """A file of each row (key, name), with its bytes, as readers take it."""
+def made(rows: DataFrame, ext: str, more: Callable[[int], dict] = lambda k: {}) -> DataFrame:
+    """A file of each row (key, name), with its bytes, as readers take it; more: what else its writer is told, by key."""
     write = getattr(writers, ext)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, names = batch.column("key").to_pylist(), batch.column("name").to_pylist()
-            files = [write(lambda x, n=n: f"{x} {n}") for n in names]
+            files = [write(lambda x, n=n: f"{x} {n}", **more(k)) for k, n in zip(keys, names, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([f"/made/{k}.{ext}" for k in keys]), pa.array([f".{ext}"] * len(keys)), pa.array(keys, pa.int64()), pa.array(files, pa.binary())], ["file_path", "ext", "file_ord", "content"])
 
     return rows.mapInArrow(run, "file_path string, ext string, file_ord long, content binary")
@@ -92,6 +92,12 @@ def found(entries: DataFrame) -> DataFrame:
     return entries.select(F.col("file_ord").alias("key"), "content", "line_number", "sheet_name", "cell_address", "object_name")
 
 
+def encrypted_pdfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of PDF files that are encrypted in turn by RC4, AES of 128 and of 256 bits, and open without a password."""
+    methods = ["RC4", "AES-128", "AES-256"]
+    return found(readers.entries(readers.extract(made(part(spark, sf_dir), "pdf", lambda k: {"method": methods[k % 3]}))))
+
+
 def read_back(ext: str, formulas: bool = False) -> Run:
     """Entries of the files of all rows; in the mode of formulas only cells."""
 
@@ -123,6 +129,22 @@ def damaged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.errors(readers.extract(files)).select("file_path", F.col("error").isNotNull().alias("failed"))
 
 
+def damaged_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole packages in which one main part is cut off: a failure each, with the entries that came before it."""
+    parts = ["xl/workbook.xml", "xl/worksheets/sheet1.xml", "xl/styles.xml"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("file_ord").to_pylist()
+            files = [writers.without_end(raw, parts[k % 3]) for k, raw in zip(keys, batch.column("content").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("file_path", "ext", "file_ord")), pa.array(files, pa.binary())], ["file_path", "ext", "file_ord", "content"])
+
+    files = made(part(spark, sf_dir), "xlsx")
+    rows = readers.extract(files.mapInArrow(run, files.schema))
+    said = F.max(F.regexp_extract("error", "the part (\\S+) cannot be read", 1)).alias("part")
+    return rows.groupBy(F.col("file_ord").alias("key")).agg(said, F.count_if(F.col("error").isNull() & F.col("object_name").isNotNull()).alias("extras"), F.count_if(F.col("cells").isNotNull()).alias("rows"))
+
+
 def sheet_rows(regex: bool) -> Run:
     """Cells of workbooks whose rows hold both keywords; by patterns the rows are put together."""
     spec = SearchSpec.of(r"shared [a-m]" if regex else "shared", "inline", regex=regex)
@@ -392,12 +414,14 @@ _CONDITIONS = """SELECT unnest(['[Search Conditions]', 'Keyword1' || chr(9) || '
 QUERIES: dict[str, tuple[Run, str]] = {
     "read_xlsx": (read_back("xlsx"), _entries_sql(EXPECTED["xlsx"], _LINKS)),
     **{f"read_{x}": (read_back(x), _entries_sql(EXPECTED[x])) for x in ("docx", "pptx", "doc", "ppt", "xls", "pdf")},
+    "encrypted_pdfs": (encrypted_pdfs, _entries_sql(EXPECTED["pdf"])),
     **{f"formulas_{x}": (read_back(x, True), _entries_sql(rows)) for x, rows in FORMULAS.items()},
     "text_encodings": (
         text_encodings,
         "SELECT p_partkey AS key, 1::INTEGER AS line_number, CASE WHEN p_partkey % 5 = 0 THEN '日Å ' ELSE '日本語 ' END || p_name AS content FROM part UNION ALL SELECT p_partkey, 3, p_name FROM part",
     ),
     "damaged_files": (damaged_files, "SELECT '/made/' || p_partkey || '.xlsx' AS file_path, true AS failed FROM part"),
+    "damaged_parts": (damaged_parts, "SELECT p_partkey AS key, ['xl/workbook.xml', 'xl/worksheets/sheet1.xml', 'xl/styles.xml'][p_partkey % 3 + 1] AS part, 9::BIGINT AS extras, 0::BIGINT AS rows FROM part"),
     "sheet_rows": (sheet_rows(False), _SHEET),
     "sheet_rows_regex": (sheet_rows(True), f"SELECT s.* FROM ({_SHEET}) s JOIN part ON key = p_partkey WHERE regexp_matches(p_name, '^[a-m]', 'i')"),
     "labels_japanese": (

@@ -34,9 +34,7 @@ def read(raw: bytes, o: Options) -> Iterator[Piece]:
     for extra in (ooxml.properties, ooxml.hyperlinks, ooxml.alternative_text):
         yield from extra(p, o)
     main = p.main()
-    root = p.xml(main) if main else None
-    if root is None:
-        return
+    root = p.root(main)
     for body in (e for e in root if local(e) == "body"):
         for n, paragraph in enumerate(_body(body), 1):
             text = _runs(paragraph)

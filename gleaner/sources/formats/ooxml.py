@@ -6,12 +6,15 @@ import io
 import posixpath
 import re
 import zipfile
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 from xml.etree import ElementTree as ET
 
 from .base import Options, Piece, blank, numbered
 
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+#: Parts of more bytes are gone through element by element, without a tree.
+TREE_BYTES = 16 << 20
 #: Core and extended properties that are searched.
 PROPERTIES = ("title", "subject", "creator", "keywords", "description", "category", "contentStatus", "contentType", "identifier", "language", "lastModifiedBy", "revision", "version")
 HEADER_FOOTER = ("oddheader", "oddfooter", "evenheader", "evenfooter", "firstheader", "firstfooter")
@@ -63,6 +66,64 @@ class Package:
         except (KeyError, ET.ParseError, zipfile.BadZipFile):
             return None
 
+    def root(self, part: str | None) -> ET.Element:
+        """Root of a part that the document cannot do without: it fails if it is absent or broken."""
+        name = self._name(part)
+        try:
+            return ET.fromstring(self.zip.read(name))
+        except (ET.ParseError, zipfile.BadZipFile, zlib.error) as e:
+            raise ValueError(f"the part {part} cannot be read: {e}") from None
+
+    def _name(self, part: str | None) -> str:
+        if not part or not self.has(part):
+            raise ValueError(f"the part {part or 'of the document'} is missing")
+        return self.names[part.lower()]
+
+    def large(self, part: str | None) -> bool:
+        return bool(part) and self.has(part) and self.zip.getinfo(self.names[part.lower()]).file_size > TREE_BYTES
+
+    def top(self, part: str) -> str:
+        """The name of the root of a part."""
+        try:
+            with self.zip.open(self._name(part)) as f:
+                return next(local(e) for _, e in ET.iterparse(f, ("start",)))
+        except (ET.ParseError, zipfile.BadZipFile, zlib.error, StopIteration) as e:
+            raise ValueError(f"the part {part} cannot be read: {e}") from None
+
+    def pull(self, part: str | None, *names: str) -> Iterator[ET.Element]:
+        """The elements of these names, one after the other, each gone when the next is asked for. It fails where the part is broken."""
+        above: list[ET.Element] = []
+        inside = 0
+        try:
+            with self.zip.open(self._name(part)) as f:
+                for event, e in ET.iterparse(f, ("start", "end")):
+                    if event == "start":
+                        above.append(e)
+                        inside += local(e) in names
+                        continue
+                    above.pop()
+                    if local(e) in names:
+                        inside -= 1
+                        yield e
+                    if not inside and above:
+                        del above[-1][-1]
+        except (ET.ParseError, zipfile.BadZipFile, zlib.error) as e:
+            raise ValueError(f"the part {part} cannot be read: {e}") from None
+
+    def elements(self, part: str, *names: str) -> Iterator[ET.Element]:
+        """The elements of these names of a part that must be there, from its tree unless that is large."""
+        return self.pull(part, *names) if self.large(part) else named(self.root(part), *names)
+
+    def holds(self, part: str, word: bytes) -> bool:
+        """Whether the bytes of a part hold a word."""
+        with self.zip.open(self._name(part)) as f:
+            tail = b""
+            while block := f.read(1 << 20):
+                if word in tail + block:
+                    return True
+                tail = block[-len(word) :]
+        return False
+
     def rels(self, part: str) -> list[tuple[str, str, str, bool]]:
         """(id, kind, target, external) of the relationships of a part; "" is the package."""
         if part not in self._rels:
@@ -124,8 +185,12 @@ def hyperlinks(p: Package, o: Options) -> Iterator[Piece]:
 def alternative_text(p: Package, o: Options) -> Iterator[Piece]:
     def values() -> Iterator[str | None]:
         for part in p.parts():
-            root = p.content(part)
-            for e in named(root, "docPr", "cNvPr") if root is not None else ():
+            if p.large(part):  # without its tree
+                found = p.pull(part, "docPr", "cNvPr") if "xml" in p.kind(part).lower() and (p.holds(part, b"docPr") or p.holds(part, b"cNvPr")) else ()
+            else:
+                root = p.content(part)
+                found = named(root, "docPr", "cNvPr") if root is not None else ()
+            for e in found:
                 yield e.get("descr")
                 yield e.get("title")
 
@@ -177,8 +242,9 @@ def clean_header_footer(text: str) -> str:
     return re.sub("(?i)&[LCRPNDTFA]", " ", text).strip()
 
 
-def sheet_header_footer(root: ET.Element, sheet: str, o: Options) -> Iterator[Piece]:
-    texts = (clean_header_footer(inner(e)) for e in root.iter() if local(e).lower() in HEADER_FOOTER)
+def sheet_header_footer(elements: Iterable[ET.Element], sheet: str, o: Options) -> Iterator[Piece]:
+    """elements: those of a sheet, of which some hold its headers and footers."""
+    texts = (clean_header_footer(inner(e)) for e in elements if local(e).lower() in HEADER_FOOTER)
     return numbered(texts, o.labels["header_footer"], sheet)
 
 

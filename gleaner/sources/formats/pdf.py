@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from typing import Any, NamedTuple
 
 from .base import Options, Piece, blank, distinct, new_lines, numbered, numbered_lines
+from .pdfcrypt import Security
 
 EXTENSIONS = (".pdf",)
 _SPACE = b" \t\r\n\f\0"
@@ -245,6 +246,7 @@ class Document:
         self.left_out: set[str] = set()
         self.trailer: dict = {}
         self.raw = raw
+        generations: dict[int, int] = {}
         at = 0
         for m in re.finditer(rb"(?<![0-9])(\d+)\s+(\d+)\s+obj\b|\btrailer\b", raw):
             if m.start() < at:
@@ -269,12 +271,38 @@ class Document:
                 if value.head.get("Type") == "XRef":
                     self.trailer |= value.head
             self.objects[int(m[1])] = value
+            generations[int(m[1])] = int(m[2])
         if "Encrypt" in self.trailer:
-            raise ValueError("the file is encrypted")
+            self._decrypt(generations)
         for value in list(self.objects.values()):
             if isinstance(value, Stream) and value.head.get("Type") == "ObjStm":
                 self._unpack(value)
 
+    def _decrypt(self, generations: dict[int, int]) -> None:
+        """Strings and streams of all objects, but what objects in streams hold, which is encrypted as a part of these."""
+        entry = self.trailer["Encrypt"]
+        plain = lambda x: {k: plain(v) for k, v in x.items()} if isinstance(x, dict) else self.get(x) if isinstance(x, Ref) else x
+        names = self.list(self.trailer.get("ID"))
+        security = Security(plain(self.dict(entry)), names[0] if names and isinstance(names[0], bytes) else b"")
+
+        def opened(x: Any, cipher) -> Any:
+            if isinstance(x, bytes):
+                return cipher(x)
+            if isinstance(x, dict):
+                return {k: opened(v, cipher) for k, v in x.items()}
+            return [opened(v, cipher) for v in x] if isinstance(x, list) else x
+
+        for number, x in self.objects.items():
+            if isinstance(entry, Ref) and number == entry.number:
+                continue
+            cipher = security.string(number, generations[number])
+            if isinstance(x, Stream):
+                if x.head.get("Type") != "XRef":
+                    head = opened(x.head, cipher)
+                    self.objects[number] = Stream(head, security.stream(number, generations[number], head)(x.raw))
+            else:
+                self.objects[number] = opened(x, cipher)
+
     def _unpack(self, stream: Stream) -> None:
         data = self.data(stream)
         lexer, first = Lexer(data), self.get(stream.head.get("First", 0))

@@ -27,9 +27,7 @@ def _name(shape: ET.Element) -> str:
 
 
 def _slide(p: Package, part: str, name: str, o: Options) -> Iterator[Piece]:
-    root = p.xml(part)
-    if root is None:
-        return
+    root = p.root(part)
     for n, shape in enumerate(named(root, "sp"), 1):
         bodies = [e for e in shape if local(e) == "txBody"]
         texts = (t for body in bodies for t in ooxml.paragraphs(body, "drawingml"))
@@ -56,9 +54,7 @@ def read(raw: bytes, o: Options) -> Iterator[Piece]:
     for extra in (ooxml.properties, ooxml.hyperlinks, ooxml.alternative_text, ooxml.charts, ooxml.smart_art):
         yield from extra(p, o)
     main = p.main()
-    root = p.xml(main) if main else None
-    if root is None:
-        return
+    root = p.root(main)
     yield from _masters(p, main, o)
     for i, e in enumerate(named(root, "sldId"), 1):
         part = p.target(main, e.get(R + "id"))

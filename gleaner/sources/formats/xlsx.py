@@ -92,27 +92,50 @@ def _comments(p: Package, part: str, name: str, o: Options) -> Iterator[Piece]:
                 yield Piece(inner(c), 0, name, c.get("ref"), o.labels["comment"])
 
 
+def _shared(p: Package, book: str) -> list[str]:
+    return [inner(si) for t in p.related(book, "sharedStrings") for si in p.elements(t, "si")]
+
+
+def _footers(p: Package, part: str) -> list[ET.Element]:
+    """What the headers and footers of a large sheet hold; nothing if it is broken, which its rows will tell."""
+    try:
+        return [x for e in p.pull(part, "headerFooter") for x in e] if p.holds(part, b"headerFooter") else []
+    except ValueError:
+        return []
+
+
+def _sheet(p: Package, part: str, name: str, shared: list[str], styles: Styles, o: Options) -> Iterator[Piece]:
+    if p.large(part):
+        if p.top(part) != "worksheet":
+            return
+        yield from ooxml.sheet_header_footer(_footers(p, part), name, o)
+        rows = p.pull(part, "row")
+    else:
+        root = p.root(part)
+        if local(root) != "worksheet":  # a sheet of another kind
+            return
+        yield from ooxml.sheet_header_footer(root.iter(), name, o)
+        rows = named(root, "row")
+    for row in rows:
+        for c in row:
+            text = cell_value(c, shared, styles, o) if local(c) == "c" else ""
+            if not blank(text):
+                yield Piece(text, int(row.get("r", 0)), name, c.get("r", ""), None)
+    yield from _drawings(p, part, name, o)
+    yield from _comments(p, part, name, o)
+
+
 def read(raw: bytes, o: Options) -> Iterator[Piece]:
+    """A workbook, shared strings, styles or a sheet that are broken are a failure of the file; other parts that are broken are passed over.
+
+    Large sheets are gone through row by row.
+    """
     p = Package(raw)
     for extra in (ooxml.properties, ooxml.hyperlinks, ooxml.alternative_text, ooxml.charts, ooxml.smart_art, ooxml.threaded_comments):
         yield from extra(p, o)
     book = p.main()
-    root = p.xml(book) if book else None
-    if root is None:
-        return
-    tables = [p.xml(t) for t in p.related(book, "sharedStrings")]
-    shared = [inner(si) for t in tables if t is not None for si in t if local(si) == "si"]
-    styles = Styles(next((p.xml(t) for t in p.related(book, "styles")), None))
+    root = p.root(book)
+    shared = _shared(p, book)
+    styles = Styles(next((p.root(t) for t in p.related(book, "styles")), None))
     for sheet in named(root, "sheet"):
-        part, name = p.target(book, sheet.get(R + "id")), sheet.get("name")
-        data = p.xml(part) if part else None
-        if data is None or local(data) != "worksheet":
-            continue
-        yield from ooxml.sheet_header_footer(data, name, o)
-        for row in named(data, "row"):
-            for c in row:
-                text = cell_value(c, shared, styles, o) if local(c) == "c" else ""
-                if not blank(text):
-                    yield Piece(text, int(row.get("r", 0)), name, c.get("r", ""), None)
-        yield from _drawings(p, part, name, o)
-        yield from _comments(p, part, name, o)
+        yield from _sheet(p, p.target(book, sheet.get(R + "id")), sheet.get("name"), shared, styles, o)

@@ -5,12 +5,17 @@ Every text of a file passes through `t`, so that files can be told apart. t must
 
 from __future__ import annotations
 
+import hashlib
 import io
+import re
 import struct
 import zipfile
 import zlib
 from collections.abc import Callable
 
+from .formats import pdfcrypt as crypt
+from .formats.pdf import Lexer
+
 RELS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 PKG = "http://schemas.openxmlformats.org/package/2006/relationships"
 MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -36,6 +41,16 @@ def package(parts, kinds=()):
     return out.getvalue()
 
 
+def without_end(raw: bytes, part: str, by: int = 20) -> bytes:
+    """A package in which the end of one part is missing."""
+    old, out = zipfile.ZipFile(io.BytesIO(raw)), io.BytesIO()
+    with zipfile.ZipFile(out, "w") as new:
+        for n in old.namelist():
+            data = old.read(n)
+            new.writestr(n, data[:-by] if n == part else data)
+    return out.getvalue()
+
+
 Text = Callable[[str], str]
 
 
@@ -189,7 +204,8 @@ def xls(t: Text = plain) -> bytes:
     return cfb({"Workbook": bof + fixed + bound(start) + sst + rec(0x0A, b"") + sheet})
 
 
-def pdf(t: Text = plain) -> bytes:
+def pdf(t: Text = plain, method: str = "") -> bytes:
+    """method: encrypted for the empty password by RC4, AES-128, AES-256 or AES-256-6 (revision 6)."""
     b = lambda x: t(x).encode("latin-1")
     packed = zlib.compress(b"BT /F1 12 Tf 72 700 Td (Hello) Tj ( " + b("world") + b") Tj 0 -20 Td <41> Tj ET")
     second = b"BT 1 0 0 1 10 10 Tm (" + b("second page") + b") Tj ET"
@@ -209,7 +225,52 @@ def pdf(t: Text = plain) -> bytes:
         b"<</Subtype/Text/Contents<FEFF006E006F00740065>>>",
         b"<</Title(" + b("The Title") + b")/Author(Me)/Producer(Me)>>",
     ]
+    end = b"/Root 1 0 R/Info 14 0 R"
+    if method:
+        objects = encrypted(objects, method)
+        end += b"/Encrypt %d 0 R/ID[<00112233><00112233>]" % len(objects)
     out = b"%PDF-1.4\n"
     for k, o in enumerate(objects, 1):
         out += b"%d 0 obj\n" % k + o + b"\nendobj\n"
-    return out + b"trailer<</Root 1 0 R/Info 14 0 R>>\n%%EOF"
+    return out + b"trailer<<" + end + b">>\n%%EOF"
+
+
+def encrypted(objects: list[bytes], method: str) -> list[bytes]:
+    """The objects with their strings and streams encrypted, and the dictionary that says how."""
+    first_id, key32, salts = bytes.fromhex("00112233"), hashlib.sha256(b"key").digest(), b"validatekey salt"
+    old = {"RC4": b"/V 2/R 3/Length 128", "AES-128": b"/V 4/R 4/Length 128/CF<</StdCF<</CFM/AESV2/Length 16>>>>/StmF/StdCF/StrF/StdCF"}
+    if method in old:
+        owner, rights = bytes(range(32)), -44
+        key = hashlib.md5(crypt.PAD + owner + struct.pack("<i", rights) + first_id).digest()
+        for _ in range(50):
+            key = hashlib.md5(key).digest()
+        user = hashlib.md5(crypt.PAD + first_id).digest()
+        for k in range(20):
+            user = crypt.rc4(bytes(x ^ k for x in key), user)
+        head = b"<</Filter/Standard%b/O<%b>/U<%b>/P %d>>" % (old[method], owner.hex().encode(), (user + bytes(16)).hex().encode(), rights)
+    else:
+        key = key32
+        told = crypt.hash_6 if method.endswith("-6") else lambda password, salt: hashlib.sha256(password + salt).digest()
+        user = told(b"", salts[:8]) + salts
+        sealed = crypt.encrypt_cbc(told(b"", salts[8:]), bytes(16), key)
+        head = b"<</Filter/Standard/V 5/R %d/Length 256/CF<</StdCF<</CFM/AESV3/Length 32>>>>/StmF/StdCF/StrF/StdCF/O<00>/U<%b>/UE<%b>/P -44>>" % (6 if method.endswith("-6") else 5, user.hex().encode(), sealed.hex().encode())
+
+    def sealed_by(number: int, data: bytes) -> bytes:
+        start = hashlib.md5(b"%d" % number).digest()
+        padded = data + bytes([16 - len(data) % 16]) * (16 - len(data) % 16)
+        if method.startswith("AES-256"):
+            return start + crypt.encrypt_cbc(key, start, padded)
+        own = hashlib.md5(key + struct.pack("<I", number)[:3] + b"\0\0" + (b"sAlT" if method == "AES-128" else b"")).digest()
+        return crypt.rc4(own, data) if method == "RC4" else start + crypt.encrypt_cbc(own, start, padded)
+
+    out = []
+    for number, o in enumerate(objects, 1):
+        front, stream, raw = o.partition(b"stream\n")
+        strings = re.compile(rb"\((?:\\.|[^()\\])*\)|(?<!<)<[0-9A-F]+>", re.DOTALL)
+        front = strings.sub(lambda m, number=number: b"<%b>" % sealed_by(number, Lexer(m[0]).value()).hex().encode(), front)
+        if stream:
+            raw = sealed_by(number, raw.removesuffix(b"\nendstream"))
+            front = re.sub(rb"/Length \d+", b"/Length %d" % len(raw), front)
+            front += stream + raw + b"\nendstream"
+        out.append(front)
+    return [*out, head]

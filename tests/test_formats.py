@@ -154,3 +154,89 @@ def test_damaged_files_end_with_a_failure():
         for n in (0, 10, len(raw) // 3, len(raw) - 30):
             list(read_pieces(raw[:n], ext, O))
         assert isinstance(list(read_pieces(b"junk", ext, O))[-1], Exception)
+
+
+def test_ciphers():
+    """Published test vectors."""
+    from gleaner.sources.formats import pdfcrypt as C
+
+    assert C.rc4(b"Key", b"Plaintext").hex() == "bbf316e8d940af0ad3" and C.rc4(b"Wiki", b"pedia").hex() == "1021bf0420"
+    block = bytes.fromhex("00112233445566778899aabbccddeeff")
+    for size, want in ((16, "69c4e0d86a7b0430d8cdb78070b4c55a"), (32, "8ea2b7ca516745bfeafc49904b496089")):
+        key = bytes(range(size))
+        assert C.encrypt_cbc(key, bytes(16), block).hex() == want and C.decrypt_blocks(key, bytes.fromhex(want)).tobytes() == block
+    key, start = bytes.fromhex("2b7e151628aed2a6abf7158809cf4f3c"), bytes(range(16))
+    text = bytes.fromhex("6bc1bee22e409f96e93d7e117393172aae2d8a571e03ac9c9eb76fac45af8e51")
+    sealed = C.encrypt_cbc(key, start, text)
+    assert sealed.hex() == "7649abac8119b246cee98e9b12e9197d5086cb9b507219ee95db113a917678b2" and C.decrypt_cbc(key, start, sealed) == text
+
+
+def test_encrypted_pdfs():
+    want = rows(pdf.read(samples.pdf(), O))
+    for method in ("RC4", "AES-128", "AES-256", "AES-256-6"):
+        raw = samples.pdf(method=method)
+        assert b"The Title" not in raw and rows(pdf.read(raw, O)) == want, method
+    import pytest
+
+    with pytest.raises(ValueError, match="with a password"):
+        list(pdf.read(samples.pdf(method="RC4").replace(b"/P -44", b"/P -45"), O))
+    with pytest.raises(ValueError, match="encrypted by Other"):
+        list(pdf.read(samples.pdf(method="AES-128").replace(b"/Filter/Standard", b"/Filter/Other"), O))
+
+
+def test_broken_parts():
+    """A broken main part is a failure, with what came before it; a broken extra is passed over."""
+    for make, ext, parts in ((samples.xlsx, ".xlsx", ["xl/workbook.xml", "xl/worksheets/sheet1.xml", "xl/sst.xml", "xl/styles.xml"]), (samples.docx, ".docx", ["word/document.xml"]), (samples.pptx, ".pptx", ["ppt/presentation.xml", "ppt/slides/s1.xml"])):
+        whole = list(read_pieces(make(), ext, O))
+        for part in parts:
+            got = list(read_pieces(samples.without_end(make(), part), ext, O))
+            assert isinstance(got[-1], ValueError) and part in str(got[-1]) and 0 <= len(got) - 1 < len(whole), part
+    got = list(read_pieces(samples.without_end(samples.xlsx(), "xl/comments1.xml"), ".xlsx", O))
+    assert len(got) == len(list(read_pieces(samples.xlsx(), ".xlsx", O))) - 1 and not any(isinstance(p, Exception) for p in got)
+
+
+def test_extras_of_workbooks():
+    got = rows(xlsx.read(samples.xlsx(), O))
+    assert ("art", 1, None, None, "SmartArt") in got and [r for r in got if r[0].startswith("said")] == [("said first", 0, None, None, "Comment1"), ("said then", 0, None, None, "Comment2")]
+
+
+def test_parts_without_a_tree(monkeypatch):
+    """Going through elements one by one gives what trees give."""
+    from gleaner.sources.formats import ooxml
+
+    want = {formulas: rows(xlsx.read(samples.xlsx(), Options(formulas=formulas))) for formulas in (False, True)}
+    monkeypatch.setattr(ooxml, "TREE_BYTES", 0)
+    assert {formulas: rows(xlsx.read(samples.xlsx(), Options(formulas=formulas))) for formulas in (False, True)} == want
+    got = list(read_pieces(samples.without_end(samples.xlsx(), "xl/worksheets/sheet1.xml"), ".xlsx", O))
+    assert isinstance(got[-1], ValueError) and "shared" in [p.content for p in got[:-1]]  # rows before the damage are kept
+
+
+def test_sheet_of_a_million_rows():
+    """In a process of its own, which stays under 500 MB."""
+    import subprocess
+    import sys
+
+    code = """
+import io, resource, zipfile
+from gleaner.sources import writers
+from gleaner.sources.formats import xlsx
+from gleaner.sources.formats.base import Options
+old, out = zipfile.ZipFile(io.BytesIO(writers.xlsx())), io.BytesIO()
+with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as new:
+    for n in old.namelist():
+        if n != "xl/worksheets/sheet1.xml":
+            new.writestr(n, old.read(n))
+    with new.open("xl/worksheets/sheet1.xml", "w") as f:
+        f.write(b'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>')
+        for lo in range(0, 1_000_000, 10_000):
+            f.write(b"".join(b'<row r="%d"><c r="A%d" t="inlineStr"><is><t>text %d</t></is></c><c r="B%d"><v>%d</v></c></row>' % (k, k, k, k, k) for k in range(lo + 1, lo + 10_001)))
+        f.write(b"</sheetData><headerFooter><oddHeader>&amp;CTop</oddHeader></headerFooter></worksheet>")
+n = total = 0
+for p in xlsx.read(out.getvalue(), Options()):
+    if p.cell and not p.obj:
+        n, total = n + 1, total + p.line
+    top = p.content if p.obj == "Header/Footer1" else top if n else None
+assert (n, total, top) == (2_000_000, 2 * sum(range(1_000_001)), "Top"), (n, total, top)
+assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 500_000, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=300)
