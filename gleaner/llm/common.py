@@ -156,23 +156,3 @@ def whole_groups(batches: Iterator[pa.RecordBatch], column: str, rows: int) -> I
 
 #: One in so many members is counted to estimate the sizes of groups.
 COUNTED = 16
-
-
-def in_units(scratch: Scratch, placed: DataFrame, group: str, member: str, limit: int) -> DataFrame:
-    """Rows of `placed` with a long `unit`: rows with one value of the long column `group` share a unit.
-
-    A group that is estimated at more than `limit` rows is cut into parts by a hash of `member`, and each two parts, or
-    one part with itself, share a unit, so that any two members still meet and units stay near twice the limit. The
-    estimate only decides on cutting, so its error changes no result. Only the sizes of large groups are gathered, in a
-    table.
-    """
-    spread = F.xxhash64(F.lit("part"), F.col(member))
-    counted = placed.where(F.pmod(F.xxhash64(member), F.lit(COUNTED)) == 0).groupBy(group).count()
-    large = scratch.keep(counted.where(F.col("count") * COUNTED > limit), "large-groups")
-    if large.isEmpty():
-        return placed.withColumnRenamed(group, "unit")
-    rows = placed.join(large, group, "left").withColumn("__parts", F.ceil(F.coalesce(F.col("count") * COUNTED, F.lit(1)) / limit).cast("int"))
-    rows = rows.withColumn("__own", F.pmod(spread, F.col("__parts")).cast("int"))
-    rows = rows.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
-    unit = F.xxhash64(F.col(group), F.least("__own", "__other"), F.greatest("__own", "__other")).alias("unit")
-    return rows.select(unit, *[F.col(c) for c in placed.columns if c != group])

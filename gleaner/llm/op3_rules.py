@@ -153,6 +153,13 @@ def ablations(rows: DataFrame, policy: Policy) -> DataFrame:
     )
 
 
+def ablation_report(rows: DataFrame, policy: Policy) -> str:
+    """The ablations in the order of the rules, as rule:failing:decided_alone:kept_without, joined by commas. A row for each rule comes to the driver."""
+    found = {r["rule"]: r for r in ablations(rows, policy).collect()}
+    none = {"failing": 0, "decided_alone": 0, "kept_without": 0}
+    return ",".join(":".join([rule, *(str(found.get(rule, none)[c]) for c in none)]) for rule in RULES if rule in policy.rules)
+
+
 def sole_rule(failed: Column, policy: Policy) -> Column:
     """The rule that alone drops a document under the policy: the name of the one bit beyond what is tolerated, else null."""
     bits = failed.bitwiseAND(F.lit(policy.mask).cast("long"))
@@ -161,13 +168,14 @@ def sole_rule(failed: Column, policy: Policy) -> Column:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger is written once; all policies, and the rule that alone decides, are read off its bits."""
+    """The ledger is written once; all policies, the rule that alone decides, and the ablations of each version are read off its bits."""
     rows = materialize(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")), "rules-ledger")
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return rows.select(
         F.col("doc_id").cast("long"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base.alias("base_failed"), (~base & verdict(F.col("failed"), POLICIES[CURRENT])).alias("kept"), F.col("failed").alias("failed_rules"),
         *[verdict(F.col("failed"), p).alias(f"kept_{v}") for v, p in POLICIES.items()], sole_rule(F.col("failed"), POLICIES[CURRENT]).alias("sole_rule"),
+        *[F.lit(ablation_report(rows, p)).alias(f"ablation_{v}") for v, p in POLICIES.items()],
     )
 
 
@@ -186,9 +194,14 @@ m AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(t, '[\
   length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_up FROM w LEFT JOIN c USING (rid)),
 f AS (SELECT *, (n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT + 4 * (100 * n_symbols > 8 * word_chars)::BIGINT
   + 8 * (100 * n_dup_lines > 30 * n_lines)::BIGINT + 16 * (word_chars < 2 * n_words)::BIGINT + 32 * (word_chars > 25 * n_words)::BIGINT
-  + 64 * (100 * n_ex > 10 * n_words)::BIGINT + 128 * (100 * n_bars > 20 * n_words)::BIGINT + 256 * (100 * n_up > 40 * word_chars)::BIGINT AS failed_rules FROM m)
+  + 64 * (100 * n_ex > 10 * n_words)::BIGINT + 128 * (100 * n_bars > 20 * n_words)::BIGINT + 256 * (100 * n_up > 40 * word_chars)::BIGINT AS failed_rules FROM m),
+q(b, rule) AS (VALUES (1, 'few_words'), (2, 'repeated_words'), (4, 'symbols'), (8, 'duplicate_lines'), (16, 'short_words'), (32, 'long_words'), (64, 'shouting'), (128, 'tables'), (256, 'upper_case')),
+a AS (SELECT p, string_agg(concat_ws(':', rule, failing, alone, kept), ',' ORDER BY b) AS told FROM
+  (SELECT p, b, rule, count(*) FILTER (failed_rules & b <> 0) AS failing, count(*) FILTER (failed_rules & p = b) AS alone, count(*) FILTER (failed_rules & p & ~b = 0) AS kept
+   FROM (VALUES (15), (495)) v(p) JOIN q ON p & b <> 0 LEFT JOIN f ON true GROUP BY p, b, rule) GROUP BY p)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
   (failed_rules & 495) = 0 AS kept, failed_rules, (failed_rules & 15) = 0 AS kept_v1, (failed_rules & 495) = 0 AS kept_v2,
   CASE failed_rules & 495 WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_words' WHEN 4 THEN 'symbols' WHEN 8 THEN 'duplicate_lines' WHEN 32 THEN 'long_words'
-    WHEN 64 THEN 'shouting' WHEN 128 THEN 'tables' WHEN 256 THEN 'upper_case' END AS sole_rule FROM f
+    WHEN 64 THEN 'shouting' WHEN 128 THEN 'tables' WHEN 256 THEN 'upper_case' END AS sole_rule,
+  (SELECT told FROM a WHERE p = 15) AS ablation_v1, (SELECT told FROM a WHERE p = 495) AS ablation_v2 FROM f
 """

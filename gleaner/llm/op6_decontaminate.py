@@ -10,7 +10,8 @@ choose only what is compared; bytes decide.
 
 The patterns are arrays over one buffer of item text, about ten times its size, built once in each worker process. Items are sent
 in blocks of at most `block_bytes` of text (a longer item is a block alone), so what is broadcast and held at once has a fixed bound.
-With more blocks there is one pass over the rows for each; what a pass found is written and carried to the next.
+With more blocks there is one pass over the rows for each; of all but the last only the rows with an occurrence are written, without their texts, and the last
+pass is joined with them.
 
 A word is hit if it lies in any occurrence. A null text or item has no words; items without words never occur. Repeated
 item ids count once. Repeated documents each get a row. Other columns are ignored, and kept by decontaminated().
@@ -18,11 +19,11 @@ item ids count once. Repeated documents each get a row. Other columns are ignore
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -238,10 +239,6 @@ def blocks_of(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[
     yield block
 
 
-def item_digest(ids: set[int]) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest()
-
-
 def _search(shared, name: str, path: list[str]):
     """Ranges of hit words, and items, of every row; path: where the text is within the struct d."""
     ranges = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
@@ -273,22 +270,33 @@ _FOUND = "n_words long, ranges array<struct<a:int,b:int>>, items array<long>"
 def searched(documents: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Every row of the documents with its columns as a struct d, n_words, the ranges of hit words and the items that occur.
 
-    Each block of items is a pass over the rows, which carry along what was found so far; what a pass found is written before the next.
+    Each block of items is a pass over the rows.
     """
     spark = documents.sparkSession
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("d"))
-    found = None
-    for block in blocks_of(benchmark, block_bytes):
-        last = materialize(found, "searched") if found is not None else None
-        carried = rows if last is None else last.select(F.struct("d", "ranges", "items").alias("d"))
+    text, number = F.col("d.text"), F.col("d.doc_id").cast("long")
+    key = F.md5(F.concat(F.coalesce(number.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")))).alias("key")
+
+    def searched_for(block: list[tuple[int, str]], carried: DataFrame) -> DataFrame:
         schema = StructType([*carried.schema.fields, *StructType.fromDDL(_FOUND).fields])
-        path = ["text"] if last is None else ["d", "text"]
-        now = carried.mapInArrow(trimmed(_search(spark.sparkContext.broadcast(block), uuid.uuid4().hex, path)), schema)
-        if last is None:
-            found = now
-        else:
-            found = now.select("d.d", "n_words", F.concat("d.ranges", "ranges").alias("ranges"), F.array_distinct(F.concat("d.items", "items")).alias("items"))
-    return found
+        return carried.mapInArrow(trimmed(_search(spark.sparkContext.broadcast(block), uuid.uuid4().hex, ["text"])), schema)
+
+    blocks = blocks_of(benchmark, block_bytes)
+    block, earlier = next(blocks), []
+    for further in blocks:
+        hit = searched_for(block, rows.select(F.struct(key, text.alias("text")).alias("d"))).where(F.size("items") > 0)
+        earlier.append(materialize(hit.select("d.key", "ranges", "items"), "occurrences"))
+        block = further
+    found = searched_for(block, rows)
+    if not earlier:
+        return found
+    # rows with one key are equal in doc_id and text, and so in what occurs in them
+    hits = reduce(DataFrame.unionAll, [x.dropDuplicates(["key"]) for x in earlier])
+    hits = hits.groupBy("key").agg(F.flatten(F.collect_list("ranges")).alias("more"), F.flatten(F.collect_list("items")).alias("others"))
+    hits = materialize(hits, "occurrences")
+    found = found.withColumn("key", key).join(hits, "key", "left")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    return found.select("d", "n_words", F.concat("ranges", none("more", "array<struct<a:int,b:int>>")).alias("ranges"), F.array_distinct(F.concat("items", none("others", "array<long>"))).alias("items"))
 
 
 def covered(ranges: F.Column) -> F.Column:

@@ -4,8 +4,9 @@ A blob is a text, addressed by the SHA-256 of its UTF-8 bytes; a path is a row t
 (blob, rule version) pairs that the ledger lacks, once for each blob however many rows hold it, appends what it found
 (an empty list too) to the ledger, and findings are joined back to all rows by the address.
 
-Equal texts are reduced within each task before they are shuffled by address, so that copies of one text (even a third
-of all rows) reach the scanning task as one row for each sending task at most. Text goes through the shuffle once.
+Where there is a ledger, addresses alone are held against it first, and only the texts of those it lacks are fetched: if these are few,
+no text is shuffled at all. Equal texts are reduced within each task before they are shuffled by address, so that copies of one text (even a third
+of all rows) reach the scanning task as one row for each sending task at most. Text goes through the shuffle once at most.
 
 A null text counts as the empty one, which has no findings. Repeated rows each get the findings. Other columns are ignored.
 """
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, tasks, trimmed
+from .common import Scratch, shared_dir, tasks, trimmed
 
 #: The kinds in their order, with their patterns and the least length of the measured group.
 BASE_RULES = (
@@ -93,11 +94,14 @@ def scan(versions: DataFrame, ledger_path: str, version: str = RULE_VERSION) ->
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger_path)
     there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
     texts = versions.select(address(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.mapInArrow(trimmed(_unique), "blob binary, text string").repartition(tasks(spark), "blob")
+    scratch = Scratch(spark, "secrets-unseen")
     if there:
         done = spark.read.schema(_LEDGER).parquet(ledger_path).where(F.col("rule_version") == version).select("blob")
-        texts = texts.join(done, "blob", "left_anti")
+        unseen = scratch.keep(texts.select("blob").distinct().join(done, "blob", "left_anti"), "blobs")
+        texts = texts.join(unseen, "blob", "left_semi")
+    texts = texts.mapInArrow(trimmed(_unique), "blob binary, text string").repartition(tasks(spark), "blob")
     texts.mapInArrow(trimmed(_scan(version)), _LEDGER).write.mode("append").parquet(ledger_path)
+    scratch.clear()
     return spark.read.schema(_LEDGER).parquet(ledger_path).where(F.col("rule_version") == version)
 
 
