@@ -45,7 +45,7 @@ THRESHOLD = 0.9
 SAMPLE = 32_768
 LISTS, MAX_LISTS = 1.0, 4096
 SUBSPACES, CODES = 8, 256
-PROBES = 12
+PROBES = 8
 PART_ROWS = 20_000
 SEED = 11
 #: Fewer sampled vectors of one length than this get no lists and no codes.
@@ -63,20 +63,24 @@ def units(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(vec_id, v): the bytes of each vector as doubles; null where it links with nothing."""
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 4096):
-            part = batch.slice(lo, 4096)
-            x = part.column("embedding")
-            sizes = pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = x.drop_null().flatten().to_numpy(zero_copy_only=False) + 0.0  # a null is NaN, and -0.0 becomes 0.0
-            ends = np.cumsum(sizes)
-            bad, some = (np.append(0, np.cumsum(y)) for y in (~np.isfinite(flat), flat != 0))
-            fine = (bad[ends] == bad[ends - sizes]) & (some[ends] > some[ends - sizes])
-            raw = flat.tobytes()
-            packed = [raw[8 * (b - n) : 8 * b] if ok else None for b, n, ok in zip(ends.tolist(), sizes.tolist(), fine.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("vec_id"), pa.array(packed, pa.binary())], ["vec_id", "v"])
+def _pack(kind: np.dtype):
+    """(vec_id, v): the bytes of each vector; null where it links with nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                x = part.column("embedding")
+                sizes = pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                flat = x.drop_null().flatten().to_numpy(zero_copy_only=False).astype(kind) + kind.type(0)  # a null is NaN, and -0.0 becomes 0.0
+                ends = np.cumsum(sizes)
+                bad, some = (np.append(0, np.cumsum(y)) for y in (~np.isfinite(flat), flat != 0))
+                fine = (bad[ends] == bad[ends - sizes]) & (some[ends] > some[ends - sizes])
+                raw, w = flat.tobytes(), kind.itemsize
+                packed = [raw[w * (b - n) : w * b] if ok else None for b, n, ok in zip(ends.tolist(), sizes.tolist(), fine.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), pa.array(packed, pa.binary())], ["vec_id", "v"])
+
+    return run
 
 
 def lloyd(x: np.ndarray, centers: np.ndarray, rounds: int) -> np.ndarray:
@@ -156,12 +160,16 @@ class Index:
 
 
 class Indexes(dict):
-    """The indexes by length of the vectors; a length that the sample lacks gets a single list. Lists are numbered through."""
+    """The indexes by length of the vectors; a length that the sample lacks gets a single list. Lists are numbered through.
 
-    def __init__(self, sample: list[bytes], n: int):
+    kind: the type of the components, as which vectors are moved; all that is computed is computed in doubles.
+    """
+
+    def __init__(self, sample: list[bytes], n: int, kind: np.dtype = np.dtype("f8")):
+        self.kind = kind
         by_length: dict[int, list[np.ndarray]] = {}
         for v in sample:
-            by_length.setdefault(len(v) // 8, []).append(np.frombuffer(v))
+            by_length.setdefault(len(v) // kind.itemsize, []).append(np.frombuffer(v, kind).astype(np.float64))
         first = 0
         for dim in sorted(by_length):
             x = np.array(by_length[dim])
@@ -172,6 +180,10 @@ class Indexes(dict):
                 self[dim].first = first
                 first += len(self[dim].centroids)
 
+    def vectors(self, packed: list[bytes], dim: int) -> np.ndarray:
+        """Unit vectors of one length."""
+        return units(np.frombuffer(b"".join(packed), self.kind).reshape(-1, dim).astype(np.float64))
+
     def of(self, dim: int) -> Index:
         """Single lists have numbers below zero."""
         if dim in self:
@@ -192,11 +204,11 @@ def _index(indexes, probes: int):
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
                 part = batch.slice(lo, 4096)
-                sizes = pc.binary_length(part.column("v")).to_numpy() // 8
+                sizes = pc.binary_length(part.column("v")).to_numpy() // indexes.value.kind.itemsize
                 for dim in np.unique(sizes).tolist():
                     rows = part.take(pa.array(np.flatnonzero(sizes == dim)))
                     index = indexes.value.of(dim)
-                    x = units(np.frombuffer(b"".join(rows.column("v").to_pylist())).reshape(-1, dim))
+                    x = indexes.value.vectors(rows.column("v").to_pylist(), dim)
                     near = index.near(x, probes)
                     center = index.centroids[near[:, 0]]
                     code, err = index.encode(x - center)
@@ -219,8 +231,8 @@ class Part:
         self.core = rows.column("core").to_numpy()
         raw = rows.column("v").to_pylist()
         #: The lengths of one list's vectors are one.
-        self.dim, self.list = len(raw[0]) // 8, rows.column("list")[0].as_py()
-        self.x = units(np.frombuffer(b"".join(raw)).reshape(-1, self.dim))
+        self.dim, self.list, self.indexes = len(raw[0]) // indexes.kind.itemsize, rows.column("list")[0].as_py(), indexes
+        self.x = indexes.vectors(raw, self.dim)
         self.index = indexes.of(self.dim)
         self.codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(self.ids), -1)
         probes = rows.column("probes").combine_chunks()
@@ -235,7 +247,7 @@ class Part:
     def meet(self, rows: pa.RecordBatch) -> pa.RecordBatch:
         """The queries' numbers of links here, and a link of each to one of them."""
         ids, weight, lists = (rows.column(c).to_numpy() for c in ("id", "weight", "list"))
-        x = units(np.frombuffer(b"".join(rows.column("v").to_pylist())).reshape(-1, self.dim))
+        x = self.indexes.vectors(rows.column("v").to_pylist(), self.dim)
         tables, base = self.index.tables(x), (x @ self.center).astype(np.float32)
         count, ends = np.zeros(len(ids), np.int64), []
         step = max(1, PRODUCTS // len(ids))
@@ -311,24 +323,25 @@ def _search(indexes):
     return run
 
 
-def fitted(classes: DataFrame, n: int, sample: int = SAMPLE) -> Indexes:
+def fitted(classes: DataFrame, n: int, kind: np.dtype, sample: int = SAMPLE) -> Indexes:
     """The indexes of n classes, from `sample` of them in expectation, chosen by hash."""
     rows = classes.select("v")
     if n > sample:
         rows = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "v"), F.lit(1 << 40)) < int(sample / n * (1 << 40)))
-    return Indexes(sorted(rows.toArrow().column("v").to_pylist()), n)
+    return Indexes(sorted(rows.toArrow().column("v").to_pylist()), n, kind)
 
 
 def linked(embeddings: DataFrame, probes: int = PROBES, part_rows: int = PART_ROWS, sample: int = SAMPLE) -> DataFrame:
     """(vec_id, n_links, component_id) of every vector."""
     spark = embeddings.sparkSession
     scratch = Scratch(spark, "embeddings")
+    kind = np.dtype("f4" if embeddings.schema["embedding"].dataType.simpleString() == "array<float>" else "f8")
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = rows.mapInArrow(trimmed(_pack), "vec_id long, v binary")
+    rows = rows.mapInArrow(trimmed(_pack(kind)), "vec_id long, v binary")
     classes = rows.where("v IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("weight"))
     classes = scratch.keep(classes, "classes")
     classes = scratch.keep(classes.withColumn("id", F.monotonically_increasing_id()), "numbered")
-    sent = spark.sparkContext.broadcast(fitted(classes, classes.count(), sample))
+    sent = spark.sparkContext.broadcast(fitted(classes, classes.count(), kind, sample))
     index = scratch.keep(classes.select("id", "weight", "v").mapInArrow(trimmed(_index(sent, probes)), _INDEXED), "index")
     release(spark)
 

@@ -55,7 +55,7 @@ def groups(rng, n, dim, sizes, noise):
     return x * rng.uniform(0.01, 100, (len(x), 1))
 
 
-@pytest.mark.parametrize("probes, part_rows, noise", [(12, 20_000, 0.1), (12, 7, 0.1), (12, 20_000, 0.33), (1000, 20, 0.33)])
+@pytest.mark.parametrize("probes, part_rows, noise", [(q11.PROBES, 20_000, 0.1), (q11.PROBES, 7, 0.1), (q11.PROBES, 20_000, 0.33), (1000, 20, 0.33)])
 def test_embeddings_equal_brute_force(spark, probes, part_rows, noise):
     rng = np.random.default_rng(1)
     x = groups(rng, 500, 16, [150, 30, 30, 2, 1], noise)
@@ -80,7 +80,7 @@ def test_embeddings_core_and_parts(spark):
     near = index.near(q11.units(x), 2)
     assert len(set(near[400:, 0].tolist())) == 1  # one list has the group
     for part_rows in (20_000, 16):
-        assert sorted((r.vec_id, r.n_links, r.component_id) for r in q11.linked(spark.createDataFrame(rows, E), 12, part_rows).collect()) == want
+        assert sorted((r.vec_id, r.n_links, r.component_id) for r in q11.linked(spark.createDataFrame(rows, E), q11.PROBES, part_rows).collect()) == want
 
 
 def test_embeddings_index_of_a_sample(spark):
