@@ -98,6 +98,12 @@ def encrypted_pdfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found(readers.entries(readers.extract(made(part(spark, sf_dir), "pdf", lambda k: {"method": methods[k % 3]}))))
 
 
+def composite_pdfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of composite fonts that only the embedded font's own table can tell, in turn by three ways from code to glyph."""
+    files = made(part(spark, sf_dir), "pdf_composite", lambda k: {"way": k % 3}).withColumn("ext", F.lit(".pdf"))
+    return found(readers.entries(readers.extract(files))).select("key", "content", "line_number", "sheet_name")
+
+
 def read_back(ext: str, formulas: bool = False) -> Run:
     """Entries of the files of all rows; in the mode of formulas only cells."""
 
@@ -414,6 +420,7 @@ _CONDITIONS = """SELECT unnest(['[Search Conditions]', 'Keyword1' || chr(9) || '
 QUERIES: dict[str, tuple[Run, str]] = {
     "read_xlsx": (read_back("xlsx"), _entries_sql(EXPECTED["xlsx"], _LINKS)),
     **{f"read_{x}": (read_back(x), _entries_sql(EXPECTED[x])) for x in ("docx", "pptx", "doc", "ppt", "xls", "pdf")},
+    "composite_pdfs": (composite_pdfs, "SELECT p_partkey AS key, v.c || ' ' || p_name AS content, v.n::INTEGER AS line_number, 'Page1' AS sheet_name FROM part, (VALUES ('Zeile 日本', 1), ('second', 2)) AS v(c, n)"),
     "encrypted_pdfs": (encrypted_pdfs, _entries_sql(EXPECTED["pdf"])),
     **{f"formulas_{x}": (read_back(x, True), _entries_sql(rows)) for x, rows in FORMULAS.items()},
     "text_encodings": (

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -17,6 +18,7 @@ from typing import Any, NamedTuple
 
 from .base import Options, Piece, blank, distinct, new_lines, numbered, numbered_lines
 from .pdfcrypt import Security
+from .truetype import glyph_texts
 
 EXTENSIONS = (".pdf",)
 _SPACE = b" \t\r\n\f\0"
@@ -242,6 +244,7 @@ class Document:
         if b"%PDF-" not in raw[:1024]:
             raise ValueError("not a PDF file")
         self.objects: dict[int, Any] = {}
+        self.fonts: dict[Ref, _Font] = {}
         #: What could not be read.
         self.left_out: set[str] = set()
         self.trailer: dict = {}
@@ -325,6 +328,14 @@ class Document:
         x = self.get(x)
         return x if isinstance(x, list) else [] if x is None else [x]
 
+    def font(self, x: Any) -> _Font:
+        """A font of the file, read once however many pages show it."""
+        if not isinstance(x, Ref):
+            return _Font(self, self.dict(x))
+        if x not in self.fonts:
+            self.fonts[x] = _Font(self, self.dict(x))
+        return self.fonts[x]
+
     def data(self, x: Any) -> bytes:
         x = self.get(x)
         return unfilter(x.head, x.raw, self.get) if isinstance(x, Stream) else b""
@@ -408,6 +419,8 @@ class _Font:
         self.map: dict[int, str] = {}
         if "ToUnicode" in font:
             self._read(doc.data(font["ToUnicode"]))
+        if self.wide and not self.map and self.codec is None:
+            self._by_glyphs(font)
         differences = doc.dict(font.get("Encoding")).get("Differences")
         code = 0
         for x in doc.list(differences) if not self.map else ():
@@ -418,6 +431,45 @@ class _Font:
                     self.map[code] = text
                 code += 1
 
+    def _by_glyphs(self, font: dict) -> None:
+        """Codes of a composite font by way of its glyphs: code to CID, CID to glyph, glyph to the text that the embedded font has for it."""
+        below = self.doc.dict(next(iter(self.doc.list(font.get("DescendantFonts"))), None))
+        descriptor = self.doc.dict(below.get("FontDescriptor"))
+        texts = glyph_texts(self.doc.data(descriptor.get("FontFile2") or descriptor.get("FontFile3")))
+        if not texts:
+            return
+        to_glyph = self.doc.get(below.get("CIDToGIDMap"))
+        glyphs = None
+        if isinstance(to_glyph, Stream):
+            raw = self.doc.data(to_glyph)
+            glyphs = struct.unpack(f">{len(raw) // 2}H", raw[: len(raw) // 2 * 2])
+        encoding = self.doc.get(font.get("Encoding"))
+        if isinstance(encoding, Stream):
+            cids = self._cids(self.doc.data(encoding))
+        elif encoding in ("Identity-H", "Identity-V"):
+            cids = {c: c for c in (range(len(glyphs)) if glyphs is not None else texts)}
+        else:
+            return
+        self.map = {code: text for code, cid in cids.items() if (text := texts.get(cid if glyphs is None else glyphs[cid] if cid < len(glyphs) else 0))}
+
+    @staticmethod
+    def _cids(cmap: bytes) -> dict[int, int]:
+        """Codes of two bytes to CIDs, by an embedded CMap."""
+        out: dict[int, int] = {}
+        lexer, stack = Lexer(cmap), []
+        while (x := lexer.value(False)) is not None:
+            if not isinstance(x, Word):
+                stack.append(x)
+                continue
+            if x == "endcidchar":
+                out |= {int.from_bytes(a): b for a, b in zip(stack[0::2], stack[1::2], strict=False) if isinstance(a, bytes) and isinstance(b, int)}
+            elif x == "endcidrange":
+                for a, b, c in zip(stack[0::3], stack[1::3], stack[2::3], strict=False):
+                    if isinstance(a, bytes) and isinstance(b, bytes) and isinstance(c, int):
+                        out |= {k: c + k - int.from_bytes(a) for k in range(int.from_bytes(a), min(int.from_bytes(b), 0xFFFF) + 1)}
+            stack = []
+        return out
+
     def _read(self, cmap: bytes) -> None:
         utf16 = lambda b: b.decode("utf-16-be", "replace")
         lexer, stack = Lexer(cmap), []
@@ -463,7 +515,7 @@ class _PageText:
         self.doc, self.shown = doc, []
 
     def run(self, data: bytes, resources: dict, ctm: tuple = (1, 0, 0, 1, 0, 0), depth: int = 0) -> None:
-        fonts = {k: _Font(self.doc, self.doc.dict(v)) for k, v in self.doc.dict(resources.get("Font")).items()}
+        fonts = {k: self.doc.font(v) for k, v in self.doc.dict(resources.get("Font")).items()}
         forms = self.doc.dict(resources.get("XObject"))
         lexer, args, saved = Lexer(data), [], []
         font, size, leading, tm, line = None, 1.0, 0.0, (1, 0, 0, 1, 0, 0), (1, 0, 0, 1, 0, 0)

@@ -235,6 +235,42 @@ def pdf(t: Text = plain, method: str = "") -> bytes:
     return out + b"trailer<<" + end + b">>\n%%EOF"
 
 
+def font_file(glyphs: dict[str, int], kind: int = 4) -> bytes:
+    """A font that has nothing but a `cmap` table, of format 4 or 12, from characters to glyphs."""
+    codes = sorted((ord(c), g) for c, g in glyphs.items())
+    if kind == 4:
+        n = len(codes) + 1
+        starts = [c for c, _ in codes] + [0xFFFF]
+        deltas = [(g - c) & 0xFFFF for c, g in codes] + [1]
+        body = struct.pack(">HHHHHHH", 4, 16 + 8 * n, 0, 2 * n, 0, 0, 0) + struct.pack(f">{n}H", *starts) + b"\0\0" + struct.pack(f">{n}H", *starts) + struct.pack(f">{n}H", *deltas) + bytes(2 * n)
+    else:
+        body = struct.pack(">HHIII", 12, 0, 16 + 12 * len(codes), 0, len(codes)) + b"".join(struct.pack(">III", c, c, g) for c, g in codes)
+    table = struct.pack(">HHHHI", 0, 1, 3, 1 if kind == 4 else 10, 12) + body
+    return struct.pack(">IHHHH", 0x00010000, 1, 16, 0, 0) + b"cmap" + struct.pack(">III", 0, 28, len(table)) + table
+
+
+def pdf_composite(t: Text = plain, way: int = 0) -> bytes:
+    """Text in a composite font without a map to Unicode. way: codes are glyphs; lead to glyphs by a table; or to CIDs by a CMap of the file."""
+    shown = [t("Zeile 日本"), t("second")]
+    glyphs = {c: k for k, c in enumerate(sorted(set("".join(shown))), 3)}
+    code = {c: g if way == 0 else 300 - g if way == 1 else 500 + g for c, g in glyphs.items()}
+    table = bytearray(602)
+    for c, g in glyphs.items():
+        if way == 1:
+            struct.pack_into(">H", table, 2 * code[c], g)
+    text = b"BT /F1 12 Tf 72 700 Td <%b> Tj 0 -20 Td <%b> Tj ET" % tuple("".join(f"{code[c]:04X}" for c in x).encode() for x in shown)
+    font = zlib.compress(font_file(glyphs, 12 if way == 1 else 4))
+    cmap = b"1 begincidrange <%04X> <%04X> %d endcidrange" % (503, 503 + len(glyphs), 3)
+    stream = lambda raw, more=b"": b"<</Length %d%b>>stream\n" % (len(raw), more) + raw + b"\nendstream"
+    objects = [
+        b"<</Type/Catalog/Pages 2 0 R>>", b"<</Type/Pages/Kids[3 0 R]/Count 1>>", b"<</Type/Page/Parent 2 0 R/Contents 4 0 R/Resources<</Font<</F1 5 0 R>>>>>>", stream(text),
+        b"<</Type/Font/Subtype/Type0/BaseFont/X/Encoding %b/DescendantFonts[6 0 R]>>" % (b"9 0 R" if way == 2 else b"/Identity-H"),
+        b"<</Type/Font/Subtype/CIDFontType2/BaseFont/X/FontDescriptor 7 0 R/CIDToGIDMap %b>>" % (b"10 0 R" if way == 1 else b"/Identity"),
+        b"<</Type/FontDescriptor/FontName/X/FontFile2 8 0 R>>", stream(font, b"/Filter/FlateDecode"), stream(cmap), stream(bytes(table)),
+    ]
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n" % k + o + b"\nendobj\n" for k, o in enumerate(objects, 1)) + b"trailer<</Root 1 0 R>>\n%%EOF"
+
+
 def encrypted(objects: list[bytes], method: str) -> list[bytes]:
     """The objects with their strings and streams encrypted, and the dictionary that says how."""
     first_id, key32, salts = bytes.fromhex("00112233"), hashlib.sha256(b"key").digest(), b"validatekey salt"

@@ -240,3 +240,26 @@ assert (n, total, top) == (2_000_000, 2 * sum(range(1_000_001)), "Top"), (n, tot
 assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 500_000, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
 """
     subprocess.run([sys.executable, "-c", code], check=True, timeout=300)
+
+
+def test_composite_fonts():
+    """Without a map to Unicode, text is told by the font's own table."""
+    from gleaner.sources.formats import truetype
+
+    for way in range(3):
+        assert rows(pdf.read(samples.pdf_composite(way=way), O)) == [("Zeile 日本", 1, "Page1", None, None), ("second", 2, "Page1", None, None)], way
+    glyphs = {"a": 5, "b": 9, "\u65e5": 700, "\U0001f600": 701}
+    assert truetype.glyph_texts(samples.font_file(glyphs, 12)) == {g: c for c, g in glyphs.items()}
+    del glyphs["\U0001f600"]
+    assert truetype.glyph_texts(samples.font_file(glyphs)) == {g: c for c, g in glyphs.items()}
+    whole = samples.font_file(glyphs)
+    assert truetype.glyph_texts(b"") == truetype.glyph_texts(b"x" * 40) == {} and all(isinstance(truetype.glyph_texts(whole[:k]), dict) for k in range(len(whole)))
+    import struct
+
+    six = struct.pack(">HHHHI", 0, 1, 0, 3, 12) + struct.pack(">HHHHH3H", 6, 16, 0, 65, 3, 4, 0, 6)
+    nought = struct.pack(">HHHHI", 0, 1, 3, 0, 12) + struct.pack(">HHH", 0, 262, 0) + bytes(range(256))
+    head = struct.pack(">IHHHH", 0x00010000, 1, 16, 0, 0) + b"cmap"
+    assert truetype.glyph_texts(head + struct.pack(">III", 0, 28, len(six)) + six) == {4: "A", 6: "C"}
+    assert truetype.glyph_texts(head + struct.pack(">III", 0, 28, len(nought)) + nought)[66] == "B"
+    broken = samples.pdf_composite().replace(b"/FontFile2 8 0 R", b"")
+    assert "unknown codes" in str(list(read_pieces(broken, ".pdf", O))[-1])
