@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import codecs
 import os
+import struct
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import replace
@@ -27,9 +29,10 @@ from .plans.cache import EntryCache, delete
 from .plans.search import Search
 from .schema import LABELS_JA
 from .sources import listing, readers, writers
+from .sources.formats import xls
 from .sources.formats.base import Options
 from .sources.monitor import Monitor, shared_dir
-from .spec import SearchSpec
+from .spec import SearchSpec, load, save
 from .streaming import watch
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +71,11 @@ EXPECTED: dict[str, list[tuple]] = {
         ("second page@", 1, "Page2", None, None),
     ],
 }
+#: Functions by number, with a number of arguments and the name.
+TWENTY = (
+    (1, 3, "IF"), (4, 2, "SUM"), (13, 2, "DOLLAR"), (27, 2, "ROUND"), (36, 2, "AND"), (48, 2, "TEXT"), (56, 3, "PV"), (59, 4, "PMT"), (77, 1, "COLUMNS"), (98, 1, "ASIN"),
+    (102, 4, "VLOOKUP"), (143, 4, "SYD"), (165, 2, "MMULT"), (194, 2, "VARP"), (229, 1, "SINH"), (261, 1, "ERROR.TYPE"), (307, 2, "CORREL"), (337, 2, "POWER"), (344, 2, "SUBTOTAL"), (359, 2, "HYPERLINK"),
+)
 FORMULAS = {"xlsx": [("=SUM(A1:A2)", 3, "First", "C3", None)], "xls": [("=SUM(A1:A2)", 3, "One", "A3", None)]}
 
 
@@ -129,6 +137,56 @@ def text_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found(readers.entries(readers.extract(files))).select("key", "line_number", "content")
 
 
+def xls_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formulas of workbooks from their tokens: twenty functions in turn, of a fixed or a given number of arguments, on cells of the row."""
+    numbers = [(k, n) for k, n, _ in TWENTY]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("key").to_pylist()
+            made = []
+            for k in keys:
+                number, n = numbers[k % 20]
+                tokens = b"".join(struct.pack("<BHH", 0x24, k % 1000, 0xC000 | c) for c in range(n))
+                fixed = xls.FUNCTIONS[number][1] is not None
+                made.append("=" + xls.formula_text(tokens + (struct.pack("<BH", 0x21, number) if fixed else struct.pack("<BBH", 0x22, n, number))))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(made)], ["key", "content"])
+
+    return part(spark, sf_dir).mapInArrow(run, "key long, content string")
+
+
+def form_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Specifications that lack something, made of each row: whether there is nothing to do, what the form asks for, and what is left after saving and loading."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("key").to_pylist()
+            rows: dict[str, list] = {"nothing": [], "missing": [], "target": [], "same": []}
+            for k in keys:
+                on = k % 5 != 0
+                spec = SearchSpec.of("  " if k % 3 == 0 else f"word {k}", target="" if k % 2 else f"./x{k}/../y", excel=on, word=on, powerpoint=on, pdf=on, text=on, regex=k % 7 == 0, exclude_folders="a;é")
+                rows["nothing"].append(spec.nothing_to_do())
+                rows["missing"].append(", ".join(spec.validate_form()))
+                rows["target"].append(spec.root("/base"))
+                with tempfile.TemporaryDirectory() as d:
+                    rows["same"].append(save(spec, f"{d}/s.json") and load(f"{d}/s.json", "/home") == replace(spec, target=spec.target or "/home"))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *map(pa.array, rows.values())], ["key", *rows])
+
+    return part(spark, sf_dir).mapInArrow(run, "key long, nothing boolean, missing string, target string, same boolean")
+
+
+def cache_of_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One cache of four targets, of which one is forgotten: the files of the others are still stored."""
+    root = folder(spark, sf_dir)
+    for k in range(4):
+        search = Search(spark, SearchSpec.of("nation", target=f"{root}/{k}", cache=f"{root}-cache", excel=False))
+        search.results().count()
+        search.close()
+    EntryCache(spark, f"{root}-cache", f"{root}/1").clear()
+    rows = EntryCache(spark, f"{root}-cache").rows()
+    return done(rows.groupBy(F.regexp_extract("target", r"(\d)$", 1).cast("int").alias("target")).agg(F.count(F.lit(1)).alias("files")), root, f"{root}-cache")
+
+
 def damaged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that are cut off give a failure each, and no failure of the job."""
     files = made(part(spark, sf_dir), "xlsx").withColumn("content", F.substring("content", 1, 100))
@@ -464,6 +522,18 @@ QUERIES: dict[str, tuple[Run, str]] = {
         f"""SELECT (SELECT count(*) FROM ({_WITH_NATION}))::BIGINT AS results, (SELECT count(DISTINCT file_name) FROM ({_WITH_NATION}))::BIGINT AS files, (SELECT 3 * count(*) FROM {_NATIONS})::BIGINT AS files_read""",
     ),
     "folder_chain": (folder_chain, f"SELECT k AS key, '.txt' AS ext, k AS length, (k % 40 + 1)::INTEGER AS place FROM {_NATIONS}"),
+    "cache_of_targets": (cache_of_targets, f"SELECT (k % 4)::INTEGER AS target, 2 * count(*)::BIGINT AS files FROM {_NATIONS} WHERE k % 4 <> 1 GROUP BY k % 4"),
+    "form_checks": (
+        form_checks,
+        """SELECT p_partkey AS key, p_partkey % 3 = 0 OR p_partkey % 2 = 1 OR p_partkey % 5 = 0 AS nothing,
+ concat_ws(', ', CASE WHEN p_partkey % 2 = 1 THEN 'target folder' END, CASE WHEN p_partkey % 3 = 0 THEN 'keyword' END, CASE WHEN p_partkey % 5 = 0 THEN 'file type' END) AS missing,
+ CASE WHEN p_partkey % 2 = 1 THEN '/base' ELSE '/base/y' END AS target, true AS same FROM part""",
+    ),
+    "xls_functions": (
+        xls_functions,
+        f"""SELECT p_partkey AS key, '=' || f.name || '(' || array_to_string(list_transform(range(f.n), lambda c: chr((65 + c)::INTEGER) || (p_partkey % 1000 + 1)), ',') || ')' AS content
+ FROM part JOIN (VALUES {", ".join(f"({i}, {n}, '{name}')" for i, (_, n, name) in enumerate(TWENTY))}) AS f(i, n, name) ON p_partkey % 20 = f.i""",
+    ),
     "text_ranges": (
         text_ranges,
         """SELECT file_name, i::INTEGER AS line_number, parts[i] AS content FROM (SELECT file_name, parts, unnest(range(1, len(parts) + 1)) AS i FROM

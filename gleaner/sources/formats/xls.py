@@ -23,14 +23,27 @@ OPERATORS = {0x03: "+", 0x04: "-", 0x05: "*", 0x06: "/", 0x07: "^", 0x08: "&", 0
 #: Name and number of arguments (None: given in the formula) of functions by number.
 FUNCTIONS = {
     0: ("COUNT", None), 1: ("IF", None), 2: ("ISNA", 1), 3: ("ISERROR", 1), 4: ("SUM", None), 5: ("AVERAGE", None), 6: ("MIN", None), 7: ("MAX", None), 8: ("ROW", None), 9: ("COLUMN", None),
-    10: ("NA", 0), 11: ("NPV", None), 12: ("STDEV", None), 15: ("SIN", 1), 16: ("COS", 1), 17: ("TAN", 1), 19: ("PI", 0), 20: ("SQRT", 1), 21: ("EXP", 1), 22: ("LN", 1), 23: ("LOG10", 1), 24: ("ABS", 1),
-    25: ("INT", 1), 26: ("SIGN", 1), 27: ("ROUND", 2), 28: ("LOOKUP", None), 29: ("INDEX", None), 30: ("REPT", 2), 31: ("MID", 3), 32: ("LEN", 1), 33: ("VALUE", 1), 34: ("TRUE", 0), 35: ("FALSE", 0),
-    36: ("AND", None), 37: ("OR", None), 38: ("NOT", 1), 39: ("MOD", 2), 46: ("VAR", None), 48: ("TEXT", 2), 63: ("RAND", 0), 64: ("MATCH", None), 65: ("DATE", 3), 66: ("TIME", 3), 67: ("DAY", 1),
-    68: ("MONTH", 1), 69: ("YEAR", 1), 70: ("WEEKDAY", None), 71: ("HOUR", 1), 72: ("MINUTE", 1), 73: ("SECOND", 1), 74: ("NOW", 0), 78: ("OFFSET", None), 82: ("SEARCH", None), 97: ("ATAN2", 2),
-    100: ("CHOOSE", None), 101: ("HLOOKUP", None), 102: ("VLOOKUP", None), 105: ("ISREF", 1), 109: ("LOG", None), 111: ("CHAR", 1), 112: ("LOWER", 1), 113: ("UPPER", 1), 114: ("PROPER", 1), 115: ("LEFT", None),
-    116: ("RIGHT", None), 117: ("EXACT", 2), 118: ("TRIM", 1), 119: ("REPLACE", 4), 120: ("SUBSTITUTE", None), 121: ("CODE", 1), 124: ("FIND", None), 127: ("ISTEXT", 1), 128: ("ISNUMBER", 1), 129: ("ISBLANK", 1),
-    148: ("INDIRECT", None), 162: ("CLEAN", 1), 169: ("COUNTA", None), 183: ("PRODUCT", None), 184: ("FACT", 1), 197: ("TRUNC", None), 212: ("ROUNDUP", 2), 213: ("ROUNDDOWN", 2), 216: ("RANK", None),
-    219: ("ADDRESS", None), 221: ("TODAY", 0), 227: ("MEDIAN", None), 228: ("SUMPRODUCT", None), 325: ("LARGE", 2), 326: ("SMALL", 2), 336: ("CONCATENATE", None), 345: ("SUMIF", None), 346: ("COUNTIF", 2), 347: ("COUNTBLANK", 1),
+    10: ("NA", 0), 11: ("NPV", None), 12: ("STDEV", None), 13: ("DOLLAR", None), 14: ("FIXED", None), 15: ("SIN", 1), 16: ("COS", 1), 17: ("TAN", 1), 19: ("PI", 0), 20: ("SQRT", 1),
+    21: ("EXP", 1), 22: ("LN", 1), 23: ("LOG10", 1), 24: ("ABS", 1), 25: ("INT", 1), 26: ("SIGN", 1), 27: ("ROUND", 2), 28: ("LOOKUP", None), 29: ("INDEX", None), 30: ("REPT", 2), 31: ("MID", 3),
+    32: ("LEN", 1), 33: ("VALUE", 1), 34: ("TRUE", 0), 35: ("FALSE", 0), 36: ("AND", None), 37: ("OR", None), 38: ("NOT", 1), 39: ("MOD", 2), 40: ("DCOUNT", 3), 41: ("DSUM", 3),
+    42: ("DAVERAGE", 3), 43: ("DMIN", 3), 44: ("DMAX", 3), 46: ("VAR", None), 47: ("DVAR", 3), 48: ("TEXT", 2), 49: ("LINEST", None), 50: ("TREND", None), 51: ("LOGEST", None),
+    52: ("GROWTH", None), 56: ("PV", None), 57: ("FV", None), 58: ("NPER", None), 59: ("PMT", None), 60: ("RATE", None), 61: ("MIRR", 3), 62: ("IRR", None), 63: ("RAND", 0), 64: ("MATCH", None),
+    65: ("DATE", 3), 66: ("TIME", 3), 67: ("DAY", 1), 68: ("MONTH", 1), 69: ("YEAR", 1), 70: ("WEEKDAY", None), 71: ("HOUR", 1), 72: ("MINUTE", 1), 73: ("SECOND", 1), 74: ("NOW", 0),
+    75: ("AREAS", 1), 76: ("ROWS", 1), 77: ("COLUMNS", 1), 78: ("OFFSET", None), 82: ("SEARCH", None), 83: ("TRANSPOSE", 1), 86: ("TYPE", 1), 97: ("ATAN2", 2), 98: ("ASIN", 1), 99: ("ACOS", 1),
+    100: ("CHOOSE", None), 101: ("HLOOKUP", None), 102: ("VLOOKUP", None), 105: ("ISREF", 1), 109: ("LOG", None), 111: ("CHAR", 1), 112: ("LOWER", 1), 113: ("UPPER", 1), 114: ("PROPER", 1),
+    115: ("LEFT", None), 116: ("RIGHT", None), 117: ("EXACT", 2), 118: ("TRIM", 1), 119: ("REPLACE", 4), 120: ("SUBSTITUTE", None), 121: ("CODE", 1), 124: ("FIND", None), 125: ("CELL", None),
+    126: ("ISERR", 1), 127: ("ISTEXT", 1), 128: ("ISNUMBER", 1), 129: ("ISBLANK", 1), 130: ("T", 1), 131: ("N", 1), 140: ("DATEVALUE", 1), 141: ("TIMEVALUE", 1), 142: ("SLN", 3), 143: ("SYD", 4),
+    144: ("DDB", None), 148: ("INDIRECT", None), 162: ("CLEAN", 1), 163: ("MDETERM", 1), 164: ("MINVERSE", 1), 165: ("MMULT", 2), 167: ("IPMT", None), 168: ("PPMT", None), 169: ("COUNTA", None),
+    183: ("PRODUCT", None), 184: ("FACT", 1), 189: ("DPRODUCT", 3), 190: ("ISNONTEXT", 1), 193: ("STDEVP", None), 194: ("VARP", None), 197: ("TRUNC", None), 198: ("ISLOGICAL", 1),
+    199: ("DCOUNTA", 3), 212: ("ROUNDUP", 2), 213: ("ROUNDDOWN", 2), 216: ("RANK", None), 219: ("ADDRESS", None), 220: ("DAYS360", None), 221: ("TODAY", 0), 222: ("VDB", None),
+    227: ("MEDIAN", None), 228: ("SUMPRODUCT", None), 229: ("SINH", 1), 230: ("COSH", 1), 231: ("TANH", 1), 232: ("ASINH", 1), 233: ("ACOSH", 1), 234: ("ATANH", 1), 235: ("DGET", 3),
+    244: ("INFO", 1), 247: ("DB", None), 252: ("FREQUENCY", 2), 261: ("ERROR.TYPE", 1), 269: ("AVEDEV", None), 273: ("BINOMDIST", 4), 276: ("COMBIN", 2), 277: ("CONFIDENCE", 3), 279: ("EVEN", 1),
+    285: ("FLOOR", 2), 288: ("CEILING", 2), 293: ("NORMDIST", 4), 294: ("NORMSDIST", 1), 295: ("NORMINV", 3), 296: ("NORMSINV", 1), 297: ("STANDARDIZE", 3), 298: ("ODD", 1), 299: ("PERMUT", 2),
+    303: ("SUMXMY2", 2), 304: ("SUMX2MY2", 2), 305: ("SUMX2PY2", 2), 307: ("CORREL", 2), 308: ("COVAR", 2), 309: ("FORECAST", 3), 311: ("INTERCEPT", 2), 312: ("PEARSON", 2), 313: ("RSQ", 2),
+    314: ("STEYX", 2), 315: ("SLOPE", 2), 316: ("TTEST", 4), 317: ("PROB", None), 318: ("DEVSQ", None), 319: ("GEOMEAN", None), 320: ("HARMEAN", None), 321: ("SUMSQ", None), 322: ("KURT", None),
+    323: ("SKEW", None), 325: ("LARGE", 2), 326: ("SMALL", 2), 327: ("QUARTILE", 2), 328: ("PERCENTILE", 2), 329: ("PERCENTRANK", None), 330: ("MODE", None), 331: ("TRIMMEAN", 2),
+    336: ("CONCATENATE", None), 337: ("POWER", 2), 342: ("RADIANS", 1), 343: ("DEGREES", 1), 344: ("SUBTOTAL", None), 345: ("SUMIF", None), 346: ("COUNTIF", 2), 347: ("COUNTBLANK", 1),
+    351: ("DATEDIF", 3), 354: ("ROMAN", None), 359: ("HYPERLINK", None), 361: ("AVERAGEA", None), 362: ("MAXA", None), 363: ("MINA", None),
 }
 
 
