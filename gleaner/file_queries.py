@@ -112,6 +112,11 @@ def composite_pdfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found(readers.entries(readers.extract(files))).select("key", "content", "line_number", "sheet_name")
 
 
+def doc_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of Word files whose last count reaches beyond the text: what is there is read."""
+    return found(readers.entries(readers.extract(made(part(spark, sf_dir), "doc", lambda k: {"more": k % 7 * 50}))))
+
+
 def read_back(ext: str, formulas: bool = False) -> Run:
     """Entries of the files of all rows; in the mode of formulas only cells."""
 
@@ -478,6 +483,7 @@ _CONDITIONS = """SELECT unnest(['[Search Conditions]', 'Keyword1' || chr(9) || '
 QUERIES: dict[str, tuple[Run, str]] = {
     "read_xlsx": (read_back("xlsx"), _entries_sql(EXPECTED["xlsx"], _LINKS)),
     **{f"read_{x}": (read_back(x), _entries_sql(EXPECTED[x])) for x in ("docx", "pptx", "doc", "ppt", "xls", "pdf")},
+    "doc_counts": (doc_counts, _entries_sql(EXPECTED["doc"])),
     "composite_pdfs": (composite_pdfs, "SELECT p_partkey AS key, v.c || ' ' || p_name AS content, v.n::INTEGER AS line_number, 'Page1' AS sheet_name FROM part, (VALUES ('Zeile 日本', 1), ('second', 2)) AS v(c, n)"),
     "encrypted_pdfs": (encrypted_pdfs, _entries_sql(EXPECTED["pdf"])),
     **{f"formulas_{x}": (read_back(x, True), _entries_sql(rows)) for x, rows in FORMULAS.items()},

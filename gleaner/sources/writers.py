@@ -160,7 +160,8 @@ def cfb(streams):
     return head.ljust(512, b"\0") + b"".join(sectors)
 
 
-def doc(t: Text = plain) -> bytes:
+def doc(t: Text = plain, more: int = 0) -> bytes:
+    """more: characters that the last region claims beyond the end of the text."""
     body = f"{t('one')}\r\r\x13 HYPERLINK x \x14shown\x15 {t('two')}\x07\r"
     header, comment, box = (t(x) + "\r" for x in ("head", "remark", "boxed Ж"))
     text = body + header + comment + box
@@ -168,7 +169,7 @@ def doc(t: Text = plain) -> bytes:
     main = bytearray(4096)
     struct.pack_into("<H", main, 0, 0xA5EC)
     struct.pack_into("<H", main, 0x0A, 0x0200)
-    struct.pack_into("<8I", main, 0x4C, len(body), 0, len(header), 0, len(comment), 0, len(box), 0)
+    struct.pack_into("<8I", main, 0x4C, len(body), 0, len(header), 0, len(comment), 0, len(box) + more, 0)
     main[1024 : 1024 + len(narrow)] = narrow.encode("cp1252")
     main[2048 : 2048 + 2 * len(box)] = box.encode("utf-16-le")
     plc = struct.pack("<3I", 0, len(narrow), len(text)) + struct.pack("<HIH", 0, (1024 * 2) | 0x40000000, 0) + struct.pack("<HIH", 0, 2048, 0)
