@@ -9,7 +9,7 @@ from gleaner.llm import queries as Q
 @pytest.fixture
 def many(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "48")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
     yield
     spark.conf.set("spark.sql.shuffle.partitions", before)
 
@@ -51,3 +51,39 @@ def test_lines_over_many_partitions(spark, odd):
             assert rows(op5_lines.deduplicated(docs).select("doc_id", "text")) == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def long_text(n):
+    return "\n".join(f"line {k} of the long text has the number {k * k} and the words of {k % 97}" for k in range(n))
+
+
+@pytest.mark.parametrize("name", [n for n in sorted(Q.queries()) if n not in ("op2_warc", "op11_embeddings", "op12_centroids")])
+def test_very_long_texts(spark, tables, name):
+    """A text beyond what one vectorised step takes, whole and with a copy."""
+    from gleaner.llm.common import SLICE_BYTES
+
+    text = long_text(33_000)
+    assert len(text) > SLICE_BYTES
+    bench = spark.createDataFrame([(1, "line 32990 of the long text has the number")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int")
+    docs = [(1, "a short text that stands alone", "en", "a"), (2, text, "en", "a"), (3, text, "de", "b"), (4, "ein kurzer Text", "de", "b"), (5, text[-300:], "en", "b")]
+    folder = tables(documents=spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"), benchmark=bench, labels=labels)
+    got = Q.queries()[name](spark, folder).collect()
+    by = {r.doc_id: r for r in got if "doc_id" in r.__fields__}
+    n = len(text.encode())
+    if name == "op13_divergence":
+        assert {(r.lang, r.source) for r in got} == {("en", "a"), ("en", "b"), ("de", "b")}
+    elif name == "op7_packing":
+        assert sum(r.length for r in got if r.doc_id == 2) == by[2].doc_tokens > n // 10
+    else:
+        assert set(by) == {1, 2, 3, 4, 5} and len(got) == 5
+    if name == "op3_rules":
+        assert by[2].n_words == by[3].n_words == len(text.split())
+    elif name == "op5_lines":
+        assert by[2].n_lines == 33_000 and by[3].n_removed == 33_000 and by[5].n_removed >= 4
+    elif name == "op6_decontaminate":
+        assert [by[k].n_hit for k in (1, 2, 3, 5)] == [0, 8, 8, 0 if "line 32990" not in text[-300:] else 8]
+    elif name == "op8_repeats":
+        assert (by[2].n_removed, by[3].n_removed, by[5].n_removed) == (0, n, 300)
+    elif name == "op10_simhash":
+        assert by[3].component_id == 2 and by[2].fingerprint == by[3].fingerprint
