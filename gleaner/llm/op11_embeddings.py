@@ -2,9 +2,9 @@
 
 Two vectors are linked if their cosine, in double precision, is at least THRESHOLD; components are what links reach.
 
-1. Equal vectors become one class with a weight. The index is fitted on a bounded sample of the classes, of SAMPLE in expectation: a coarse
-   centroid for each inverted list (about LISTS * sqrt(n), MAX_LISTS at most; no two seeds are themselves linked, so a dense group gets
-   one list and is not torn into many), and for each of SUBSPACES parts of a residual a code book of CODES entries.
+1. Equal vectors become one class with a weight. The index is fitted on a bounded sample of the classes, in expectation of SAMPLE, or of LIST_SAMPLE for
+   each list, and MAX_SAMPLE at most: a coarse centroid for each inverted list (about LISTS * sqrt(n), MAX_LISTS at most; no two seeds are themselves linked,
+   so a dense group gets one list and is not torn into many), and for each of SUBSPACES parts of a residual a code book of CODES entries.
 2. Every class is indexed: its unit vector goes to the list of the nearest centroid, with the code of its residual and the exact
    distance between vector and code. As a query it visits the PROBES nearest lists.
 3. A task goes through lists one by one. A query's table of products with the code books gives the distance to every code of the list by
@@ -42,11 +42,11 @@ from .common import Scratch, materialize, release, tasks, trimmed
 from .components import Forest, components
 
 THRESHOLD = 0.9
-SAMPLE = 32_768
-LISTS, MAX_LISTS = 1.0, 4096
+SAMPLE, LIST_SAMPLE, MAX_SAMPLE = 32_768, 16, 524_288
+LISTS, MAX_LISTS = 1.0, 32_768
 SUBSPACES, CODES = 8, 256
 PROBES = 8
-PART_ROWS = 20_000
+PART_ROWS = 50_000
 SEED = 11
 #: Fewer sampled vectors of one length than this get no lists and no codes.
 LEAST_SAMPLE = 64
@@ -324,8 +324,9 @@ def _search(indexes):
 
 
 def fitted(classes: DataFrame, n: int, kind: np.dtype, sample: int = SAMPLE) -> Indexes:
-    """The indexes of n classes, from `sample` of them in expectation, chosen by hash."""
+    """The indexes of n classes, from `sample` of them in expectation, or more if there are many lists, chosen by hash."""
     rows = classes.select("v")
+    sample = min(MAX_SAMPLE, max(sample, LIST_SAMPLE * round(LISTS * math.sqrt(n))))
     if n > sample:
         rows = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "v"), F.lit(1 << 40)) < int(sample / n * (1 << 40)))
     return Indexes(sorted(rows.toArrow().column("v").to_pylist()), n, kind)
