@@ -1,5 +1,7 @@
 """Every operator with far more shuffle partitions than rows, and rows with maps, arrays and structs."""
 
+import hashlib
+
 import pytest
 
 import corpus_pipeline
@@ -53,7 +55,8 @@ def test_lines_over_many_partitions(spark, odd):
 
 
 def long_text(n):
-    return "\n".join(f"line {k} of the long text has the number {k * k} and the words of {k % 97}" for k in range(n))
+    words = lambda k: [h[i : i + 7] for h in [hashlib.md5(b"%d" % k).hexdigest() + hashlib.sha1(b"%d" % k).hexdigest()] for i in range(0, 56, 7)]
+    return "\n".join(f"line {k} " + " ".join(words(k)) for k in range(n))
 
 
 @pytest.mark.parametrize("name", [n for n in sorted(Q.queries()) if n not in ("op2_warc", "op11_embeddings", "op12_centroids")])
@@ -63,7 +66,7 @@ def test_very_long_texts(spark, tables, name):
 
     text = long_text(33_000)
     assert len(text) > SLICE_BYTES
-    bench = spark.createDataFrame([(1, "line 32990 of the long text has the number")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(text.split("\n")[32_990].split()[:9]))], "item_id long, text string")
     labels = spark.createDataFrame([(1, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int")
     docs = [(1, "a short text that stands alone", "en", "a"), (2, text, "en", "a"), (3, text, "de", "b"), (4, "ein kurzer Text", "de", "b"), (5, text[-300:], "en", "b")]
     folder = tables(documents=spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"), benchmark=bench, labels=labels)
@@ -79,9 +82,9 @@ def test_very_long_texts(spark, tables, name):
     if name == "op3_rules":
         assert by[2].n_words == by[3].n_words == len(text.split())
     elif name == "op5_lines":
-        assert by[2].n_lines == 33_000 and by[3].n_removed == 33_000 and by[5].n_removed >= 4
+        assert by[2].n_lines == 33_000 and by[3].n_removed == 33_000 and by[5].n_removed >= 3
     elif name == "op6_decontaminate":
-        assert [by[k].n_hit for k in (1, 2, 3, 5)] == [0, 8, 8, 0 if "line 32990" not in text[-300:] else 8]
+        assert [by[k].n_hit for k in (1, 2, 3, 5)] == [0, 9, 9, 0]
     elif name == "op8_repeats":
         assert (by[2].n_removed, by[3].n_removed, by[5].n_removed) == (0, n, 300)
     elif name == "op10_simhash":
