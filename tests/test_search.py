@@ -586,7 +586,7 @@ def test_queries_match_sql(spark):
     from gleaner import queries as Q
 
     c = duckdb.connect()
-    for t in ("documents", "pages", "part", "events", "conversations", "nation"):
+    for t in ("documents", "pages", "part", "events", "conversations", "supplier"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
     from gleaner import file_queries
 
