@@ -79,8 +79,18 @@ TWENTY = (
 FORMULAS = {"xlsx": [("=SUM(A1:A2)", 3, "First", "C3", None)], "xls": [("=SUM(A1:A2)", 3, "One", "A3", None)]}
 
 
+#: Rows of a task, and files of a batch. A file is some hundred times its row, so Spark, which goes by the bytes of the table, would make them all in one task.
+TASK_ROWS, BATCH_FILES = 2000, 250
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows (key) dealt to tasks by number."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // TASK_ROWS)
+    return rows.repartition(tasks, "key")
+
+
 def part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"))
+    return dealt(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name")))
 
 
 def made(rows: DataFrame, ext: str, more: Callable[[int], dict] = lambda k: {}) -> DataFrame:
@@ -88,7 +98,7 @@ def made(rows: DataFrame, ext: str, more: Callable[[int], dict] = lambda k: {})
     write = getattr(writers, ext)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, BATCH_FILES) for b in batches for k in range(0, b.num_rows, BATCH_FILES)):
             keys, names = batch.column("key").to_pylist(), batch.column("name").to_pylist()
             files = [write(lambda x, n=n: f"{x} {n}", **more(k)) for k, n in zip(keys, names, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([f"/made/{k}.{ext}" for k in keys]), pa.array([f".{ext}"] * len(keys)), pa.array(keys, pa.int64()), pa.array(files, pa.binary())], ["file_path", "ext", "file_ord", "content"])
@@ -263,7 +273,7 @@ def written(rows: DataFrame, make: Callable[[int], dict[str, bytes]], old: bool
                     n += 1
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
-    return rows.select(F.col("key").cast("long")).mapInArrow(run, "n long").agg(F.sum("n")).first()[0]
+    return dealt(rows.select(F.col("key").cast("long"))).mapInArrow(run, "n long").agg(F.sum("n")).first()[0]
 
 
 def new_folder(spark: SparkSession) -> str:

@@ -595,3 +595,13 @@ def test_queries_match_sql(spark):
         cols = sorted(got.columns)
         assert cols == sorted(want.columns), name
         assert sorted(map(str, (tuple(r[k] for k in cols) for r in got.collect()))) == sorted(map(str, c.sql(f"SELECT {', '.join(cols)} FROM ({sql})").fetchall())), name
+
+
+def test_rows_are_dealt_to_tasks_by_number(spark):
+    """A small table in one file keeps all cores busy, and tasks grow with its rows."""
+    from gleaner import file_queries as Q
+
+    rows = Q.part(spark, "/root/testdata/sf0.001")
+    assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1
+    assert Q.dealt(spark.range(10 * Q.TASK_ROWS).toDF("key")).rdd.getNumPartitions() == 10
+    assert Q.made(rows, "xlsx").rdd.getNumPartitions() > 1
