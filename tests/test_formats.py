@@ -263,3 +263,16 @@ def test_composite_fonts():
     assert truetype.glyph_texts(head + struct.pack(">III", 0, 28, len(nought)) + nought)[66] == "B"
     broken = samples.pdf_composite().replace(b"/FontFile2 8 0 R", b"")
     assert "unknown codes" in str(list(read_pieces(broken, ".pdf", O))[-1])
+
+
+def test_parts_of_a_package_are_parsed_once(monkeypatch):
+    from gleaner.sources.formats import ooxml
+
+    parsed, parse = [], ooxml.ET.fromstring
+    monkeypatch.setattr(ooxml.ET, "fromstring", lambda raw: parsed.append(bytes(raw)) or parse(raw))
+    for make, read in ((samples.xlsx, xlsx.read), (samples.docx, docx.read), (samples.pptx, pptx.read)):
+        parsed.clear()
+        assert rows(read(make(), O)) and len(parsed) == len(set(parsed))
+    want = rows(xlsx.read(samples.xlsx(), O))
+    monkeypatch.setattr(ooxml, "KEPT_ALL", 1000)  # what is not kept is parsed again
+    assert rows(xlsx.read(samples.xlsx(), O)) == want
