@@ -276,3 +276,19 @@ def test_parts_of_a_package_are_parsed_once(monkeypatch):
     want = rows(xlsx.read(samples.xlsx(), O))
     monkeypatch.setattr(ooxml, "KEPT_ALL", 1000)  # what is not kept is parsed again
     assert rows(xlsx.read(samples.xlsx(), O)) == want
+
+
+def test_strings_of_a_file_are_decrypted_together(monkeypatch):
+    from gleaner.sources.formats import pdfcrypt as C
+
+    calls, blocks = [], C.decrypt_blocks
+    monkeypatch.setattr(C, "decrypt_blocks", lambda key, data: calls.append(len(data)) or blocks(key, data))
+    want = rows(pdf.read(samples.pdf(), O))
+    for method, most in (("AES-128", 1), ("AES-256", 2)):  # the key of a file is encrypted too
+        calls.clear()
+        assert rows(pdf.read(samples.pdf(method=method), O)) == want and len(calls) <= most
+    keys, texts = [bytes([k]) * 16 for k in range(3)], [b"x" * n for n in (0, 5, 16, 40, 200)]
+    sealed = [bytes(16) + C.encrypt_cbc(k, bytes(16), t + bytes([16 - len(t) % 16]) * (16 - len(t) % 16)) for k in keys for t in texts]
+    monkeypatch.setattr(C, "ALONE", 100)
+    monkeypatch.setattr(C, "TOGETHER", 150)
+    assert C.aes([(k, d) for k, d in zip([k for k in keys for _ in texts], sealed, strict=True)] + [(keys[0], b"short")]) == texts * 3 + [b""]
