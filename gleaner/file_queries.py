@@ -79,13 +79,13 @@ TWENTY = (
 FORMULAS = {"xlsx": [("=SUM(A1:A2)", 3, "First", "C3", None)], "xls": [("=SUM(A1:A2)", 3, "One", "A3", None)]}
 
 
-#: Rows of a task, and files of a batch. A file is some hundred times its row, so Spark, which goes by the bytes of the table, would make them all in one task.
+#: Rows of a task at most, and files of a batch. A file is some hundred times its row, so Spark, which goes by the bytes of the table, would make them all in one task.
 TASK_ROWS, BATCH_FILES = 2000, 250
 
 
 def dealt(rows: DataFrame) -> DataFrame:
     """Rows (key) dealt to tasks by number."""
-    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // TASK_ROWS)
+    tasks = max(3 * rows.sparkSession.sparkContext.defaultParallelism, rows.count() // TASK_ROWS)  # some for each core, as they differ
     return rows.repartition(tasks, "key")
 
 
@@ -225,12 +225,12 @@ def damaged_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sheet_rows(regex: bool) -> Run:
-    """Cells of workbooks whose rows hold both keywords; by patterns the rows are put together."""
+    """Cells of workbooks whose rows hold both keywords; rows are matched where they were read, in one pass over the files."""
     spec = SearchSpec.of(r"shared [a-m]" if regex else "shared", "inline", regex=regex)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        entries = readers.entries(readers.extract(made(part(spark, sf_dir), "xlsx")))
-        return results.displayed(M.row_match(spark, entries, spec), spec).select(F.col("file_ord").alias("key"), "file_name", "location", "content")
+        rows = readers.extract(made(part(spark, sf_dir), "xlsx"))
+        return results.displayed(M.packed_match(spark, rows, spec), spec).select(F.col("file_ord").alias("key"), "file_name", "location", "content")
 
     return run
 

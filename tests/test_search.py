@@ -603,5 +603,13 @@ def test_rows_are_dealt_to_tasks_by_number(spark):
 
     rows = Q.part(spark, "/root/testdata/sf0.001")
     assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1
-    assert Q.dealt(spark.range(10 * Q.TASK_ROWS).toDF("key")).rdd.getNumPartitions() == 10
+    assert Q.dealt(spark.range(30 * Q.TASK_ROWS).toDF("key")).rdd.getNumPartitions() == 30
     assert Q.made(rows, "xlsx").rdd.getNumPartitions() > 1
+
+
+def test_rows_of_sheets_are_matched_in_one_pass(spark):
+    from gleaner import file_queries as Q
+
+    for regex in (False, True):
+        plan = Q.sheet_rows(regex)(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 2 and "Window" not in plan and plan.count("Exchange ") == 1
