@@ -290,9 +290,11 @@ def rounds(spark: SparkSession, spec: SearchSpec, folder: str, limit: int = ROUN
         tables.append(f"{folder}/round={len(tables)}")
         todo.mapInArrow(_round(options_of(spec), limit), _LISTED).write.parquet(tables[-1])
         todo = spark.read.schema(_LISTED).parquet(tables[-1]).where("todo").select("folder")
-        if todo.isEmpty():
+        waiting = todo.count()
+        if not waiting:
             break
-        todo = todo.repartition(spark.sparkContext.defaultParallelism * 2)
+        # as many tasks as can begin all that waits, so that rounds grow with the depth of a tree and not with its folders
+        todo = todo.repartition(max(spark.sparkContext.defaultParallelism * 2, -(-waiting // limit)))
     found = spark.read.schema(_LISTED).parquet(*tables).where("NOT todo")
     found = found.orderBy(F.split("folder", "/"), "file_path").select("file_path", "ext", "modified", "length", F.monotonically_increasing_id().alias("file_ord"))
     found.write.parquet(f"{folder}/files")

@@ -613,3 +613,20 @@ def test_rows_of_sheets_are_matched_in_one_pass(spark):
     for regex in (False, True):
         plan = Q.sheet_rows(regex)(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("MapInArrow") == 2 and "Window" not in plan and plan.count("Exchange ") == 1
+
+
+def test_rounds_of_a_listing_go_by_depth(spark, tmp_path):
+    """Of many chains of folders each goes on in each round."""
+    from gleaner.sources import listing
+
+    counts = []
+    for chains in (20, 80):
+        top = tmp_path / f"chains{chains}"
+        for k in range(chains):
+            at = top / str(k) / "b" / "c" / "d" / "e" / "f"
+            at.mkdir(parents=True)
+            (at / "x.txt").touch()
+        found = listing.rounds(spark, SearchSpec.of("x", target=str(top)), str(tmp_path / f"rounds{chains}"), limit=2)
+        assert found.count() == chains
+        counts.append(len([n for n in os.listdir(tmp_path / f"rounds{chains}") if n.startswith("round=")]))
+    assert counts[1] <= counts[0] + 3
