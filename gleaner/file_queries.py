@@ -170,21 +170,28 @@ def xls_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part(spark, sf_dir).mapInArrow(run, "key long, content string")
 
 
+def form_rows(keys: list[int]) -> dict[str, list]:
+    """The checks of these rows; settings of all are saved in one folder, each in a file of its own."""
+    rows: dict[str, list] = {"nothing": [], "missing": [], "target": [], "same": []}
+    with tempfile.TemporaryDirectory() as d:
+        for k in keys:
+            on = k % 5 != 0
+            spec = SearchSpec.of("  " if k % 3 == 0 else f"word {k}", target="" if k % 2 else f"./x{k}/../y", excel=on, word=on, powerpoint=on, pdf=on, text=on, regex=k % 7 == 0, exclude_folders="a;é")
+            rows["nothing"].append(spec.nothing_to_do())
+            rows["missing"].append(", ".join(spec.validate_form()))
+            rows["target"].append(spec.root("/base"))
+            rows["same"].append(save(spec, f"{d}/{k}.json") and load(f"{d}/{k}.json", "/home") == replace(spec, target=spec.target or "/home"))
+            os.unlink(f"{d}/{k}.json")
+    return rows
+
+
 def form_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Specifications that lack something, made of each row: whether there is nothing to do, what the form asks for, and what is left after saving and loading."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column("key").to_pylist()
-            rows: dict[str, list] = {"nothing": [], "missing": [], "target": [], "same": []}
-            for k in keys:
-                on = k % 5 != 0
-                spec = SearchSpec.of("  " if k % 3 == 0 else f"word {k}", target="" if k % 2 else f"./x{k}/../y", excel=on, word=on, powerpoint=on, pdf=on, text=on, regex=k % 7 == 0, exclude_folders="a;é")
-                rows["nothing"].append(spec.nothing_to_do())
-                rows["missing"].append(", ".join(spec.validate_form()))
-                rows["target"].append(spec.root("/base"))
-                with tempfile.TemporaryDirectory() as d:
-                    rows["same"].append(save(spec, f"{d}/s.json") and load(f"{d}/s.json", "/home") == replace(spec, target=spec.target or "/home"))
+            rows = form_rows(keys)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *map(pa.array, rows.values())], ["key", *rows])
 
     return part(spark, sf_dir).mapInArrow(run, "key long, nothing boolean, missing string, target string, same boolean")

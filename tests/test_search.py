@@ -630,3 +630,12 @@ def test_rounds_of_a_listing_go_by_depth(spark, tmp_path):
         assert found.count() == chains
         counts.append(len([n for n in os.listdir(tmp_path / f"rounds{chains}") if n.startswith("round=")]))
     assert counts[1] <= counts[0] + 3
+
+
+def test_forms_of_a_batch_share_a_folder(monkeypatch):
+    from gleaner import file_queries as Q
+
+    made, new = [], Q.tempfile.TemporaryDirectory
+    monkeypatch.setattr(Q.tempfile, "TemporaryDirectory", lambda: made.append(1) or new())
+    rows = Q.form_rows(list(range(30)))
+    assert len(made) == 1 and rows["same"] == [True] * 30 and rows["nothing"][7] and rows["missing"][4] == "" and rows["target"][4] == "/base/y"
