@@ -267,12 +267,14 @@ def written(rows: DataFrame, make: Callable[[int], dict[str, bytes]], old: bool
     """Files of every row (key), written by tasks; `old`: with a time long past, where the folder is local. Returns their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 0
+        n, tops = 0, set()
         for batch in batches:
             for key in batch.column("key").to_pylist():
                 for path, raw in make(key).items():
                     system, inside = listing.store(path) if "://" in path else (pafs.LocalFileSystem(), path)
-                    system.create_dir(os.path.dirname(inside), recursive=True)
+                    if (top := os.path.dirname(inside)) not in tops:
+                        system.create_dir(top, recursive=True)
+                        tops.add(top)
                     with system.open_output_stream(inside, compression=None) as f:
                         f.write(raw)
                     if old and isinstance(system, pafs.LocalFileSystem):
@@ -309,13 +311,15 @@ def folder(spark: SparkSession, sf_dir: str) -> str:
     return root
 
 
-def done(found: DataFrame, *roots: str) -> DataFrame:
-    """What was found, written and read again; the files it was found in are deleted."""
+def done(found: DataFrame, root: str, *tables: str) -> DataFrame:
+    """What was found, written and read again; the files it was found in are deleted, by tasks since there are some of each row, and so are tables beside them."""
     spark = found.sparkSession
     where = f"{shared_dir(spark)}/found-{uuid.uuid4().hex}"
     found.write.parquet(where)
-    for root in roots:
-        delete(spark, root)
+    if not listing.only_by_spark(root):
+        listing.emptied(spark, root, f"{root}-gone")
+    for folder in (root, f"{root}-gone", *tables):
+        delete(spark, folder)
     return spark.read.schema(found.schema).parquet(where)
 
 

@@ -22,7 +22,7 @@ import hashlib
 import json
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 
 import pyarrow as pa
@@ -245,14 +245,17 @@ def options_of(spec: SearchSpec) -> dict[str, str]:
     return {"include": json.dumps(spec.included()), "exclude": json.dumps(spec.excluded()), "skip": json.dumps(spec.skipped_folders())}
 
 
-#: Folders that a task lists in one round.
-ROUND_FOLDERS = 1000
+#: Folders that a task lists in one round; so many files count as a folder more, so that large folders that lie together go to several tasks.
+ROUND_FOLDERS, FOLDER_FILES = 1000, 10
+#: Files that a task deletes, about.
+DELETED_FILES = 20_000
 _LISTED = "file_path string, ext string, modified timestamp, length long, folder string, todo boolean"
+#: Folders of a tree, and files found in one: (path, extension, time, size).
+Look = Callable[[str], tuple[list[str], list[tuple]]]
 
 
-def _round(options: dict[str, str], limit: int):
+def _round(look: Look, limit: int):
     """Folders (folder) as the files below, and as folders for the next round once the task has listed `limit` of them."""
-    reader = FolderReader(options | {"path": ""})
 
     def rows(found: list[tuple]) -> pa.RecordBatch:
         kinds = [pa.string(), pa.string(), pa.timestamp("us", "UTC"), pa.int64(), pa.string(), pa.bool_()]
@@ -268,10 +271,10 @@ def _round(options: dict[str, str], limit: int):
                 if left <= 0:
                     out.append((None, None, None, None, folder, True))
                 else:
-                    left -= 1
-                    folders, found = scan(folder, reader.skip)
+                    folders, found = look(folder)
+                    left -= 1 + len(found) // FOLDER_FILES
                     waiting += reversed(folders)
-                    out += [(p, ext, m, s, folder, False) for p, m, s in found if (ext := reader.wanted(p)) is not None]
+                    out += [(*f, folder, False) for f in found]
                 if len(out) >= 10_000:
                     yield rows(out)
                     out = []
@@ -280,27 +283,88 @@ def _round(options: dict[str, str], limit: int):
     return run
 
 
-def rounds(spark: SparkSession, spec: SearchSpec, folder: str, limit: int = ROUND_FOLDERS) -> DataFrame:
-    """The files of a tree, listed by tasks in rounds, as a table in `folder`. file_ord: those of a folder by name, before those of the folders in it."""
-    root = spec.root()
-    if "://" not in root and not os.path.isdir(root):
-        raise ValueError(f"the folder {root} cannot be listed")
+def _listed(spark: SparkSession, root: str, look: Look, folder: str, limit: int) -> DataFrame:
+    """What `look` gives for all folders of a tree, by rounds, each a table in `folder`."""
     todo, tables = spark.createDataFrame([(root,)], "folder string").coalesce(1), []
     while True:
         tables.append(f"{folder}/round={len(tables)}")
-        todo.mapInArrow(_round(options_of(spec), limit), _LISTED).write.parquet(tables[-1])
+        todo.mapInArrow(_round(look, limit), _LISTED).write.parquet(tables[-1])
         todo = spark.read.schema(_LISTED).parquet(tables[-1]).where("todo").select("folder")
         waiting = todo.count()
         if not waiting:
-            break
+            return spark.read.schema(_LISTED).parquet(*tables).where("NOT todo")
         # as many tasks as can begin all that waits, so that rounds grow with the depth of a tree and not with its folders
         todo = todo.repartition(max(spark.sparkContext.defaultParallelism * 2, -(-waiting // limit)))
-    found = spark.read.schema(_LISTED).parquet(*tables).where("NOT todo")
+
+
+def rounds(spark: SparkSession, spec: SearchSpec, folder: str, limit: int = ROUND_FOLDERS) -> DataFrame:
+    """The files of a tree, listed by tasks in rounds, as a table in `folder`. file_ord: those of a folder by name, before those of the folders in it."""
+    root = spec.root()
+    if "://" not in root and not os.path.isdir(root):
+        raise ValueError(f"the folder {root} cannot be listed")
+    reader = FolderReader(options_of(spec) | {"path": ""})
+
+    def look(folder: str) -> tuple[list[str], list[tuple]]:
+        folders, found = scan(folder, reader.skip)
+        return folders, [(p, ext, m, s) for p, m, s in found if (ext := reader.wanted(p)) is not None]
+
+    found = _listed(spark, root, look, folder, limit)
     found = found.orderBy(F.split("folder", "/"), "file_path").select("file_path", "ext", "modified", "length", F.monotonically_increasing_id().alias("file_ord"))
     found.write.parquet(f"{folder}/files")
     return spark.read.schema(SCHEMA).parquet(f"{folder}/files")
 
 
+def _within(top: str) -> tuple[list[str], list[tuple]]:
+    """Folders in a folder; its files and the folder itself, whose extension is a separator."""
+    folders, found = [], [(top, os.sep, None, None)]
+    if "://" in top:
+        system, path = store(top)
+        for x in system.get_file_info(pafs.FileSelector(path, allow_not_found=True)):
+            name = f"{top.rstrip('/')}/{x.base_name}"
+            if x.type == pafs.FileType.Directory:
+                folders.append(name)
+            else:
+                found.append((name, None, None, None))
+    else:
+        with os.scandir(top) as entries:
+            for e in entries:
+                if e.is_dir(follow_symlinks=False):
+                    folders.append(e.path)
+                else:
+                    found.append((e.path, None, None, None))
+    return folders, found
+
+
+def _gone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Deletes files, and folders that are empty, by their paths; gives how many it could not."""
+    kept = 0
+    for batch in batches:
+        for path, ext in zip(batch.column("file_path").to_pylist(), batch.column("ext").to_pylist(), strict=True):
+            try:
+                if "://" in path:
+                    system, inside = store(path)
+                    (system.delete_dir if ext else system.delete_file)(inside)
+                else:
+                    (os.rmdir if ext else os.unlink)(path)
+            except FileNotFoundError:  # by an attempt before
+                continue
+            except OSError:
+                kept += 1
+    yield pa.RecordBatch.from_arrays([pa.array([kept], pa.int64())], ["kept"])
+
+
+def emptied(spark: SparkSession, root: str, folder: str, limit: int = ROUND_FOLDERS) -> int:
+    """Delete a tree by tasks, files first; `folder` is for the rounds of its listing. The root stays. Returns how many files and folders could not be deleted."""
+    found = _listed(spark, root, _within, folder, limit).select("file_path", "ext")
+    files = found.where("ext IS NULL")
+    tasks = max(2 * spark.sparkContext.defaultParallelism, files.count() // DELETED_FILES)
+    left = files.repartition(tasks).mapInArrow(_gone, "kept long").agg(F.sum("kept")).first()[0]
+    # folders of one branch by one task, the deepest first
+    folders = found.where("ext IS NOT NULL").repartition(tasks, F.get(F.split("file_path", "/"), F.lit(root.rstrip("/").count("/") + 1)))
+    left += folders.where(F.col("file_path") != F.lit(root)).sortWithinPartitions(F.length("file_path").desc()).mapInArrow(_gone, "kept long").agg(F.sum("kept")).first()[0]
+    return left
+
+
 def only_by_spark(root: str) -> bool:
     """Whether tasks cannot list and read the target themselves."""
     return "://" in root and store(root) is None

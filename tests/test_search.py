@@ -639,3 +639,32 @@ def test_forms_of_a_batch_share_a_folder(monkeypatch):
     monkeypatch.setattr(Q.tempfile, "TemporaryDirectory", lambda: made.append(1) or new())
     rows = Q.form_rows(list(range(30)))
     assert len(made) == 1 and rows["same"] == [True] * 30 and rows["nothing"][7] and rows["missing"][4] == "" and rows["target"][4] == "/base/y"
+
+
+def test_trees_are_emptied_by_tasks(spark, tmp_path):
+    """All files and folders go, whatever their names; links go, what they lead to stays."""
+    from gleaner.sources import listing
+
+    top, other = tmp_path / "it's a tree", tmp_path / "kept.txt"
+    other.touch()
+    for k in range(30):
+        at = top / f"{k % 3}" / ".deep" / str(k)
+        at.mkdir(parents=True)
+        for n in range(5):
+            (at / f".{n} x").touch()
+    (top / "link").symlink_to(other)
+    (top / "links").symlink_to(tmp_path)
+    assert listing.emptied(spark, str(top), str(tmp_path / "gone"), limit=4) == 0
+    assert os.listdir(top) == [] and other.exists()
+
+
+def test_large_folders_are_listed_by_several_tasks(tmp_path):
+    """A task that has listed a large folder leaves the next one to others."""
+    import pyarrow as pa
+
+    from gleaner.sources import listing
+
+    sizes = {"/a": 5000, "/b": 5000, "/c": 20}
+    look = lambda top: ([], [(f"{top}/{n}", ".txt", None, 0) for n in range(sizes[top])])
+    out = pa.Table.from_batches(listing._round(look, 100)(iter([pa.RecordBatch.from_pydict({"folder": list(sizes)})]))).to_pylist()
+    assert sum(not r["todo"] for r in out) == 5000 and [r["folder"] for r in out if r["todo"]] == ["/b", "/c"]
