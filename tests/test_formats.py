@@ -292,3 +292,12 @@ def test_strings_of_a_file_are_decrypted_together(monkeypatch):
     monkeypatch.setattr(C, "ALONE", 100)
     monkeypatch.setattr(C, "TOGETHER", 150)
     assert C.aes([(k, d) for k, d in zip([k for k in keys for _ in texts], sealed, strict=True)] + [(keys[0], b"short")]) == texts * 3 + [b""]
+
+
+def test_zeros_that_fill_a_stream_are_no_records():
+    walk = ppt._Walk(Options())
+    stream = ppt.CompoundFile(samples.ppt()).stream("PowerPoint Document")
+    told = [kind for _, _, kind, _ in walk.records(stream)]
+    assert len(stream) == 4096 and len(told) < 10 and told[:2] == [0x0FA8, 0x0FF0]
+    filled = [kind for _, _, kind, _ in walk.records(bytes(19) + b"\1" + bytes(20) + b"\2" * 8)]  # what follows zeros stays where it was
+    assert filled == [0x0100, 0x0202]
