@@ -151,8 +151,8 @@ def extract(files: DataFrame, options: Options | None = None, monitor: Monitor |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = _Rows()
         for batch in batches:
-            for k in range(batch.num_rows):
-                path, ext, order, a, b, before = (batch.column(c)[k].as_py() for c in ("file_path", "ext", "file_ord", "a", "b", "before"))
+            known_of = zip(*(batch.column(c).to_pylist() for c in ("file_path", "ext", "file_ord", "a", "b", "before")), strict=True)
+            for k, (path, ext, order, a, b, before) in enumerate(known_of):
                 if monitor is not None and monitor.stopped():
                     raise InterruptedError("the search was stopped")  # a part of the results must not pass for the whole
                 if a is not None:

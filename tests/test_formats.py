@@ -301,3 +301,11 @@ def test_zeros_that_fill_a_stream_are_no_records():
     assert len(stream) == 4096 and len(told) < 10 and told[:2] == [0x0FA8, 0x0FF0]
     filled = [kind for _, _, kind, _ in walk.records(bytes(19) + b"\1" + bytes(20) + b"\2" * 8)]  # what follows zeros stays where it was
     assert filled == [0x0100, 0x0202]
+
+
+def test_strings_of_a_workbook_are_taken_whole(monkeypatch):
+    """Only strings over the border of records are put together from pieces."""
+    taken, old = [], xls._Strings.take
+    monkeypatch.setattr(xls._Strings, "take", lambda self, n: taken.append(n) or old(self, n))
+    assert [p.content for p in xls.read(samples.xls(), Options())][:3] == ["shared", "remark", "splé"]
+    assert taken[0] == 3 and taken.count(3) == 1
