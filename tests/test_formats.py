@@ -309,3 +309,12 @@ def test_strings_of_a_workbook_are_taken_whole(monkeypatch):
     monkeypatch.setattr(xls._Strings, "take", lambda self, n: taken.append(n) or old(self, n))
     assert [p.content for p in xls.read(samples.xls(), Options())][:3] == ["shared", "remark", "splé"]
     assert taken[0] == 3 and taken.count(3) == 1
+
+
+def test_sectors_in_a_row_are_read_at_once(monkeypatch):
+    from gleaner.sources.formats.cfb import CompoundFile
+
+    f, read, old = CompoundFile(samples.doc()), [], CompoundFile._sectors
+    monkeypatch.setattr(CompoundFile, "_sectors", lambda self, k, n: read.append(n) or old(self, k, n))
+    assert len(f.stream("WordDocument")) == 4096 and read == [8]
+    assert doc.clean("a\x07\x13 CODE \x14b\x01\tc\x15\x07") == "a\tb\tc\t"
