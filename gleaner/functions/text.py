@@ -70,10 +70,17 @@ def index_line() -> Column:
 
 def parse_index_line(c: Column | str) -> Column:
     """The entry of a line: null if it has less than six fields; a number that is none is 0, an empty field null."""
-    part = F.split(col(c), "\t", -1)
+    return indexed(F.split(col(c), "\t", -1))
+
+
+def indexed(fields: Column | str) -> Column:
+    """The same of a line's fields; for many lines they should be a column of their own, as they are named often."""
+    part = col(fields)
     field = lambda k: F.nullif(F.get(part, F.lit(k)), F.lit(""))
     number = F.coalesce(F.get(part, F.lit(1)).try_cast("int"), F.lit(0))
-    entry = F.struct(F.get(part, F.lit(0)).alias("file_path"), number.alias("line_number"), field(2).alias("sheet_name"), field(3).alias("cell_address"), field(4).alias("object_name"), unescape_line(F.get(part, F.lit(5))).alias("content"))
+    content = F.get(part, F.lit(5))
+    content = F.when(F.contains(content, F.lit("\\")), unescape_line(content)).otherwise(content)
+    entry = F.struct(F.get(part, F.lit(0)).alias("file_path"), number.alias("line_number"), field(2).alias("sheet_name"), field(3).alias("cell_address"), field(4).alias("object_name"), content.alias("content"))
     return F.when(F.size(part) >= 6, entry)
 
 

@@ -668,3 +668,16 @@ def test_large_folders_are_listed_by_several_tasks(tmp_path):
     look = lambda top: ([], [(f"{top}/{n}", ".txt", None, 0) for n in range(sizes[top])])
     out = pa.Table.from_batches(listing._round(look, 100)(iter([pa.RecordBatch.from_pydict({"folder": list(sizes)})]))).to_pylist()
     assert sum(not r["todo"] for r in out) == 5000 and [r["folder"] for r in out if r["todo"]] == ["/b", "/c"]
+
+
+def test_index_lines_are_split_once(spark):
+    from gleaner import file_queries as Q
+
+    plan = Q.index_lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(CASE") == 1 and plan.count("split(") == 2  # the other takes contents apart, and only those with a code
+
+
+def test_index_contents_without_codes_stay(spark):
+    rows = spark.createDataFrame([("p\t1\t\t\t\ta\\\\n\\tb",), ("p\tx\ts\t\to\tplain",), ("p\t1\t2\t3\t4",)], "line string")
+    got = [r.e for r in rows.select(X.parse_index_line("line").alias("e")).collect()]
+    assert [e and (e.line_number, e.sheet_name, e.object_name, e.content) for e in got] == [(1, None, None, "a\\n\tb"), (0, "s", "o", "plain"), None]
