@@ -264,6 +264,19 @@ def timed_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(regex_match(spark, F.col("content"), "(an)+[a-z]* (t[a-z]+ )+", False))
 
 
+def put(path: str, raw: bytes, tops: set[str], old: bool = False) -> None:
+    """Write a file; tops: folders that are there. Local files are written without Arrow, whose streams cost several times what the file does."""
+    system, inside = listing.store(path) if "://" in path else (None, path)
+    local = system is None or isinstance(system, pafs.LocalFileSystem)
+    if (top := os.path.dirname(inside)) not in tops:
+        os.makedirs(top, exist_ok=True) if local else system.create_dir(top, recursive=True)
+        tops.add(top)
+    with open(inside, "wb") if local else system.open_output_stream(inside, compression=None) as f:
+        f.write(raw)
+    if old and local:
+        os.utime(inside, (1, 1))
+
+
 def written(rows: DataFrame, make: Callable[[int], dict[str, bytes]], old: bool = False) -> int:
     """Files of every row (key), written by tasks; `old`: with a time long past, where the folder is local. Returns their number."""
 
@@ -272,14 +285,7 @@ def written(rows: DataFrame, make: Callable[[int], dict[str, bytes]], old: bool
         for batch in batches:
             for key in batch.column("key").to_pylist():
                 for path, raw in make(key).items():
-                    system, inside = listing.store(path) if "://" in path else (pafs.LocalFileSystem(), path)
-                    if (top := os.path.dirname(inside)) not in tops:
-                        system.create_dir(top, recursive=True)
-                        tops.add(top)
-                    with system.open_output_stream(inside, compression=None) as f:
-                        f.write(raw)
-                    if old and isinstance(system, pafs.LocalFileSystem):
-                        os.utime(inside, (1, 1))
+                    put(path, raw, tops, old)
                     n += 1
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 

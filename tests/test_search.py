@@ -681,3 +681,15 @@ def test_index_contents_without_codes_stay(spark):
     rows = spark.createDataFrame([("p\t1\t\t\t\ta\\\\n\\tb",), ("p\tx\ts\t\to\tplain",), ("p\t1\t2\t3\t4",)], "line string")
     got = [r.e for r in rows.select(X.parse_index_line("line").alias("e")).collect()]
     assert [e and (e.line_number, e.sheet_name, e.object_name, e.content) for e in got] == [(1, None, None, "a\\n\tb"), (0, "s", "o", "plain"), None]
+
+
+def test_local_files_are_written_without_arrow(monkeypatch, tmp_path):
+    from gleaner import file_queries as Q
+
+    tops = set()
+    Q.put(f"file://{tmp_path}/c/3.txt", b"xxx", tops, True)
+    monkeypatch.setattr(Q, "pafs", None)
+    for n, old in ((1, False), (2, True)):
+        Q.put(f"{tmp_path}/a/b/{n}.txt", b"x" * n, tops, old)
+    found = {p.name: (p.stat().st_size, p.stat().st_mtime == 1) for p in tmp_path.rglob("*.txt")}
+    assert found == {"1.txt": (1, False), "2.txt": (2, True), "3.txt": (3, True)} and tops == {f"{tmp_path}/a/b", f"{tmp_path}/c"}
