@@ -332,3 +332,10 @@ def test_sound_parts_are_taken_from_where_they_lie(monkeypatch):
     part = raw.replace(b"shape </a:t>", b"shapE </a:t>")  # the sum of the part is wrong
     assert [p.content for p in read_pieces(part, ".xlsx", Options()) if not isinstance(p, Exception)] != [p.content for p in whole]
     assert set(asked) == {"xl/drawings/d.xml"}
+
+
+def test_equal_parts_of_workbooks_share_a_tree():
+    a, b = (xlsx.Package(samples.xlsx(lambda x, n=n: f"{x} {n}")) for n in "ab")
+    assert a.xml("xl/styles.xml") is b.xml("xl/styles.xml")
+    assert a.xml("xl/sst.xml") is not b.xml("xl/sst.xml")
+    assert a.rels("xl/workbook.xml") == b.rels("xl/workbook.xml") and a.rels("xl/worksheets/sheet1.xml") != b.rels("xl/worksheets/sheet1.xml")
