@@ -334,6 +334,17 @@ def test_sound_parts_are_taken_from_where_they_lie(monkeypatch):
     assert set(asked) == {"xl/drawings/d.xml"}
 
 
+def test_texts_are_told_apart_by_patterns(monkeypatch):
+    """The same count as character by character; plain ASCII is not counted at all."""
+    for c in map(chr, range(0x110000)):
+        assert encoding.japanese_characters(c) == any(a <= ord(c) <= b for a, b in encoding.JAPANESE)
+    ascii = bytes(range(128))
+    assert ascii.decode(encoding.SHIFT_JIS) == ascii.decode("utf-8")
+    assert encoding.japanese_characters("日Å本 x") == 2
+    monkeypatch.setattr(encoding, "japanese_characters", lambda text: 1 / 0)
+    assert encoding.detect(ascii * 40, False) == encoding.detect(ascii, True, True) == "utf-8"
+
+
 def test_equal_parts_of_workbooks_share_a_tree():
     a, b = (xlsx.Package(samples.xlsx(lambda x, n=n: f"{x} {n}")) for n in "ab")
     assert a.xml("xl/styles.xml") is b.xml("xl/styles.xml")
