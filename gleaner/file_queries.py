@@ -293,7 +293,11 @@ def written(rows: DataFrame, make: Callable[[int], dict[str, bytes]], old: bool
 
 
 def new_folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark).removeprefix('file://')}/files-{uuid.uuid4().hex}"
+    """A folder that is there, even if no task writes a file."""
+    root = f"{shared_dir(spark).removeprefix('file://')}/files-{uuid.uuid4().hex}"
+    system, top = listing.store(root) if "://" in root else (pafs.LocalFileSystem(), root)
+    system.create_dir(top, recursive=True)
+    return root
 
 
 def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -423,16 +427,15 @@ def text_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of all documents as files of two hundred each, read by ranges of 32 KB: the lines of each file with their numbers."""
     root = new_folder(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL")
-    docs = docs.select((F.col("doc_id") / 200).cast("long").alias("file"), "doc_id", "text")
+    docs = docs.select(F.expr("doc_id div 200").alias("file"), "doc_id", "text")  # whole numbers, as doubles would round large ones
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted: a file is written text by text."""
         system, top = listing.store(root) if "://" in root else (pafs.LocalFileSystem(), root)
-        system.create_dir(top, recursive=True)
         at, out = None, None
         for batch in batches:
             for file, text in zip(batch.column("file").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if file != at:
+                if out is None or file != at:
                     if out is not None:
                         out.close()
                     at, out = file, system.open_output_stream(f"{top}/{file}.txt", compression=None)
@@ -444,7 +447,8 @@ def text_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs.repartition("file").sortWithinPartitions("file", "doc_id").mapInArrow(run, "n int").agg(F.sum("n")).collect()
     search = Search(spark, SearchSpec.of("x", target=root), range_bytes=32 << 10)
-    found = done(search.entries().select(X.file_name("file_path").alias("file_name"), "line_number", "content"), root)
+    name = F.nullif(X.file_name("file_path"), F.lit("None.txt"))  # that of texts without an id
+    found = done(search.entries().select(name.alias("file_name"), "line_number", "content"), root)
     search.close()
     return found
 

@@ -353,15 +353,20 @@ def _gone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([kept], pa.int64())], ["kept"])
 
 
+def _delete(paths: DataFrame) -> int:
+    """Delete files or empty folders by tasks. Returns how many could not be deleted. Of an empty table, such as the folders of a flat one, there may be no task, and so no sum."""
+    return paths.mapInArrow(_gone, "kept long").agg(F.coalesce(F.sum("kept"), F.lit(0))).first()[0]
+
+
 def emptied(spark: SparkSession, root: str, folder: str, limit: int = ROUND_FOLDERS) -> int:
     """Delete a tree by tasks, files first; `folder` is for the rounds of its listing. The root stays. Returns how many files and folders could not be deleted."""
     found = _listed(spark, root, _within, folder, limit).select("file_path", "ext")
     files = found.where("ext IS NULL")
     tasks = max(2 * spark.sparkContext.defaultParallelism, files.count() // DELETED_FILES)
-    left = files.repartition(tasks).mapInArrow(_gone, "kept long").agg(F.sum("kept")).first()[0]
+    left = _delete(files.repartition(tasks))
     # folders of one branch by one task, the deepest first
     folders = found.where("ext IS NOT NULL").repartition(tasks, F.get(F.split("file_path", "/"), F.lit(root.rstrip("/").count("/") + 1)))
-    left += folders.where(F.col("file_path") != F.lit(root)).sortWithinPartitions(F.length("file_path").desc()).mapInArrow(_gone, "kept long").agg(F.sum("kept")).first()[0]
+    left += _delete(folders.where(F.col("file_path") != F.lit(root)).sortWithinPartitions(F.length("file_path").desc()))
     return left
 
 

@@ -658,6 +658,35 @@ def test_trees_are_emptied_by_tasks(spark, tmp_path):
     assert os.listdir(top) == [] and other.exists()
 
 
+def test_flat_folders_are_emptied(spark, tmp_path):
+    """A folder that holds files alone, and one that holds nothing."""
+    from gleaner.sources import listing
+
+    top = tmp_path / "flat"
+    top.mkdir()
+    for k in range(3):
+        (top / f"{k}.txt").touch()
+    for turn in range(2):
+        assert listing.emptied(spark, str(top), str(tmp_path / f"gone{turn}")) == 0
+        assert os.listdir(top) == []
+
+
+def test_text_ranges_of_odd_tables(spark, tmp_path):
+    """No documents, none with a text, one without an id, ids beyond what doubles hold, and a text of many ranges."""
+    import duckdb
+
+    from gleaner import file_queries
+
+    run, sql = file_queries.QUERIES["text_ranges"]
+    tables = [[], [(1, None)], [(None, "a\nb"), (3, "c")], [(2**60 // 200 * 200 - 1, "d"), (2**60 // 200 * 200, "e"), (-1, "f"), (2**63 - 1, "g")], [(k, "x \n\ny" * 5000) for k in range(3)]]
+    for n, rows in enumerate(tables):
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        c = duckdb.connect()
+        c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/{n}/documents.parquet/*.parquet'")
+        got = run(spark, f"{tmp_path}/{n}").select("file_name", "line_number", "content")
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, c.sql(f"SELECT file_name, line_number, content FROM ({sql})").fetchall())), rows[:4]
+
+
 def test_large_folders_are_listed_by_several_tasks(tmp_path):
     """A task that has listed a large folder leaves the next one to others."""
     import pyarrow as pa
